@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, word_bpe
 
 SIZE = 2048
 #: Pieces of one block.
@@ -25,8 +25,6 @@ BLOCK = 4096
 #: A bin with at most so many free tokens is final in any round.
 SLACK = 4
 ROUNDS = 6
-#: Words whose ids a task remembers.
-REMEMBERED = 200_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long, done boolean"
@@ -42,51 +40,18 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
-class WordIds:
-    """Ids of texts as little-endian 32-bit numbers, by a tokenizer that never joins across white space."""
-
-    #: Python's split() takes these for white space; the tokenizer doesn't.
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-    def __init__(self, spec: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(c in t for c in self.ODD) or any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(code.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [self._whole(t) if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
-
-
 def tokenized_pieces(docs: DataFrame, spec: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each row's ids and a closing 0, cut into pieces of *size*."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(spec)
+        coder = word_bpe.Coder(spec)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             text = batch.column(batch.schema.get_field_index("text"))
             for lo in range(0, len(text), 256):
                 doc, piece, start, length, crc = [], [], [], [], []
-                for d, raw in zip(ids[lo : lo + 256].to_pylist(), coder.encode(text[lo : lo + 256].to_pylist()), strict=True):
-                    raw += b"\0\0\0\0"
+                for d, codes in zip(ids[lo : lo + 256].to_pylist(), coder.encode(text[lo : lo + 256].to_pylist()), strict=True):
+                    raw = codes.astype("<u4").tobytes() + b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[at : at + 4 * size]
                         doc.append(d)
