@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: Module, query and the name of its SQL text (None: SQL can't express it).
 ENTRIES = [
+    ("language_id", "op4_language_id", None),
     ("packing", "op7_packing", None),
     ("decontaminate", "op8_decontamination", "SQL"),
+    ("jaccard_join", "op9_jaccard_join", None),
     ("line_dedup", "op10_line_dedup", "SQL"),
 ]
 
