@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module, query and the name of its SQL text (None: SQL can't express it).
 ENTRIES = [
+    ("lm_scoring", "op3_lattice_lm", None),
     ("language_id", "op4_language_id", None),
     ("packing", "op7_packing", None),
     ("decontaminate", "op8_decontamination", "SQL"),
