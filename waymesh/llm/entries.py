@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module, query and the name of its SQL text (None: SQL can't express it).
 ENTRIES = [
     ("media_chunks", "op1_media_chunks", None),
+    ("secret_scan", "op2_secret_ownership", "SQL"),
     ("lm_scoring", "op3_lattice_lm", None),
     ("html_extract", "op5_html_extract", None),
     ("language_id", "op4_language_id", None),
