@@ -11,6 +11,7 @@ ENTRIES = [
     ("lm_scoring", "op3_lattice_lm", None),
     ("html_extract", "op5_html_extract", None),
     ("language_id", "op4_language_id", None),
+    ("toxicity", "op6_toxicity", None),
     ("packing", "op7_packing", None),
     ("decontaminate", "op8_decontamination", "SQL"),
     ("jaccard_join", "op9_jaccard_join", None),
