@@ -1,0 +1 @@
+"""Similarity search over typed graphs with places, as Spark plans."""
