@@ -28,7 +28,7 @@ def test_names():
     assert metapath.inverse_name("(a#b)^-1") == "a#b"
     assert metapath.mirrored_name("APV", "initials") == "APVPA"
     assert metapath.mirrored_name("a") == "a#(a)^-1"
-    assert metapath.artefact_name("p", "venue", "grid", 500, True, 7) == "p#venue_GridRangeQueryWeighted500_7"
+    assert metapath.artefact_name("p", "venue", "grid", 500, True, 7) == "p|venue|grid|weighted|500m|res7"
 
 
 def test_vectors(spark):

@@ -77,7 +77,8 @@ def mirrored_name(name: str, by: str = "edge_type") -> str:
 
 
 def artefact_name(path: str, place_type: str, mode: str, eps_m: int, weighted: bool, resolution: int | None = None) -> str:
-    """A readable key of a spatially extended matrix."""
-    kind = {"exact": "EdgeDecomposition", "grid": "Grid"}[mode]
-    end = "" if resolution is None else f"_{resolution}"
-    return f"{path}#{place_type}_{kind}RangeQuery{'Weighted' if weighted else 'Unweighted'}{eps_m}{end}"
+    """A readable key of a spatially extended matrix, for :class:`waymesh.plans.catalog.Catalog`."""
+    if mode not in ("exact", "grid"):
+        raise ValueError("mode is 'exact' or 'grid'")
+    parts = [path, place_type, mode, "weighted" if weighted else "counted", f"{eps_m}m"]
+    return "|".join(parts if resolution is None else [*parts, f"res{resolution}"])
