@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom, shared, textbuf
 
@@ -99,8 +100,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return found, shared.stored(repeated)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = bloom.BITS) -> DataFrame:
-    """``doc_id, text`` (rebuilt), ``n_lines`` (before) and ``n_dropped`` for each row of *docs*.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = bloom.BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text`` (rebuilt), ``n_lines`` (before) and ``n_dropped`` for each row of *docs*, and the columns *carry* in a struct ``rest``.
 
     A null or empty text is one empty line and stays empty.  A row with a null id holds no line for others
     and keeps all of its own.  Rows that share an id are one document, and each row is rebuilt.  Other
@@ -109,7 +110,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = shared.keyed(docs, id_col, text_col)
     found, repeated = repeated_lines(base, min_chars, min_docs, bits)
     loses = found.join(repeated, ["k1", "k2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("k1").alias("loses"))
-    both = base.join(loses, "doc_id", "left")
+    carried = shared.keyed(docs, id_col, text_col, carry)
+    both = carried.join(loses, "doc_id", "left")
+    kind = T.StructType([*T.StructType.fromDDL(_OUT).fields, *carried.schema.fields[2:]])
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -135,9 +138,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 mask = np.zeros(len(text), bool)
                 mask[rows] = True
                 text = pc.replace_with_mask(text, pa.array(mask), pa.array([new[r] for r in rows], text.type))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), text, n_lines, pa.array(dropped)], names=["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), text, n_lines, pa.array(dropped), *([batch.column(batch.schema.get_field_index("rest"))] if carry else [])], names=["doc_id", "text", "n_lines", "n_dropped", *(["rest"] if carry else [])])
 
-    return both.mapInArrow(rebuilt, _OUT)
+    return both.mapInArrow(rebuilt, kind)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,10 +63,7 @@ def fold(key: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(parts), F.lit(1).cast("bigint"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the text (null: empty) alone, under fixed names, so that other columns can't clash."""
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-
-
-def rows_of(df: DataFrame) -> int:
-    return df.count()
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id and the text (null: empty), under fixed names, so that other columns can't clash; columns *carry* in a struct ``rest``."""
+    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *rest)
