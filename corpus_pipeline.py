@@ -16,35 +16,33 @@ from waymesh.llm import decontaminate, jaccard_join, language_id, line_dedup, pa
 LEAST_SCORE = 0.4
 
 
-def _with(docs: DataFrame, found: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Rows of *docs* whose id *found* has (or has with *keep*), with *found*'s text where it has one."""
-    found = (found if keep is None else found.where(keep)).withColumnRenamed("doc_id", "found_id")
-    if "text" not in found.columns:
-        return docs.join(found.select("found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi").select(docs.columns)
-    new = found.select("found_id", F.col("text").alias("found_text"))
-    joined = docs.join(new, docs["doc_id"].eqNullSafe(new["found_id"]))
-    return joined.select(*({"text": F.col("found_text").alias("text"), "n_chars": F.length("found_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}.get(c, docs[c]) for c in docs.columns))
+def _kept(docs: DataFrame, found: DataFrame, keep: Column) -> DataFrame:
+    """Rows of *docs* whose id *found* has with *keep*."""
+    ids = found.where(keep).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognisable language."""
     model = language_id.fit(docs, train=shared.fold(F.col("doc_id"), 5) != 0)
-    return _with(docs, language_id.identify(docs, model), (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _kept(docs, language_id.identify(docs, model), (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their repeated lines."""
-    return _with(docs, line_dedup.dedup_lines(docs))
+    rebuilt = line_dedup.dedup_lines(docs, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return rebuilt.select(*(new.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component."""
-    return _with(docs, jaccard_join.near_duplicates(docs), F.col("component_id") == F.col("doc_id"))
+    return _kept(docs, jaccard_join.near_duplicates(docs), F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return _with(docs, decontaminate.find_hits(docs, shared.table(spark, sf_dir, "benchmark")).select("doc_id", "hits"), F.size("hits") == 0)
+    return _kept(docs, decontaminate.find_hits(docs, shared.table(spark, sf_dir, "benchmark")).select("doc_id", "hits"), F.size("hits") == 0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
