@@ -7,8 +7,10 @@ a Jaccard similarity of 0.8 is at most a quarter of either set.  So, with the se
 order that all sets share, the first ``size / 4 + 1`` non-empty ones of two similar sets have one in
 common (pigeonhole).  Only these are joined, rarest first, so that common passages seldom meet.
 
-Equal keys make candidate groups by their stars; a group's members are then verified on their whole
-sets, in blocks of bounded size, and each block gives no more links than it has members.
+Sets with a key in common are candidate pairs, unless the Hamming distance of their parity sketches, a
+lower bound of the symmetric difference, rules them out; a key that more than FEW sets have makes a
+star instead of pairs.  What hangs together is a candidate group; its members are verified on their
+whole sets, in blocks of bounded size, and each block gives no more links than it has members.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import components, shared, textbuf
@@ -30,6 +32,8 @@ PERCENT = 80
 HOT_BUCKETS = 1 << 22
 #: Shingles counted, or keys combined, at a time, and the count from which a bucket is frequent.
 CHUNK, HOT = 1 << 20, 6
+#: Of a key's sets, all pairs are taken up to so many; more meet in their smallest one.
+FEW = 8
 #: A block's most members and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 _LEAST = 4  # the smallest band has 2^4 segments
@@ -80,6 +84,39 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(n, 1) / 1.5)).astype(np.int64), _LEAST)
 
 
+def bit_sketches(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Of each set, the parity of its shingles in each of 4 * 2^band bits, as 64-bit words.
+
+    Half as many bits are the XOR of the sketch's halves.  The Hamming distance of two sketches is at most
+    the size of the symmetric difference.
+    """
+    n = np.diff(at)
+    words = np.where(n > 0, np.int64(1) << np.maximum(band(n) - 4, 0), 0)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    place = textbuf.mixed(sets ^ U64(0x082EFA98EC4E6C89)) & np.repeat((words * 64 - 1).astype(U64), n)
+    where = (place >> U64(6)).astype(np.int64) + np.repeat(begin[:-1], n)
+    order = np.argsort(where, kind="stable")
+    bit = (U64(1) << (place & U64(63)))[order]
+    where = where[order]
+    out = np.zeros(begin[-1], U64)
+    if len(where):
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        out[where[first]] = np.bitwise_xor.reduceat(bit, first)
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(textbuf.as_signed(out)))
+
+
+def hamming(a: str, b: str) -> Column:
+    """The Hamming distance of two sketches whose bands are at most one apart, at the smaller one's length."""
+
+    def halved(x: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    x = F.when(F.size(a) > F.size(b), halved(a)).otherwise(F.col(a))
+    y = F.when(F.size(b) > F.size(a), halved(b)).otherwise(F.col(b))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
+
+
 def sketch_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Set numbers and the keys that each set shows.
 
@@ -176,13 +213,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = textbuf.Ranges(606)
-        names = ["kind", "doc_id", "n", "h1", "h2"]
+        names = ["kind", "doc_id", "n", "h1", "h2", "bits"]
         count, seen = np.zeros(HOT_BUCKETS, np.int32), 0
 
         def frequent() -> pa.RecordBatch:
             found = np.flatnonzero(count >= HOT)
             zero = pa.array(np.zeros(len(found), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(count[found].astype(np.int64)), zero, zero], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(count[found].astype(np.int64)), zero, zero, pa.nulls(len(found), pa.list_(pa.int64()))], names=names)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -195,10 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield frequent()
                     count[:] = 0
                     seen = 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(run), np.int32)), ids.slice(run.first, len(run)), pa.array(np.diff(at)), pa.array(textbuf.as_signed(h1)), pa.array(textbuf.as_signed(h2))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(run), np.int32)), ids.slice(run.first, len(run)), pa.array(np.diff(at)), pa.array(textbuf.as_signed(h1)), pa.array(textbuf.as_signed(h2)), bit_sketches(sets, at)], names=names)
         yield frequent()
 
-    first = shared.stored(base.mapInArrow(first_pass, "kind int, doc_id long, n long, h1 long, h2 long"))
+    first = shared.stored(base.mapInArrow(first_pass, "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>"))
     hot = np.zeros(HOT_BUCKETS, np.int32)
     frequent = first.where("kind = 1").groupBy("doc_id").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
     for batch in frequent.toPandas().itertuples(index=False):  # at most HOT_BUCKETS rows
@@ -215,18 +252,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         owners: list[np.ndarray] = []
 
         def combined() -> pa.RecordBatch:
-            """One row for each key of the chunk, to its smallest set, and what else had the key as links."""
+            """The chunk's keys and sets; a key with more than FEW sets has its smallest set alone, twice, and the others as links to it."""
             k, c = np.concatenate(keys), np.concatenate(owners)
             order = np.lexsort((c, k))
             k, c = k[order], c[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            k, c = k[new], c[new]
             head = np.ones(len(k), bool)
             head[1:] = k[1:] != k[:-1]
-            new = head.copy()
-            new[1:] |= c[1:] != c[:-1]
-            least = c[np.flatnonzero(head)][np.cumsum(head) - 1]
-            k = np.where(head, k, textbuf.mixed(c ^ textbuf.mixed(least)))
-            to = np.where(head, c, least)
-            return pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(x[new])) for x in (k, c, to)], names=["key", "cid", "to"])
+            group = np.cumsum(head) - 1
+            begin = np.flatnonzero(head)
+            many = (np.diff(np.append(begin, len(k))) > FEW)[group]
+            least = c[begin][group]
+            link = many & ~head
+            k = np.where(link, textbuf.mixed(c ^ textbuf.mixed(least)), k)
+            weight = np.where(many & head, FEW + 1, 1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*(pa.array(textbuf.as_signed(x)) for x in (k, c, np.where(link, least, c))), pa.array(weight)], names=["key", "cid", "to", "weight"])
 
         held = 0
         for batch in batches:
@@ -244,11 +286,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield combined()
 
-    shown = base.where("doc_id IS NOT NULL").select("text").mapInArrow(second_pass, "key long, cid long, to long")
-    # a key has a row for each chunk at most
-    stars = shown.select("cid", "to", F.min("cid").over(Window.partitionBy("key")).alias("least"))
-    edges = stars.where("cid <> to OR cid <> least").select(F.col("cid").alias("a"), F.when(F.col("cid") != F.col("to"), F.col("to")).otherwise(F.col("least")).alias("b"))
-    groups = shared.stored(components.components(edges))
+    shown = base.where("doc_id IS NOT NULL").select("text").mapInArrow(second_pass, "key long, cid long, to long, weight int")
+    # a key has FEW rows for each chunk at most
+    of_key = Window.partitionBy("key")
+    met = shown.select("key", "cid", "to", F.sum("weight").over(of_key).alias("sets"), F.min("cid").over(of_key).alias("least")).where("sets > 1 OR cid <> to")
+    hubs = F.when(F.col("cid") != F.col("to"), F.col("to")).otherwise(F.col("least"))
+    few = met.where(f"sets <= {FEW} AND cid = to").groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("c"))
+    each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    of_few = few.select(F.explode(each).alias("p")).select("p.a", "p.b", F.lit(False).alias("hub"))
+    of_many = met.where(f"sets > {FEW} OR cid <> to").select(F.col("cid").alias("a"), hubs.alias("b"), F.lit(True).alias("hub")).where("a <> b")
+    pairs = shared.stored(of_few.unionByName(of_many).groupBy("a", "b").agg(F.max("hub").alias("hub")))
+
+    # pairs that the sketches rule out go; links to the smallest set of a large group stay, as they stand for all of its pairs
+    ids = pairs.where("NOT hub").select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    info = classes.join(ids, classes["h1"] == ids["cid"]).select("cid", "rep")
+    info = shared.stored(info.join(rows.where("n > 0"), info["rep"] == rows["doc_id"]).where(F.col("h1") == F.col("cid")).select("cid", "n", "bits"))
+    left, right = (info.select(*(F.col(c).alias(f"{c}_{x}") for c in info.columns)) for x in "ab")
+    sized = pairs.where("NOT hub").join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b")).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    alike = sized.where(hamming("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    groups = shared.stored(components.components(alike.unionByName(pairs.where("hub").select("a", "b"))))
 
     # what is to be verified, and into how many blocks each group is dealt
     member = classes.join(groups, classes["h1"] == groups["node"]).select("rep", "h1", "h2", "n", "component")
@@ -256,6 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = shared.stored(member.join(blocks, "component").select(F.col("rep").alias("doc_id"), "h1", "h2", "component", "blocks"))
 
+    def units_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["component", "i", "j", "rep", "mine", "shingles"])
+
     def third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = textbuf.Ranges(606)
         for batch in batches:
@@ -264,16 +325,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets, at = shingle_sets(run, ranges)
                 h1, h2 = (textbuf.as_signed(h) for h in set_hashes(sets, at))
                 out: list[tuple] = []
+                size = 0
                 for d in range(len(run)):
+                    if size > 8 * textbuf.RUN_BYTES:
+                        yield units_of(out)
+                        out, size = [], 0
                     r = run.first + d
                     if h1[d] != col["h1"][r] or h2[d] != col["h2"][r]:
                         continue  # another row with the id of a class
                     rep, n, raw = col["doc_id"][r], col["blocks"][r], sets[at[d] : at[d + 1]].tobytes()
                     mine = int(textbuf.mixed(np.array([rep], np.int64).view(U64))[0]) % n
                     out += [(col["component"][r], min(mine, k), max(mine, k), rep, mine, raw) for k in range(n)]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["component", "i", "j", "rep", "mine", "shingles"])
+                    size += n * len(raw)
+                yield units_of(out)
 
     def verify(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_pylist()
