@@ -74,13 +74,21 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([first["shard"]], pa.int32()), "level": pa.array([first["level"]], pa.int32()), "once": pa.array([_pack(once)], pa.binary()), "twice": pa.array([_pack(twice)], pa.binary())})
 
 
+def seen_once(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> bytes:
+    """The ``once`` filter's bytes: all that *hashes* yields from *df*'s batches."""
+    return _seen(df, hashes, bits, "once")
+
+
 def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> bytes:
     """The ``twice`` filter's bytes over what *hashes* yields from *df*'s batches.
 
     Each yielded array holds the hashes of some holders (documents, say), each hash once per holder; a
     hash counts as seen twice when two holders have it.  An empty input gives an empty filter.
     """
+    return _seen(df, hashes, bits, "twice")
+
 
+def _seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, which: str) -> bytes:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -105,6 +113,6 @@ def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
         parts = parts.withColumn("level", level).groupBy("shard", "level").applyInArrow(_merged, _MERGE)
     data = np.zeros(bits // 8, np.uint8)
     cut = bits // 8 // SHARDS
-    for row in parts.select("shard", "twice").collect():  # SHARDS rows of a fixed size
-        data[row["shard"] * cut : (row["shard"] + 1) * cut] = _unpack(bytes(row["twice"]))
+    for row in parts.select("shard", which).collect():  # SHARDS rows of a fixed size
+        data[row["shard"] * cut : (row["shard"] + 1) * cut] = _unpack(bytes(row[which]))
     return data.tobytes()

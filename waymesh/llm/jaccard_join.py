@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import components, shared, textbuf
+from . import bloom, components, shared, textbuf
 
 U64 = np.uint64
 WORDS = 5
@@ -200,6 +200,12 @@ def verified(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int,
     return links
 
 
+def id_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of the ids (without nulls) of a batch."""
+    ids = batch.column(batch.schema.get_field_index("doc_id"))
+    return textbuf.mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of *docs*.
 
@@ -349,7 +355,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             a, b = [rep[i] for i, _ in links], [rep[j] for _, j in links]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    units = base.join(wanted, "doc_id").mapInArrow(third_pass, "component long, i int, j int, rep long, mine int, shingles binary")
+    # texts that are surely not wanted stay where they are; the rest is joined by id
+    def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield id_hashes(batch)
+
+    few = spark.sparkContext.broadcast(bloom.seen_once(wanted.select("doc_id"), ids_of))
+
+    def maybe_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = bloom.Filter(data=few.value)
+        for batch in batches:
+            yield batch.filter(pa.array(found.has(id_hashes(batch))))
+
+    near = base.where("doc_id IS NOT NULL").mapInArrow(maybe_wanted, "doc_id long, text string")
+    units = near.join(wanted, "doc_id").mapInArrow(third_pass, "component long, i int, j int, rep long, mine int, shingles binary")
     links = units.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
     linked = components.components(links)
     named = shared.stored(classes.join(linked.withColumnRenamed("component", "least"), classes["rep"] == linked["node"], "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("least")))
