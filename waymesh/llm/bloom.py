@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Bits of either filter: 8 MB, whatever the input. With more hashes it lets more through to the exact step.
 BITS = 1 << 26
 HASHES = 3
@@ -108,7 +110,7 @@ def _seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
                 part = slice(k * cut, (k + 1) * cut)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level], pa.int32()), pa.array([_pack(once.data[part])], pa.binary()), pa.array([_pack(twice.data[part])], pa.binary())], names=["shard", "level", "once", "twice"])
 
-    parts = df.mapInArrow(build, _MERGE)
+    parts = df.mapInArrow(shared.frugal(build), _MERGE)
     for level in ((F.col("level") / WIDTH).cast("int"), (F.col("level") / WIDTH).cast("int"), F.lit(0)):
         parts = parts.withColumn("level", level).groupBy("shard", "level").applyInArrow(_merged, _MERGE)
     data = np.zeros(bits // 8, np.uint8)

@@ -30,8 +30,10 @@ WORDS = 5
 PERCENT = 80
 #: Buckets of the table of frequent shingles; the table's size is fixed.
 HOT_BUCKETS = 1 << 22
-#: Shingles counted, or keys combined, at a time, and the count from which a bucket is frequent.
+#: Shingles counted at a time, and the count from which a bucket is frequent.
 CHUNK, HOT = 1 << 20, 6
+#: Keys combined at a time.
+KEYS = 1 << 18
 #: Of a key's sets, all pairs are taken up to so many; more meet in their smallest one.
 FEW = 8
 #: A block's most members and shingles.
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(run), np.int32)), ids.slice(run.first, len(run)), pa.array(np.diff(at)), pa.array(textbuf.as_signed(h1)), pa.array(textbuf.as_signed(h2)), bit_sketches(sets, at)], names=names)
         yield frequent()
 
-    first = shared.stored(base.mapInArrow(first_pass, "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>"))
+    first = shared.stored(base.mapInArrow(shared.frugal(first_pass), "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>"))
     hot = np.zeros(HOT_BUCKETS, np.int32)
     frequent = first.where("kind = 1").groupBy("doc_id").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
     for batch in frequent.toPandas().itertuples(index=False):  # at most HOT_BUCKETS rows
@@ -286,13 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keys.append(key)
                 owners.append(h1[which])
                 held += len(key)
-                if held >= CHUNK:
+                if held >= KEYS:
                     yield combined()
                     keys, owners, held = [], [], 0
         if held:
             yield combined()
 
-    shown = base.where("doc_id IS NOT NULL").select("text").mapInArrow(second_pass, "key long, cid long, to long, weight int")
+    shown = base.where("doc_id IS NOT NULL").select("text").mapInArrow(shared.frugal(second_pass), "key long, cid long, to long, weight int")
     # a key has FEW rows for each chunk at most
     of_key = Window.partitionBy("key")
     met = shown.select("key", "cid", "to", F.sum("weight").over(of_key).alias("sets"), F.min("cid").over(of_key).alias("least")).where("sets > 1 OR cid <> to")
@@ -366,8 +368,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield batch.filter(pa.array(found.has(id_hashes(batch))))
 
-    near = base.where("doc_id IS NOT NULL").mapInArrow(maybe_wanted, "doc_id long, text string")
-    units = near.join(wanted, "doc_id").mapInArrow(third_pass, "component long, i int, j int, rep long, mine int, shingles binary")
+    near = base.where("doc_id IS NOT NULL").mapInArrow(shared.frugal(maybe_wanted), "doc_id long, text string")
+    units = near.join(wanted, "doc_id").mapInArrow(shared.frugal(third_pass), "component long, i int, j int, rep long, mine int, shingles binary")
     links = units.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
     linked = components.components(links)
     named = shared.stored(classes.join(linked.withColumnRenamed("component", "least"), classes["rep"] == linked["node"], "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("least")))

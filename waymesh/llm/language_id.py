@@ -121,7 +121,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             which = np.concatenate(which) if which else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(names).take(pa.array(which.astype(np.int64))), pa.array(np.concatenate(score) if score else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return shared.keyed(docs, id_col, text_col).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return shared.keyed(docs, id_col, text_col).mapInArrow(shared.frugal(predict), "doc_id long, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
                 pick = pick[_per_holder(lines.doc[pick], lines.k1[pick])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[run.first + lines.doc[pick]], pa.int64()), pa.array(textbuf.as_signed(lines.k1[pick])), pa.array(textbuf.as_signed(lines.k2[pick]))], names=["doc_id", "k1", "k2"])
 
-    found = shared.stored(held.select("doc_id", "text").mapInArrow(suspects, _SUSPECTS))
+    found = shared.stored(held.select("doc_id", "text").mapInArrow(shared.frugal(suspects), _SUSPECTS))
     # ids that occur in several rows count once; both steps combine before they shuffle
     once = found.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
     repeated = once.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text = pc.replace_with_mask(text, pa.array(mask), pa.array([new[r] for r in rows], text.type))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), text, n_lines, pa.array(dropped), *([batch.column(batch.schema.get_field_index("rest"))] if carry else [])], names=["doc_id", "text", "n_lines", "n_dropped", *(["rest"] if carry else [])])
 
-    return both.mapInArrow(rebuilt, kind)
+    return both.mapInArrow(shared.frugal(rebuilt), kind)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def tokenized_pieces(docs: DataFrame, spec: str, size: int = SIZE, id_col: str =
                         crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return shared.keyed(docs, id_col, text_col).mapInArrow(pieces, _PIECES)
+    return shared.keyed(docs, id_col, text_col).mapInArrow(shared.frugal(pieces), _PIECES)
 
 
 def sum_of_squares(lengths: list[int], size: int) -> tuple[list[int], list[int], list[int]]:

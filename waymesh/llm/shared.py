@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _release() -> None:
+    """Gives memory that this Python process has freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(f: Callable) -> Callable:
+    """*f* over Arrow batches, so that the worker, which stays for later tasks, keeps little memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            for n, out in enumerate(f(batches)):
+                yield out
+                if n % 8 == 7:
+                    _release()
+        finally:
+            _release()
+
+    return run
+
+
 def stored(df: DataFrame) -> DataFrame:
     """*df* written once as Parquet to the shared folder and read again.
 
