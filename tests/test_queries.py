@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from waymesh.operators import quality
 from waymesh.plans import queries
 
 
@@ -12,6 +13,9 @@ def folder(spark, tmp_path_factory):
     """120 suppliers in three nations."""
     d = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(i, i % 3) for i in range(1, 121)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+    # customers 21 to 60 have an order each, of three suppliers; 20 and below have none
+    spark.createDataFrame([(i, i) for i in range(21, 61)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(i, 1 + i * k % 120) for i in range(21, 61) for k in (1, 7, 11)], "l_orderkey bigint, l_suppkey bigint").write.parquet(f"{d}/lineitem.parquet")
     return d
 
 
@@ -23,3 +27,18 @@ def test_haversine_of_all_pairs(spark, folder):
         (x, a), (y, b) = at[u], at[v]
         h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((y - x) / 2) ** 2
         assert abs(dist - 2 * 6371008.8 * math.asin(math.sqrt(h))) < 1e-3
+
+
+def test_quality_of_every_customer(spark, folder):
+    assert queries.quality_precision_recall(spark, folder).first()["queries"] == 40
+    overlap, ndcg = queries.quality_overlap(spark, folder).first(), queries.quality_ndcg(spark, folder).first()
+    assert list(overlap.asDict()) == [f"overlap_{k}" for k in quality.KS] and list(ndcg.asDict()) == [f"ndcg_{k}" for k in quality.KS]
+    # another way to the same: each customer asked alone, then the mean over those with ten results
+    exact, near = queries._exact(spark, folder).persist(), queries._grid(spark, folder).persist()
+    asked = queries._asked(spark, tuple(range(21, 61)))
+    best = {name: {} for name in ("e", "g")}
+    for name, m in (("e", exact), ("g", near)):
+        for r in quality.rankings(m, asked).collect():
+            best[name].setdefault(r["query"], []).append((r["rank"], r["node"]))
+    shares = [len({n for k, n in rows if k <= 10} & {n for k, n in best["g"].get(q, []) if k <= 10}) / 10 for q, rows in best["e"].items() if len(rows) >= 10]
+    assert shares and abs(overlap["overlap_10"] - sum(shares) / len(shares)) < 1e-6

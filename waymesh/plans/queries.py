@@ -238,7 +238,9 @@ def rank_position(spark, d):
 
 
 def _compared(spark, d):
-    return quality.compare_quality(_exact(spark, d), _grid(spark, d), _asked(spark, tuple(range(1, 21))), (1, 5, 10))
+    """Measures over every customer with a row in the matrix, at all the surveyed k."""
+    every = _left(spark, d).select(F.col("i").alias("query")).distinct()
+    return quality.compare_quality(_exact(spark, d), _grid(spark, d), every)
 
 
 def quality_precision_recall(spark, d):
@@ -250,11 +252,13 @@ def quality_mae_mse(spark, d):
 
 
 def quality_overlap(spark, d):
-    return _rounded(_compared(spark, d).select("overlap_1", "overlap_5", "overlap_10"), "overlap_1", "overlap_5", "overlap_10")
+    names = [f"overlap_{k}" for k in quality.KS]
+    return _rounded(_compared(spark, d).select(*names), *names)
 
 
 def quality_ndcg(spark, d):
-    return _rounded(_compared(spark, d).select("ndcg_1", "ndcg_5", "ndcg_10"), "ndcg_1", "ndcg_5", "ndcg_10")
+    names = [f"ndcg_{k}" for k in quality.KS]
+    return _rounded(_compared(spark, d).select(*names), *names)
 
 
 def neighbor_counts(spark, d):
