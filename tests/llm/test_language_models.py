@@ -60,6 +60,22 @@ def test_expected_uses():
     assert uses[3] == pytest.approx((change[:, 0] * [1, 2, 1]).sum() / h, rel=1e-3)
 
 
+def test_expected_uses_of_long_words(monkeypatch):
+    grid = lattice.Lattice(PIECES)
+    weights = grid.scaled(PROBABILITY)
+    words, count = [b"ab", b"bab", b"ababbabab", "é".encode()], np.array([1.0, 2.0, 1.0, 3.0])
+    short = grid.expected(*laid(words), count, weights)
+    monkeypatch.setattr(lattice, "SHORT", 1)  # the path for long words
+    assert grid.expected(*laid(words), count, weights) == pytest.approx(short)
+    monkeypatch.undo()
+    uses = grid.expected(*laid([b"ab" * 100]), np.ones(1), weights)
+    length = np.concatenate([[len(p) for p in PIECES], np.ones(256)])
+    assert (uses * length).sum() == pytest.approx(201)  # every byte is covered once
+    fitted, prior = uses + PROBABILITY, PROBABILITY
+    assert not np.allclose(fitted / fitted.sum(), prior / prior.sum())
+    assert (grid.expected(*laid([b"ab" * 50_000]), np.ones(1), weights) * length).sum() == pytest.approx(100_001)
+
+
 def texts(n):
     rng = np.random.default_rng(n)
     parts = {"en": ["the", "ing", "tion", "wh", "er", "and"], "de": ["sch", "ung", "der", "keit", "ä", "und"]}

@@ -7,6 +7,8 @@ once and for several sets of piece probabilities.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from . import textbuf
@@ -14,7 +16,7 @@ from . import textbuf
 U64 = np.uint64
 #: Longer pieces (in bytes) of the vocabulary aren't used.
 LONGEST = 16
-#: Words up to so many bytes are handled together; the sums of longer ones are rescaled on the way.
+#: Words up to so many bytes are handled together; longer ones alone, their sums rescaled on the way.
 SHORT = 48
 #: Sums are kept multiplied by this to the power of the bytes covered.
 SCALE = 16.0
@@ -141,13 +143,48 @@ class Lattice:
             log += np.log(total)
         return log - n * np.log(SCALE)
 
+    def _long_uses(self, data: np.ndarray, sums: textbuf.Sums, a: int, n: int, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Piece numbers of a long word's arcs by parts, and their expected uses; sums are rescaled on the way as in :meth:`_long`."""
+        most = min(self.longest, n)
+        ends = a + np.arange(1, n + 1)
+        pieces = np.full((n, most + 1), self.size, np.int32)  # by end and length; the byte itself at 0
+        pieces[:, 0] = self.size - 256 + data[a : a + n].astype(np.int64)
+        for m in range(1, most + 1):
+            pieces[m - 1 :, m] = self._numbers(sums, ends[m - 1 :] - m, ends[m - 1 :])
+        # the parts that arcs have in the sum at their end
+        share = np.zeros((n, most + 1))
+        window = np.zeros(most + 1)  # sums at the places before, by distance from the next end
+        window[1] = 1
+        for j in range(n):
+            window[0] = window[1]
+            arcs = w[pieces[j]] * window
+            total = arcs.sum()
+            share[j] = arcs / total
+            window[2:] = window[1:-1] / total
+            window[1] = 1
+        # the chance that a segmentation has a cut at an end, from the last one back
+        cut = np.zeros(n + 1)
+        cut[n] = 1
+        for j in range(n, 0, -1):
+            share[j - 1] *= cut[j]
+            m = min(most, j)
+            cut[j - 1] += share[j - 1, 0]
+            cut[j - m : j] += share[j - 1, 1 : m + 1][::-1]
+        for lo in range(0, n, 1 << 16):
+            yield pieces[lo : lo + (1 << 16)].ravel(), share[lo : lo + (1 << 16)].ravel()
+
     def expected(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words that occur *count* times, under one column of weights. Words over SHORT bytes are left out."""
+        """Expected uses of each piece in words that occur *count* times, under one column of weights."""
         sums = self.ranges.over(data)
         uses = np.zeros(self.size + 1)
         base, w = self.size - 256, weights[:, 0]
         for part, s, n in self._groups(data, start, end - start):
-            if not 0 < n <= SHORT:
+            if n == 0:
+                continue
+            if n > SHORT:
+                for i, a in zip(part.tolist(), s.tolist(), strict=True):
+                    for piece, use in self._long_uses(data, sums, a, n, w):
+                        uses += np.bincount(piece, count[i] * use, minlength=self.size + 1)
                 continue
             arcs = {}
             alpha, beta = np.zeros((n + 1, len(s))), np.zeros((n + 1, len(s)))
