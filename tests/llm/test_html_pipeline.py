@@ -22,6 +22,17 @@ def test_without_article():
     assert text.split("\n\n") == [*(f"Paragraph {k}, with some text, and marks. It goes on." for k in range(5)), "Tiny."]
 
 
+def test_articles_take_nothing_away():
+    story = [f"Story {k}, " + "told at length, with commas, and stops. " * 15 for k in range(10)]
+    cards = [f"Card {k}, " + "told too, with commas, and stops. " * 15 for k in range(6)]
+    page = "<body>" + "".join(f"<div>{x}</div>" for x in story) + "".join(f"<article><p>{x}</p></article>" for x in cards) + "</body>"
+    assert {x.strip() for x in story} <= set(html_extract.main_text(page).split("\n\n"))
+    page = "<body><main><h1>Title</h1><p>Lead, short.</p><article>" + "".join(f"<p>{x}</p>" for x in story) + "</article></main></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title", "Lead, short.", *(x.strip() for x in story)]
+    page = "<body><article>" + "".join(f"<p>{x}</p>" for x in story) + "</article><article><p>Second, short, but told, too.</p></article></body>"
+    assert html_extract.main_text(page).endswith("Second, short, but told, too.")
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<", "a<"), ("<p>x</p></div></p>", "x"), ("<nav>only menu</nav>", ""), ("a < b and c > d", "a < b and c > d"), ("<p>unclosed <b>bold <i>x", "unclosed bold x"), ("<script>never ends", "")])
 def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text

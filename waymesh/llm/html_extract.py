@@ -3,7 +3,7 @@
 A page is cut into blocks, each with its path of block-level tags (and class and id) from the root.  Per
 path, text length and punctuation over its blocks give two ratios; they are fused by multiplication,
 smoothed over the page's order of blocks by the likeness of neighbouring paths, and paths over a
-threshold are content.  Where the content paths share an article or main element, all of it is content.
+threshold are content.  Where most of their text is in article or main elements, all of these is content too.
 Paths through menus, headers, footers, sidebars, notices, adverts, forms and comments never are.
 """
 
@@ -49,10 +49,10 @@ _LETTERS = re.compile(r"[A-Za-z]+")
 
 
 class Block:
-    __slots__ = ("path", "text", "barred", "holder")
+    __slots__ = ("path", "text", "barred", "holders")
 
-    def __init__(self, path: tuple[str, ...], text: str, barred: bool, holder: int):
-        self.path, self.text, self.barred, self.holder = path, text, barred, holder
+    def __init__(self, path: tuple[str, ...], text: str, barred: bool, holders: tuple[int, ...]):
+        self.path, self.text, self.barred, self.holders = path, text, barred, holders
 
 
 def _barred(name: str, attributes: str, inside: bool) -> bool:
@@ -75,7 +75,7 @@ def _words(value: str) -> list[str]:
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order."""
-    stack: list[tuple[str, str, bool, int]] = []  # element, its name in paths, barred, number of its article or main
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # element, its name in paths, barred, numbers of its articles and mains
     out: list[Block] = []
     parts: list[str] = []
     holders = at = 0
@@ -85,7 +85,7 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, 0)
+                top = stack[-1] if stack else ("", "", False, ())
                 out.append(Block(tuple(x[1] for x in stack), text, top[2], top[3]))
 
     for m in _TOKEN.finditer(page):
@@ -103,7 +103,7 @@ def blocks_of(page: str) -> list[Block]:
             # inline elements aren't part of paths, but may be barred
             if m[2] == "" and name not in VOID and m[4] and not m[4].endswith("/") and _barred(name, m[4], True):
                 flush()
-                stack.append((name, name, True, stack[-1][3] if stack else 0))
+                stack.append((name, name, True, stack[-1][3] if stack else ()))
             elif m[2] and any(x[0] == name for x in stack[-8:]):
                 flush()
                 while stack and stack.pop()[0] != name:
@@ -124,13 +124,13 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
         if name in VOID:
             continue
-        above = stack[-1] if stack else ("", "", False, 0)
-        holder = above[3]
+        above = stack[-1] if stack else ("", "", False, ())
+        inside = above[3]
         if name in _KEEP_HEADER_IN:
             holders += 1
-            holder = holders
+            inside = (*inside, holders)
         hint = "".join("." + v.strip("\"'") for k, v in _HINTS.findall(m[4] or "") if k.lower() in ("class", "id"))
-        stack.append((name, name + hint, above[2] or _barred(name, m[4] or "", holder > 0), holder))
+        stack.append((name, name + hint, above[2] or _barred(name, m[4] or "", bool(inside)), inside))
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -175,17 +175,20 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = [b for b in blocks_of(page) if not b.barred]
     chosen = content_paths(blocks)
-    # text of content paths inside each article or main element; the largest decides
+    # text of content paths inside each article or main element, nested ones included; these add blocks and take none away
     weight: dict[int, int] = {}
+    inner = outer = 0
     for b in blocks:
         if b.path in chosen:
-            weight[b.holder] = weight.get(b.holder, 0) + len(b.text)
-    inner = {h: n for h, n in weight.items() if h}
-    if inner and sum(inner.values()) * 2 >= weight.get(0, 0):
-        most = max(inner.values())
-        kept = [b for b in blocks if inner.get(b.holder, 0) * 4 >= most]
-    else:
-        kept = [b for b in blocks if b.path in chosen]
+            for h in b.holders:
+                weight[h] = weight.get(h, 0) + len(b.text)
+            if b.holders:
+                inner += len(b.text)
+            else:
+                outer += len(b.text)
+    most = max(weight.values(), default=0)
+    whole = {h for h, n in weight.items() if n * 4 >= most} if inner * 2 >= outer else set()
+    kept = [b for b in blocks if b.path in chosen or not whole.isdisjoint(b.holders)]
     return "\n\n".join(b.text for b in kept)
 
 
