@@ -42,3 +42,10 @@ def test_quality_of_every_customer(spark, folder):
             best[name].setdefault(r["query"], []).append((r["rank"], r["node"]))
     shares = [len({n for k, n in rows if k <= 10} & {n for k, n in best["g"].get(q, []) if k <= 10}) / 10 for q, rows in best["e"].items() if len(rows) >= 10]
     assert shares and abs(overlap["overlap_10"] - sum(shares) / len(shares)) < 1e-6
+
+
+def test_radius_of_the_cells_in_use(spark, folder):
+    r = queries.cell_radius(spark, folder).first()
+    bands = [math.cos(math.radians(-90 + (b + 0.5) * queries.CELLS.height)) for b in range(queries.CELLS.bands)]
+    assert abs(r["cells"] - sum(max(1, math.ceil(360 * c / queries.CELLS.height)) for c in bands)) <= 2  # rounding at whole numbers
+    assert queries.CELLS.radius_m / 2 < r["boundary_m"] <= r["rho_m"] <= queries.CELLS.radius_m

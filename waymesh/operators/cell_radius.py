@@ -48,11 +48,10 @@ def cell_radius(spark: SparkSession, cells: LatticeCells) -> DataFrame:
     The corners of a cell are joined by great-circle arcs; columns of a band are alike, so a band's cells
     have one geometry and are counted, not repeated.
     """
-    every = cells.all_cells(spark)
     lon, lat = cells.centre(F.col("cell"))
-    band = F.floor(F.col("cell") / F.lit(1 << 32))
-    grouped = every.withColumn("band", band).groupBy("band").agg(F.count("*").alias("n"), F.min("cell").alias("cell"))
-    bands = grouped.select("cell", "n", lon.alias("lon"), lat.alias("lat"), F.col("band").alias("b"))
+    # the first cell of each band, and how many there are
+    first = spark.range(cells.bands).select(F.col("id").alias("b"), (F.col("id") * F.lit(1 << 32)).alias("cell"), cells._columns(F.col("id")).cast("bigint").alias("n"))
+    bands = first.select("cell", "n", lon.alias("lon"), lat.alias("lat"), "b")
     height = cells.height
 
     def measure(batches):

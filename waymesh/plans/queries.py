@@ -292,7 +292,7 @@ def query_sample(spark, d):
 
 
 def cell_radius(spark, d):
-    return radius.cell_radius(spark, grid.LatticeCells(2.0))
+    return radius.cell_radius(spark, CELLS)
 
 
 def timing_stats(spark, d):
