@@ -220,12 +220,13 @@ def brute_hits(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [10**6, 12])
-def test_decontamination(frame, spark, shard):
+@pytest.mark.parametrize(("shard", "held"), [(10**6, 1 << 28), (12, 1 << 28), (12, 1)])
+def test_decontamination(frame, spark, shard, held):
     rows = [*HOSTILE, *PASSAGES]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = decontaminate.find_hits(frame(rows), items, shard_words=shard).withColumn("n_hit", decontaminate.n_hit()).collect()
+    found = decontaminate.find_hits(frame(rows), items, shard_words=shard, pass_bytes=held, with_text=True, carry=("lang", "block")).withColumn("n_hit", decontaminate.n_hit()).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in found) == brute_hits(rows, ITEMS)
+    assert all(r.rest.block == 2 for r in found)
     for r in found:
         for h in r.hits:
             assert words(r.text[h.start : h.end]) == words(r.text)[h.first : h.last]
@@ -235,16 +236,33 @@ def test_decontamination(frame, spark, shard):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), max_size=5), st.lists(st.sampled_from("abcd"), max_size=40))
 def test_automaton_equals_brute_force(items, doc):
     a = decontaminate.Automaton([(str(k), [w.encode() for w in x]) for k, x in enumerate(items)], 4)
-    got, at = set(), 0
-    while at < len(doc):  # stretches of known words, as the operator makes them
-        end = at
-        while end < len(doc) and doc[end].encode() in a.number:
-            end += 1
-        for x, y, found in a.stream([a.number[w.encode()] for w in doc[at:end]]):
-            got |= {(at + x, at + y, i) for i in found}
-        at = end + 1
+    monkey = decontaminate.LANE
+    got = []
+    try:
+        for decontaminate.LANE in (monkey, 5):  # long stretches are cut into lanes
+            ranges = decontaminate.textbuf.Ranges(303)
+            raw = np.frombuffer("".join(doc).encode(), np.uint8)
+            at = np.arange(len(doc))
+            code = a.code(ranges.over(raw).hash(at, at + 1)) if len(doc) else np.zeros(0, np.int64)
+            x, y, texts, found = a.occurrences(code, np.array([0, len(doc)]))
+            got.append((set().union(*(range(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True))), {a.names[i] for i in found}))
+            assert not texts.any()
+    finally:
+        decontaminate.LANE = monkey
     want = {(k, k + n, str(i)) for i, x in enumerate(items) if x for n in (min(len(x), 4),) for k in range(len(doc) - n + 1) for j in range(len(x) - n + 1) if doc[k : k + n] == x[j : j + n]}
-    assert got == want
+    assert got == [({p for x, y, _ in want for p in range(x, y)}, {i for _, _, i in want})] * 2
+
+
+def test_automaton_is_small():
+    """Repetitive and random items of 200,000 words: under 150 bytes a word, in seconds."""
+    rng = np.random.default_rng(4)
+    items = [(str(i), [b"w%d" % w for w in rng.zipf(1.3, 500) % 5000]) for i in range(390)] + [("rep", [b"ab"] * 5000)]
+    a = decontaminate.Automaton(items, 10)
+    assert a.bytes < 150 * 200_000
+    ids = {w: n for n, w in enumerate(dict.fromkeys(w for _, x in items for w in x))}
+    code = np.array([ids[w] for w in items[7][1]])
+    x, y, _, found = a.occurrences(code, np.array([0, 500]))
+    assert "7" in {a.names[i] for i in found} and set().union(*(range(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True))) == set(range(500))
 
 
 def test_removal(frame, spark):

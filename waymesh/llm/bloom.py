@@ -1,10 +1,10 @@
 """Two Bloom filters, for hashes seen once and hashes seen twice, built where the data lie.
 
-Each task adds its hashes to a pair of bit arrays of fixed size.  Pairs are merged by
+Each task adds its hashes to a pair of bit arrays, sized for the whole input.  Pairs are merged by
 ``twice |= other.twice | (once & other.once); once |= other.once``: an element that two tasks have seen
 once each has all of its bits in both ``once`` arrays, so it is in the merged ``twice``.  A false
 positive is possible, a false negative is not.  The bit arrays are cut into shards, which are packed,
-shuffled and merged in three levels, so that no task gets them all, and only ``twice`` (a fixed number of bytes) reaches the driver.
+shuffled and merged in three levels, so that no task gets them all, and only ``twice`` (at most 64 MB) reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bits of either filter: 8 MB, whatever the input. With more hashes it lets more through to the exact step.
-BITS = 1 << 26
+#: Bits of either filter: about eight for each expected hash, at least 128 kB and at most 64 MB (70 million
+#: hashes at eight bits; with four times as many, about a tenth of those seen once pass).
+PER_HASH, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 HASHES = 3
 SHARDS = 32
 #: Pairs merged at once: with a million tasks no merge gets more than a thousand shards.
@@ -28,6 +29,14 @@ WIDTH = 32
 _MERGE = "shard int, level int, once binary, twice binary"
 
 
+def bits_for(hashes: int) -> int:
+    """The size of a filter for so many distinct hashes."""
+    bits = LEAST_BITS
+    while bits < min(PER_HASH * hashes, MOST_BITS):
+        bits *= 2
+    return bits
+
+
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
     a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
     return [((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(HASHES)]
@@ -36,8 +45,8 @@ def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
 class Filter:
     """A Bloom filter over 64-bit hashes, its bits in bytes."""
 
-    def __init__(self, bits: int = BITS, data: bytes | None = None):
-        self.bits = bits
+    def __init__(self, bits: int = LEAST_BITS, data: bytes | None = None):
+        self.bits = bits if data is None else 8 * len(data)
         self.data = np.zeros(bits // 8, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
     def add(self, h: np.ndarray) -> None:
@@ -76,12 +85,12 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([first["shard"]], pa.int32()), "level": pa.array([first["level"]], pa.int32()), "once": pa.array([_pack(once)], pa.binary()), "twice": pa.array([_pack(twice)], pa.binary())})
 
 
-def seen_once(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> bytes:
+def seen_once(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> bytes:
     """The ``once`` filter's bytes: all that *hashes* yields from *df*'s batches."""
     return _seen(df, hashes, bits, "once")
 
 
-def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> bytes:
+def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> bytes:
     """The ``twice`` filter's bytes over what *hashes* yields from *df*'s batches.
 
     Each yielded array holds the hashes of some holders (documents, say), each hash once per holder; a

@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield id_hashes(batch)
 
-    few = spark.sparkContext.broadcast(bloom.seen_once(wanted.select("doc_id"), ids_of))
+    few = spark.sparkContext.broadcast(bloom.seen_once(wanted.select("doc_id"), ids_of, bloom.bits_for(wanted.count())))
 
     def maybe_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = bloom.Filter(data=few.value)

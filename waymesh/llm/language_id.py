@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lattice, shared, textbuf
 
@@ -23,6 +24,8 @@ PASSES, PRIOR = 2, 200.0
 #: Evidence counts as from so many words at most when it becomes a score.
 SCORE_WORDS = 12
 UNKNOWN = "und"
+#: More languages are an error: the model, which is broadcast, has about 200 kB for each.
+MOST_LANGUAGES = 512
 WORD = textbuf.byte_set((0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -42,16 +45,19 @@ class Model:
 def fit(docs: DataFrame, lang_col: str = "lang", train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
     """Fits the model to rows where *train* holds and text and language aren't null.
 
-    About *per_language* texts of each language are used, those with the smallest id hashes; each language
-    is fitted in a task of its own.  Without any such row the model has no language.
+    About *per_language* texts of each language are used, those with the smallest hashes of id and text; rows
+    alike in both count once.  Each language is fitted in a task of its own.  Without any such row the
+    model has no language.
     """
     pieces, prior = lattice.vocabulary(vocabulary)
-    rows = docs.where(F.lit(True) if train is None else train).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), F.pmod(F.xxhash64(docs[id_col]), F.lit(1 << 30)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(F.lit(True) if train is None else train).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(1 << 30)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Model([], np.zeros((len(pieces) + 256, 0)), pieces)
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)) + 1)))
-    sample = rows.where(F.col("h") < share[F.col("lang")])
+    sample = rows.where(F.col("h") < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def learn(table: pa.Table) -> pa.Table:
         lang = table.column("lang")[0].as_py()
@@ -82,12 +88,14 @@ def fit(docs: DataFrame, lang_col: str = "lang", train: Column | None = None, id
     return Model([lang for lang, _ in fitted], np.stack([p for _, p in fitted], 1) if fitted else np.zeros((len(pieces) + 256, 0)), pieces)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row of *docs*.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score`` for each row of *docs*; with *carry*, also its ``text`` as it is and those columns in a struct ``rest``.
 
     A text that is null or has no letter, or any text under a model without languages, is ``und`` with score
     0.  Ties go to the first language in sorting order.  Ids may be null or repeat; other columns aren't read.
     """
+    base = shared.keyed(docs, id_col, text_col, carry or (), nulls=True)
+    more = [f.name for f in base.schema.fields[1:]] if carry is not None else []
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +127,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 which.append(best)
                 score.append(value)
             which = np.concatenate(which) if which else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(names).take(pa.array(which.astype(np.int64))), pa.array(np.concatenate(score) if score else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(names).take(pa.array(which.astype(np.int64))), pa.array(np.concatenate(score) if score else [], pa.float64()), *(batch.column(batch.schema.get_field_index(c)) for c in more)], names=["doc_id", "lang_pred", "score", *more])
 
-    return shared.keyed(docs, id_col, text_col).mapInArrow(shared.frugal(predict), "doc_id long, lang_pred string, score double")
+    kind = T.StructType([*T.StructType.fromDDL("doc_id long, lang_pred string, score double").fields, *(base.schema[c] for c in more)])
+    return base.mapInArrow(shared.frugal(predict), kind)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

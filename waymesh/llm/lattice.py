@@ -14,10 +14,10 @@ import numpy as np
 from . import textbuf
 
 U64 = np.uint64
-#: Longer pieces (in bytes) of the vocabulary aren't used.
-LONGEST = 16
 #: Words up to so many bytes are handled together; longer ones alone, their sums rescaled on the way.
 SHORT = 48
+#: Fewer long words of one length are done alone, where sums are kept as logarithms.
+ALONE = 32
 #: Sums are kept multiplied by this to the power of the bytes covered.
 SCALE = 16.0
 #: Words whose sums are remembered at once.
@@ -42,7 +42,7 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.get_score(i) < -1e8:
             continue
         raw = model.id_to_piece(i).replace("▁", " ").encode()
-        if 0 < len(raw) <= LONGEST and b" " not in raw[1:] and raw == raw.lower():
+        if raw and b" " not in raw[1:] and raw == raw.lower():
             pieces.append(raw)
             ranks.append(-model.get_score(i))
     weight = 1 / (np.array(ranks) + 10)
@@ -59,7 +59,7 @@ class Lattice:
         self.longest = int(self.length.max())
         self.ranges = textbuf.Ranges(707)
         at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        self.key = self._hash(self.ranges.over(np.frombuffer(b"".join(pieces), np.uint8)), at[:-1], at[1:])
+        self.key = self.ranges.over(np.frombuffer(b"".join(pieces), np.uint8)).hash(at[:-1], at[1:])
         # two direct tables: what doesn't find its slot free in the first goes to the second
         self.slots = [np.full(1 << 20, -1, np.int32), np.full(1 << 20, -1, np.int32)]
         for n, h in enumerate(self.key.tolist()):
@@ -71,14 +71,9 @@ class Lattice:
             else:
                 raise ValueError("two pieces share both slots; another seed is needed")
 
-    @staticmethod
-    def _hash(sums: textbuf.Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = sums.raw(start, end) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15)
-        return (h ^ (h >> U64(29))) * U64(0xD6E8FEB86659FD93)
-
-    def _numbers(self, sums: textbuf.Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _numbers(self, sums: textbuf.Blocks, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Piece numbers of byte ranges; the number after the last piece where there is none."""
-        h = self._hash(sums, start, end)
+        h = sums.hash(start, end)
         out = np.full(len(h), self.size, np.int64)
         for table, slot in ((self.slots[0], h >> U64(44)), (self.slots[1], (h >> U64(20)) & U64(0xFFFFF))):
             n = table[slot.astype(np.int64)]
@@ -125,7 +120,52 @@ class Lattice:
             out[part] = np.log(alpha[n]) - n * np.log(SCALE)
         return out
 
-    def _long(self, data: np.ndarray, sums: textbuf.Sums, a: int, n: int, weights: np.ndarray) -> np.ndarray:
+    def log_forward(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the sums for words (with their spaces), by a recursion over logarithms; *log_p* has one for each piece."""
+        sums = self.ranges.over(data)
+        w = np.append(log_p, -np.inf)
+        out = np.zeros(len(start))
+        base = self.size - 256
+        for part, s, n in self._groups(data, start, end - start):
+            if n == 0:
+                continue
+            if n > SHORT and len(s) < ALONE:
+                for i, a in zip(part.tolist(), s.tolist(), strict=True):
+                    out[i] = self._log_long(data, sums, a, n, w)
+                continue
+            alpha = np.zeros((n + 1, len(s)))
+            for j in range(1, n + 1):
+                total = alpha[j - 1] + w[base + data[s + j - 1].astype(np.int64)]
+                for m in range(1, min(self.longest, j) + 1):
+                    piece = self._numbers(sums, s + (j - m), s + j)
+                    hit = np.flatnonzero(piece < self.size)
+                    if len(hit):
+                        total[hit] = np.logaddexp(total[hit], alpha[j - m][hit] + w[piece[hit]])
+                alpha[j] = total
+            out[part] = alpha[n]
+        return out
+
+    def _log_long(self, data: np.ndarray, sums: textbuf.Blocks, a: int, n: int, w: np.ndarray) -> float:
+        most = min(self.longest, n)
+        byte = w[self.size - 256 + data[a : a + n].astype(np.int64)]
+        window = np.full(most, -np.inf)  # sums at the last places, the latest first
+        window[0] = 0
+        for lo in range(0, n, 1 << 16):
+            ends = a + np.arange(lo + 1, min(n, lo + (1 << 16)) + 1)
+            arcs = np.full((len(ends), most + 1), -np.inf)
+            arcs[:, 0] = byte[lo : lo + len(ends)]
+            for m in range(1, most + 1):
+                on = ends - m >= a
+                arcs[on, m] = w[self._numbers(sums, ends[on] - m, ends[on])]
+            for row in arcs:
+                row[0] += window[0]
+                row[1:] += window
+                top = row.max()
+                window[1:] = window[:-1]
+                window[0] = top + np.log(np.exp(row - top).sum())
+        return float(window[0])
+
+    def _long(self, data: np.ndarray, sums: textbuf.Blocks, a: int, n: int, weights: np.ndarray) -> np.ndarray:
         w = self.longest
         ends = a + np.arange(1, n + 1)
         window = np.zeros((w, weights.shape[1]))  # sums at the last w places, the latest first
@@ -143,7 +183,7 @@ class Lattice:
             log += np.log(total)
         return log - n * np.log(SCALE)
 
-    def _long_uses(self, data: np.ndarray, sums: textbuf.Sums, a: int, n: int, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _long_uses(self, data: np.ndarray, sums: textbuf.Blocks, a: int, n: int, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Piece numbers of a long word's arcs by parts, and their expected uses; sums are rescaled on the way as in :meth:`_long`."""
         most = min(self.longest, n)
         ends = a + np.arange(1, n + 1)

@@ -4,10 +4,11 @@ A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A
 at least ``min_chars`` code points that at least ``min_docs`` documents hold is repeated: all lines of
 that key go, except in the document with the largest id holding it.
 
-1. Each task hashes the keys of its documents into a once-seen and a twice-seen Bloom filter.
-2. Keys in the merged twice-seen filter (fixed size, broadcast) are suspects; only their 128-bit hashes
-   and ids are shuffled, pre-aggregated, and counted exactly.
-3. Each document gets the hashes that it loses, by a join on its id, and is rebuilt.
+1. Each task hashes the keys of its documents into a once-seen and a twice-seen Bloom filter, sized for
+   the number of lines.
+2. Keys in the merged twice-seen filter (64 MB at most, broadcast) are suspects; only their 128-bit
+   digests (BLAKE2) and ids are shuffled, pre-aggregated, and counted exactly.
+3. Each document gets the digests that it loses, by a join on its id, and is rebuilt.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ _OUT = "doc_id long, text string, n_lines long, n_dropped long"
 
 
 class _Lines:
-    """Starts, ends (of what is kept), trimmed ranges and hashes of the lines of a run."""
+    """Starts and ends of the lines of a run (of what is kept), and of their keys in the lower-cased data."""
 
-    def __init__(self, run: textbuf.Run, first: textbuf.Ranges, second: textbuf.Ranges | None, min_chars: int):
+    def __init__(self, run: textbuf.Run, min_chars: int):
         data, at = run.data, run.at
-        n = len(data)
         breaks = np.flatnonzero(data == 0x0A)
         # a text of k breaks has k + 1 lines; the empty text has one
         self.start = np.sort(np.concatenate([at[:-1], breaks + 1]), kind="stable")
@@ -46,52 +46,62 @@ class _Lines:
         hi = np.searchsorted(solid, self.end)
         some = hi > lo
         padded = np.append(solid, 0)
-        s = np.where(some, padded[lo], self.start)
-        e = np.where(some, padded[hi - 1] + 1, self.start)
+        self.s = np.where(some, padded[lo], self.start)
+        self.e = np.where(some, padded[hi - 1] + 1, self.start)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.long = heads[e] - heads[s] >= min_chars
-        lower = textbuf.LOWER[data] if n else data
-        self.k1 = first.over(lower).hash(s, e)
-        self.k2 = second.over(lower).hash(s, e) if second else None
+        self.long = heads[self.e] - heads[self.s] >= min_chars
+        self.lower = textbuf.LOWER[data] if len(data) else data
 
+    def hashes(self, ranges: textbuf.Ranges, lines: np.ndarray) -> np.ndarray:
+        return ranges.over(self.lower).hash(self.s[lines], self.e[lines])
 
-def _per_holder(doc: np.ndarray, k: np.ndarray) -> np.ndarray:
+    def digests(self, lines: np.ndarray) -> list[bytes]:
+        from hashlib import blake2b
+
+        view = memoryview(self.lower)
+        return [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(self.s[lines].tolist(), self.e[lines].tolist(), strict=True)]
+
+
+def _per_holder(doc: np.ndarray, *key: np.ndarray) -> np.ndarray:
     """Each document's keys, once per document."""
-    order = np.lexsort((doc, k))
-    d, x = doc[order], k[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
+    order = np.lexsort((doc, *key))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (doc, *key)], axis=0)
     return order[new]
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = bloom.BITS) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Suspected lines ``(doc_id, k1, k2)``, one row per document and key, and the repeated keys ``(k1, k2, keeper)``.
 
     *docs* has ``doc_id`` and ``text`` without nulls in ``text``; rows with a null id hold nothing.  Rows that
     share an id count as one document.
     """
     held = docs.where(F.col("doc_id").isNotNull())
+    if bits is None:
+        breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+        bits = bloom.bits_for(held.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("n")).first()["n"])
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        one = textbuf.Ranges(101)
+        ranges = textbuf.Ranges(101)
         for run in textbuf.runs(textbuf.string_column(batch, "text")):
-            lines = _Lines(run, one, None, min_chars)
-            k, doc = lines.k1[lines.long], lines.doc[lines.long]
-            yield k[_per_holder(doc, k)]
+            lines = _Lines(run, min_chars)
+            pick = np.flatnonzero(lines.long)
+            k = lines.hashes(ranges, pick)
+            yield k[_per_holder(lines.doc[pick], k)]
 
     twice = held.sparkSession.sparkContext.broadcast(bloom.seen_twice(held.select("text"), hashes, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bloom.Filter(bits, twice.value)
-        one, two = textbuf.Ranges(101), textbuf.Ranges(202)
+        seen, ranges = bloom.Filter(data=twice.value), textbuf.Ranges(101)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for run in textbuf.runs(textbuf.string_column(batch, "text")):
-                lines = _Lines(run, one, two, min_chars)
+                lines = _Lines(run, min_chars)
                 pick = np.flatnonzero(lines.long)
-                pick = pick[seen.has(lines.k1[pick])]
-                pick = pick[_per_holder(lines.doc[pick], lines.k1[pick])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[run.first + lines.doc[pick]], pa.int64()), pa.array(textbuf.as_signed(lines.k1[pick])), pa.array(textbuf.as_signed(lines.k2[pick]))], names=["doc_id", "k1", "k2"])
+                pick = pick[seen.has(lines.hashes(ranges, pick))]
+                key = np.frombuffer(b"".join(lines.digests(pick)), np.int64).reshape(-1, 2)
+                one = _per_holder(lines.doc[pick], key[:, 0], key[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[run.first + lines.doc[pick[one]]], pa.int64()), pa.array(key[one, 0]), pa.array(key[one, 1])], names=["doc_id", "k1", "k2"])
 
     found = shared.stored(held.select("doc_id", "text").mapInArrow(shared.frugal(suspects), _SUSPECTS))
     # ids that occur in several rows count once; both steps combine before they shuffle
@@ -100,7 +110,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return found, shared.stored(repeated)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = bloom.BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text`` (rebuilt), ``n_lines`` (before) and ``n_dropped`` for each row of *docs*, and the columns *carry* in a struct ``rest``.
 
     A null or empty text is one empty line and stays empty.  A row with a null id holds no line for others
@@ -109,7 +119,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = shared.keyed(docs, id_col, text_col)
     found, repeated = repeated_lines(base, min_chars, min_docs, bits)
-    loses = found.join(repeated, ["k1", "k2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set("k1").alias("loses"))
+    loses = found.join(repeated, ["k1", "k2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("loses"))
     carried = shared.keyed(docs, id_col, text_col, carry)
     both = carried.join(loses, "doc_id", "left")
     kind = T.StructType([*T.StructType.fromDDL(_OUT).fields, *carried.schema.fields[2:]])
@@ -117,7 +127,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        one = textbuf.Ranges(101)
         for batch in batches:
             text, loses = textbuf.string_column(batch, "text"), batch.column(batch.schema.get_field_index("loses"))
             n_lines = pc.add(pc.count_substring(text, "\n"), 1).cast(pa.int64())
@@ -128,10 +137,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = text.take(pa.array(rows))
                 keys = loses.take(pa.array(rows))
                 for run in textbuf.runs(part):
-                    lines = _Lines(run, one, None, min_chars)
+                    lines = _Lines(run, min_chars)
                     for i in range(len(run)):
                         a, b = lines.first[i], lines.first[i + 1]
-                        gone = lines.long[a:b] & np.isin(textbuf.as_signed(lines.k1[a:b]), np.asarray(keys[run.first + i].as_py(), np.int64))
+                        pairs = keys[run.first + i].values
+                        raw = np.stack([pairs.field(c).to_numpy() for c in ("k1", "k2")], 1).tobytes()
+                        lost = {raw[k : k + 16] for k in range(0, len(raw), 16)}
+                        gone = lines.long[a:b].copy()
+                        long = np.flatnonzero(gone)
+                        gone[long] = [d in lost for d in lines.digests(a + long)]
                         where = rows[run.first + i]
                         dropped[where] = gone.sum()
                         new[where] = b"\n".join(run.data[s:e].tobytes() for s, e in zip(lines.start[a:b][~gone], lines.end[a:b][~gone], strict=True)).decode()

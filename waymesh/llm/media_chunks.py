@@ -111,13 +111,17 @@ def _read_columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)]
 
 
-def store(docs: DataFrame, bits: int = bloom.BITS) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The written media table and chunk store of ``doc_id, text`` (text not null).
 
     Media: ``doc_id, n_bytes, media_sha, header, digests, own`` (bytes of chunks, null where they are in
     the store).  Chunks: ``digest, bytes``, a digest once.
     """
 
+    if bits is None:
+        # chunks by their average size, and one for each text
+        bits = bloom.bits_for(docs.agg(F.coalesce(F.sum(F.octet_length("text") / F.lit(1 << BITS) + 1), F.lit(0)).cast("bigint").alias("n")).first()["n"])
+
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for run in textbuf.runs(textbuf.string_column(batch, "text")):
             data, at = payloads(run)
@@ -132,7 +136,7 @@ def store(docs: DataFrame, bits: int = bloom.BITS) -> tuple[DataFrame, DataFrame
     twice = docs.sparkSession.sparkContext.broadcast(bloom.seen_twice(docs.select("text"), hashes, bits))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bloom.Filter(bits, twice.value)
+        seen = bloom.Filter(data=twice.value)
         written: set[bytes] = set()
         names = [c.split()[0] for c in _STORE.split(", ")]
         for batch in batches:
@@ -202,7 +206,7 @@ def read_back(media: DataFrame, chunks: DataFrame) -> DataFrame:
     return complete.unionByName(counts.join(rebuilt, counts["media_sha"] == rebuilt["sha"]).select(out_names))
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = bloom.BITS) -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """Stores the payload of each row of *docs* and reads it back.
 
     A null or empty text is a payload of UNIT spaces.  Equal texts give equal values.  Ids may be null or

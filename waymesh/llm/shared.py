@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session, whose executors are the driver's own process, gets a private
+    folder; on a cluster it is an error, as no folder of one machine would do.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="waymesh-")
@@ -92,7 +99,32 @@ def fold(key: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(parts), F.lit(1).cast("bigint"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The id and the text (null: empty), under fixed names, so that other columns can't clash; columns *carry* in a struct ``rest``."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), nulls: bool = False) -> DataFrame:
+    """The id and the text (null: empty, unless *nulls* are kept), under fixed names, so that other columns can't clash; columns *carry* in a struct ``rest``."""
     rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *rest)
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), (docs[text_col] if nulls else F.coalesce(docs[text_col], F.lit(""))).alias("text"), *rest)
+
+
+def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, ...]:
+    """All columns that :func:`keyed` doesn't have by itself; the id is among them, as its type may differ."""
+    return tuple(c for c in docs.columns if c != text_col)
+
+
+def unpacked(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """*docs*' columns again, from rows that carry all of them."""
+    return found.select(*(F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
+def gathered(batches: Iterator, size: int) -> Iterator:
+    """Small Arrow batches joined to ones of about *size* bytes."""
+    import pyarrow as pa
+
+    some, held = [], 0
+    for batch in batches:
+        some.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, held = [], 0
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()

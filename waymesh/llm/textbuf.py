@@ -82,39 +82,53 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-class Ranges:
-    """64-bit hashes of byte ranges: a polynomial over random byte values, from running sums."""
+#: Of an 8-byte word, the bits of its first 0 to 8 bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+#: Longer ranges are hashed one by one.
+BLOCKED = 32
 
-    def __init__(self, seed: int):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.base = int(rng.integers(1, 2**62)) * 2 + 1
-        self.up = self.down = np.ones(1, U64)
 
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
-                x = np.full(n, base, U64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
+class Ranges:
+    """64-bit hashes of byte ranges: their 8-byte blocks, each mixed into the hash of those before it; long ranges by XXH3.
 
-    def over(self, data: np.ndarray) -> "Sums":
-        self.powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.value[data] * self.up[: len(data)], out=total[1:])
-        return Sums(total, self.down)
+    Up to 8 bytes the hash is a bijection for each length.  No step is linear in the bytes, so no pattern
+    of bytes collides by construction.
+    """
+
+    def __init__(self, seed: int):
+        self.seed = seed
 
+    def over(self, data: np.ndarray) -> "Blocks":
+        return Blocks(data, self.seed)
 
-class Sums:
-    def __init__(self, total: np.ndarray, down: np.ndarray):
-        self.total, self.down = total, down
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.total[end] - self.total[start]) * self.down[start]
+class Blocks:
+    def __init__(self, data: np.ndarray, seed: int):
+        self.data, self.seed = np.ascontiguousarray(data), seed
+        self.salt = U64(int(mixed(np.array([seed + 1], U64))[0]))
+        # the 8 bytes from each place on, zeros beyond the end
+        word = np.zeros(len(data) + BLOCKED + 8, U64)
+        word[: len(data)] = data
+        for k in (1, 2, 4):
+            word[:-k] |= word[k:] << U64(8 * k)
+        self.word = word
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed(self.raw(start, end) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+        n = end - start
+        h = mixed((self.word[start] & _FIRST[np.minimum(n, 8)]) ^ self.salt)
+        for k in range(8, BLOCKED, 8):
+            some = np.flatnonzero(n > k)
+            if not len(some):
+                break
+            h[some] = mixed(h[some] * U64(0x9E3779B97F4A7C15) + (self.word[start[some] + k] & _FIRST[np.minimum(n[some] - k, 8)]))
+        h = mixed(h ^ (n.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        long = np.flatnonzero(n > BLOCKED)
+        if len(long):
+            from xxhash import xxh3_64_intdigest
+
+            view, seed = memoryview(self.data), self.seed
+            h[long] = np.fromiter((xxh3_64_intdigest(view[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), U64, len(long))
+        return h
 
 
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
