@@ -1,4 +1,5 @@
 import collections
+import functools
 import itertools
 import math
 import zlib
@@ -102,11 +103,11 @@ def test_language_without_training(frame, spark):
     assert language_id.identify(frame([]), none).collect() == []
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 2000])
-def test_lm_counts_and_base(frame, block_bytes):
+@pytest.mark.parametrize("chunk_bytes", [1 << 24, 2000])
+def test_lm_counts_and_base(frame, chunk_bytes):
     rows = [*HOSTILE, *((i + 100, " ".join(f"w{(i * j) % 13} Common" for j in range(40))) for i in range(30))]
     train = shared.fold(F.col("doc_id"), 10) != 0
-    got = lm_scoring.score(frame(rows), train, block_bytes=block_bytes).collect()
+    got = lm_scoring.score(frame(rows), train, chunk_bytes=chunk_bytes).collect()
     assert len(got) == len(rows)
     counts, ends = collections.Counter(), 0
     split = [(i, (t or "").encode().lower().split()) for i, t in rows]
@@ -118,21 +119,62 @@ def test_lm_counts_and_base(frame, block_bytes):
     want = sorted((str(i), len(w) + 1, sum(counts[x] > 0 for x in w) + 1, round(sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in (*(counts[x] for x in w), ends)), 3)) for i, w in split)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 3)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) for r in got)
-    # what is counted grows with the training texts, and frequent words are likelier
-    by = {r.doc_id: r for r in got}
-    assert by[4].score < by[2].score
+
+
+def all_segmentations(raw, pieces, log_p):
+    """The logarithm of the sum over all segmentations of a word with its space, by plain recursion over its first piece."""
+    weight = {}
+    for piece, x in zip([*pieces, *(bytes([b]) for b in range(256))], log_p, strict=True):
+        weight.setdefault(piece, []).append(math.exp(x))
+
+    @functools.cache
+    def total(at):
+        if at == len(raw):
+            return 1.0
+        return sum(x * total(end) for end in range(at + 1, len(raw) + 1) for x in weight.get(raw[at:end], ()))
+
+    return math.log(total(0))
+
+
+def test_lm_query_equals_all_segmentations(spark, tmp_path):
+    """The registered query on a small table: every score is the document's sum over all segmentations."""
+    rows = [(i, " ".join(f"{a}{b}" for a in ("The", "cat", "naïve", "q") for b in ("", "s", str(i)))) for i in range(25)]
+    rows += [(100, "un" * 30), (101, ""), (102, None), (103, "  x\ty  x ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lm_scoring.op3_lattice_lm(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    words = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    tokens = sum(len(words[i]) for i in train) + len(train)
+    end = (len(train) + 0.5) / (tokens + 1)
+    pieces, log_p = lm_scoring.piece_scores()
+    assert np.exp(log_p).sum() == pytest.approx(1)
+    going_on = log_p + math.log1p(-end)
+    for i, r in got.items():
+        want = sum(all_segmentations(b" " + w, pieces, going_on) for w in words[i]) + math.log(end)
+        assert r.score == pytest.approx(want / math.log(10)), i
+        assert r.held_out == (i not in train) and r.n_tokens == len(words[i]) + 1
 
 
 def test_lm_is_a_distribution():
-    """Word probabilities of the model add up to no more than 1 over many words."""
-    counts = {b"ab": 3, b"ba": 1}
+    """Documents of any number of pieces add up to 1: those of up to twelve pieces nearly so."""
+    end, p = 0.3, PROBABILITY / PROBABILITY.sum()
+    assert sum(end * ((1 - end) * p.sum()) ** k for k in range(40)) == pytest.approx(1, abs=1e-5)
     grid = lattice.Lattice(PIECES)
-    p = PROBABILITY / PROBABILITY.sum()
-    words = [bytes(w) for n in range(1, 6) for w in itertools.product(b"ab", repeat=n)]
-    like = np.exp(grid.forward(*laid(words), grid.scaled(p))[:, 0])
-    add, total = len(counts) + 1, sum(counts.values())
-    mixed = [(counts.get(w, 0) + add * x) / (total + add) for w, x in zip(words, like, strict=True)]
-    assert 0.5 < sum(mixed) <= 1
+    words = [b"a", b"ab", b"bab", b"abab", b"zz", b"ababbabab", "é".encode()]
+    logs = grid.log_forward(*laid(words), np.log(PROBABILITY))
+    assert logs == pytest.approx([by_hand(w) for w in words])
+
+
+def test_log_forward_of_long_words(monkeypatch):
+    grid, log_p = lattice.Lattice(PIECES), np.log(PROBABILITY)
+    words = [b"a", b"ab", b"bab", b"abab", b"zz", b"ababbabab", "é".encode()]
+    monkeypatch.setattr(lattice, "SHORT", 1)  # each word alone
+    assert grid.log_forward(*laid(words), log_p) == pytest.approx([by_hand(w) for w in words])
+    long = grid.log_forward(*laid([b"ab" * 40_000]), log_p)
+    assert long == pytest.approx(grid.forward(*laid([b"ab" * 40_000]), grid.scaled(PROBABILITY))[:, 0])
+    monkeypatch.setattr(lattice, "ALONE", 0)  # many long words of a length together
+    assert grid.log_forward(*laid([b"ab" * 50] * 3), log_p) == pytest.approx(grid.forward(*laid([b"ab" * 50] * 3), grid.scaled(PROBABILITY))[:, 0])
 
 
 def test_lm_empty(frame):
