@@ -101,7 +101,8 @@ def sum_of_squares(lengths: list[int], size: int) -> tuple[list[int], list[int],
 def pack(pieces: DataFrame, size: int = SIZE, block: int = BLOCK, slack: int = SLACK, rounds: int = ROUNDS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of 1 to *size* tokens; every piece is packed once.
 
-    Nulls in ``doc_id`` and repeated rows don't matter: a row is a piece.  No rows in, no rows out.
+    Nulls in ``doc_id`` and repeated rows don't matter: a row is a piece, and rows are dealt to blocks by
+    their place in *pieces*, which is to be a stored table.  No rows in, no rows out.
     """
     full = pieces.where(F.col("length") >= size).withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("bigint")})
     left = pieces.where(F.col("length") < size)
@@ -117,10 +118,11 @@ def pack(pieces: DataFrame, size: int = SIZE, block: int = BLOCK, slack: int = S
             table = table.select(names).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
             where, offset, fill = sum_of_squares(table.column("length").to_pylist(), size)
             done = np.array([last or size - f <= slack for f in fill], bool)[where]
-            ids = ((b * (ROUNDS + 1) + r) * (8 * block) + np.array(where, np.int64)) * 2 + 1
+            # odd, and apart for all bins, blocks and rounds
+            ids = ((b << 24 | np.array(where, np.int64)) * rounds + r) * 2 + 1
             return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64())).append_column("done", pa.array(done))
 
-        dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(r)), F.lit(blocks)))
+        dealt = left.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(r)), F.lit(blocks)))
         packed = shared.stored(dealt.groupBy("block").applyInArrow(one, _PACKED))
         out = out.unionByName(packed.where("done").drop("done"))
         if last:
