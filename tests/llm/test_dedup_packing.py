@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waymesh.llm import bloom, components, decontaminate, jaccard_join, line_dedup, packing, textbuf, word_bpe
+from waymesh.llm import bloom, components, decontaminate, jaccard_join, line_dedup, packing, shared, textbuf, word_bpe
 
 from .conftest import HOSTILE
 
@@ -122,18 +122,78 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("few,block", [(8, 256), (2, 8)])
-def test_near_equals_brute_force(frame, monkeypatch, few, block):
+@pytest.mark.parametrize("few,block,closest", [(8, 1024, 8), (2, 8, 1)])
+def test_near_equals_brute_force(frame, monkeypatch, few, block, closest):
     monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "CLOSEST", closest)
     monkeypatch.setattr(jaccard_join, "HOT", 3)
+    monkeypatch.setattr(components, "ALONE", 1 << 21 if few == 8 else 0)
     rows = near_rows()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(rows, 3)).collect()}
+    found = jaccard_join.near_duplicates(frame(rows, 3), carry=("row", "key")).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
     want = brute_components(rows)
-    assert got == want
+    assert got == want and all((r.rest.row, r.rest.key) == (3, 4) for r in found)
     assert len({c for _, c in want.values()}) < len(rows) - 60
 
 
+def test_near_query_equals_all_pairs(spark):
+    """The registered query over the whole table of the second smallest size."""
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for s in holders.values():
+        for n, a in enumerate(s):
+            for b in s[:n]:
+                common[min(a, b), max(a, b)] = common.get((min(a, b), max(a, b)), 0) + 1
+    edges = [pair for pair, n in common.items() if 100 * n >= 80 * (len(sets[pair[0]]) + len(sets[pair[1]]) - n)]
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op9_jaccard_join(spark, folder).collect()}
+    assert edges and got == {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_unrelated_sets_share_no_key():
+    rng = np.random.Generator(np.random.PCG64(8))
+    hot = np.zeros(1 << 22, np.int32)
+    for size in (1, 7, 56, 57, 58, 100, 116, 117, 118, 127, 128, 129, 150, 159, 160, 255, 256, 300, 1000):
+        sets = [np.sort(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)) for _ in range(400)]
+        _, keys = jaccard_join.sketch_keys(np.concatenate(sets), np.arange(401) * size, hot)
+        assert len(np.unique(keys)) == len(keys)
+
+
+def test_forest_spans_what_is_near():
+    rng = np.random.default_rng(5)
+    d = rng.random((60, 60)).astype(np.float32)
+    d = np.minimum(d, d.T)
+    d[d > 0.03] = np.inf
+    links = jaccard_join.forest(d)
+    edges = [(i, j) for i, j in zip(*np.nonzero(np.isfinite(d)), strict=True) if i != j]
+
+    def groups(links):
+        label = list(range(60))
+        for _ in range(60):
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    assert groups(links) == groups(edges) and len(links) == 60 - len(set(groups(edges)))
+    assert jaccard_join.forest(np.zeros((0, 0), np.float32)) == []
+
+
 def test_near_hostile(frame):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(frame(HOSTILE)).collect())
     want = sorted((str(i), len(shingles(t)), "None" if i is None else "5" if i == 8 else str(i)) for i, t in HOSTILE)
@@ -167,7 +227,8 @@ def test_sketch_bounds():
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(500, 500), (7, None), (200, 300), (200, 300)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got, also = ({r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), alone=alone).collect()} for alone in (0, 10**6))
+    assert got == also
     parent = {}
 
     def root(x):
@@ -180,7 +241,10 @@ def test_components(spark):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     assert got == {x: root(x) for x in parent}
-    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    for alone in (0, 10):
+        assert components.components(spark.createDataFrame([], "a long, b long"), alone=alone).collect() == []
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame(edges, "a long, b long"), rounds=1, alone=0)
 
 
 ITEMS = [(1, "One two three four five six seven eight nine ten ELEVEN."), (2, "short item"), (2, None), (None, "no id but text"), (3, "five six seven eight nine ten eleven twelve thirteen fourteen"), (4, "one two one two one two one two one two one two"), (10, "Größe zählt"), (5, ""), (6, "word")]
@@ -329,6 +393,14 @@ def test_rounds_lose_nothing(spark):
     assert max(fill.values()) <= 100 and len(fill) <= 1.03 * sum(r[3] for r in rows) / 100 + 1
 
 
+def test_rows_alike_are_dealt_apart(spark):
+    """Rows that share everything fill many blocks, and no sequence number is given twice."""
+    n = 6000
+    rows = spark.range(n).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "CAST(0 AS BIGINT) AS start", "CAST(60 AS BIGINT) AS length", "CAST(7 AS BIGINT) AS ids_crc32")
+    got = packing.pack(shared.stored(rows), size=100, block=64).collect()
+    assert len(got) == n and len({r.sequence_id for r in got}) == n and {r.offset for r in got} == {0}
+
+
 def test_sum_of_squares_rule():
     """Each step has the least sum of squares of all places, new bins included."""
     rng = random.Random(5)

@@ -1,26 +1,31 @@
 """N-gram Jaccard join by parity sketches: near-duplicate classes, exact and without all pairs of a group.
 
-A text's set holds its distinct shingles.  A set of a size band is cut, by hash, into 2^j segments; a
-segment's sketch is the XOR of its shingles' hashes.  The number of segments that differ between two
-sets (a Hamming distance over sketch words) is at most the size of their symmetric difference, which for
-a Jaccard similarity of 0.8 is at most a quarter of either set.  So, with the segments of a set in any
-order that all sets share, the first ``size / 4 + 1`` non-empty ones of two similar sets have one in
-common (pigeonhole).  Only these are joined, rarest first, so that common passages seldom meet.
-
-Sets with a key in common are candidate pairs, unless the Hamming distance of their parity sketches, a
-lower bound of the symmetric difference, rules them out; a key that more than FEW sets have makes a
-star instead of pairs.  What hangs together is a candidate group; its members are verified on their
-whole sets, in blocks of bounded size, and each block gives no more links than it has members.
+A text's set holds its distinct shingles.  A set of a size band is cut, by hash, into 2^j segments (a small
+one into its single shingles); a segment's sketch is the XOR of its shingles' hashes.  The number of
+segments that differ between two sets (a Hamming distance over sketch words) is at most the size of their
+symmetric difference, which for a Jaccard similarity of 0.8 is at most a ninth of both sizes.  So, with the
+segments of a set in any order that all sets share, the first non-empty ones, one more than that bound, of
+two similar sets have one in common (pigeonhole).  Only these are joined, rarest first, so that common
+passages seldom meet.
+
+Sets with a key in common are candidates; the Hamming distance of their bit sketches, a lower bound of the
+symmetric difference, rules most of them out.  Keys of few sets give their pairs.  The sets of keys with
+many meet in blocks around the smallest set of each key; a block gives a spanning forest of the pairs
+that its sketches leave, closest first.  Pairs are verified on whole sets.  As only what hangs together
+matters, groups whose forest holds are done; in the others each set offers its closest candidates outside
+its own component, eight times as many in each round, until none is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom, components, shared, textbuf
 
@@ -34,11 +39,15 @@ HOT_BUCKETS = 1 << 22
 CHUNK, HOT = 1 << 20, 6
 #: Keys combined at a time.
 KEYS = 1 << 18
-#: Of a key's sets, all pairs are taken up to so many; more meet in their smallest one.
+#: Of a key's sets, all pairs are candidates up to so many rows.
 FEW = 8
-#: A block's most members and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
-_LEAST = 4  # the smallest band has 2^4 segments
+#: A block's most sets, and about as many bytes of bit sketches.
+BLOCK_SETS, BLOCK_BYTES = 1024, 2 << 20
+#: Candidates that a set offers in the first round.
+CLOSEST = 8
+#: Smaller sets show single shingles; larger ones are cut into segments of one to two shingles on average.
+SMALL = 128
+_LEAST = 4  # the smallest bit sketch has 2^6 bits
 
 _TEXTS = textbuf.byte_set((0, 255)) & ~textbuf.SPACE
 _STEP = [U64(x) for x in np.random.Generator(np.random.PCG64(505)).integers(1, 2**63, WORDS + 1, dtype=np.uint64) * U64(2) + U64(1)]
@@ -82,18 +91,24 @@ def set_hashes(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def band(n: np.ndarray) -> np.ndarray:
-    """j of sets of n shingles: 2^j segments for 1.5 * 2^j to 3 * 2^j shingles, and for fewer in the smallest band."""
-    return np.maximum(np.floor(np.log2(np.maximum(n, 1) / 1.5)).astype(np.int64), _LEAST)
+    """0 for sets of fewer than SMALL shingles, and j for 64 * 2^j up to 128 * 2^j of them."""
+    return np.maximum(np.frexp(np.maximum(n, 1).astype(float))[1] - 7, 0).astype(np.int64)
+
+
+def most_different(n: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The largest symmetric difference of a set of *n* shingles and a similar one of band *j*."""
+    return (n + np.minimum(5 * n // 4, (np.int64(SMALL) << j) - 1)) // 9
 
 
 def bit_sketches(sets: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Of each set, the parity of its shingles in each of 4 * 2^band bits, as 64-bit words.
+    """Of each set, the parity of its shingles in each of 1.3 to 2.7 times as many bits (64 at least), as 64-bit words.
 
     Half as many bits are the XOR of the sketch's halves.  The Hamming distance of two sketches is at most
     the size of the symmetric difference.
     """
     n = np.diff(at)
-    words = np.where(n > 0, np.int64(1) << np.maximum(band(n) - 4, 0), 0)
+    size = np.maximum(np.floor(np.log2(np.maximum(n, 1) / 1.5)).astype(np.int64), _LEAST)
+    words = np.where(n > 0, np.int64(1) << (size - _LEAST), 0)
     begin = np.concatenate([[0], np.cumsum(words)])
     place = textbuf.mixed(sets ^ U64(0x082EFA98EC4E6C89)) & np.repeat((words * 64 - 1).astype(U64), n)
     where = (place >> U64(6)).astype(np.int64) + np.repeat(begin[:-1], n)
@@ -108,7 +123,7 @@ def bit_sketches(sets: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def hamming(a: str, b: str) -> Column:
-    """The Hamming distance of two sketches whose bands are at most one apart, at the smaller one's length."""
+    """The Hamming distance of two sketches whose lengths are at most one doubling apart, at the shorter one's."""
 
     def halved(x: str) -> Column:
         half = (F.size(x) / 2).cast("int")
@@ -126,18 +141,19 @@ def sketch_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.n
     """
     n = np.diff(at)
     own = band(n)
-    # the largest size of the band below, and whether a set of that size reaches 80 % of this one
-    low = (n > 0) & (own > _LEAST) & ((3 << np.maximum(own - 1, 0)) - 1 >= -(-4 * n // 5))
+    # whether the largest set of the band below reaches 80 % of this one
+    low = (n > 0) & (own > 0) & ((np.int64(SMALL) << np.maximum(own - 1, 0)) - 1 >= -(-4 * n // 5))
     which, keys = [], []
     for role, picked in ((own, n > 0), (own - 1, low)):
         docs = np.flatnonzero(picked)
         if not len(docs):
             continue
         size, j = n[docs], role[docs].astype(U64)
+        most = most_different(size, role[docs])
         index = np.repeat(at[docs] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         s = sets[index]
         doc = np.repeat(np.arange(len(docs)), size)
-        segment = s >> (U64(64) - j)[doc]
+        segment = s >> np.where(j > 0, U64(58) - j, U64(0))[doc]
         new = np.ones(len(s), bool)
         new[1:] = (segment[1:] != segment[:-1]) | (doc[1:] != doc[:-1])
         begin = np.flatnonzero(new)
@@ -148,11 +164,11 @@ def sketch_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.n
         order = np.lexsort((key, rank, owner))
         owner, key = owner[order], key[order]
         place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(docs)))[owner]
-        shown = place <= size[owner] // 4
+        shown = place <= most[owner]
         which.append(docs[owner[shown]])
         keys.append(key[shown])
-        # too few segments have shingles: similar sets may then agree in empty segments only
-        short = np.flatnonzero(np.bincount(owner, minlength=len(docs)) <= size // 4)
+        # too few segments have shingles, which is next to impossible: two such sets may agree in empty ones only
+        short = np.flatnonzero(np.bincount(owner, minlength=len(docs)) <= most)
         which.append(docs[short])
         keys.append(textbuf.mixed(j[short] * _STEP[2]))
     if not which:
@@ -160,77 +176,83 @@ def sketch_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.n
     return np.concatenate(which), np.concatenate(keys)
 
 
-def verified(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that connect whatever is similar: no more than sets; with *side*, only between the sides."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
-    value, back, times = np.unique(flat, return_inverse=True, return_counts=True)
-    often = times > 1
-    column = (np.cumsum(often) - 1)[back]
-    on = often[back]
-    owner, column = owner[on], column[on]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((m, m), np.float32)
-    width = max(256, (1 << 21) // m)
-    for lo in range(0, int(often.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        x = np.zeros((m, width), np.float32)
-        x[owner[a:b], column[a:b] - lo] = 1
-        common += x @ x.T
-    both = common.astype(np.int64)
-    alike = 100 * both >= PERCENT * (size[:, None] + size - both)
-    alike &= np.arange(m)[:, None] < np.arange(m)
-    if side is not None:
-        alike &= side[:, None] != side
-    parent = list(range(m))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
-        a, b = root(i), root(j)
-        if a != b:
-            parent[b] = a
-            links.append((i, j))
+def distances(n: np.ndarray, bits: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Of each pair, its sketches' Hamming distance as a part of both sizes; infinite for pairs that can't be similar or aren't across *side*."""
+    m = len(n)
+    out = np.full((m, m), np.inf, np.float32)
+    words = np.array([len(x) for x in bits])
+    members = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+    sketch = {w: np.stack([bits[i] for i in at]) for w, at in members.items()}
+    for w, at in members.items():
+        for rows, x in ((at, sketch[w]), *(((members[2 * w], sketch[2 * w][:, :w] ^ sketch[2 * w][:, w:]),) if 2 * w in members else ())):
+            step = max(1, (1 << 21) // (len(at) * w))
+            for lo in range(0, len(rows), step):
+                r = rows[lo : lo + step]
+                h = np.bitwise_count(x[lo : lo + step, None] ^ sketch[w]).sum(2, dtype=np.int64)
+                both = n[r][:, None] + n[at]
+                near = (9 * h <= both) & (5 * np.minimum(n[r][:, None], n[at]) >= 4 * np.maximum(n[r][:, None], n[at])) & (side[r][:, None] != side[at])
+                d = np.where(near, h / both, np.inf)
+                out[np.ix_(r, at)] = d
+                out[np.ix_(at, r)] = d.T
+    return out
+
+
+def forest(d: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the finite distances, the closest pairs first: each component takes its closest edge to another, until none is left."""
+    m = len(d)
+    label = np.arange(m)
+    links: list[tuple[int, int]] = []
+    d = d.copy()
+    while m:
+        d[label[:, None] == label] = np.inf
+        to = d.argmin(1)
+        best = d[np.arange(m), to]
+        order = np.lexsort((best, label))
+        first = order[np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))]
+        merged = False
+        for i in first[np.isfinite(best[first])].tolist():
+            a, b = label[i], label[to[i]]
+            if a != b:
+                links.append((i, int(to[i])))
+                label[label == max(a, b)] = min(a, b)
+                merged = True
+        if not merged:
+            break
     return links
 
 
-def id_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    """Hashes of the ids (without nulls) of a batch."""
-    ids = batch.column(batch.schema.get_field_index("doc_id"))
-    return textbuf.mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+def same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are similar."""
+    both = int(np.isin(a, b, assume_unique=True).sum()) if len(a) < len(b) else int(np.isin(b, a, assume_unique=True).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of *docs*.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of *docs*, and the (small) columns *carry* in a struct ``rest``.
 
     Texts are lower-cased (A-Z) and split at ``[\\x20\\x09-\\x0D]``; a text of fewer than five words is one
     shingle.  A null or blank text has the empty set and is its own component.  A row with a null id has a
     null component and links nothing.  Ids are expected to be distinct: rows that share one are compared as
     separate documents.  Other columns aren't read.  No rows in, no rows out.
     """
-    base = shared.keyed(docs, id_col, text_col)
+    base = shared.keyed(docs, id_col, text_col, carry)
+    rest = [T.StructField("rest", base.schema["rest"].dataType, True)] if carry else []
     spark = base.sparkSession
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = textbuf.Ranges(606)
-        names = ["kind", "doc_id", "n", "h1", "h2", "bits"]
-        count, seen = np.zeros(HOT_BUCKETS, np.int32), 0
+        names = ["kind", "doc_id", "n", "h1", "h2", "bits", *(f.name for f in rest)]
+        count, seen, more = np.zeros(HOT_BUCKETS, np.int32), 0, None
 
         def frequent() -> pa.RecordBatch:
             found = np.flatnonzero(count >= HOT)
             zero = pa.array(np.zeros(len(found), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(count[found].astype(np.int64)), zero, zero, pa.nulls(len(found), pa.list_(pa.int64()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(count[found].astype(np.int64)), zero, zero, pa.nulls(len(found), pa.list_(pa.int64())), *(pa.nulls(len(found), t) for t in more)], names=names)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
+            carried = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
+            more = [c.type for c in carried]
             for run in textbuf.runs(textbuf.string_column(batch, "text")):
                 sets, at = shingle_sets(run, ranges)
                 h1, h2 = set_hashes(sets, at)
@@ -240,10 +262,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield frequent()
                     count[:] = 0
                     seen = 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(run), np.int32)), ids.slice(run.first, len(run)), pa.array(np.diff(at)), pa.array(textbuf.as_signed(h1)), pa.array(textbuf.as_signed(h2)), bit_sketches(sets, at)], names=names)
-        yield frequent()
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(run), np.int32)), ids.slice(run.first, len(run)), pa.array(np.diff(at)), pa.array(textbuf.as_signed(h1)), pa.array(textbuf.as_signed(h2)), bit_sketches(sets, at), *(c.slice(run.first, len(run)) for c in carried)], names=names)
+        if more is not None:
+            yield frequent()
 
-    first = shared.stored(base.mapInArrow(shared.frugal(first_pass), "kind int, doc_id long, n long, h1 long, h2 long, bits array<long>"))
+    kind = T.StructType([*T.StructType.fromDDL("kind int, doc_id long, n long, h1 long, h2 long, bits array<long>").fields, *rest])
+    first = shared.stored(base.mapInArrow(shared.frugal(first_pass), kind))
     hot = np.zeros(HOT_BUCKETS, np.int32)
     frequent = first.where("kind = 1").groupBy("doc_id").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
     for batch in frequent.toPandas().itertuples(index=False):  # at most HOT_BUCKETS rows
@@ -251,130 +275,194 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = spark.sparkContext.broadcast(hot)
 
     rows = first.where("kind = 0").drop("kind")
-    # exact copies of a set: one class, named by its smallest id
+    # exact copies of a set: one class, known by its hash and named by its smallest id
     classes = shared.stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
 
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, table = textbuf.Ranges(606), sent.value
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-
-        def combined() -> pa.RecordBatch:
-            """The chunk's keys and sets; a key with more than FEW sets has its smallest set alone, twice, and the others as links to it."""
-            k, c = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((c, k))
-            k, c = k[order], c[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[new], c[new]
-            head = np.ones(len(k), bool)
-            head[1:] = k[1:] != k[:-1]
-            group = np.cumsum(head) - 1
-            begin = np.flatnonzero(head)
-            many = (np.diff(np.append(begin, len(k))) > FEW)[group]
-            least = c[begin][group]
-            link = many & ~head
-            k = np.where(link, textbuf.mixed(c ^ textbuf.mixed(least)), k)
-            weight = np.where(many & head, FEW + 1, 1).astype(np.int32)
-            return pa.RecordBatch.from_arrays([*(pa.array(textbuf.as_signed(x)) for x in (k, c, np.where(link, least, c))), pa.array(weight)], names=["key", "cid", "to", "weight"])
-
-        held = 0
-        for batch in batches:
-            for run in textbuf.runs(textbuf.string_column(batch, "text")):
-                sets, at = shingle_sets(run, ranges)
-                # signed order, as in Spark
-                h1 = set_hashes(sets, at)[0]
-                which, key = sketch_keys(sets, at, table)
-                keys.append(key)
-                owners.append(h1[which])
-                held += len(key)
-                if held >= KEYS:
-                    yield combined()
-                    keys, owners, held = [], [], 0
-        if held:
-            yield combined()
-
-    shown = base.where("doc_id IS NOT NULL").select("text").mapInArrow(shared.frugal(second_pass), "key long, cid long, to long, weight int")
-    # a key has FEW rows for each chunk at most
-    of_key = Window.partitionBy("key")
-    met = shown.select("key", "cid", "to", F.sum("weight").over(of_key).alias("sets"), F.min("cid").over(of_key).alias("least")).where("sets > 1 OR cid <> to")
-    hubs = F.when(F.col("cid") != F.col("to"), F.col("to")).otherwise(F.col("least"))
-    few = met.where(f"sets <= {FEW} AND cid = to").groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("c"))
+    def shown(only: Broadcast | None = None) -> DataFrame:
+        """``key, cid`` of all sets, or of those keys that a Bloom filter has; made from the texts each time, as most keys are needed once."""
+
+        def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ranges, table = textbuf.Ranges(606), sent.value
+            found = bloom.Filter(data=only.value) if only else None
+            keys: list[np.ndarray] = []
+            owners: list[np.ndarray] = []
+
+            def combined() -> pa.RecordBatch:
+                """The chunk's keys and sets, each pair once."""
+                k, c = np.concatenate(keys), np.concatenate(owners)
+                order = np.lexsort((k, c))
+                k, c = k[order], c[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+                return pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(x[new])) for x in (k, c)], names=["key", "cid"])
+
+            held = 0
+            for batch in batches:
+                for run in textbuf.runs(textbuf.string_column(batch, "text")):
+                    sets, at = shingle_sets(run, ranges)
+                    h1 = set_hashes(sets, at)[0]
+                    which, key = sketch_keys(sets, at, table)
+                    if found:
+                        on = found.has(textbuf.mixed(key))
+                        which, key = which[on], key[on]
+                    keys.append(key)
+                    owners.append(h1[which])
+                    held += len(key)
+                    if held >= KEYS:
+                        yield combined()
+                        keys, owners, held = [], [], 0
+            if held:
+                yield combined()
+
+        return base.where("doc_id IS NOT NULL").select("text").mapInArrow(shared.frugal(second_pass), "key long, cid long")
+
+    def hashes_of(name: str) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+        def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            yield _hashed(batch, name)
+
+        return of
+
+    def filter_of(df: DataFrame, name: str) -> Broadcast:
+        return spark.sparkContext.broadcast(bloom.seen_once(df.select(name), hashes_of(name), bloom.bits_for(df.count())))
+
+    # keys of several sets: counted with map-side sums; their sets are found by a filter before any shuffle
+    several = shared.stored(shown().groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count("*").alias("n")).where("hub < last").drop("last"))
+    met = shared.stored(shown(filter_of(several, "key")).join(several, "key"))
+    shared.dropped(several)
+    few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("cid")).alias("c"))
     each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    of_few = few.select(F.explode(each).alias("p")).select("p.a", "p.b", F.lit(False).alias("hub"))
-    of_many = met.where(f"sets > {FEW} OR cid <> to").select(F.col("cid").alias("a"), hubs.alias("b"), F.lit(True).alias("hub")).where("a <> b")
-    pairs = shared.stored(of_few.unionByName(of_many).groupBy("a", "b").agg(F.max("hub").alias("hub")))
+    pairs = shared.stored(few.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct())
+    around = shared.stored(met.where(F.col("n") > FEW).select("hub", "cid").distinct())
 
-    # pairs that the sketches rule out go; links to the smallest set of a large group stay, as they stand for all of its pairs
-    ids = pairs.where("NOT hub").select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(around.select("cid")).distinct()
     info = classes.join(ids, classes["h1"] == ids["cid"]).select("cid", "rep")
-    info = shared.stored(info.join(rows.where("n > 0"), info["rep"] == rows["doc_id"]).where(F.col("h1") == F.col("cid")).select("cid", "n", "bits"))
-    left, right = (info.select(*(F.col(c).alias(f"{c}_{x}") for c in info.columns)) for x in "ab")
-    sized = pairs.where("NOT hub").join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b")).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    own = rows.where("n > 0").select("doc_id", "h1", "n", "bits")
+    info = shared.stored(info.join(own, (info["rep"] == own["doc_id"]) & (info["cid"] == own["h1"])).select("cid", "rep", "n", "bits").dropDuplicates(["cid"]))
+
+    # pairs that the sketches rule out go
+    left, right = (info.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "bits"))) for x in "ab")
+    # sizes first, as the bits are most of a row
+    size = info.select("cid", "n")
+    sizes = [size.select(F.col("cid").alias(f"of_{x}"), F.col("n").alias(f"size_{x}")) for x in "ab"]
+    fit = pairs.join(sizes[0], F.col("a") == F.col("of_a")).join(sizes[1], F.col("b") == F.col("of_b")).where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)").select("a", "b")
+    sized = fit.join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b"))
     alike = sized.where(hamming("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
-    groups = shared.stored(components.components(alike.unionByName(pairs.where("hub").select("a", "b"))))
+    blocks = _in_blocks(around.join(info.withColumn("comp", F.col("cid")), "cid"), "hub")
+    edges = shared.stored(alike.unionByName(blocks.applyInArrow(_forests, "a long, b long")).distinct())
+    groups = shared.stored(components.components(edges).withColumnsRenamed({"node": "cid", "component": "group"}))
+    member = shared.stored(info.join(groups, "cid"))
+    shared.dropped(met, pairs, around, groups)
 
-    # what is to be verified, and into how many blocks each group is dealt
-    member = classes.join(groups, classes["h1"] == groups["node"]).select("rep", "h1", "h2", "n", "component")
-    member = shared.stored(member)
-    blocks = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = shared.stored(member.join(blocks, "component").select(F.col("rep").alias("doc_id"), "h1", "h2", "component", "blocks"))
-
-    def units_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["component", "i", "j", "rep", "mine", "shingles"])
+    # whole sets of the groups' members; other texts stay where they are
+    wanted = member.select(F.col("rep").alias("doc_id"), "cid")
 
     def third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = textbuf.Ranges(606)
+        ranges, given = textbuf.Ranges(606), set()
         for batch in batches:
-            col = {name: batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("doc_id", "h1", "h2", "component", "blocks")}
+            cid = batch.column(batch.schema.get_field_index("cid")).to_pylist()
             for run in textbuf.runs(textbuf.string_column(batch, "text")):
                 sets, at = shingle_sets(run, ranges)
-                h1, h2 = (textbuf.as_signed(h) for h in set_hashes(sets, at))
-                out: list[tuple] = []
-                size = 0
-                for d in range(len(run)):
-                    if size > 8 * textbuf.RUN_BYTES:
-                        yield units_of(out)
-                        out, size = [], 0
-                    r = run.first + d
-                    if h1[d] != col["h1"][r] or h2[d] != col["h2"][r]:
-                        continue  # another row with the id of a class
-                    rep, n, raw = col["doc_id"][r], col["blocks"][r], sets[at[d] : at[d + 1]].tobytes()
-                    mine = int(textbuf.mixed(np.array([rep], np.int64).view(U64))[0]) % n
-                    out += [(col["component"][r], min(mine, k), max(mine, k), rep, mine, raw) for k in range(n)]
-                    size += n * len(raw)
-                yield units_of(out)
-
-    def verify(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_pylist()
-        mine = np.array(table.column("mine").to_pylist())
-        a = b = []
-        if len(rep) > 1:
-            sets = [np.frombuffer(x.as_py(), U64) for x in table.column("shingles")]
-            links = verified(sets, mine if table.column("i")[0].as_py() != table.column("j")[0].as_py() else None)
-            a, b = [rep[i] for i, _ in links], [rep[j] for _, j in links]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    # texts that are surely not wanted stay where they are; the rest is joined by id
-    def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield id_hashes(batch)
-
-    few = spark.sparkContext.broadcast(bloom.seen_once(wanted.select("doc_id"), ids_of, bloom.bits_for(wanted.count())))
+                h1 = textbuf.as_signed(set_hashes(sets, at)[0]).tolist()
+                out = []
+                for d, h in enumerate(h1):
+                    if h == cid[run.first + d] and h not in given:  # else another row with the id of a class, or the same again
+                        given.add(h)
+                        out.append((h, sets[at[d] : at[d + 1]].tobytes()))
+                if len(given) > 200_000:
+                    given.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["cid", "shingles"])
+
+    wanted_ids = filter_of(wanted, "doc_id")
 
     def maybe_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = bloom.Filter(data=few.value)
+        found = bloom.Filter(data=wanted_ids.value)
+        for batch in batches:
+            yield batch.filter(pa.array(found.has(_hashed(batch, "doc_id"))))
+
+    near = base.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(shared.frugal(maybe_wanted), "doc_id long, text string")
+    sets = shared.stored(near.join(wanted, "doc_id").select("text", "cid").mapInArrow(shared.frugal(third_pass), "cid long, shingles binary"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(found.has(id_hashes(batch))))
-
-    near = base.where("doc_id IS NOT NULL").mapInArrow(shared.frugal(maybe_wanted), "doc_id long, text string")
-    units = near.join(wanted, "doc_id").mapInArrow(shared.frugal(third_pass), "component long, i int, j int, rep long, mine int, shingles binary")
-    links = units.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
-    linked = components.components(links)
-    named = shared.stored(classes.join(linked.withColumnRenamed("component", "least"), classes["rep"] == linked["node"], "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("least")))
-    joined = rows.join(named, ["h1", "h2", "n"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y"))
+            ok = [same(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64)) for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    def verified(e: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        return shared.stored(e.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(shared.frugal(check), "a long, b long, ok boolean"))
+
+    done, most = [verified(edges)], CLOSEST
+    while True:
+        links = done[0]
+        for v in done[1:]:
+            links = links.unionByName(v)
+        linked = shared.stored(components.components(links.where("ok").select("a", "b")))
+        state = member.join(linked.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        offered = shared.stored(_in_blocks(state, "group", F.min("comp") < F.max("comp")).applyInArrow(_offers(most), "a long, b long, more boolean"))
+        new = shared.stored(offered.select("a", "b").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"))
+        more = bool(offered.where("more").limit(1).count())
+        shared.dropped(offered)
+        if new.isEmpty() and not more:
+            break
+        done.append(verified(new))
+        shared.dropped(new, linked)
+        most *= 8
+    least = member.join(linked, member["cid"] == linked["node"]).groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = linked.join(least, "component").select("node", "least")
+    named = shared.stored(classes.join(of_class, classes["h1"] == of_class["node"], "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("least")))
+    shared.dropped(classes, info, edges, member, sets, linked, new, *done)
+    joined = rows.drop("bits").join(named, ["h1", "h2", "n"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *(f.name for f in rest))
+
+
+def _hashed(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """Hashes of a column of integers without nulls."""
+    return textbuf.mixed(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+
+
+def _in_blocks(members: DataFrame, group: str, wanted: Column | None = None):
+    """Sets (``cid, n, bits, comp``) of groups that are *wanted*, dealt to blocks and grouped by pairs of blocks; a group of one block is one pair."""
+    size = F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("bits")) * 8 / BLOCK_BYTES)
+    # stored, so that the join with a large group's many sets is split or broadcast by what is known of its sizes
+    blocks = shared.stored(members.groupBy(group).agg(F.ceil(size).cast("int").alias("blocks"), (F.lit(True) if wanted is None else wanted).alias("wanted")).where("wanted").drop("wanted"))
+    mine = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int")
+    dealt = members.join(blocks, group).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.col(group).alias("of"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "bits", "comp").groupBy("of", "i", "j")
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set numbers, components and distances of a block or of a pair of blocks."""
+    cid, n, comp, mine = (table.column(c).to_numpy() for c in ("cid", "n", "comp", "mine"))
+    bits = [x.values.to_numpy().view(U64) for x in table.column("bits")]
+    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    return cid, comp, distances(n, bits, mine if across else np.arange(len(cid)))
+
+
+def _pairs(cid: np.ndarray, i: np.ndarray, j: np.ndarray, **more: pa.Array) -> pa.Table:
+    return pa.table({"a": pa.array(np.minimum(cid[i], cid[j]), pa.int64()), "b": pa.array(np.maximum(cid[i], cid[j]), pa.int64()), **more})
+
+
+def _forests(table: pa.Table) -> pa.Table:
+    cid, _, d = _block(table)
+    links = np.array(forest(d), np.int64).reshape(-1, 2)
+    return _pairs(cid, links[:, 0], links[:, 1])
+
+
+def _offers(most: int) -> Callable[[pa.Table], pa.Table]:
+    """Each set's closest pairs with sets of other components, and whether it has more of them."""
+
+    def offers(table: pa.Table) -> pa.Table:
+        cid, comp, d = _block(table)
+        d[comp[:, None] == comp] = np.inf
+        k = min(most, len(cid))
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        i, at = np.nonzero(np.isfinite(np.take_along_axis(d, near, 1)))
+        more = np.isfinite(d).sum(1) > k
+        return _pairs(cid, i, near[i, at], more=pa.array(more[i]))
+
+    return offers
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
