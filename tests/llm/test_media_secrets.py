@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -95,6 +96,25 @@ def test_secrets(frame):
     assert by[9].spans == "owned:5:29"
 
 
+def test_secrets_by_repositories(frame, monkeypatch):
+    """A value of one owner in many repositories is copied, too; repeated rows are rows of their own."""
+    docs = frame([(i, "token=abcdef99") for i in range(12)] + [(99, "token=abcdef77"), (99, "token=abcdef77")]).withColumn("source", F.lit("one"))
+    got = [(r.doc_id, r.n_copied, r.n_live) for r in secret_scan.scan(docs).collect()]
+    assert sorted(got) == [*((i, 1, 0) for i in range(12)), (99, 0, 1), (99, 0, 1)]
+    few = [(r.n_copied, r.n_live) for r in secret_scan.scan(docs, max_repos=12).collect()]
+    assert few == [(0, 1)] * 14
+
+
+def test_secrets_of_a_long_text(frame):
+    """Many matches in one text keep their places, and don't take quadratic time."""
+    text = "é " + " ".join(f"{'0123456789abcdef' * 2} x token=secret{k}" for k in range(20_000))
+    began = time.time()
+    r = secret_scan.scan(frame([(1, text)], 1)).first()
+    assert time.time() - began < 60
+    digest = ",".join(f"{list(secret_scan.KINDS)[k]}:{s}:{e}" for s, k, e, _ in base_spans(text))
+    assert r.n_assign == r.n_hex == 20_000 and r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+
+
 def test_secrets_are_native(frame):
     plan = secret_scan.scan(frame(SECRETS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by patterns in each whole text.  The hash of a candidate's value is counted over
-the corpus by distinct repositories and distinct owners.  Values that many owners have are copied
-examples; those of few owners look live.  Tokens of mixed letters and digits become spans of their
-own (kind ``owned``) if they are owner-specific.
+the corpus by distinct repositories and distinct owners.  Values that many owners or many repositories
+have are copied examples; those of few look live.  Tokens of mixed letters and digits become spans of
+their own (kind ``owned``) if they are owner-specific.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ KINDS = {
 }
 #: What a text must have for a kind to be looked for: the same matches, found without keeping short ones.
 LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "owned": r"[A-Za-z0-9+/_-]{20,}"}
-#: A value of more owners is a copied example.
-MAX_OWNERS = 2
+#: A value of more owners, or of more repositories (of whatever owners), is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 10
+#: Matches that are placed one after the other; longer lists are placed in parts, which are then shifted.
+PART = 1024
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -48,7 +50,11 @@ def matches(text: Column, kind: str) -> Column:
         new = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))
         return F.struct((start + x["size"]).alias("at"), F.when(keep, F.concat(done["found"], F.array(new))).otherwise(done["found"]).alias("found"))
 
-    found = F.aggregate(each, none, add, lambda done: done["found"])
+    # lists grow by copies, so each fold is kept short
+    parts = F.transform(F.sequence(F.lit(0), ((F.size(each) - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice(each, k * PART + 1, PART), none, add))
+    begin = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all")), lambda done, x: F.struct((done["at"] + x["at"]).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")), lambda done: done["all"])
+    shifted = F.zip_with(parts, begin, lambda x, at: F.transform(x["found"], lambda y: F.struct((y["start"] + at).alias("start"), (y["end"] + at).alias("end"), y["value"].alias("value"))))
+    found = F.when(F.size(each) <= PART, F.aggregate(each, none, add, lambda done: done["found"])).otherwise(F.flatten(shifted))
     return F.when(text.rlike(pattern), found).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)"))
 
 
@@ -58,10 +64,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """``doc_id``, counts and digest of base spans, all ``spans``, and ``n_copied``, ``n_live`` (base spans by ownership) for each row of *docs*.
 
-    A null or empty text has no spans.  A null repository or owner isn't counted; a value without any owner is
+    A null or empty text has no spans.  A null repository or owner isn't counted; a value without any is
     owner-specific.  Repeated rows, and rows that share an id, are rows of their own.  Other columns aren't read.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -76,15 +82,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     repos = each.where("repo IS NOT NULL").groupBy("h", "repo").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("repos"))
     owners = each.where("owner IS NOT NULL").groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("owners"))
     frequency = shared.stored(repos.join(owners, "h", "full_outer").select("h", F.coalesce("repos", F.lit(0)).alias("repos"), F.coalesce("owners", F.lit(0)).alias("owners")))
-    known = each.join(frequency, "h", "left").select("row", "start", "kind", "end", F.coalesce("owners", F.lit(0)).alias("owners"))
-    base = F.col("kind") < 3
+    copied = (F.coalesce("owners", F.lit(0)) > max_owners) | (F.coalesce("repos", F.lit(0)) > max_repos)
+    known = each.join(frequency, "h", "left").select("row", "start", "kind", "end", copied.alias("copied"))
+    base, live = F.col("kind") < 3, ~F.col("copied")
     span = F.struct("start", "kind", "end")
     of_row = known.groupBy("row").agg(
         *(F.count_if(F.col("kind") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS) if k < 3),
         F.collect_list(F.when(base, span)).alias("base"),
-        F.collect_list(F.when(base | (F.col("owners") <= max_owners), span)).alias("all"),
-        F.count_if(base & (F.col("owners") > max_owners)).alias("n_copied"),
-        F.count_if(base & (F.col("owners") <= max_owners)).alias("n_live"),
+        F.collect_list(F.when(base | live, span)).alias("all"),
+        F.count_if(base & ~live).alias("n_copied"),
+        F.count_if(base & live).alias("n_live"),
     )
     out = found.select("row", "doc_id").join(of_row, "row", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_assign", "n_access", "n_hex")]
@@ -110,11 +117,11 @@ m AS (
 e AS (SELECT doc_id, source, kind, name, least, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(v) AS v, unnest(g[1:len(w)]) AS g FROM m WHERE len(w) > 0),
 s AS (SELECT *, (sum(length(g)) OVER o + sum(length(w)) OVER o)::BIGINT AS stop FROM e WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
 f AS (SELECT *, stop - length(w) AS start FROM s WHERE length(v) >= least AND (kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')))),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM f GROUP BY v),
-k AS (SELECT f.*, owners, name || ':' || start || ':' || stop AS span FROM f JOIN o ON f.v = o.v),
+o AS (SELECT v, count(DISTINCT source) > 2 OR count(DISTINCT doc_id) > 10 AS copied FROM f GROUP BY v),
+k AS (SELECT f.*, copied, name || ':' || start || ':' || stop AS span FROM f JOIN o ON f.v = o.v),
 a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR owners <= 2) AS spans,
-  count(*) FILTER (kind < 3 AND owners > 2) AS n_copied, count(*) FILTER (kind < 3 AND owners <= 2) AS n_live FROM k GROUP BY doc_id)
+  string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied) AS spans,
+  count(*) FILTER (kind < 3 AND copied) AS n_copied, count(*) FILTER (kind < 3 AND NOT copied) AS n_live FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live
 FROM d LEFT JOIN a USING (doc_id)
