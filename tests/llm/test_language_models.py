@@ -2,6 +2,7 @@ import collections
 import functools
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waymesh.llm import language_id, lattice, lm_scoring, shared, toxicity
+from waymesh.llm import language_id, lattice, lm_scoring, shared, textbuf, toxicity
 
 from .conftest import HOSTILE
 
@@ -241,6 +242,82 @@ def test_toxicity_held_out(spark, hostile, monkeypatch):
     assert scores[1] < scores[2]
 
 
+def by_plain_loops(model, text):
+    """A text's score: each window word by word, with nothing shared between words, windows or directions."""
+    ranges, p = textbuf.Ranges(1010), {k: v.astype(np.float32) for k, v in model.network.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def bucket(raw, size):
+        return int(ranges.over(np.frombuffer(raw, np.uint8)).hash(np.array([0]), np.array([len(raw)]))[0]) % size
+
+    words = re.findall(rb"[a-z\x80-\xff]+", text.encode().lower())
+    x = []
+    for w in words:
+        raw = b" " + w + b" "
+        grams = [raw[i : i + g] for g in toxicity.GRAMS for i in range(len(raw) - g + 1)]
+        x.append(np.concatenate([model.own[bucket(raw, toxicity.WORD_BUCKETS)], np.max([model.chars[bucket(g, toxicity.GRAM_BUCKETS)] for g in grams], 0)]))
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < len(words):
+        starts.append(starts[-1] + toxicity.STRIDE)
+    scores = []
+    for a in starts:
+        window = x[a : a + toxicity.WINDOW]
+        states = []
+        for side, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            h, own = np.zeros(toxicity.HIDDEN, np.float32), {}
+            for t in order:
+                g = window[t] @ p["w"][side] + p["b"][side][0]
+                k = toxicity.HIDDEN
+                z, r = sigmoid(g[:k] + h @ p["u"][side][:, :k]), sigmoid(g[k : 2 * k] + h @ p["u"][side][:, k : 2 * k])
+                h = (1 - z) * h + z * np.tanh(g[2 * k :] + (r * h) @ p["u"][side][:, 2 * k :])
+                own[t] = h
+            states.append(own)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(window))]
+        e = np.array([float(np.tanh(b @ p["aw"]) @ p["av"][:, 0]) for b in both])
+        share = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(e) else e
+        pooled = sum((s * b for s, b in zip(share, both, strict=True)), np.zeros(2 * toxicity.HIDDEN))
+        scores.append(float(pooled @ p["ow"][:, 0] + p["ob"][0]))
+    return float(sigmoid(np.array([1, max(scores), np.mean(scores), np.log(len(scores))]) @ model.last))
+
+
+def test_toxicity_equals_plain_loops(spark):
+    rows = toxic_rows(120)
+    model = toxicity.train(pa.array([t for _, t, _ in rows]), np.array([y for *_, y in rows]), 1.0)
+    texts = [*(t for _, t, _ in rows[:30]), "", "123 !", "Ünï idiot", " ".join(f"w{i} idiot" for i in range(300)), *(t or "" for _, t in HOSTILE if t is None or len(t) < 1000)]
+    got = {r.doc_id: r.score for r in toxicity.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(by_plain_loops(model, t), abs=2e-4), t[:50]
+
+
+def area(label, score):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    n = label.sum()
+    return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))
+
+
+def test_embeddings_beat_log_odds(spark):
+    """On held-out texts of a whole table, the network with its learnt embeddings is clearly better than the log odds that they begin with."""
+    folder = "/root/testdata/sf0.1"
+    joined = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in joined])
+    toxic, texts = np.array([r.toxic for r in joined]), pa.array([r.text for r in joined])
+    fitted = texts.filter(pa.array(~held))
+    model = toxicity.train(fitted, toxic[~held], 1.0)
+    words, memo = toxicity.Words(), {}
+    other = texts.filter(pa.array(held))
+    score = np.concatenate([model.texts(run, words, memo) for run in textbuf.runs(other)])
+    known, asked = toxicity._Sample(fitted), toxicity._Sample(other)
+    odds = toxicity._log_odds([np.unique(known.buckets(i)) for i in range(len(known.docs))], toxic[~held], toxicity.WORD_BUCKETS + toxicity.GRAM_BUCKETS)
+    alone = []
+    for i, (back, a, b) in enumerate(asked.docs):
+        x = toxicity._embedded(odds[: toxicity.WORD_BUCKETS, None], odds[toxicity.WORD_BUCKETS :, None], asked.buckets(i), asked.begin[a : b + 1] - asked.begin[a]) if b > a else np.zeros((0, 2))
+        strength = np.maximum(x.max(1, initial=0), 0) ** 2
+        alone.append(max(strength[back[k : k + toxicity.WINDOW] - a].sum() for k in toxicity.windows(np.array([len(back)]))[1]))
+    assert area(toxic[held], score) > 0.95 and area(toxic[held], score) > area(toxic[held], np.array(alone)) + 0.04
+
+
 def test_toxicity_without_labels(frame, spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.fit(frame([(1, "x")]), labels, F.lit(True)) is None

@@ -1,14 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters by its log odds and those of its character n-grams in the sample (own, largest, second
-largest and mean), and by the sum of an embedding of its own and the mean of embeddings of its n-grams
-(all hashed).  Two gated recurrent layers read a window of words in either direction, attention pools
-their states, and a linear layer gives the window's score.  Windows overlap and cover the whole text; a
-text's score is a logistic function of its windows' largest and mean score and their number.
-
-The network and its embeddings are fitted to a bounded sample of labelled rows in one task; windows of
-toxic texts are those that the log odds point to, and a part of the sample, unseen by the network,
-fits the last function.
+A word enters by two learnt embeddings: one of the word itself, and one of its characters, the largest
+value in each dimension among those of its n-grams (all hashed).  Two gated recurrent layers read a window
+of words in either direction, attention pools their states, and a linear layer gives the window's score.
+Windows overlap and cover the whole text; a text's score is a logistic function of its windows' largest
+and mean score and their number.
+
+Network and embeddings are fitted together to a bounded sample of labelled rows in one task.  One dimension
+of each embedding begins with log odds in the sample, the others at random.  Which windows of a toxic text
+are toxic isn't labelled: at first those with the largest log odds are taken, then, before each further
+pass, those that the network itself scores highest.  A part of the sample, unseen by the network, fits
+the last function.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from . import shared, textbuf
 SAMPLE = {1: 1200, 0: 2400}
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 16, 1 << 17, (3, 5, 7, 8)
-FACTS, EMBEDDED, HIDDEN, ATTENTION = 4, 8, 10, 10
-INPUT = FACTS + EMBEDDED
-EPOCHS, BATCH, RATE = 6, 96, 6e-3
-#: Window scores are kept within these bounds.
-BOUND = 8.0
+OWN, CHARS, HIDDEN, ATTENTION = 6, 8, 10, 10
+INPUT = OWN + CHARS
+EPOCHS, BATCH, RATE, EMBEDDING_RATE = 6, 96, 6e-3, 0.05
+#: The part of a training window's words whose own embedding is left out, so that characters are learnt too.
+DROPPED = 0.3
 THRESHOLD = 0.7
 REMEMBERED = 200_000
 WORD = textbuf.byte_set((0x61, 0x7A), (0x80, 0xFF))
@@ -83,32 +85,30 @@ def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, k * STRIDE
 
 
-def _facts(odds: np.ndarray, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A word's log odds: its own, the largest and second largest and the mean of its n-grams'."""
-    x = odds[value]
+def _largest(table: np.ndarray, value: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, in each dimension, the largest value of its n-grams' embeddings and the place in *value* that has it."""
     n = np.diff(begin)
-    if not len(n):
-        return np.zeros((0, FACTS), odds.dtype)
-    own = x[begin[:-1]]
-    grams = x.copy()
-    grams[begin[:-1]] = -np.inf
-    most = np.maximum.reduceat(grams, begin[:-1])
-    owner = np.repeat(np.arange(len(n)), n)
-    top = np.flatnonzero(grams == most[owner])
-    _, first = np.unique(owner[top], return_index=True)
-    grams[top[first]] = -np.inf
-    second = np.maximum.reduceat(grams, begin[:-1])
-    mean = (np.add.reduceat(x, begin[:-1]) - own) / np.maximum(n - 1, 1)
-    return np.stack([own, *(np.where(np.isfinite(v), v, 0) for v in (most, second)), mean], 1)
-
-
-def _embedded(table: np.ndarray, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A word's embedding, and the mean of its n-grams'."""
+    keep = np.ones(len(value), bool)
+    keep[begin[:-1]] = False  # the word itself
+    place = np.flatnonzero(keep)
+    rows = table[value[place] - WORD_BUCKETS]
+    edge = begin[:-1] - np.arange(len(n))
+    most = np.maximum.reduceat(rows, edge, axis=0)
+    first = np.full(most.shape, len(place), np.int64)
+    owner = np.repeat(np.arange(len(n)), n - 1)
+    at, dim = np.nonzero(rows == most[owner])
+    np.minimum.at(first, (owner[at], dim), at)
+    return most, place[first]
+
+
+def _embedded(own: np.ndarray, chars: np.ndarray, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Inputs of words: the own embedding and that of the characters; a word has one n-gram at least."""
     if len(begin) < 2:
-        return np.zeros((0, table.shape[1]), table.dtype)
-    own = table[value[begin[:-1]]]
-    rest = np.add.reduceat(table[value], begin[:-1], axis=0) - own
-    return own + rest / np.maximum(np.diff(begin) - 1, 1)[:, None].astype(table.dtype)
+        return np.zeros((0, own.shape[1] + chars.shape[1]), own.dtype)
+    keep = np.ones(len(value), bool)
+    keep[begin[:-1]] = False
+    most = np.maximum.reduceat(chars[value[keep] - WORD_BUCKETS], begin[:-1] - np.arange(len(begin) - 1), axis=0)
+    return np.concatenate([own[value[begin[:-1]]], most], 1)
 
 
 class Network:
@@ -219,12 +219,12 @@ def _log_odds(present: list[np.ndarray], toxic: np.ndarray, size: int) -> np.nda
 
 
 class Model:
-    def __init__(self, odds: np.ndarray, table: np.ndarray, network: Network, last: np.ndarray):
-        self.odds, self.table, self.network, self.last = odds.astype(np.float32), table.astype(np.float32), network, last
+    def __init__(self, own: np.ndarray, chars: np.ndarray, network: Network, last: np.ndarray):
+        self.own, self.chars, self.network, self.last = own.astype(np.float32), chars.astype(np.float32), network, last
 
     def words(self, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Inputs of words from their buckets."""
-        return np.concatenate([_facts(self.odds, value, begin), _embedded(self.table, value, begin)], 1)
+        return _embedded(self.own, self.chars, value, begin)
 
     def texts(self, run: textbuf.Run, words: Words, memo: dict) -> np.ndarray:
         """Scores of a run's texts, from 0 to 1."""
@@ -250,8 +250,8 @@ class Model:
             known.update(zip(h[new].tolist(), number[new].tolist(), strict=True))
         return memo["x"][number], back, first
 
-    def summary(self, x: np.ndarray, back: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each text: 1, the largest and the mean window score, and the logarithm of the number of windows."""
+    def scores(self, x: np.ndarray, back: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and scores of all windows, of words *x*, texts' words *back* and their beginnings *first*."""
         text, at = windows(np.diff(first))
         gates = np.concatenate([self.network.projected(x), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
         score = np.zeros(len(text), np.float32)
@@ -261,11 +261,16 @@ class Model:
             place = a[:, None] + np.arange(WINDOW)
             on = place < np.diff(first)[t][:, None]
             word = padded[np.where(on, place + first[t][:, None], len(back))]
-            score[lo : lo + 4096] = np.clip(self.network.forward(_Picked(gates, word), on), -BOUND, BOUND)
-        edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
-        n = np.diff(np.append(edge, len(text)))
+            score[lo : lo + 4096] = self.network.forward(_Picked(gates, word), on)
+        return text, score
+
+    def summary(self, x: np.ndarray, back: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each text: 1, the largest and the mean window score, and the logarithm of the number of windows."""
+        text, score = self.scores(x, back, first)
         if not len(text):
             return np.zeros((0, 4))
+        edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        n = np.diff(np.append(edge, len(text)))
         return np.stack([np.ones(len(edge)), np.maximum.reduceat(score, edge), np.add.reduceat(score, edge) / n, np.log(n)], 1)
 
 
@@ -281,71 +286,110 @@ class _Picked:
         return self.gates[at[0]][self.word[:, at[1]]]
 
 
+class _Rows:
+    """Steps for a table of which a batch changes few rows: each value's step shrinks with its gradients so far."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.table, self.rate, self.seen = table, rate, np.full(table.shape, 1e-6)
+
+    def step(self, row: np.ndarray, grad: np.ndarray, dim: np.ndarray | None = None) -> None:
+        which, at = np.unique(row, return_inverse=True)
+        total = np.zeros((len(which), self.table.shape[1]))
+        np.add.at(total, at if dim is None else (at, dim), grad)
+        self.seen[which] += total**2
+        self.table[which] -= self.rate * total / np.sqrt(self.seen[which])
+
+
+class _Sample:
+    """A sample's texts as buckets: of all distinct words of texts end to end, and each text's words by number."""
+
+    def __init__(self, texts: pa.Array):
+        words = Words()
+        values, begins, self.docs, n, held = [], [np.zeros(1, np.int64)], [], 0, 0
+        for run in textbuf.runs(texts, 1 << 16):
+            for d in range(len(run)):
+                one = textbuf.Run(run.data[run.at[d] : run.at[d + 1]], np.array([0, run.at[d + 1] - run.at[d]]), 0)
+                lower, s, e, _, back, _ = words.split(one)
+                value, begin = words.buckets(lower, s, e)
+                values.append(value)
+                begins.append(begin[1:] + held)
+                self.docs.append((back + n, n, n + len(s)))
+                held += len(value)
+                n += len(s)
+        self.value, self.begin = np.concatenate(values), np.concatenate(begins)
+
+    def buckets(self, i: int) -> np.ndarray:
+        _, a, b = self.docs[i]
+        return self.value[self.begin[a] : self.begin[b]]
+
+    def of_words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of words by number, and where each one's begin."""
+        size = self.begin[w + 1] - self.begin[w]
+        stop = np.cumsum(size)
+        return self.value[np.repeat(self.begin[w] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], np.concatenate([[0], stop]).astype(np.int64)
+
+    def window(self, i: int, at: int) -> np.ndarray:
+        row = np.full(WINDOW, -1, np.int64)
+        some = self.docs[i][0][at : at + WINDOW]
+        row[: len(some)] = some
+        return row
+
+
 def train(texts: pa.Array, toxic: np.ndarray, weight: float, seed: int = 7) -> Model:
     """Fits a model; *weight* is how many texts without toxicity one in the sample stands for, in relation to toxic ones."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    words = Words()
-    values, begins, docs, n = [], [np.zeros(1, np.int64)], [], 0  # docs: numbers, in all texts' distinct words, of a text's words
-    held = 0
-    for run in textbuf.runs(texts, 1 << 16):
-        for d in range(len(run)):
-            one = textbuf.Run(run.data[run.at[d] : run.at[d + 1]], np.array([0, run.at[d + 1] - run.at[d]]), 0)
-            lower, s, e, _, back, _ = words.split(one)
-            value, begin = words.buckets(lower, s, e)
-            values.append(value)
-            begins.append(begin[1:] + held)
-            docs.append((back + n, n, n + len(s)))
-            held += len(value)
-            n += len(s)
-    value, begin = np.concatenate(values), np.concatenate(begins)
-    part = np.zeros(len(docs), bool)
-    part[rng.permutation(len(docs))[: int(0.7 * len(docs))]] = True
+    sample = _Sample(texts)
+    part = np.zeros(len(sample.docs), bool)
+    part[rng.permutation(len(sample.docs))[: int(0.7 * len(sample.docs))]] = True
     seen, rest = np.flatnonzero(part).tolist(), np.flatnonzero(~part).tolist()
-    odds = _log_odds([np.unique(value[begin[docs[i][1]] : begin[docs[i][2]]]) for i in seen], toxic[seen], WORD_BUCKETS + GRAM_BUCKETS)
-    facts = _facts(odds, value, begin)
-    strength = np.maximum(facts[:, :2].max(1), 0) ** 2
-    table = rng.normal(0, 0.05, (len(odds), EMBEDDED))
-    network = Network(rng)
-    chosen, y = [], []
-    for i in seen:
-        own = docs[i][0]
-        _, at = windows(np.array([len(own)]))
-        total = np.array([strength[own[a : a + WINDOW]].sum() for a in at])
-        best = np.argsort(-total, kind="stable")[: 2 if toxic[i] else 1].tolist()
-        if not toxic[i]:
-            best += rng.choice(len(at), min(len(at), 2), replace=False).tolist()
-        for k in dict.fromkeys(best):
-            row = np.full(WINDOW, -1, np.int64)
-            some = own[at[k] : at[k] + WINDOW]
-            row[: len(some)] = some
-            chosen.append(row)
-            y.append(float(toxic[i]))
-    chosen, y = np.array(chosen), np.array(y)
-    optimiser = Adam(RATE)
-    for _ in range(EPOCHS):
-        shuffled = rng.permutation(len(y))
+    odds = _log_odds([np.unique(sample.buckets(i)) for i in seen], toxic[seen], WORD_BUCKETS + GRAM_BUCKETS)
+    own, chars = rng.normal(0, 0.1, (WORD_BUCKETS, OWN)), rng.normal(0, 0.1, (GRAM_BUCKETS, CHARS))
+    own[:, 0], chars[:, 0] = odds[:WORD_BUCKETS], odds[WORD_BUCKETS:]
+    network, optimiser = Network(rng), Adam(RATE)
+    rows = _Rows(own, EMBEDDING_RATE), _Rows(chars, EMBEDDING_RATE)
+
+    def strengths(i: int, model: Model | None) -> np.ndarray:
+        """Of each window of a text, how toxic it looks: by log odds at first, then by the network."""
+        back, a, b = sample.docs[i]
+        begin = sample.begin[a : b + 1] - sample.begin[a]
+        if model is None:
+            x = _embedded(own, chars, sample.buckets(i), begin) if b > a else np.zeros((0, INPUT))
+            strength = np.maximum(np.maximum(x[:, 0], x[:, OWN]), 0) ** 2
+            return np.array([strength[back[k : k + WINDOW] - a].sum() for k in windows(np.array([len(back)]))[1]])
+        return model.scores(model.words(sample.buckets(i), begin), back - a, np.array([0, len(back)]))[1]
+
+    for epoch in range(EPOCHS):
+        model = Model(own, chars, network, np.zeros(4)) if epoch else None
+        chosen, y = [], []
+        for i in seen:
+            strength = strengths(i, model)
+            best = np.argsort(-strength, kind="stable")[: 2 if toxic[i] else 1].tolist()
+            if not toxic[i]:
+                best += rng.choice(len(strength), min(len(strength), 2), replace=False).tolist()
+            for k in dict.fromkeys(best):
+                chosen.append(sample.window(i, k * STRIDE))
+                y.append(float(toxic[i]))
+        grid, target = np.array(chosen), np.array(y)
+        shuffled = rng.permutation(len(target))
         for lo in range(0, len(shuffled), BATCH):
             batch = shuffled[lo : lo + BATCH]
-            word, on = chosen[batch].T, (chosen[batch] >= 0)
+            word, on = grid[batch].T, (grid[batch] >= 0)
             live = np.flatnonzero(word.ravel() >= 0)
-            w = word.ravel()[live]
-            size = begin[w + 1] - begin[w]
-            stop = np.cumsum(size)
-            bucket = value[np.repeat(begin[w] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-            edge = np.concatenate([[0], stop]).astype(np.int64)
             x = np.zeros((word.size, INPUT))
-            x[live] = np.concatenate([facts[w], _embedded(table, bucket, edge)], 1)
-            grads, dx = network.gradients(x.reshape(*word.shape, INPUT), on, y[batch], np.ones(len(batch)))
+            if len(live):
+                bucket, edge = sample.of_words(word.ravel()[live])
+                most, place = _largest(chars, bucket, edge)
+                kept = rng.random(len(live)) >= DROPPED
+                x[live] = np.concatenate([own[bucket[edge[:-1]]] * kept[:, None], most], 1)
+            grads, dx = network.gradients(x.reshape(*word.shape, INPUT), on, target[batch], np.ones(len(batch)))
             for name, g in grads.items():
                 optimiser.step(name, network.p[name], g)
-            # embeddings take plain steps, as few rows of the table change
-            d = dx.reshape(word.size, INPUT)[live, FACTS:]
-            if len(bucket):
-                share = np.repeat(1 / np.maximum(size - 1, 1), size)
-                share[edge[:-1]] = 1
-                np.add.at(table, bucket, -0.5 * share[:, None] * np.repeat(d, size, 0))
-    model = Model(odds, table, network, np.zeros(4))
-    f = np.concatenate([model.summary(np.concatenate([facts[a:b], _embedded(table, value[begin[a] : begin[b]], begin[a : b + 1] - begin[a])], 1).astype(np.float32), own - a, np.array([0, len(own)])) for own, a, b in (docs[i] for i in rest)]) if rest else np.zeros((0, 4))
+            if len(live):
+                d = dx.reshape(word.size, INPUT)[live]
+                rows[0].step(bucket[edge[:-1]][kept], d[kept, :OWN])
+                rows[1].step((bucket[place] - WORD_BUCKETS).ravel(), d[:, OWN:].ravel(), np.tile(np.arange(CHARS), len(live)))
+    model = Model(own, chars, network, np.zeros(4))
+    f = np.concatenate([model.summary(model.words(sample.buckets(i), sample.begin[a : b + 1] - sample.begin[a]), back - a, np.array([0, len(back)])) for i in rest for back, a, b in (sample.docs[i],)]) if rest else np.zeros((0, 4))
     t = toxic[rest].astype(float)
     w = np.where(t > 0, 1.0, weight)
     start = np.array([-1.0, 0.5, 0.5, 0.0])
@@ -363,7 +407,8 @@ def train(texts: pa.Array, toxic: np.ndarray, weight: float, seed: int = 7) -> M
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> Model | None:
     """Fits the model to labelled rows whose id satisfies *allowed* (a condition on ``doc_id``); None without both classes.
 
-    Ids with several labels have the largest; null ids, texts and labels aren't used.
+    Ids with several labels have the largest, ids with several texts the first in order; null ids, texts and
+    labels aren't used.
     """
     sample = sample or SAMPLE
     marked = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -374,7 +419,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
     limit = F.when(F.col("toxic") == 1, F.lit(int(share[1] * (1 << 30)) + 1)).otherwise(F.lit(int(share[0] * (1 << 30)) + 1))
     # bounded: about sum(sample) ids
     chosen = F.broadcast(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit))
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("text IS NOT NULL").join(chosen, "doc_id").withColumn("one", F.lit(1))
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("text IS NOT NULL").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("one", F.lit(1))
     weight = share[1] / share[0]
 
     def learn(table: pa.Table) -> pa.Table:
@@ -385,7 +430,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
         toxic = np.array(table.column("toxic").to_pylist())
         made = train(text, toxic, weight) if len(set(toxic.tolist())) == 2 else None
-        raw = pickle.dumps(None if made is None else (made.odds, made.table, made.network.p, made.last))
+        raw = pickle.dumps(None if made is None else (made.own, made.chars, made.network.p, made.last))
         return pa.table({"model": pa.array([raw], pa.binary())})
 
     import pickle
