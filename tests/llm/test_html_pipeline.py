@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 
 import corpus_pipeline
@@ -33,6 +36,100 @@ def test_articles_take_nothing_away():
     assert html_extract.main_text(page).endswith("Second, short, but told, too.")
 
 
+LONG = "A sentence with words, and marks, and more of both. " * 6
+STORY = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+
+
+def parts(page):
+    return html_extract.main_text(page).split("\n\n")
+
+
+def test_ratios_decide(monkeypatch):
+    """Boilerplate without telling elements or names goes by the ratios of its paths alone."""
+    page = f"<body><div><div>Home</div><div>Contact us</div></div><div id=c><h2>Title</h2>{STORY}<ul><li>short item</ul></div><table><tr><td>12<td>34</table><div><span>Posted Monday</span></div></body>"
+    story = [f"{k} {LONG}".strip() for k in range(5)]
+    assert parts(page) == ["Title", *story, "short item"]
+    monkeypatch.setattr(html_extract, "content_paths", lambda page, blocks: {b.path for b in blocks})
+    assert parts(page) == ["Home", "Contact us", "Title", *story, "short item", "12", "34", "Posted Monday"]
+
+
+def test_links_count_against_a_path():
+    links = "".join(f"<p><a href=x>Linked {LONG}</a></p>" for _ in range(3))
+    assert not any(x.startswith("Linked") for x in parts(f"<body><div id=more>{links}</div><div id=c>{STORY}</div></body>"))
+    assert sum(x.startswith("Linked") for x in parts(f"<body><article>{STORY}{links}</article></body>")) == 3
+    assert parts(f"<body><div id=c><h1><a href=x>Title</a></h1>{STORY}</div></body>")[0] == "Title"
+
+
+@pytest.mark.parametrize("name", ["read-more", "related-work", "notice", "alert", "header-note", "menu-of-the-day"])
+def test_names_inside_articles(name):
+    page = f'<article><p>One, two.</p><div class="{name}"><p>The rest, of it.</p></div><section id="{name}"><p>And then, the end.</p></section></article>'
+    assert parts(page) == ["One, two.", "The rest, of it.", "And then, the end."]
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "sponsored", "reader-comments"])
+def test_adverts_and_comments_inside_articles(name):
+    assert parts(f'<article>{STORY}<div class="{name}">{STORY}</div></article>') == [f"{k} {LONG}".strip() for k in range(5)]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "site-header", "siteFooter", "nav", "breadcrumbs", "menu", "comments", "ads"])
+def test_names_outside_articles(name):
+    assert parts(f"<body><div class=\"{name}\"><p>{LONG}</p></div><div class=c>{STORY}</div></body>") == [f"{k} {LONG}".strip() for k in range(5)]
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "has-header", "post comments-open"])
+def test_wrappers_stay(name):
+    assert parts(f'<body><div class="{name}"><h1>Title</h1>{STORY}</div></body>')[0] == "Title"
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a ="' * 200_000, "<div>x" * 150_000, "<div>" * 100_000 + "<li>x</li>" * 50_000, "<li><ul>" + "<div>" * 100_000 + "<li>x" * 50_000, "<span class=ad>" * 60_000 + "<hr>" * 60_000, "<a<" * 300_000, '<p><div class="x">y' * 50_000, "<!--" * 250_000, "<script>" * 120_000, "<a " + "=" * 1_000_000, "=\t" * 400_000, "&" * 500_000])
+def test_odd_pages_end_in_seconds(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_inline_bars_end():
+    """A barred inline element ends at its tag, whatever lies open in it."""
+    assert parts("<body>" + "<span class=ad><div>" + "<b>" * 20 + "buy</span>" + STORY + "</body>") == [f"{k} {LONG}".strip() for k in range(5)]
+
+
+def plainly(source):
+    """Ratios by the definition, path by path, over (path, text, link share, in an article) of blocks."""
+    page = html_extract.Page(source)
+    def names(p):
+        return () if not p else (*names(page.parent[p]), page.label[p])
+    blocks = [(names(b.path), b.text, b.linked, b.article) for b in page.blocks]
+    own = {}
+    for path, text, linked, article in blocks:
+        own.setdefault(path, []).append((text, linked, article))
+    marks = lambda t: sum(c in ".,;:!?…。、，！？؟،" for c in t)
+    ratio = {p: sum(len(t) for t, *_ in x) / len(x) * (1 + sum(marks(t) for t, *_ in x) / len(x)) for p, x in own.items()}
+    size = {p: sum(len(t) for t, *_ in x) for p, x in own.items()}
+    def level(p):
+        whole = {x.split(".")[0] for x in p} & {"article", "main"}
+        near = [q for q in own if (q[: len(p)] == p if whole else q == p or q[:-1] == p and q)]
+        here = sum(ratio[q] * size[q] for q in near) / sum(size[q] for q in near) if near else 0
+        return max(here, 0.9 * level(p[:-1])) if p else here
+    def value(p):
+        v = max(ratio[p], 0.9 * level(p[:-1]) if p else 0)
+        if own[p][-1][2] or p and p[-1].split(".")[0] in {"h1", "h2", "h3", "h4", "h5", "h6"}:
+            return v
+        return v * (1 - sum(len(t) * share for t, share, _ in own[p]) / size[p])
+    mean = sum(value(p) * size[p] for p in own) / sum(size.values())
+    return [text for path, text, *_ in blocks if value(path) >= 0.5 * mean]
+
+
+def test_whole_pages_equal_plain_ratios(spark):
+    """The registered query over a whole table, against the definition on pages without the barred elements."""
+    folder = "/root/testdata/sf0.001"
+    got = {r.page_id: r.text for r in html_extract.op5_html_extract(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        inner = re.sub(r'<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>|<title>.*?</title>|<script>.*?</script>|<style>.*?</style>', "", r.html, flags=re.S)
+        assert got[r.page_id] == "\n\n".join(plainly(inner))
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<", "a<"), ("<p>x</p></div></p>", "x"), ("<nav>only menu</nav>", ""), ("a < b and c > d", "a < b and c > d"), ("<p>unclosed <b>bold <i>x", "unclosed bold x"), ("<script>never ends", "")])
 def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text

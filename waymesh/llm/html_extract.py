@@ -1,16 +1,22 @@
 """Main text of raw web pages by tag-path ratios.
 
-A page is cut into blocks, each with its path of block-level tags (and class and id) from the root.  Per
-path, text length and punctuation over its blocks give two ratios; they are fused by multiplication,
-smoothed over the page's order of blocks by the likeness of neighbouring paths, and paths over a
-threshold are content.  Where most of their text is in article or main elements, all of these is content too.
-Paths through menus, headers, footers, sidebars, notices, adverts, forms and comments never are.
+A page is cut into blocks of text, each at the end of a path of block-level tags (with class and id) from
+the root.  Per path, text length and punctuation over its blocks give two ratios, which are fused by
+multiplication.  The ratios are smoothed down the tree: a path has at least a part of what the paths
+beside and above it have, so a title or a short item among long paragraphs counts as these do.  Text of
+links counts against its path, but for headings and inside articles.  Paths that reach a part of the
+page's length-weighted mean are content.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go by their elements or
+names, whatever their ratios.  Names of a layout don't take out an element that holds a first heading,
+a main element or most of the page's text, nor, but for adverts and comments, what an article holds.
+
+Pages are scanned once, with look-ups that don't depend on how deep or how long they are.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -20,176 +26,297 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A markup token: a comment, an element whose content isn't markup, another declaration, or a tag.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|select|xmp|noembed|noframes)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_HINTS = re.compile(r"""\b(class|id|role|aria-label|hidden|aria-hidden|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END = re.compile(r">|=\s*[\"']")
+_HINTS = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。、，！？؟،]")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"\d+")
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that a start tag of the named ones closes, up to the nearest of the second set.
-CLOSES = {name: ({"p"}, frozenset()) for name in "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()}
-CLOSES |= {"li": ({"li", "p"}, frozenset({"ul", "ol", "menu"})), "dt": ({"dt", "dd", "p"}, frozenset({"dl"})), "dd": ({"dt", "dd", "p"}, frozenset({"dl"})), "tr": ({"tr", "td", "th", "p"}, frozenset({"table"})), "td": ({"td", "th", "p"}, frozenset({"tr", "table"})), "th": ({"td", "th", "p"}, frozenset({"tr", "table"})), "option": ({"option"}, frozenset({"datalist"}))}
+#: Elements whose content isn't markup or isn't text of the page.
+RAW = frozenset("script style noscript template textarea title svg math iframe select xmp noembed noframes".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a start tag closes, and those beyond which it doesn't look.
+CLOSES = {
+    "li": ("li p", "ul ol menu"),
+    "dt": ("dt dd p", "dl"),
+    "dd": ("dt dd p", "dl"),
+    "tr": ("tr td th p", "table"),
+    "td": ("td th p", "tr table"),
+    "th": ("td th p", "tr table"),
+    "option": ("option", "datalist"),
+}
+CLOSES = {name: (closed.split(), until.split()) for name, (closed, until) in CLOSES.items()}
+#: Block elements that may stand inside a paragraph; all others close it.
+_INSIDE_P = frozenset("body html head button caption label legend option summary dialog tbody td tfoot th thead tr li dt dd search frameset".split())
 #: Elements whose text isn't the article's.
 BOILERPLATE = frozenset("nav footer aside form button dialog menu search head label legend fieldset option".split())
-#: The same by class, id or role: whole words of the attribute, split at anything but letters.
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall"
-    " nav navigation navbar menu menus breadcrumb breadcrumbs pagination pager toolbar skip sidebar side rail widget widgets related recommended recommendations more trending popular teaser"
-    " share sharing social follow comment comments commentlist disqus reply replies respond discussion footer foot masthead contentinfo complementary search tags taglist copyright disclaimer".split()
-)
-_KEEP_HEADER_IN = frozenset({"article", "main"})
-_LETTERS = re.compile(r"[A-Za-z]+")
+#: The same by words of class, id or role: anywhere, and outside of article and main elements.
+ANYWHERE = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments disqus".split())
+LAYOUT = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar cookie cookies consent notice notices alert banner".split())
+#: A path has at least this part of the ratio of its parent's own blocks; content reaches this part of the mean.
+LIFT, LEAST = 0.9, 0.5
 
 
 class Block:
-    __slots__ = ("path", "text", "barred", "holders")
-
-    def __init__(self, path: tuple[str, ...], text: str, barred: bool, holders: tuple[int, ...]):
-        self.path, self.text, self.barred, self.holders = path, text, barred, holders
-
-
-def _barred(name: str, attributes: str, inside: bool) -> bool:
-    if name in BOILERPLATE or name == "header" and not inside:
-        return True
-    if attributes:
-        for key, value in _HINTS.findall(attributes):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            if key in ("class", "id", "role", "aria-label") and name not in ("body", "html", "article", "main") and any(w.lower() in BOILERPLATE_WORDS for w in _words(value)):
-                return True
-    return False
-
-
-def _words(value: str) -> list[str]:
-    """Words of a name as in ``site-nav``, ``site_nav`` and ``siteNav``."""
-    return _LETTERS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order."""
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # element, its name in paths, barred, numbers of its articles and mains
-    out: list[Block] = []
-    parts: list[str] = []
-    holders = at = 0
-
-    def flush() -> None:
-        if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                top = stack[-1] if stack else ("", "", False, ())
-                out.append(Block(tuple(x[1] for x in stack), text, top[2], top[3]))
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if name == "br":
-            parts.append("\n")
-            continue
-        if name not in BLOCKS:
-            # inline elements aren't part of paths, but may be barred
-            if m[2] == "" and name not in VOID and m[4] and not m[4].endswith("/") and _barred(name, m[4], True):
-                flush()
-                stack.append((name, name, True, stack[-1][3] if stack else ()))
-            elif m[2] and any(x[0] == name for x in stack[-8:]):
-                flush()
-                while stack and stack.pop()[0] != name:
-                    pass
-            continue
+    __slots__ = ("path", "text", "marks", "linked", "bar", "article")
+
+    def __init__(self, path: int, text: str, linked: float, bar: int, article: bool):
+        self.path, self.text, self.linked, self.bar, self.article = path, text, linked, bar, article
+        self.marks = len(_MARKS.findall(text))
+
+
+class Page:
+    """Blocks in order; paths (``parent``, ``label``) and bars (``above``, ``kind``, ``holds``: whether a first heading or main element is inside) by number, 0 is the root and no bar."""
+
+    def __init__(self, source: str):
+        self.blocks: list[Block] = []
+        self.parent, self.label, self._number = [0], [""], {}
+        self.above, self.kind, self.holds = [0], [""], [False]
+        self._source = source
+        self._parse()
+
+    def _path(self, parent: int, label: str) -> int:
+        found = self._number.get((parent, label))
+        if found is None:
+            found = self._number[parent, label] = len(self.parent)
+            self.parent.append(parent)
+            self.label.append(label)
+        return found
+
+    def _bar(self, above: int, kind: str) -> int:
+        self.above.append(above)
+        self.kind.append(kind)
+        self.holds.append(False)
+        return len(self.above) - 1
+
+    def _tokens(self) -> Iterator[tuple[str, str, str]]:
+        """Kind (text, open, close), name or text, and attributes; each character is looked at a bounded number of times."""
+        page, at, quoted = self._source, 0, True
+        last = {q: page.rfind(q) for q in "\"'"}
+        while m := _START.search(page, at):
+            if m.start() > at:
+                yield "text", page[at : m.start()], ""
+            if page.startswith("<!--", m.start()):
+                end = page.find("-->", m.start() + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            if page[m.start() + 1] in "!?":
+                end = page.find(">", m.start())
+                at = len(page) if end < 0 else end + 1
+                continue
+            name = _NAME.match(page, m.end() - 1)
+            end = -1
+            if quoted:
+                i = name.end()
+                while e := _END.search(page, i):
+                    i = e.end()
+                    if e[0] == ">":
+                        end = i - 1
+                        break
+                    if last[e[0][-1]] >= i:
+                        i = page.find(e[0][-1], i) + 1
+            if end < 0:  # quotes that don't end: from here on they don't count
+                quoted = False
+                end = page.find(">", name.end())
+            if end < 0:  # the page ends in a tag
+                return
+            at = end + 1
+            closing, lower = page[m.start() + 1] == "/", name[0].lower()
+            yield "close" if closing else "open", lower, "" if closing else page[name.end() : end]
+            if lower in RAW and not closing and page[end - 1] != "/":
+                e = _RAW_END[lower].search(page, at)
+                at = e.end() if e else len(page)
+        if at < len(page):
+            yield "text", page[at:], ""
+
+    def _parse(self) -> None:
+        stack: list[tuple[str, int, int, bool]] = []  # element, path, bar, in an article
+        places: dict[str, list[int]] = {}  # of each element that is open, where
+        others: list[int] = []  # where block elements other than p are open
+        parts: list[str] = []
+        plain = linked = links = 0
+
+        def top() -> tuple[str, int, int, bool]:
+            return stack[-1] if stack else ("", 0, 0, False)
+
+        def push(name: str, path: int, bar: int, article: bool) -> None:
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCKS and name != "p":
+                others.append(len(stack))
+            stack.append((name, path, bar, article))
+
+        def cut(n: int) -> None:
+            """Closes all elements from place *n* on."""
+            while len(stack) > n:
+                name = stack.pop()[0]
+                places[name].pop()
+                if others and others[-1] == len(stack):
+                    others.pop()
+
+        def where(names: list[str]) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
+        def flush() -> None:
+            nonlocal plain, linked
+            if parts:
+                text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+                if text:
+                    _, path, bar, article = top()
+                    self.blocks.append(Block(path, text, linked / max(plain + linked, 1), bar, article))
+                parts.clear()
+                plain = linked = 0
+
+        for kind, name, attributes in self._tokens():
+            if kind == "text":
+                parts.append(name)
+                if links:
+                    linked += len(name.strip())
+                else:
+                    plain += len(name.strip())
+                continue
+            if name == "br":
+                parts.append("\n")
+                continue
+            if name == "a":
+                links = max(0, links + (1 if kind == "open" else -1))
+            if name not in BLOCKS:
+                # inline elements aren't part of paths, but may be barred
+                if kind == "open" and attributes and name not in VOID and attributes[-1] != "/":
+                    _, path, bar, article = top()
+                    if why := _named(attributes, article)[1]:
+                        flush()
+                        push(name, path, self._bar(bar, why), article)
+                elif kind == "close" and places.get(name):
+                    flush()
+                    cut(places[name][-1])
+                continue
+            flush()
+            links = 0
+            if kind == "close":
+                if places.get(name):
+                    cut(places[name][-1])
+                continue
+            if name in CLOSES:
+                closed, until = CLOSES[name]
+                edge = where(until)
+                while (n := where(closed)) > edge:
+                    cut(n)
+            elif name not in _INSIDE_P and where(["p"]) > (others[-1] if others else -1):
+                cut(where(["p"]))
+            if name in VOID:
+                continue
+            _, path, bar, article = top()
+            label, why = _named(attributes, article) if attributes else ("", "")
+            if name in ("html", "body", "article", "main"):
+                why = "" if why != "hidden" else why
+            if name in BOILERPLATE or name == "header" and not article:
+                why = "element"
+            if name in ("h1", "main"):
+                b = bar
+                while b and not self.holds[b]:
+                    self.holds[b] = True
+                    b = self.above[b]
+            push(name, self._path(path, name + label), self._bar(bar, why) if why else bar, article or name in ("article", "main"))
         flush()
-        if m[2]:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-            continue
-        closed, until = CLOSES.get(name, ((), frozenset()))
-        if closed:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in until or name not in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[i][0] in BLOCKS and stack[i][0] not in closed:
-                    break
-                if stack[i][0] in closed:
-                    del stack[i:]
-        if name in VOID:
-            continue
-        above = stack[-1] if stack else ("", "", False, ())
-        inside = above[3]
-        if name in _KEEP_HEADER_IN:
-            holders += 1
-            inside = (*inside, holders)
-        hint = "".join("." + v.strip("\"'") for k, v in _HINTS.findall(m[4] or "") if k.lower() in ("class", "id"))
-        stack.append((name, name + hint, above[2] or _barred(name, m[4] or "", bool(inside)), inside))
-    if at < len(page):
-        parts.append(page[at:])
-    flush()
+
+
+def _named(attributes: str, article: bool) -> tuple[str, str]:
+    """What class and id add to a path, and why an element is barred by its attributes, if it is."""
+    label = why = ""
+    for key, value in _HINTS.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+            why = "hidden"
+        elif key in ("class", "id", "role"):
+            if key != "role":
+                label += "." + _DIGITS.sub("", value)
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if not why and words & ANYWHERE:
+                why = "name"
+            elif not why and not article and words & LAYOUT:
+                why = "layout"
+    return label, why
+
+
+def barred(page: Page) -> list[bool]:
+    """Of each bar, whether it holds: by its element or because it is hidden always, by name unless it holds the page's main part."""
+    weight = [0] * len(page.above)
+    for b in page.blocks:
+        weight[b.bar] += len(b.text)
+    total = sum(n for n, kind in zip(weight, page.kind, strict=True) if kind not in ("element", "hidden"))
+    for n in range(len(weight) - 1, 0, -1):  # a bar comes after the one above it
+        weight[page.above[n]] += weight[n] if page.kind[n] not in ("element", "hidden") else 0
+    out = [False]
+    for n in range(1, len(weight)):
+        kind = page.kind[n]
+        fast = kind in ("element", "hidden") or not (page.holds[n] or kind == "layout" and 2 * weight[n] > total)
+        out.append(out[page.above[n]] or fast)
     return out
 
 
-def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Shared beginning of two paths, as a part of the longer one."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n / max(len(a), len(b), 1)
+def fused(length: float, marks: float, count: int) -> float:
+    """Text length and punctuation of a block on average, multiplied."""
+    return length / count * (1 + marks / count) if count else 0.0
 
 
-def content_paths(blocks: list[Block], reach: int = 2) -> set[tuple[str, ...]]:
-    """Paths whose fused and smoothed ratio reaches the threshold (a third of its length-weighted mean)."""
-    length: dict[tuple[str, ...], int] = {}
-    marks: dict[tuple[str, ...], int] = {}
-    count: dict[tuple[str, ...], int] = {}
+def path_ratios(page: Page, blocks: list[Block]) -> list[float]:
+    """Of each path, the fused and smoothed ratio of *blocks*, less the part that is links."""
+    n = len(page.parent)
+    own = [[0.0, 0.0, 0.0, 0] for _ in range(n)]  # text, marks, links and blocks of the path
+    exempt = [False] * n
     for b in blocks:
-        length[b.path] = length.get(b.path, 0) + len(b.text)
-        marks[b.path] = marks.get(b.path, 0) + len(_MARKS.findall(b.text))
-        count[b.path] = count.get(b.path, 0) + 1
-    ratio = {p: length[p] / count[p] * (1 + marks[p] / count[p]) for p in count}
-    smooth: dict[tuple[str, ...], list[float]] = {p: [0.0, 0.0] for p in count}
-    for i, b in enumerate(blocks):
-        for k in range(max(0, i - reach), min(len(blocks), i + reach + 1)):
-            w = math.exp(-abs(i - k)) * _likeness(b.path, blocks[k].path)
-            smooth[b.path][0] += w * ratio[blocks[k].path]
-            smooth[b.path][1] += w
-    value = {p: s / w if w else ratio[p] for p, (s, w) in smooth.items()}
-    total = sum(length.values())
-    mean = sum(value[p] * length[p] for p in value) / total if total else 0.0
-    return {p for p in value if value[p] >= mean / 3}
-
-
-def main_text(page: str | None) -> str:
+        x = own[b.path]
+        x[0] += len(b.text)
+        x[1] += b.marks
+        x[2] += len(b.text) * b.linked
+        x[3] += 1
+        exempt[b.path] = b.article or page.label[b.path].split(".")[0] in HEADINGS
+    ratio = [fused(text, marks, count) for text, marks, _, count in own]
+    # of what lies right in or right below each path, or anywhere in an article or main element, the mean ratio of its text
+    around = [[ratio[p] * own[p][0], own[p][0]] for p in range(n)]
+    whole = [False] * n
+    for p in range(1, n):  # a path comes after its parent
+        whole[p] = whole[page.parent[p]] or page.label[p].split(".")[0] in ("article", "main")
+    for p in range(n - 1, 0, -1):
+        x, y = (around[p] if whole[page.parent[p]] else [ratio[p] * own[p][0], own[p][0]]), around[page.parent[p]]
+        y[0] += x[0]
+        y[1] += x[1]
+    level = [x / y if y else 0.0 for x, y in around]
+    out = []
+    for p in range(n):
+        above = LIFT * level[page.parent[p]] if p else 0.0
+        level[p] = max(level[p], above)
+        value = max(ratio[p], above)
+        text, _, links, _ = own[p]
+        out.append(value * (1 - links / text) if text and not exempt[p] else value)
+    return out
+
+
+def content_paths(page: Page, blocks: list[Block]) -> set[int]:
+    """Paths that reach LEAST of the mean ratio of all text."""
+    ratio = path_ratios(page, blocks)
+    total = sum(len(b.text) for b in blocks)
+    mean = sum(ratio[b.path] * len(b.text) for b in blocks) / total if total else 0.0
+    return {b.path for b in blocks if ratio[b.path] >= LEAST * mean}
+
+
+def main_text(source: str | None) -> str:
     """The page's main text: blocks of content paths, in order, joined by an empty line."""
-    if not page:
+    if not source:
         return ""
-    blocks = [b for b in blocks_of(page) if not b.barred]
-    chosen = content_paths(blocks)
-    # text of content paths inside each article or main element, nested ones included; these add blocks and take none away
-    weight: dict[int, int] = {}
-    inner = outer = 0
-    for b in blocks:
-        if b.path in chosen:
-            for h in b.holders:
-                weight[h] = weight.get(h, 0) + len(b.text)
-            if b.holders:
-                inner += len(b.text)
-            else:
-                outer += len(b.text)
-    most = max(weight.values(), default=0)
-    whole = {h for h, n in weight.items() if n * 4 >= most} if inner * 2 >= outer else set()
-    kept = [b for b in blocks if b.path in chosen or not whole.isdisjoint(b.holders)]
-    return "\n\n".join(b.text for b in kept)
+    page = Page(source)
+    gone = barred(page)
+    blocks = [b for b in page.blocks if not gone[b.bar]]
+    chosen = content_paths(page, blocks)
+    return "\n\n".join(b.text for b in blocks if b.path in chosen)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
