@@ -7,7 +7,7 @@ decontamination drops documents with a benchmark passage; packing lays out what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymesh.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, shared
@@ -16,33 +16,36 @@ from waymesh.llm import decontaminate, jaccard_join, language_id, line_dedup, pa
 LEAST_SCORE = 0.4
 
 
-def _kept(docs: DataFrame, found: DataFrame, keep: Column) -> DataFrame:
-    """Rows of *docs* whose id *found* has with *keep*."""
-    ids = found.where(keep).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognisable language."""
+    """Documents in a recognisable language; each row is judged by its own text, whatever its id."""
     model = language_id.fit(docs, train=shared.fold(F.col("doc_id"), 5) != 0)
-    return _kept(docs, language_id.identify(docs, model), (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = language_id.identify(docs, model, carry=shared.carried(docs))
+    return shared.unpacked(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their repeated lines."""
-    rebuilt = line_dedup.dedup_lines(docs, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
-    return rebuilt.select(*(new.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns))
+    rebuilt = line_dedup.dedup_lines(docs, carry=shared.carried(docs))
+    out = shared.unpacked(rebuilt, docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    return _kept(docs, jaccard_join.near_duplicates(docs), F.col("component_id").eqNullSafe(F.col("doc_id")))
+    """The document with the smallest id of each near-duplicate component.
+
+    A row is known by its id and its text, so of rows that share an id each has its own fate; rows alike in
+    both stay or go together.  A row without an id is in no component and stays.
+    """
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = jaccard_join.near_duplicates(docs.withColumn("near_tag", tag), carry=("near_tag",))
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id"), F.col("rest.near_tag").alias("gone_tag"))
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (tag == gone["gone_tag"]), "left_anti")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return _kept(docs, decontaminate.find_hits(docs, shared.table(spark, sf_dir, "benchmark")).select("doc_id", "hits"), F.size("hits") == 0)
+    """Documents without a benchmark passage; each row is judged by its own text, whatever its id."""
+    found = decontaminate.find_hits(docs, shared.table(spark, sf_dir, "benchmark"), carry=shared.carried(docs), with_text=True)
+    return shared.unpacked(found.where(F.size("hits") == 0), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
