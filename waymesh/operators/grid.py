@@ -124,3 +124,8 @@ def grid_epsilon(eps_m: float, radius_m: float, mode: str = "under") -> float:
     if mode not in ("under", "over"):
         raise ValueError("mode is 'under' or 'over'")
     return eps_m / 2 + (radius_m if mode == "over" else 0)
+
+
+def distinct_cells(near: DataFrame, group: str) -> DataFrame:
+    """*group* and ``cells``: how many different anchors the places of each group are near to, and (null) those of all."""
+    return near.select(group, "cell").distinct().rollup(group).agg(F.countDistinct("cell").alias("cells"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.geo import pair_score
 
-from .matrix import deltas as deltas_of
-
 
 def _long(matrix: DataFrame) -> DataFrame:
     """``i, c, m`` of a plain or an extended matrix."""
@@ -16,23 +14,43 @@ def _long(matrix: DataFrame) -> DataFrame:
 
 
 def _scored(dots: DataFrame, deltas: DataFrame) -> DataFrame:
-    """``query, node, score`` from ``query, node, dot``."""
+    """``query, node, score`` from ``query, node, dot``; only the objects of *dots* need a delta."""
     q = deltas.select(F.col("i").alias("query"), F.col("delta").alias("delta_q"))
     x = deltas.select(F.col("i").alias("node"), F.col("delta").alias("delta_x"))
     joined = dots.join(q, "query").join(x, "node")
-    return joined.select("query", "node", (F.lit(2.0) * F.col("dot") / (F.col("delta_q") + F.col("delta_x"))).cast("double").alias("score"))
+    return joined.select("query", "node", _score(F.col("dot"), F.col("delta_q"), F.col("delta_x")).alias("score"))
+
+
+def _score(dot: Column, delta_q: Column, delta_x: Column) -> Column:
+    return (F.lit(2.0) * dot / (delta_q + delta_x)).cast("double")
 
 
 def scores(matrix: DataFrame, queries: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
     """``query, node, score`` of every object that shares a column with a query (*queries*: ``query``).
 
-    Only the queries' rows meet the matrix; all pairs of objects are never formed.
+    Only the queries' rows meet the matrix; all pairs of objects are never formed.  Without *deltas* the
+    matrix is gone through once: each entry counts towards its row's delta and towards the dot products
+    with those queries that have its column.
     """
     m = _long(matrix)
-    deltas = deltas_of(m) if deltas is None else deltas
-    rows = m.join(queries.select(F.col("query").alias("i")).distinct(), "i").select(F.col("i").alias("query"), "c", F.col("m").alias("q"))
-    dots = rows.join(m.select(F.col("i").alias("node"), "c", "m"), "c").groupBy("query", "node").agg(F.sum(F.col("q") * F.col("m")).alias("dot"))
-    return _scored(dots, deltas)
+    rows = m.join(queries.select(F.col("query").alias("i")).distinct(), "i", "left_semi").select(F.col("i").alias("query"), "c", F.col("m").alias("q"))
+    if deltas is not None:
+        dots = rows.join(m.select(F.col("i").alias("node"), "c", "m"), "c").groupBy("query", "node").agg(F.sum(F.col("q") * F.col("m")).alias("dot"))
+        return _scored(dots, deltas)
+    of_column = rows.groupBy(F.col("c").alias("at")).agg(F.collect_list(F.struct("query", "q")).alias("asked"))
+    # a row's own values beside those of the queries: their sum of products is the delta
+    own = F.array(F.struct(F.lit(None).cast("bigint").alias("query"), F.col("m").alias("q")))
+    met = m.join(of_column, m["c"] == of_column["at"], "left").select("i", "m", F.explode(F.concat(own, F.coalesce("asked", F.array().cast(own_type(m))))).alias("x"))
+    sums = met.groupBy("i", "x.query").agg(F.sum(F.col("m") * F.col("x.q")).alias("dot"))
+    of_node = sums.groupBy(F.col("i").alias("node")).agg(F.max(F.when(F.col("query").isNull(), F.col("dot"))).alias("delta_x"), F.collect_list(F.when(F.col("query").isNotNull(), F.struct("query", "dot"))).alias("found"))
+    found = of_node.where(F.size("found") > 0).select("node", "delta_x", F.explode("found").alias("f")).select("node", "delta_x", "f.query", "f.dot")
+    of_query = rows.groupBy("query").agg(F.sum(F.col("q") * F.col("q")).alias("delta_q"))
+    return found.join(of_query, "query").select("query", "node", _score(F.col("dot"), F.col("delta_q"), F.col("delta_x")).alias("score"))
+
+
+def own_type(matrix: DataFrame) -> str:
+    """The type of a list of queries' values in a column."""
+    return f"array<struct<query:bigint,q:{dict(matrix.dtypes)['m']}>>"
 
 
 def _checked(k: int) -> None:

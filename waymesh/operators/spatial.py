@@ -65,3 +65,10 @@ def place_kernel(coordinates: DataFrame, eps_m: float, weighted: bool = False) -
     ends = F.when(F.col("u") == F.col("v"), F.array("u")).otherwise(F.array("u", "v"))
     own = pairs.select(F.explode(ends).alias("a"), "w").groupBy("a").agg(F.sum("w").alias("k"))
     return between.select("p.a", "p.b", F.col("w").alias("k")).unionByName(own.select("a", F.col("a").alias("b"), "k"))
+
+
+def cell_kernel(coordinates: DataFrame, eps_m: float, cells, weighted: bool = False) -> DataFrame:
+    """``a, b, k`` of the grid's columns: the inner products of two places' anchors, by a join on the anchor."""
+    c = cell_columns(coordinates, eps_m, cells, weighted)
+    x, y = (c.select(F.col("j").alias(p), "cell", F.col("w").alias(f"w_{p}")) for p in "ab")
+    return x.join(y, "cell").groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("k"))

@@ -151,10 +151,11 @@ def candidates(spark, d):
 
 
 def haversine_pairs(spark, d):
-    """Distances of all pairs of places; their number is the square of the places', as every one is asked for."""
-    p = places(spark, d)
-    a, b = p.select(*(F.col(c).alias(f"{c}_a") for c in p.columns)), p.select(*(F.col(c).alias(f"{c}_b") for c in p.columns))
-    return _rounded(a.join(b, F.col("id_a") < F.col("id_b")).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")).alias("dist")), "dist", digits=5)
+    """The distance of every place from the first place of its nation, itself included."""
+    home = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("u"))
+    first = home.join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("v"), F.col("s_nationkey").alias("of")), F.col("s_nationkey") == F.col("of")).select("u", "v")
+    a, b = (places(spark, d).select(F.col("id").alias(x), F.col("lon").alias(f"lon_{x}"), F.col("lat").alias(f"lat_{x}")) for x in "uv")
+    return _rounded(first.join(a, "u").join(b, "v").select("u", "v", haversine_m(F.col("lon_u"), F.col("lat_u"), F.col("lon_v"), F.col("lat_v")).alias("dist")), "dist", digits=5)
 
 
 def epsilon_pairs(spark, d):
@@ -239,8 +240,9 @@ def rank_position(spark, d):
 
 def _compared(spark, d):
     """Measures over every customer with a row in the matrix, at all the surveyed k."""
-    every = _left(spark, d).select(F.col("i").alias("query")).distinct()
-    return quality.compare_quality(_exact(spark, d), _grid(spark, d), every)
+    left, p = _left(spark, d), places(spark, d)
+    every = left.select(F.col("i").alias("query")).distinct()
+    return quality.compare_kernels(left, spatial.place_kernel(p, EPS_M), spatial.cell_kernel(p, grid.grid_epsilon(EPS_M, CELLS.radius_m), CELLS), every)
 
 
 def quality_precision_recall(spark, d):
@@ -291,6 +293,26 @@ def query_sample(spark, d):
     return quality.query_sample(_left(spark, d), 100)
 
 
+def distinct_cells(spark, d):
+    """Anchors that the places of each nation are near to, and those of all."""
+    near = CELLS.near(places(spark, d), grid.grid_epsilon(EPS_M, CELLS.radius_m)).join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey"), "id")
+    return grid.distinct_cells(near, "s_nationkey")
+
+
+def experiment_neighbors(spark, d):
+    """Neighbours through shared columns for each customer, over distances and modes in one table."""
+    left, p = _left(spark, d), places(spark, d)
+
+    def run(approach: str, epsilon: int) -> DataFrame:
+        if approach == "exact":
+            m = spatial.extend_exact(left, p, epsilon)
+        else:
+            m = spatial.extend_grid(left, p, grid.grid_epsilon(epsilon, CELLS.radius_m, approach), CELLS)
+        return matrix.row_stats(m).select("i", "entries", "total")
+
+    return quality.experiments([{"approach": a, "epsilon": e} for e in (2000, EPS_M) for a in ("exact", "under", "over")], run)
+
+
 def cell_radius(spark, d):
     return radius.cell_radius(spark, CELLS)
 
@@ -342,8 +364,8 @@ def _cells(eps: float) -> str:
     near AS (SELECT DISTINCT id, cell::BIGINT AS cell, dist FROM dists WHERE dist <= {eps!r})"""
 
 
-def _gm(weighted: bool, mode: str) -> str:
-    eps = grid.grid_epsilon(EPS_M, CELLS.radius_m, mode)
+def _gm(weighted: bool, mode: str, distance: int = EPS_M) -> str:
+    eps = grid.grid_epsilon(distance, CELLS.radius_m, mode)
     w = f"greatest(0.0::DOUBLE, 1 - dist / {eps!r})" if weighted else "1::BIGINT"
     kind = "DOUBLE" if weighted else "BIGINT"
     return f"{_PLACE}, {_L}, {_cells(eps)}, r AS (SELECT id AS j, cell AS c1, 0 AS c2, {w} AS w FROM near), m AS (SELECT i, c1, c2, sum(l.v * r.w)::{kind} AS m FROM l JOIN r USING (j) WHERE r.w > 0 GROUP BY ALL)"
@@ -352,6 +374,13 @@ def _gm(weighted: bool, mode: str) -> str:
 _PLAIN = f"{_L}, m AS (SELECT i, j AS c1, 0 AS c2, v AS m FROM l)"
 
 
+def _eps(eps: int, approach: str) -> str:
+    """The matrix of an experiment."""
+    if approach == "exact":
+        return _m().replace(f"<= {EPS_M})", f"<= {eps})")
+    return _gm(False, approach, eps)
+
+
 def _scores(name: str = "", ids: str = "7, 11, 42") -> str:
     """Scores from a matrix ``m``, under names with a suffix."""
     return f"d{name} AS (SELECT i, sum(m * m) AS delta FROM m{name} GROUP BY i), dot{name} AS (SELECT a.i AS query, b.i AS node, sum(a.m * b.m) AS dot FROM m{name} a JOIN m{name} b ON a.c1 = b.c1 AND a.c2 = b.c2 WHERE a.i IN ({ids}) GROUP BY ALL), s{name} AS (SELECT query, node, CAST(2.0 AS DOUBLE) * dot::DOUBLE / (x.delta + y.delta)::DOUBLE AS score FROM dot{name} JOIN d{name} x ON x.i = query JOIN d{name} y ON y.i = node)"
@@ -370,22 +399,22 @@ def _top_one(m: str) -> str:
 
 
 def _quality() -> str:
-    ids = ", ".join(map(str, range(1, 21)))
+    ids = "SELECT i FROM l"
     exact = _m().replace("m AS (SELECT", "m_e AS (SELECT")
     gm = _gm(False, "under").split(_L + ", ")[1].replace("r AS (SELECT id", "r_g AS (SELECT id").replace("m AS (SELECT", "m_g AS (SELECT").replace("JOIN r USING (j) WHERE r.w", "JOIN r_g AS r USING (j) WHERE r.w")
     ranks = ", ".join(f"k{x} AS (SELECT query, node, score, {_RANKED} FROM s{x} WHERE node <> query AND score > 0)" for x in ("_e", "_g"))
     per_k = ", ".join(
         f"count(*) FILTER (e.rank <= {k} AND g.rank <= {k}) AS same_{k}, coalesce(sum((pow(2.0::DOUBLE, coalesce(e.score, 0)) - 1) / log2(g.rank + 1)) FILTER (g.rank <= {k}), 0) AS dcg_{k}, coalesce(sum((pow(2.0::DOUBLE, e.score) - 1) / log2(e.rank + 1)) FILTER (e.rank <= {k}), 0) AS best_{k}"
-        for k in (1, 5, 10)
+        for k in quality.KS
     )
     return f"""WITH {exact}, {gm}, {_scores('_e', ids)}, {_scores('_g', ids)}, {ranks},
     j AS (SELECT coalesce(e.query, g.query) AS query, count(e.rank) AS n_ref, count(g.rank) AS n_cand, count(*) FILTER (e.rank IS NOT NULL AND g.rank IS NOT NULL) AS hits, count(*) AS n,
       sum(abs(coalesce(e.score, 0) - coalesce(g.score, 0))) AS abs_, sum(pow(coalesce(e.score, 0) - coalesce(g.score, 0), 2)) AS sq, {per_k} FROM k_e e FULL JOIN k_g g ON e.query = g.query AND e.node = g.node GROUP BY 1),
-    every AS (SELECT q.query, coalesce(n_ref, 0) AS n_ref, coalesce(n_cand, 0) AS n_cand, coalesce(n, 0) AS n, * EXCLUDE (query, n_ref, n_cand, n) FROM (SELECT unnest(range(1, 21)) AS query) q LEFT JOIN j ON j.query = q.query)"""
+    every AS (SELECT q.query, coalesce(n_ref, 0) AS n_ref, coalesce(n_cand, 0) AS n_cand, coalesce(n, 0) AS n, * EXCLUDE (query, n_ref, n_cand, n) FROM (SELECT DISTINCT i AS query FROM l) q LEFT JOIN j ON j.query = q.query)"""
 
 
 def _at(name: str, expression: str) -> str:
-    return ", ".join(f"round(coalesce(avg({expression.format(k=k)}) FILTER (n_ref >= {k}), 0), 6) AS {name}_{k}" for k in (1, 5, 10))
+    return ", ".join(f"round(coalesce(avg({expression.format(k=k)}) FILTER (n_ref >= {k}), 0), 6) AS {name}_{k}" for k in quality.KS)
 
 
 _GRAPH = "nodes AS (SELECT c_custkey * 3 AS node_id, 0 AS type_id FROM customer UNION ALL SELECT s_suppkey * 3 + 1, 1 FROM supplier UNION ALL SELECT n_nationkey::BIGINT * 3 + 2, 2 FROM nation), edges AS (SELECT c_custkey * 3 AS src, 0 AS etype_id, c_nationkey::BIGINT * 3 + 2 AS dst FROM customer UNION ALL SELECT s_suppkey * 3 + 1, 1, s_nationkey::BIGINT * 3 + 2 FROM supplier)"
@@ -416,7 +445,7 @@ ORACLE: dict[str, str] = {
     "dense_deltas": f"WITH {_L} SELECT c_custkey AS i, coalesce(sum(v * v), 0)::BIGINT AS delta FROM customer LEFT JOIN l ON i = c_custkey GROUP BY c_custkey",
     "plain_topk": _top_one(_PLAIN),
     "candidates": f"WITH {_L} SELECT DISTINCT b.i FROM l a JOIN l b USING (j) WHERE a.i = {ONE}",
-    "haversine_pairs": f"WITH {_PLACE} SELECT a.id AS u, b.id AS v, round({_dist('a', 'b')}, 5) AS dist FROM place a JOIN place b ON a.id < b.id AND a.id % 10 = b.id % 10 WHERE b.id <= 60",
+    "haversine_pairs": f"WITH {_PLACE}, home AS (SELECT s_nationkey, min(s_suppkey) AS u FROM supplier GROUP BY s_nationkey) SELECT a.id AS u, b.id AS v, round({_dist('a', 'b')}, 5) AS dist FROM home JOIN supplier USING (s_nationkey) JOIN place a ON a.id = u JOIN place b ON b.id = s_suppkey",
     "epsilon_pairs": f"WITH {_PLACE}, {_PAIRS} SELECT u, v, round(dist, 5) AS dist FROM pairs",
     "range_query": f"WITH {_PLACE}, q AS (SELECT CAST(-138.0 AS DOUBLE) AS lon, CAST(-50.0 AS DOUBLE) AS lat) SELECT id, round({_dist('q', 'place')}, 5) AS dist FROM place, q WHERE {_dist('q', 'place')} <= 20000",
     "box_search": f"WITH {_RECTS} SELECT id FROM rects WHERE {_BOX}",
@@ -446,11 +475,14 @@ ORACLE: dict[str, str] = {
     "etl_checkin_graph": f"WITH {_EVENTS}, u AS (SELECT usr, row_number() OVER (ORDER BY usr COLLATE \"C\") - 1 AS id FROM (SELECT DISTINCT usr FROM ok)), p AS (SELECT venue, row_number() OVER (ORDER BY venue COLLATE \"C\") - 1 + (SELECT count(*) FROM u) AS id FROM (SELECT DISTINCT venue FROM ok)), c AS (SELECT cat, row_number() OVER (ORDER BY cat COLLATE \"C\") - 1 + (SELECT count(*) FROM u) + (SELECT count(*) FROM p) AS id FROM (SELECT DISTINCT cat FROM ok WHERE cat IS NOT NULL)) SELECT DISTINCT u.id::BIGINT AS src, 0 AS etype_id, p.id::BIGINT AS dst FROM ok JOIN u USING (usr) JOIN p USING (venue) UNION ALL SELECT DISTINCT p.id::BIGINT, 1, c.id::BIGINT FROM ok JOIN p USING (venue) JOIN c USING (cat)",
     "etl_duplicate_edges": "SELECT l_orderkey AS src, 2 AS etype_id, l_suppkey AS dst, count(*)::BIGINT AS n FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1",
     "etl_edge_counts": f"WITH {_GRAPH} SELECT etype_id, count(*)::BIGINT AS n FROM edges GROUP BY etype_id",
+    "query_sample": f"WITH {_L} SELECT i AS query FROM (SELECT DISTINCT i, md5('42:' || i) AS h FROM l) ORDER BY h, i LIMIT 100",
+    "distinct_cells": f"WITH {_PLACE}, {_cells(grid.grid_epsilon(EPS_M, CELLS.radius_m))}, o AS (SELECT s_nationkey, cell FROM near JOIN supplier ON s_suppkey = id) SELECT s_nationkey, count(DISTINCT cell)::BIGINT AS cells FROM o GROUP BY s_nationkey UNION ALL SELECT NULL, count(DISTINCT cell)::BIGINT FROM o",
+    "experiment_neighbors": " UNION ALL ".join(f"SELECT '{a}' AS approach, {e}::INTEGER AS epsilon, i, entries, total FROM (WITH {_eps(e, a)} SELECT i, count(*)::BIGINT AS entries, sum(m)::BIGINT AS total FROM m GROUP BY i)" for e in (2000, EPS_M) for a in ("exact", "under", "over")),
     "timing_stats": "SELECT event_type AS name, count(*)::BIGINT AS runs, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS deviation FROM events GROUP BY event_type",
 }
 
 #: Hashes and geometry that SQL can't say alike.
-_ROWS_ONLY = ["query_sample", "cell_radius"]
+_ROWS_ONLY = ["cell_radius"]
 
 
 def queries() -> dict:
