@@ -1,11 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waymesh.functions import metapath, text
+from waymesh.functions import geo, metapath, text
 from waymesh.functions.metapath import EdgeType, Step
 from waymesh.operators import cell_radius, grid, matrix, quality
 from waymesh.plans.catalog import Catalog
-from waymesh.sources import etl, files, sinks
+from waymesh.sources import etl, files, model, sinks
 
 EDGES = [EdgeType("wrote", "author", "publication"), EdgeType("published_in", "publication", "venue"), EdgeType("works_at", "author", "affiliation")]
 
@@ -81,6 +81,116 @@ def test_matrix_files(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/r").first()[0] == "a: 1.000000000000"
 
 
+@pytest.mark.parametrize(
+    "text,entries",
+    [
+        ("%%MatrixMarket matrix coordinate integer general\n% a comment\n2 3 2\n2 3 2\n1 1 7\n", [(0, 0, 7.0), (1, 2, 2.0)]),  # an entry like the size line
+        ("%%MatrixMarket matrix coordinate real general\r\n2 2 0\r\n", []),
+        ("%%MatrixMarket matrix coordinate real general\n2 3 3\n2 3 2\n1 1 7\n", None),  # fewer entries than told
+        ("%%MatrixMarket matrix coordinate real general\n2 3 1\n2 3 2\n1 1 7\n", None),
+        ("%%MatrixMarket matrix coordinate real general\n2 3 1\n2 4 2\n", None),  # out of range
+        ("%%MatrixMarket matrix coordinate real general\n2 3 1\n2 x 2\n", None),
+        ("%%MatrixMarket matrix coordinate real general\n2 3\n", None),
+        ("%%MatrixMarket matrix array real general\n2 3 1\n1 1 1\n", None),
+        ("2 3 1\n1 1 1\n", None),
+        ("", None),
+    ],
+)
+def test_matrix_market_headers(spark, tmp_path, text, entries):
+    (tmp_path / "m.mtx").write_text(text, newline="")
+    found = files.read_matrix_market(spark, f"{tmp_path}/m.mtx")
+    assert (found is None) == (entries is None)
+    assert found is None or sorted(map(tuple, found[0].collect())) == entries
+    assert files.read_matrix_market(spark, f"{tmp_path}/nowhere.mtx") is None
+
+
+def test_lines_are_numbered_in_the_jvm(spark, tmp_path):
+    (tmp_path / "part-1").write_text("".join(f"b{k}\n" for k in range(700)))
+    (tmp_path / "part-0").write_text("".join(f"a{k}  \r\n" for k in range(1000)), newline="")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        found = files.lines(spark, str(tmp_path))
+        assert [(r["n"], r["line"]) for r in found.orderBy("n").collect()] == list(enumerate([*(f"a{k}" for k in range(1000)), *(f"b{k}" for k in range(700))]))
+        assert "Python" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
+def test_local_ids_of_outlying_nodes(spark):
+    rows = [*((i, i % 3) for i in range(0, 3000, 2)), (10**15, 1), (-5, 2)]
+    got = {r["node_id"]: r["local_id"] for r in model.local_ids(spark.createDataFrame(rows, model.NODES)).collect()}
+    for t in range(3):
+        assert [got[i] for i in sorted(i for i, k in rows if k == t)] == list(range(sum(k == t for _, k in rows)))
+    assert model.local_ids(spark.createDataFrame([], model.NODES)).collect() == []
+    # places and counts come from one and the same split into ranges
+    found = model.local_ids(spark.createDataFrame(rows, model.NODES))
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layouts(spark, tmp_path):
+    t = spark.createDataFrame([("exact", True, 500, 0, 7, 10, 3, 4.5, 2, 1500.0, 0.0)], "approach string, weighted boolean, epsilon int, grid_resolution int, query bigint, k int, row_nonzeros bigint, row_value_sum double, result_size int, mean_ns double, stddev_ns double")
+    sinks.write_runtimes(t, f"{tmp_path}/r")
+    read = spark.read.option("sep", ";").option("header", True).csv(f"{tmp_path}/r")
+    assert read.columns[-6:] == ["mean_ns", "mean_us", "mean_ms", "stddev_ns", "stddev_us", "stddev_ms"] and read.first()["mean_us"] == "1.500000"
+    counts = matrix.neighbor_counts(spark.createDataFrame([(1, 2, 1)], "i bigint, j bigint, v bigint"), spark.createDataFrame([(1, 2, 1), (1, 3, 1)], "i bigint, j bigint, v bigint"), spark.createDataFrame([(1,)], "i bigint"))
+    sinks.write_neighbor_counts(counts.selectExpr("'grid' AS approach", "4000 AS epsilon", "2 AS grid_resolution", "*"), f"{tmp_path}/n")
+    assert tuple(spark.read.option("sep", ";").option("header", True).csv(f"{tmp_path}/n").first()) == ("grid", "4000", "2", "1", "1", "2")
+    sinks.write_radius(cell_radius.cell_radius(spark, grid.LatticeCells(30.0)).selectExpr("7 AS resolution", "*"), f"{tmp_path}/c")
+    r = spark.read.option("header", True).csv(f"{tmp_path}/c").first()
+    assert int(r["max_boundary_cell"], 16) >= 0 and float(r["max_center_to_vertex_m"]) <= float(r["rounded_upper_bound_m"])
+
+
+def test_photo_files(spark, tmp_path):
+    """Shards of JSON lines, also compressed; the first coordinates are those of the first file by name."""
+    import gzip
+
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write('{"photoid": "p1", "uid": "u1", "longitude": "1", "latitude": "2", "title": "x"}\n')
+    (tmp_path / "b.json").write_text('{"photoid": "p1", "uid": "u1", "longitude": "9", "latitude": "9"}\n' * 400 + '{"photoid": "p2", "uid": "u2", "longitude": "3", "latitude": null}\n{"photoid": "p3", "uid": "u1", "longitude": "4", "latitude": "5"}\n')
+    g = etl.build_photo_graph(etl.read_photos(spark, f"{tmp_path}/b.json", f"{tmp_path}/a.json.gz"))
+    assert sorted(map(tuple, g.coordinates["photo"].collect())) == [(0, 1.0, 2.0), (1, 4.0, 5.0)]
+    assert sorted(map(tuple, g.edges.collect())) == [(0, 0, 1), (0, 0, 2)]
+    sinks.write_graph(g, f"{tmp_path}/out")
+    sinks.merged(spark, f"{tmp_path}/out/mapping/photo_mapping.csv", f"{tmp_path}/photo.csv")
+    assert (tmp_path / "photo.csv").read_text().splitlines() == ["0,1,p1", "1,2,p3"]
+
+
+def test_row_dimensions(spark):
+    m = spark.createDataFrame([(0, 2, 3), (1, 0, 1)], "i bigint, j bigint, v bigint")
+    quality.same_rows(m, m)
+    with pytest.raises(ValueError, match="rows differ"):
+        quality.same_rows(m, m.where("i = 0"))
+
+
+def test_experiments(spark):
+    got = quality.experiments([{"a": "x", "n": 1}, {"a": "y", "n": 2}], lambda a, n: spark.range(n).withColumnRenamed("id", "i"))
+    assert sorted(map(tuple, got.collect())) == [("x", 1, 0), ("y", 2, 0), ("y", 2, 1)] and got.columns == ["a", "n", "i"]
+
+
+def test_cells_in_hexadecimal(spark):
+    assert spark.range(1).select(geo.cell_hex(F.lit(0x8A2A1072B59FFFF))).first()[0] == "8a2a1072b59ffff"
+
+
+def test_hex_cells_by_a_stub(spark, monkeypatch, tmp_path):
+    """The hexagonal grid's own code, with a package of its name that has square cells."""
+    (tmp_path / "h3.py").write_text(
+        "def average_hexagon_edge_length(r, unit): return 1000.0\n"
+        "def latlng_to_cell(lat, lng, r): return f'{round(lat * 100) + 9000:04x}{round(lng * 100) + 18000:04x}'\n"
+        "def grid_disk(c, k): return [f'{int(c[:4], 16) + a:04x}{int(c[4:], 16) + b:04x}' for a in range(-k, k + 1) for b in range(-k, k + 1)]\n"
+        "def cell_to_latlng(c): return (int(c[:4], 16) - 9000) / 100, (int(c[4:], 16) - 18000) / 100\n"
+        "def str_to_int(c): return int(c, 16)\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "h3.py"))
+    cells = grid.HexCells(7)
+    found = cells.near(spark.createDataFrame([(1, 10.0, 50.0), (2, None, 1.0)], "id bigint, lon double, lat double"), 1500.0).collect()
+    # cells a hundredth of a degree apart: 1112 m to the north, 715 m to the east
+    assert {(r["cell"] >> 16, r["cell"] & 0xFFFF) for r in found} == {(14000 + a, 19000 + b) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2) if (a * 1112) ** 2 + (b * 715) ** 2 <= 1500**2}
+    assert all(r["dist"] <= 1500 and r["id"] == 1 for r in found) and cells.radius_m == 1549
+
+
 def test_catalog(spark, tmp_path):
     c, calls = Catalog(spark, str(tmp_path)), []
 

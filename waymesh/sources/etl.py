@@ -15,10 +15,15 @@ PHOTO_TYPES = ["user", "photo"]
 PHOTO_EDGES = [EdgeType("posted", "user", "photo")]
 
 
+def _place() -> Column:
+    """Where a row stands in its input, however files are cut and dealt: file, block and place in the block, which compare in that order."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("n")
+
+
 def read_checkins(spark: SparkSession, *paths: str) -> DataFrame:
-    """Rows of check-in files with a header; ``city`` comes from the file's name, ``n`` is the input order."""
-    raw = spark.read.csv(list(paths), header=True).withColumn("file", F.input_file_name())
-    return raw.withColumn("city", city_of(F.col("file"))).withColumn("n", F.monotonically_increasing_id()).drop("file")
+    """Rows of check-in files with a header; ``city`` comes from the file's name, ``n`` is the input order (by file name, then place)."""
+    raw = spark.read.csv(list(paths), header=True).select("*", _place())
+    return raw.withColumn("city", city_of(F.col("n.file")))
 
 
 def city_of(file: Column) -> Column:
@@ -30,7 +35,7 @@ def city_of(file: Column) -> Column:
 def read_photos(spark: SparkSession, *paths: str) -> DataFrame:
     """Photo metadata from JSON lines (also gzipped)."""
     schema = "photoid string, uid string, longitude string, latitude string"
-    return spark.read.schema(schema).json(list(paths)).withColumn("n", F.monotonically_increasing_id())
+    return spark.read.schema(schema).json(list(paths)).select("*", _place())
 
 
 def valid_coordinates(df: DataFrame, lon: str, lat: str, in_range: bool = True) -> DataFrame:
@@ -58,8 +63,8 @@ def _dictionary(names: DataFrame, start: int) -> DataFrame:
 def _build(node_names: list[DataFrame], types: list[str], edges: list[tuple[int, DataFrame, int, int]], edge_types: list[EdgeType], coordinates: tuple[int, str, DataFrame]) -> Graph:
     dictionaries, start = [], 0
     for names in node_names:
-        d = _dictionary(names, start).persist()
-        start += d.count()
+        d = _dictionary(names, start)
+        start += names.distinct().count()
         dictionaries.append(d)
     nodes = None
     for n, d in enumerate(dictionaries):
@@ -72,7 +77,7 @@ def _build(node_names: list[DataFrame], types: list[str], edges: list[tuple[int,
         every = part if every is None else every.unionByName(part)
     number, name, found = coordinates
     places = found.join(dictionaries[number], F.col("key") == F.col("name")).select(F.col("local").alias("id"), "lon", "lat")
-    return Graph(nodes, every, types, edge_types, {name: places})
+    return Graph(nodes, every, types, edge_types, {name: places}, dict(zip(types, dictionaries, strict=True)))
 
 
 def build_checkin_graph(checkins: DataFrame) -> Graph:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.metapath import EdgeType
@@ -19,9 +21,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``n, line``: a file's lines with their numbers from 0, without a trailing carriage return or blanks."""
-    numbered = spark.sparkContext.textFile(path).zipWithIndex()
-    return spark.createDataFrame(numbered, "line string, n bigint").select("n", F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"))
+    """``n, line``: the lines of a file, or of a folder's files by their names, numbered from 0, without a trailing carriage return or blanks.
+
+    Lines are numbered within the blocks that the scan cuts files into, and shifted by the blocks before; only
+    the blocks' sizes meet in one place.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("k"), F.min("m").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("file", "block", "first", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("shift"))
+    numbered = raw.join(shift, ["file", "block"]).select((F.col("m") - F.col("first") + F.col("shift")).alias("n"), "value")
+    return numbered.select("n", F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"))
 
 
 def load_graph(spark: SparkSession, path: str, coordinates: dict[str, str] | None = None, delimiter: str = ",", validate: bool = True) -> model.Graph:
@@ -59,18 +69,36 @@ def read_coordinates(spark: SparkSession, path: str, delimiter: str = ",") -> Da
     return typed.dropna()
 
 
-def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int, int]]:
-    """``i, j, v`` (from 0) and rows, columns and entries of a coordinate MatrixMarket file."""
-    text = spark.read.text(path).where(~F.col("value").startswith("%")).where(F.length(F.trim("value")) > 0)
-    head = spark.read.text(path).where("NOT value LIKE '\\%%' AND length(trim(value)) > 0").limit(1).first()
-    rows, columns, entries = (int(x) for x in head["value"].split())
-    body = text.where(F.col("value") != head["value"]) if entries else text.limit(0)
-    part = F.split(F.trim("value"), r"\s+")
-    matrix = body.select((part[0].cast("bigint") - 1).alias("i"), (part[1].cast("bigint") - 1).alias("j"), part[2].cast("double").alias("v"))
-    return matrix, (rows, columns, entries)
+def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int, int]] | None:
+    """``i, j, v`` (from 0) and rows, columns and entries of a coordinate MatrixMarket file.
+
+    None, as for a file that isn't there, if the header isn't that of a general coordinate matrix of numbers,
+    the size line isn't three numbers, or the entries don't fit it in number or place.
+    """
+    if not _exists(spark, path):
+        return None
+    text = lines(spark, path)
+    head = text.where(~F.col("line").startswith("%") & (F.length("line") > 0)).orderBy("n").first()
+    banner = text.where("n = 0").first()
+    kind = re.fullmatch(r"%%MatrixMarket\s+matrix\s+coordinate\s+(integer|real)\s+general", banner["line"] if banner else "", re.I)
+    size = re.fullmatch(r"\s*(\d+)\s+(\d+)\s+(\d+)", head["line"] if head else "")
+    if not kind or not size:
+        return None
+    rows, columns, entries = (int(x) for x in size.groups())
+    part = F.split(F.trim("line"), r"\s+")
+    body = text.where((F.col("n") > head["n"]) & (F.length("line") > 0) & ~F.col("line").startswith("%")).select(part.alias("p"))
+    matrix = body.select((F.get("p", F.lit(0)).try_cast("bigint") - 1).alias("i"), (F.get("p", F.lit(1)).try_cast("bigint") - 1).alias("j"), F.get("p", F.lit(2)).try_cast("double").alias("v"), (F.size("p") == 3).alias("three"))
+    good = F.col("three") & F.col("i").between(0, rows - 1) & F.col("j").between(0, columns - 1) & F.col("v").isNotNull()
+    found = matrix.agg(F.count("*").alias("n"), F.count_if(F.coalesce(good, F.lit(False))).alias("good")).first()
+    if (found["n"], found["good"]) != (entries, entries):
+        return None
+    return matrix.drop("three"), (rows, columns, entries)
 
 
 def read_deltas_text(spark: SparkSession, path: str) -> DataFrame:
-    """``i, delta`` from one comma-separated line."""
-    line = spark.read.text(path, wholetext=True).select(deserialized(F.regexp_replace("value", "\\s+$", "")).alias("d"))
-    return line.select(F.posexplode("d").alias("i", "delta")).select(F.col("i").cast("bigint"), "delta")
+    """``i, delta`` from comma-separated numbers, of one line or of lines that go on from each other."""
+    text = lines(spark, path).where(F.length(F.trim("line")) > 0).select("n", deserialized(F.col("line")).alias("d"))
+    sizes = text.select("n", F.size("d").alias("k"))
+    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("n").alias("of"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("shift"))
+    return text.join(shift, F.col("n") == F.col("of")).select("shift", F.posexplode("d").alias("at", "delta")).select((F.col("shift") + F.col("at")).cast("bigint").alias("i"), "delta")

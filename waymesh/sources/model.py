@@ -17,22 +17,15 @@ COORDINATES = "id bigint, lon double, lat double"
 def local_ids(nodes: DataFrame) -> DataFrame:
     """``node_id, type_id, local_id``: nodes of a type numbered from 0 in the order of their ids.
 
-    Ranges of ids are numbered independently and shifted by the counts of the ranges before, so no task gets
-    a whole type.
+    Ids are sorted in ranges of about equal counts, numbered within and shifted by the counts of the ranges
+    before, so no task gets a whole type, wherever the ids lie.
     """
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the range of each node is written down by hash-free splitting on fixed-width ids
-    span = nodes.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")).first()
-    if span["a"] is None:
-        return nodes.select("node_id", "type_id", F.lit(0).cast("bigint").alias("local_id"))
-    width = max(1, -(-(span["b"] - span["a"] + 1) // parts))
-    ranged = nodes.withColumn("range", F.floor((F.col("node_id") - F.lit(span["a"])) / width).cast("int"))
-    counts = ranged.groupBy("type_id", "range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("type_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    shift = counts.select("type_id", "range", F.coalesce(before, F.lit(0)).alias("shift"))
-    place = F.row_number().over(Window.partitionBy("type_id", "range").orderBy("node_id")).cast("bigint") - 1
-    return ranged.withColumn("place", place).join(shift, ["type_id", "range"]).select("node_id", "type_id", (F.col("place") + F.col("shift")).alias("local_id"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = nodes.select("node_id", "type_id").repartitionByRange(parts, "type_id", "node_id").sortWithinPartitions("type_id", "node_id").withColumns({"part": F.spark_partition_id(), "m": F.monotonically_increasing_id()})
+    counts = ranged.groupBy("type_id", "part").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("type_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = counts.select("type_id", "part", "first", F.coalesce(before, F.lit(0)).alias("shift"))
+    return ranged.join(shift, ["type_id", "part"]).select("node_id", "type_id", (F.col("m") - F.col("first") + F.col("shift")).alias("local_id"))
 
 
 @dataclass
@@ -44,6 +37,8 @@ class Graph:
     node_types: list[str]
     edge_types: list[EdgeType]
     coordinates: dict[str, DataFrame] = field(default_factory=dict)
+    #: ``name, local, global`` of each node type, where nodes were made from names.
+    names: dict[str, DataFrame] = field(default_factory=dict)
 
     def type_id(self, name: str) -> int:
         return self.node_types.index(name)
