@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from waymesh.functions.geo import haversine_m
 from waymesh.functions.metapath import EdgeType
 from waymesh.operators import matrix, similarity, spatial
+from waymesh.plans import search
+from waymesh.plans.catalog import Catalog
 from waymesh.sources.model import COORDINATES, EDGES, NODES, Graph
 
 STEP = 0.00899320363724538
@@ -47,6 +49,28 @@ def test_rankings(graph, km):
     m.unpersist()
 
 
+def test_search_builds_once(spark, graph, tmp_path, monkeypatch):
+    built = []
+    build = spatial.extend_exact
+    monkeypatch.setattr(spatial, "extend_exact", lambda *a: built.append(a) or build(*a))
+    wanted = EXPECTED[2][0]
+    queries = spark.createDataFrame([(q,) for q in wanted], "query bigint")
+    for _ in range(2):  # the second one finds what the first has kept
+        s = search.Search(graph, Catalog(spark, str(tmp_path)), "initials")
+        found = s.top_k(queries, 8, "IP", "place", 2001).orderBy("query", "rank").collect()
+        assert {q: [(r["node"], r["score"]) for r in found if r["query"] == q] for q in wanted} == wanted
+    assert len(built) == 1
+    plan = s.top_k(queries, 8, "IP", "place", 2001)._jdf.queryExecution().toString()
+    assert "Haversine" not in plan and "ATAN2" not in plan.upper()
+    changed = Graph(graph.nodes, graph.edges.unionByName(graph.edges.limit(1)), graph.node_types, graph.edge_types, graph.coordinates)
+    search.Search(changed, Catalog(spark, str(tmp_path)), "initials").matrix("IP", "place", 2001)
+    assert len(built) == 2
+    over = s.top_k(queries, 8, "IP", "place", 2001, mode="over", resolution=9).where("query = 0").collect()
+    assert {n for n, _ in wanted[0]} <= {r["node"] for r in over}
+    with pytest.raises(ValueError):
+        s.matrix("IP", "place", 2001, mode="under")
+
+
 def test_ties_and_limits(spark, graph):
     m = spark.createDataFrame([(1, 9, 2), (5, 9, 2), (7, 8, 1)], "i bigint, j bigint, v bigint")
     assert [tuple(r) for r in similarity.top_k(m, 1, 1).collect()] == [(5, 1.0, 1)]  # the larger id goes first
