@@ -75,6 +75,35 @@ def test_bloom(spark):
     assert bloom.Filter(1 << 16, bloom.seen_once(df, hashes, 1 << 16)).has(h).all()
 
 
+def test_bloom_grows_with_its_hashes():
+    """Two million hashes in filters made for them, merged from several parts: few of those seen once pass, and all that are seen twice do."""
+    n, parts = 2_000_000, 8
+    bits = bloom.bits_for(n)
+    h = textbuf.mixed(np.arange(n, dtype=np.uint64))
+    again = h[:1000]
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    for k in range(parts):
+        own = bloom.Filter(bits)
+        own.add(np.concatenate([h[k::parts], again]) if k == 3 else h[k::parts])
+        twice |= once & own.data
+        once |= own.data
+    found = bloom.Filter(data=twice.tobytes())
+    assert found.has(again[again != h[3]]).mean() > 0.85  # those of part 3 itself are its own
+    assert found.has(h[1000:]).mean() < (1 - np.exp(-3 / 8)) ** 3  # others have all three bits
+    assert bloom.bits_for(0) == bloom.LEAST_BITS and bloom.bits_for(10**12) == bloom.MOST_BITS and bits > 8 * n // 2
+
+
+def test_many_distinct_lines_stay_where_they_are(frame):
+    """With far more lines than the smallest filter has bits, few lines seen once are suspects."""
+    per_doc, docs = 1500, 800
+    rows = [(i, "\n".join(f"line {i} of this document, number {k}" for k in range(per_doc)) + "\nthe same last line everywhere, yes") for i in range(docs)]
+    base = shared.keyed(frame(rows, 8))
+    assert per_doc * docs > bloom.LEAST_BITS
+    suspects, repeated = line_dedup.repeated_lines(base)
+    assert docs <= suspects.count() < docs + 0.03 * per_doc * docs
+    assert [r.keeper for r in repeated.collect()] == [docs - 1]
+
+
 def shingles(text):
     w = ascii_lower(text or "").encode().split()
     if len(w) < 5:

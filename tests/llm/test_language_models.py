@@ -98,6 +98,67 @@ def test_language(spark, hostile):
     assert language_id.identify(one, model).first().lang_pred == "und"
 
 
+def test_language_query_equals_brute_force(spark, tmp_path):
+    """The registered query's fit and predictions, word by word over all segmentations."""
+    rows = [(i, t, lang) for i, t, lang in texts(60)] + [(100, None, "en"), (101, "12 34", None), (102, "the therand undkeit", None), (103, "x" * 70, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in language_id.op4_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    pieces, prior = lattice.vocabulary()
+    start = np.concatenate([prior * 0.99, np.full(256, 0.01 / 256)])
+    every = [*pieces, *(bytes([b]) for b in range(256))]
+    at = {}
+    for n, piece in enumerate(every):
+        at.setdefault(piece, []).append(n)
+    split = lambda t: re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())
+
+    def arcs(raw):
+        return [(a, b, n) for a in range(len(raw)) for b in range(a + 1, len(raw) + 1) for n in at.get(raw[a:b], ())]
+
+    def sums(raw, p):
+        """The sum over all segmentations, and each piece's expected uses."""
+        forward, backward, found = [1.0] + [0.0] * len(raw), [0.0] * len(raw) + [1.0], sorted(arcs(raw))
+        for a, b, n in found:
+            forward[b] += forward[a] * p[n]
+        for a, b, n in sorted(found, key=lambda x: -x[1]):
+            backward[a] += backward[b] * p[n]
+        return forward[-1], [(n, forward[a] * p[n] * backward[b] / forward[-1]) for a, b, n in found]
+
+    model = {}
+    for lang in ("de", "en"):
+        counts = collections.Counter(w for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5 for w in split(t))
+        p = start
+        for _ in range(language_id.PASSES):
+            uses = language_id.PRIOR * start
+            for w, c in counts.items():
+                for n, use in sums(b" " + w, p)[1]:
+                    uses[n] += c * use
+            p = uses / uses.sum()
+        model[lang] = p
+    known = {}
+    for i, t, _ in rows:
+        words = split(t)
+        if i in (100, 101):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        for w in words:
+            if w not in known:
+                known[w] = [math.log(sums(b" " + w, model[lang])[0]) for lang in ("de", "en")]
+        total = [sum(known[w][k] for w in words) * min(1, language_id.SCORE_WORDS / len(words)) for k in (0, 1)]
+        share = [1 / (1 + math.exp(min(total[1 - k] - total[k], 500))) for k in (0, 1)]
+        assert got[i].lang_pred == ("de" if share[0] >= share[1] else "en"), i
+        assert got[i].score == pytest.approx(max(share), abs=1e-6) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_samples_are_bounded(spark):
+    """Rows alike in id and text, or with null ids, don't swell the fitted samples."""
+    docs = spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "IF(id % 4 < 3, 'the same text', concat('text number ', id)) AS text", "'en' AS lang")
+    model = language_id.fit(docs, per_language=50)
+    assert model.languages == ["en"]
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs.selectExpr("doc_id", "text", "concat('l', monotonically_increasing_id()) AS lang"))
+
+
 def test_language_without_training(frame, spark):
     none = language_id.fit(frame([]))
     assert none.languages == [] and language_id.identify(frame([(1, "words")]), none).first().lang_pred == "und"

@@ -30,6 +30,52 @@ def test_media_round_trip(frame):
     assert 0 < shared[21][0] < shared[21][1]
 
 
+def chunked(raw):
+    """Ends of a payload's chunks, byte by byte: a cut where the gear hash of the last 32 bytes begins with zeros, between the least and the most size."""
+    ends, begin = [], 0
+    for at in range(1, len(raw) + 1):
+        h = 0
+        if at - begin >= media_chunks.LEAST:
+            for b in raw[max(0, at - 32) : at]:
+                h = ((h << 1) + int(media_chunks._GEAR[b])) & 0xFFFFFFFF
+            if h >> (32 - media_chunks.BITS) == 0 or at - begin == media_chunks.MOST:
+                ends.append(at)
+                begin = at
+    return ends if ends and ends[-1] == len(raw) else [*ends, len(raw)]
+
+
+def described(raw):
+    n, mean = len(raw), sum(raw) / len(raw)
+    dev = (sum((x - mean) ** 2 for x in raw) / n) ** 0.5
+    cross = sum((a >= 128) != (b >= 128) for a, b in zip(raw, raw[1:], strict=False))
+    return f"n={n};mean={mean:.6f};dev={dev:.6f};cross={cross};bands=" + "/".join(f"{sum(x >> 5 == k for x in raw) / n:.4f}" for k in range(8))
+
+
+def test_media_query_equals_brute_force(spark, tmp_path):
+    """The registered query: features, and lists of chunks of which equal ones are stored once."""
+    base = " ".join(f"w{i * 7919 % 1000} é" for i in range(2500))
+    rows = [(1, base), (2, base[:5000] + "changed" + base[5000:]), (3, base), (4, ""), (5, None), (6, "x" * 20_000), (7, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in media_chunks.op1_media_chunks(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    media, store = media_chunks.store(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') AS text"))
+    lists, kept = {r.doc_id: r for r in media.collect()}, {bytes(r.digest): bytes(r.bytes) for r in store.collect()}
+    assert store.count() == len(kept)
+    holders = {}
+    for i, t in rows:
+        raw = payload(t)
+        assert got[i].feature == described(raw) and got[i].payload_bytes == len(raw) and got[i].media_bytes == len(raw) + 44
+        ends = chunked(raw)
+        parts = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        digests = [hashlib.blake2b(c, digest_size=16).digest() for c in parts]
+        assert got[i].n_chunks == len(parts) and [bytes(d) for d in lists[i].digests] == digests
+        for part, own, digest in zip(parts, lists[i].own, digests, strict=True):
+            assert (bytes(own) if own is not None else kept[digest]) == part
+            holders.setdefault(digest, set()).add((i, own is None))
+    # what several media have lies in the store
+    assert all(all(stored for _, stored in x) for d, x in holders.items() if len({i for i, _ in x}) > 1)
+
+
 def test_media_few_bits_and_empty(frame):
     rows = [(i, f"text {i} " * 200) for i in range(20)]
     found = media_chunks.media_columns(frame(rows), bits=1 << 10).collect()  # nearly all chunks are suspects

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bits of either filter: about eight for each expected hash, at least 128 kB and at most 64 MB (70 million
-#: hashes at eight bits; with four times as many, about a tenth of those seen once pass).
+#: Bits of either filter: about eight for each expected hash, at least 128 kB and at most 64 MB.  A hash seen
+#: once passes as seen twice if others have all of its three bits: 3 in a hundred at eight bits, 15 at four, 47
+#: at two.  So up to 130 million hashes most stay where they are; beyond, the exact step gets more and more.
 PER_HASH, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 HASHES = 3
 SHARDS = 32

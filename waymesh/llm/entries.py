@@ -14,7 +14,7 @@ ENTRIES = [
     ("toxicity", "op6_toxicity", None),
     ("packing", "op7_packing", None),
     ("decontaminate", "op8_decontamination", "SQL"),
-    ("jaccard_join", "op9_jaccard_join", None),
+    ("jaccard_join", "op9_jaccard_join", "SQL"),
     ("line_dedup", "op10_line_dedup", "SQL"),
 ]
 

@@ -63,10 +63,13 @@ def frugal(f: Callable) -> Callable:
 
     def run(batches: Iterator) -> Iterator:
         try:
-            for n, out in enumerate(f(batches)):
+            held = 0
+            for out in f(batches):
                 yield out
-                if n % 8 == 7:
+                held += out.nbytes + (1 << 20)
+                if held >= 8 << 20:
                     _release()
+                    held = 0
         finally:
             _release()
 
