@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,37 @@ def test_radius(spark):
     assert r["vertex_m"] <= r["boundary_m"] + 1e-6 and r["rho_m"] <= cells.radius_m + 1
 
 
+def test_farthest_on_arcs():
+    """Against the arcs' points, one by one."""
+    rng = np.random.default_rng(6)
+    at = lambda n: cell_radius.unit_vectors(rng.uniform(-180, 180, n), rng.uniform(-90, 90, n))
+    centre, start, end = at(300), at(300), at(300)
+    end[:100] = start[:100] + 0.01 * end[:100]  # short arcs, and some around the centre
+    end /= np.linalg.norm(end, axis=1, keepdims=True)
+    centre[100:150] = -(start + end)[100:150] / np.linalg.norm((start + end)[100:150], axis=1, keepdims=True)
+    angle = cell_radius.central_angle(start, end)[:, None]
+    t = np.linspace(0, 1, 4001)
+    points = (np.sin((1 - t) * angle)[..., None] * start[:, None] + np.sin(t * angle)[..., None] * end[:, None]) / np.sin(angle)[..., None]
+    want = cell_radius.central_angle(centre[:, None], points).max(1)
+    assert np.allclose(cell_radius.farthest_on_arc(centre, start, end), want, atol=1e-5)
+    same = cell_radius.farthest_on_arc(centre[:1], start[:1], start[:1])  # an arc of no length
+    assert np.allclose(same, cell_radius.central_angle(centre[:1], start[:1]))
+
+
+def test_lattice_of_resolutions(spark):
+    for resolution, radius in grid.COVER_M.items():
+        assert grid.LatticeCells.of_resolution(resolution).radius_m == pytest.approx(radius)
+    assert grid.LatticeCells.of_resolution(4).radius_m == pytest.approx(10838 * 7**0.5)
+    with pytest.raises(ValueError):
+        grid.LatticeCells.of_resolution(16)
+    places = spark.createDataFrame([(1, 1.0, 2.0), (2, 1.0, 2.0), (3, -170.0, 60.0)], "id bigint, lon double, lat double")
+    cells = grid.LatticeCells(1.0)
+    near = cells.near(places, 0.0 + cells.radius_m).withColumn("g", F.col("id") % 2)
+    got = {r["g"]: r["cells"] for r in grid.distinct_cells(near, "g").collect()}
+    each = {k: {r["cell"] for r in near.where(F.col("g") == k).collect()} for k in (0, 1)}
+    assert got == {0: len(each[0]), 1: len(each[1]), None: len(each[0] | each[1])}
+
+
 def test_hex_cells_need_their_package():
     try:
         import h3  # noqa: F401
