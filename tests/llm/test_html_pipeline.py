@@ -180,3 +180,50 @@ def test_pipeline(spark, folder):
     assert ids["best-fit packing"] == ids["benchmark decontamination"]
     run = {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()}
     assert run == {(r.doc_id, r.piece, r.ids_crc32) for r in seen["best-fit packing"]}
+
+
+def filler(seed, n=40):
+    return " ".join(f"theing{'abcdefghij'[(seed * j) % 10]}and{'xyzw'[(seed + j) % 4]}{seed}er" for j in range(n))
+
+
+def test_rows_have_their_own_fate(spark, folder):
+    """A clean row doesn't save a contaminated one of the same id, nor the other way round; rows without an id are judged, too; further columns stay."""
+    bench = "the quick brown fox jumps over the lazy dog while seven more foxes watch"
+    rows = [(60, filler(1)), (60, filler(2) + " " + bench), (None, filler(3)), (None, bench), (61, None), (62, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5, [k]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, hits int, rest array<int>")
+    found = corpus_pipeline.leaks(spark, docs, folder)
+    assert found.columns == docs.columns
+    assert sorted((r.rest[0], r.doc_id, r.text, r.hits) for r in found.collect()) == [(k, *rows[k], 5) for k in (0, 2, 4, 5)]
+    seen = spark.createDataFrame([(i % 7, filler(i)) for i in range(40)], "doc_id long, text string").selectExpr("*", "IF(doc_id < 4, 'en', 'de') AS lang")
+    more = seen.unionByName(spark.createDataFrame([(1, "123", "en"), (None, filler(5), None), (None, "--", "en"), (3, None, "en")], "doc_id long, text string, lang string"))
+    kept = corpus_pipeline.language(spark, more, folder).collect()
+    assert len(kept) >= 40 and not {r.text for r in kept} & {"123", "--", None} and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_filters_shuffle_no_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage in (corpus_pipeline.language, corpus_pipeline.leaks):
+        assert "Exchange" not in stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_rows_of_one_id(spark, folder):
+    """Rows that share an id: each is kept or not by its own text; rows alike in both stay or go together."""
+    rows = [(1, filler(7)), (70, filler(7) + " more"), (70, filler(8)), (80, filler(9)), (80, filler(9)), (None, filler(7)), (90, None), (91, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, h1 string")
+    kept = corpus_pipeline.near(spark, docs, folder)
+    assert kept.columns == docs.columns
+    want = [r for r in rows if r != (70, filler(7) + " more")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_stages_of_nothing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.collect() == []
+
+
+def test_extract_reads_its_columns_only(spark):
+    rows = [(1, "u", f"<p>{LONG}</p>", "t", 7, "p", [1])] * 2
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, path string, blocks array<int>")).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, LONG.strip(), len(LONG.strip()))] * 2
