@@ -53,6 +53,13 @@ def test_ratios_decide(monkeypatch):
     assert parts(page) == ["Home", "Contact us", "Title", *story, "short item", "12", "34", "Posted Monday"]
 
 
+def test_headings_go_with_what_follows():
+    """A title beside the element that holds the text, and headings of a list that isn't content."""
+    page = f'<body><div class=w><div class=p><h1>Title</h1><div class=meta>Monday</div><div class=c>{STORY}<h2>Part</h2><p>Short.</p></div></div><div class=q><h3>Elsewhere</h3><div>one</div><div>two</div></div></div></body>'
+    assert parts(page) == ["Title", *(f"{k} {LONG}".strip() for k in range(5)), "Part", "Short."]
+    assert plainly(page) == parts(page)
+
+
 def test_links_count_against_a_path():
     links = "".join(f"<p><a href=x>Linked {LONG}</a></p>" for _ in range(3))
     assert not any(x.startswith("Linked") for x in parts(f"<body><div id=more>{links}</div><div id=c>{STORY}</div></body>"))
@@ -115,8 +122,21 @@ def plainly(source):
         if own[p][-1][2] or p and p[-1].split(".")[0] in {"h1", "h2", "h3", "h4", "h5", "h6"}:
             return v
         return v * (1 - sum(len(t) * share for t, share, _ in own[p]) / size[p])
-    mean = sum(value(p) * size[p] for p in own) / sum(size.values())
-    return [text for path, text, *_ in blocks if value(path) >= 0.5 * mean]
+    top = {}
+    level_of = lambda p: int(p[-1][1]) if p and p[-1].split(".")[0] in {"h1", "h2", "h3", "h4", "h5", "h6"} else 7
+    for i, (path, *_) in enumerate(blocks):
+        if level_of(path) < 7:
+            under = []
+            for later, text, *_ in blocks[i + 1 :]:
+                if level_of(later) <= level_of(path) or later[: len(path) - 1] != path[:-1]:
+                    break
+                if level_of(later) == 7:
+                    under.append((value(later) * len(text), len(text)))
+            if under:
+                top[path] = max(top.get(path, 0), sum(x for x, _ in under) / sum(n for _, n in under))
+    last = {p: max(value(p), 0.9 * top.get(p, 0)) for p in own}
+    mean = sum(last[p] * size[p] for p in own) / sum(size.values())
+    return [text for path, text, *_ in blocks if last[path] >= 0.5 * mean]
 
 
 def test_whole_pages_equal_plain_ratios(spark):

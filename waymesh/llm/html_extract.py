@@ -3,8 +3,8 @@
 A page is cut into blocks of text, each at the end of a path of block-level tags (with class and id) from
 the root.  Per path, text length and punctuation over its blocks give two ratios, which are fused by
 multiplication.  The ratios are smoothed down the tree: a path has at least a part of what the paths
-beside and above it have, so a title or a short item among long paragraphs counts as these do.  Text of
-links counts against its path, but for headings and inside articles.  Paths that reach a part of the
+beside and above it have, so a short item among long paragraphs counts as these do, and a heading has a
+part of what the text under it has.  Text of links counts against its path, but for headings and inside articles.  Paths that reach a part of the
 page's length-weighted mean are content.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go by their elements or
@@ -297,9 +297,52 @@ def path_ratios(page: Page, blocks: list[Block]) -> list[float]:
         value = max(ratio[p], above)
         text, _, links, _ = own[p]
         out.append(value * (1 - links / text) if text and not exempt[p] else value)
+    for p, mean in _sections(page, blocks, out).items():
+        out[p] = max(out[p], LIFT * mean)
     return out
 
 
+def _sections(page: Page, blocks: list[Block], ratio: list[float]) -> dict[int, float]:
+    """Of each heading's path, the mean ratio of the text that a heading there stands over, at most.
+
+    That is what follows up to a heading as high, within the element that holds the heading.
+    """
+    n = len(page.parent)
+    size = [1] * n  # of subtrees, and so where each path and its last descendant come in depth-first order
+    for p in range(n - 1, 0, -1):
+        size[page.parent[p]] += size[p]
+    begin, free = [0] * n, [1] * n
+    for p in range(1, n):
+        q = page.parent[p]
+        begin[p] = begin[q] + free[q]
+        free[q] += size[p]
+    most: dict[int, float] = {}
+    open_: list[list[float]] = []  # level, path, sum of ratios by text, text
+
+    def close(n: int) -> None:
+        while len(open_) > n:
+            _, p, total, text = open_.pop()
+            if text:
+                most[p] = max(most.get(p, 0.0), total / text)
+
+    for b in blocks:
+        name = page.label[b.path].split(".")[0]
+        level = int(name[1]) if name in HEADINGS else 7
+        for k, section in enumerate(open_):
+            q = page.parent[section[1]]
+            if level <= section[0] or not begin[q] <= begin[b.path] < begin[q] + size[q]:
+                close(k)
+                break
+        if level < 7:
+            open_.append([level, b.path, 0.0, 0])
+            continue
+        for section in open_:  # one for each level at most
+            section[2] += ratio[b.path] * len(b.text)
+            section[3] += len(b.text)
+    close(0)
+    return most
+
+
 def content_paths(page: Page, blocks: list[Block]) -> set[int]:
     """Paths that reach LEAST of the mean ratio of all text."""
     ratio = path_ratios(page, blocks)
