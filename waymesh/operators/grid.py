@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,12 +100,34 @@ class HexCells:
         self.radius_m = COVER_M.get(resolution)
         self._edge_m = h3.average_hexagon_edge_length(resolution, unit="m")
 
+    def cell_of(self, lon: Column, lat: Column) -> Column:
+        """The id of the cell that a point lies in."""
+        resolution = self.resolution
+
+        def cells(lon: pd.Series, lat: pd.Series) -> pd.Series:
+            import h3
+
+            return pd.Series([h3.str_to_int(h3.latlng_to_cell(y, x, resolution)) for x, y in zip(lon, lat, strict=True)], dtype="int64")
+
+        return F.pandas_udf(cells, "long")(lon, lat)
+
+    def centre(self, cell: Column) -> tuple[Column, Column]:
+        """Longitude and latitude of a cell's anchor."""
+
+        def points(cell: pd.Series) -> pd.DataFrame:
+            import h3
+
+            at = [h3.cell_to_latlng(h3.int_to_str(c)) for c in cell]
+            return pd.DataFrame({"lon": [x for _, x in at], "lat": [y for y, _ in at]}, dtype="float64")
+
+        point = F.pandas_udf(points, "lon double, lat double")(cell)
+        return point["lon"], point["lat"]
+
     def near(self, places: DataFrame, eps_m: float) -> DataFrame:
         ring, resolution = math.ceil(eps_m / self._edge_m) + 2, self.resolution
 
         def run(batches):
             import h3
-            import pandas as pd
 
             for batch in batches:
                 rows = []
