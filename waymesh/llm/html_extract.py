@@ -368,6 +368,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty page, or one without content, gives the empty text.  Ids and urls are handed through as
     they are, null or repeated; other columns aren't read.
     """
+    shared.in_batches(pages.sparkSession)
     rows = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +376,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             text = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(shared.frugal(run), "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,7 @@ def store(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, DataFram
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    written = shared.stored(docs.mapInArrow(write, _STORE))
+    written = shared.stored(docs.mapInArrow(shared.frugal(write), _STORE))
     chunks = shared.stored(written.where("digest IS NOT NULL").select("digest", "bytes").dropDuplicates(["digest"]))
     return written.where("digest IS NULL").drop("digest", "bytes"), chunks
 
@@ -195,13 +195,13 @@ def read_back(media: DataFrame, chunks: DataFrame) -> DataFrame:
 
     read_names = [c.split()[0] for c in _READ.split(", ")]
     out_names = ["doc_id", "n_bytes", *read_names, "n_chunks", "n_shared"]
-    complete = media.where(~missing).select("doc_id", "n_bytes", "media_sha", "header", "own").mapInArrow(whole, f"doc_id long, n_bytes long, {_READ}, n_chunks int, n_shared int")
+    complete = media.where(~missing).select("doc_id", "n_bytes", "media_sha", "header", "own").mapInArrow(shared.frugal(whole), f"doc_id long, n_bytes long, {_READ}, n_chunks int, n_shared int")
     # equal media are put together once
     partial = media.where(missing)
     each = partial.select("media_sha", "header", "digests", "own").dropDuplicates(["media_sha"])
     wanted = each.select("media_sha", "own", F.posexplode("digests").alias("pos", "digest")).where(F.get("own", F.col("pos")).isNull()).drop("own")
     found = wanted.join(chunks, "digest").groupBy("media_sha").agg(F.collect_list(F.struct("pos", "bytes")).alias("found"))
-    rebuilt = shared.stored(each.join(found, "media_sha").mapInArrow(pieced, f"sha binary, {_READ}"))
+    rebuilt = shared.stored(each.join(found, "media_sha").mapInArrow(shared.frugal(pieced), f"sha binary, {_READ}"))
     counts = partial.select("doc_id", "n_bytes", "media_sha", F.size("own").alias("n_chunks"), F.size(F.filter("own", lambda x: x.isNull())).alias("n_shared"))
     return complete.unionByName(counts.join(rebuilt, counts["media_sha"] == rebuilt["sha"]).select(out_names))
 

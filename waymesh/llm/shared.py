@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker: a fixed number of rows could be any number of bytes, as texts may be long.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -62,15 +73,17 @@ def frugal(f: Callable) -> Callable:
     """*f* over Arrow batches, so that the worker, which stays for later tasks, keeps little memory."""
 
     def run(batches: Iterator) -> Iterator:
+        made, held, out = f(batches), 0, None
         try:
-            held = 0
-            for out in f(batches):
+            for out in made:
                 yield out
                 held += out.nbytes + (1 << 20)
                 if held >= 8 << 20:
                     _release()
                     held = 0
         finally:
+            made.close()  # what it holds is free before memory goes back
+            made = out = None
             _release()
 
     return run
@@ -104,6 +117,7 @@ def fold(key: Column, parts: int) -> Column:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), nulls: bool = False) -> DataFrame:
     """The id and the text (null: empty, unless *nulls* are kept), under fixed names, so that other columns can't clash; columns *carry* in a struct ``rest``."""
+    in_batches(docs.sparkSession)
     rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), (docs[text_col] if nulls else F.coalesce(docs[text_col], F.lit(""))).alias("text"), *rest)
 

@@ -461,7 +461,7 @@ def rate(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
             found = [m.texts(r, words, memo) for r in textbuf.runs(textbuf.string_column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.concatenate(found).astype(float) if found else [], pa.float64())], names=["doc_id", "score"])
 
-    return base.mapInArrow(run, "doc_id long, score double")
+    return base.mapInArrow(shared.frugal(run), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
