@@ -230,13 +230,27 @@ def test_lm_is_a_distribution():
 
 def test_log_forward_of_long_words(monkeypatch):
     grid, log_p = lattice.Lattice(PIECES), np.log(PROBABILITY)
-    words = [b"a", b"ab", b"bab", b"abab", b"zz", b"ababbabab", "é".encode()]
-    monkeypatch.setattr(lattice, "SHORT", 1)  # each word alone
-    assert grid.log_forward(*laid(words), log_p) == pytest.approx([by_hand(w) for w in words])
-    long = grid.log_forward(*laid([b"ab" * 40_000]), log_p)
-    assert long == pytest.approx(grid.forward(*laid([b"ab" * 40_000]), grid.scaled(PROBABILITY))[:, 0])
-    monkeypatch.setattr(lattice, "ALONE", 0)  # many long words of a length together
-    assert grid.log_forward(*laid([b"ab" * 50] * 3), log_p) == pytest.approx(grid.forward(*laid([b"ab" * 50] * 3), grid.scaled(PROBABILITY))[:, 0])
+    words = [b"a", b"ab", b"bab", b"abab", b"zz", b"ababbabab", "é".encode(), b""]
+    want = [by_hand(w) for w in words]
+    for together in (1, 7, 1 << 18):  # each word alone, some, all
+        monkeypatch.setattr(lattice, "TOGETHER", together)
+        assert grid.log_forward(*laid(words), log_p) == pytest.approx(want)
+        assert grid.forward(*laid(words), grid.scaled(PROBABILITY))[:, 0] == pytest.approx(want)
+    long = laid([b"ab" * 40_000, b"ba" * 30])
+    assert grid.log_forward(*long, log_p) == pytest.approx(grid.forward(*long, grid.scaled(PROBABILITY))[:, 0])
+
+
+def test_arcs():
+    """All pieces in words, single bytes too, and none beyond a word's end."""
+    rng = np.random.default_rng(2)
+    pieces = list({bytes(rng.integers(97, 100, rng.integers(1, 6)).astype(np.uint8)) for _ in range(60)})
+    grid = lattice.Lattice(pieces)
+    raw = rng.integers(96, 101, 400).astype(np.uint8)
+    limit = np.repeat(np.arange(20, 401, 20), 20)
+    every = [*pieces, *(bytes([b]) for b in range(256))]
+    got = sorted(zip(*(x.tolist() for x in grid.arcs(raw, limit)), strict=True))
+    want = sorted((a, a + len(p), n) for a in range(400) for n, p in enumerate(every) if raw[a : a + len(p)].tobytes() == p and a + len(p) <= limit[a])
+    assert got == want
 
 
 def test_lm_empty(frame):

@@ -1,8 +1,9 @@
 """Sums over all segmentations of words into the pieces of a fixed public vocabulary.
 
 A word is a space and its bytes; a piece that begins a word has the space too.  Any single byte is a
-piece as well, so that every word has a segmentation.  The forward recursion runs over many words at
-once and for several sets of piece probabilities.
+piece as well, so that every word has a segmentation.  The pieces that lie in many words are found
+together, by walking a trie from every byte of all words at once; the recursion then goes from one place
+in the words to the next, again for all words.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import numpy as np
 from . import textbuf
 
 U64 = np.uint64
-#: Words up to so many bytes are handled together; longer ones alone, their sums rescaled on the way.
+#: Sums of words up to so many bytes are kept as they are, scaled; those of longer ones as logarithms.
 SHORT = 48
-#: Fewer long words of one length are done alone, where sums are kept as logarithms.
-ALONE = 32
 #: Sums are kept multiplied by this to the power of the bytes covered.
 SCALE = 16.0
+#: Bytes of words that are handled together; a longer word is handled alone.
+TOGETHER = 1 << 15
 #: Words whose sums are remembered at once.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
@@ -54,194 +55,166 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes]):
         self.size = len(pieces) + 256
-        every = [*pieces, *(bytes([b]) for b in range(256))]
-        self.length = np.array([len(p) for p in every])
-        self.longest = int(self.length.max())
-        self.ranges = textbuf.Ranges(707)
-        at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        self.key = self.ranges.over(np.frombuffer(b"".join(pieces), np.uint8)).hash(at[:-1], at[1:])
-        # two direct tables: what doesn't find its slot free in the first goes to the second
-        self.slots = [np.full(1 << 20, -1, np.int32), np.full(1 << 20, -1, np.int32)]
-        for n, h in enumerate(self.key.tolist()):
-            a, b = h >> 44, (h >> 20) & 0xFFFFF
-            if self.slots[0][a] < 0:
-                self.slots[0][a] = n
-            elif self.slots[1][b] < 0:
-                self.slots[1][b] = n
-            else:
-                raise ValueError("two pieces share both slots; another seed is needed")
+        self.length = np.array([*(len(p) for p in pieces), *[1] * 256])
+        child: dict[int, int] = {}  # of a node and a byte
+        ends = [-1]
+        for n, p in enumerate(pieces):
+            at = 0
+            for b in p:
+                key = at << 8 | b
+                at = child.get(key, 0)
+                if not at:
+                    at = child[key] = len(ends)
+                    ends.append(-1)
+            ends[at] = n
+        #: The piece that ends at each node, or -1.
+        self.ends = np.array(ends, np.int32)
+        # direct tables of edges: what doesn't find its slot free in one goes to the next
+        keys, to = np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child))
+        bits = max(8, len(child).bit_length() + 2)
+        self.shift, self.tables = U64(64 - bits), []
+        while len(keys):
+            table = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            slot, first = np.unique(self._slot(keys, len(self.tables)), return_index=True)
+            table[0][slot], table[1][slot] = keys[first], to[first]
+            self.tables.append(table)
+            keys, to = np.delete(keys, first), np.delete(to, first)
 
-    def _numbers(self, sums: textbuf.Blocks, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Piece numbers of byte ranges; the number after the last piece where there is none."""
-        h = sums.hash(start, end)
-        out = np.full(len(h), self.size, np.int64)
-        for table, slot in ((self.slots[0], h >> U64(44)), (self.slots[1], (h >> U64(20)) & U64(0xFFFFF))):
-            n = table[slot.astype(np.int64)]
-            hit = (n >= 0) & (self.key[n] == h)
-            out[hit] = n[hit]
-        return out
+    def _slot(self, key: np.ndarray, table: int) -> np.ndarray:
+        odd = (0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4E * table) % 2**64
+        return ((key.view(U64) * U64(odd)) >> self.shift).astype(np.int64)
+
+    def arcs(self, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places, ends and numbers of all pieces in *data*, the single bytes first; none goes beyond the *limit* of its first place."""
+        place, node = np.arange(len(data)), np.zeros(len(data), np.int64)
+        found = [(place, place + 1, self.size - 256 + data.astype(np.int64))]
+        depth = 0
+        while len(place):
+            key = node << 8 | data[place + depth]
+            node = np.zeros(len(place), np.int64)
+            missing = np.arange(len(place))
+            for n, (keys, to) in enumerate(self.tables):
+                slot = self._slot(key[missing], n)
+                there = keys[slot]
+                hit = there == key[missing]
+                node[missing[hit]] = to[slot[hit]]
+                missing = missing[~hit & (there >= 0)]  # an edge would have taken a free slot
+            depth += 1
+            on = node > 0
+            place, node = place[on], node[on]
+            piece = self.ends[node]
+            whole = piece >= 0
+            found.append((place[whole], place[whole] + depth, piece[whole].astype(np.int64)))
+            more = place + depth < limit[place]
+            place, node = place[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def scaled(self, probability: np.ndarray) -> np.ndarray:
-        """Rows for the recursion, from one row for each piece, with a row of zeros for no piece."""
+        """Rows for the recursion, from one row for each piece."""
         p = np.asarray(probability, float).reshape(self.size, -1)
-        return np.concatenate([p * (SCALE ** self.length)[:, None], np.zeros((1, p.shape[1]))])
+        return p * (SCALE ** self.length)[:, None]
+
+    def _batches(self, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+        """Words by number that are handled together, and whether they are long."""
+        n = end - start
+        for long in (False, True):
+            some = np.flatnonzero((n > SHORT) == long)
+            some = some[np.argsort(n[some], kind="stable")]
+            total = np.cumsum(n[some])
+            at = 0
+            while at < len(some):
+                done = total[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(total, done + TOGETHER, "right")))
+                yield some[at:stop], long
+                at = stop
 
-    def _groups(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, most: int = 16384):
-        order = np.argsort(length, kind="stable")
-        cuts = np.flatnonzero(np.diff(length[order])) + 1
-        for group in np.split(order, cuts):
-            for lo in range(0, len(group), most):
-                part = group[lo : lo + most]
-                yield part, start[part], int(length[part[0]])
+    def _laid(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Words end to end: nodes before and after each, then arcs between nodes, their pieces and words, in the order of their first place's offset, and the slices of each offset."""
+        n = end - start
+        stop = np.cumsum(n)
+        begin = stop - n
+        owner = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(owner)) - begin[owner]
+        a, b, piece = self.arcs(data[start[owner] + offset], stop[owner])
+        order = np.argsort(offset[a], kind="stable")
+        a, b, piece = a[order], b[order], piece[order]
+        word = owner[a]
+        longest = int(n.max(initial=0))
+        cuts = np.searchsorted(offset[a], np.arange(longest + 1))
+        # of one place, single bytes come first, and all other pieces have different ends
+        middle = cuts[:-1] + np.bincount(offset, minlength=longest)
+        steps = list(zip(cuts[:-1].tolist(), middle.tolist(), cuts[1:].tolist(), strict=True))
+        # nodes: a place and the number of words before it
+        return begin + np.arange(len(n)), stop + np.arange(len(n)), a + word, b + word, piece, word, steps
 
     def forward(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the sums for words ``data[start:end]`` (with their spaces), for each column of *weights*."""
-        sums = self.ranges.over(data)
-        k = weights.shape[1]
-        out = np.zeros((len(start), k))
-        base = self.size - 256
-        for part, s, n in self._groups(data, start, end - start):
-            if n == 0:
-                continue
-            if n > SHORT:
-                for i, a in zip(part.tolist(), s.tolist(), strict=True):
-                    out[i] = self._long(data, sums, a, n, weights)
-                continue
-            alpha = np.zeros((n + 1, len(s), k))
-            alpha[0] = 1
-            for j in range(1, n + 1):
-                total = alpha[j - 1] * weights[base + data[s + j - 1].astype(np.int64)]
-                for m in range(1, min(self.longest, j) + 1):
-                    piece = self._numbers(sums, s + (j - m), s + j)
-                    hit = np.flatnonzero(piece < self.size)
-                    if len(hit):
-                        total[hit] += alpha[j - m][hit] * weights[piece[hit]]
-                alpha[j] = total
-            out[part] = np.log(alpha[n]) - n * np.log(SCALE)
+        """Natural logarithms of the sums for words ``data[start:end]`` (with their spaces), for each column of scaled *weights*."""
+        out = np.zeros((len(start), weights.shape[1]))
+        log = None
+        for some, long in self._batches(start, end):
+            n = (end - start)[some]
+            if long:
+                with np.errstate(divide="ignore"):
+                    log = np.log(weights) if log is None else log
+                out[some] = self._logs(data, start[some], end[some], log)
+            else:
+                first, last, a, b, piece, _, steps = self._laid(data, start[some], end[some])
+                sums = np.zeros((int(n.sum()) + len(n), weights.shape[1]))
+                sums[first] = 1
+                for step in steps:
+                    for lo, hi in zip(step, step[1:], strict=False):
+                        sums[b[lo:hi]] += sums[a[lo:hi]] * weights[piece[lo:hi]]
+                out[some] = np.log(sums[last])
+            out[some] -= (n * np.log(SCALE))[:, None]
         return out
 
     def log_forward(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the sums for words (with their spaces), by a recursion over logarithms; *log_p* has one for each piece."""
-        sums = self.ranges.over(data)
-        w = np.append(log_p, -np.inf)
+        """The same by a recursion over logarithms, from logarithms of unscaled probabilities, one for each piece."""
         out = np.zeros(len(start))
-        base = self.size - 256
-        for part, s, n in self._groups(data, start, end - start):
-            if n == 0:
-                continue
-            if n > SHORT and len(s) < ALONE:
-                for i, a in zip(part.tolist(), s.tolist(), strict=True):
-                    out[i] = self._log_long(data, sums, a, n, w)
-                continue
-            alpha = np.zeros((n + 1, len(s)))
-            for j in range(1, n + 1):
-                total = alpha[j - 1] + w[base + data[s + j - 1].astype(np.int64)]
-                for m in range(1, min(self.longest, j) + 1):
-                    piece = self._numbers(sums, s + (j - m), s + j)
-                    hit = np.flatnonzero(piece < self.size)
-                    if len(hit):
-                        total[hit] = np.logaddexp(total[hit], alpha[j - m][hit] + w[piece[hit]])
-                alpha[j] = total
-            out[part] = alpha[n]
+        for some, _ in self._batches(start, end):
+            out[some] = self._logs(data, start[some], end[some], log_p[:, None])[:, 0]
         return out
 
-    def _log_long(self, data: np.ndarray, sums: textbuf.Blocks, a: int, n: int, w: np.ndarray) -> float:
-        most = min(self.longest, n)
-        byte = w[self.size - 256 + data[a : a + n].astype(np.int64)]
-        window = np.full(most, -np.inf)  # sums at the last places, the latest first
-        window[0] = 0
-        for lo in range(0, n, 1 << 16):
-            ends = a + np.arange(lo + 1, min(n, lo + (1 << 16)) + 1)
-            arcs = np.full((len(ends), most + 1), -np.inf)
-            arcs[:, 0] = byte[lo : lo + len(ends)]
-            for m in range(1, most + 1):
-                on = ends - m >= a
-                arcs[on, m] = w[self._numbers(sums, ends[on] - m, ends[on])]
-            for row in arcs:
-                row[0] += window[0]
-                row[1:] += window
-                top = row.max()
-                window[1:] = window[:-1]
-                window[0] = top + np.log(np.exp(row - top).sum())
-        return float(window[0])
-
-    def _long(self, data: np.ndarray, sums: textbuf.Blocks, a: int, n: int, weights: np.ndarray) -> np.ndarray:
-        w = self.longest
-        ends = a + np.arange(1, n + 1)
-        window = np.zeros((w, weights.shape[1]))  # sums at the last w places, the latest first
-        window[0] = 1
-        log = np.zeros(weights.shape[1])
-        pieces = np.full((n, w), self.size)
-        for m in range(1, min(w, n) + 1):
-            pieces[m - 1 :, m - 1] = self._numbers(sums, ends[m - 1 :] - m, ends[m - 1 :])
-        byte = self.size - 256 + data[a : a + n].astype(np.int64)
-        for j in range(n):
-            total = window[0] * weights[byte[j]] + (window * weights[pieces[j]]).sum(0)
-            window[1:] = window[:-1]
-            window[0] = 1
-            window[1:] /= total
-            log += np.log(total)
-        return log - n * np.log(SCALE)
-
-    def _long_uses(self, data: np.ndarray, sums: textbuf.Blocks, a: int, n: int, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Piece numbers of a long word's arcs by parts, and their expected uses; sums are rescaled on the way as in :meth:`_long`."""
-        most = min(self.longest, n)
-        ends = a + np.arange(1, n + 1)
-        pieces = np.full((n, most + 1), self.size, np.int32)  # by end and length; the byte itself at 0
-        pieces[:, 0] = self.size - 256 + data[a : a + n].astype(np.int64)
-        for m in range(1, most + 1):
-            pieces[m - 1 :, m] = self._numbers(sums, ends[m - 1 :] - m, ends[m - 1 :])
-        # the parts that arcs have in the sum at their end
-        share = np.zeros((n, most + 1))
-        window = np.zeros(most + 1)  # sums at the places before, by distance from the next end
-        window[1] = 1
-        for j in range(n):
-            window[0] = window[1]
-            arcs = w[pieces[j]] * window
-            total = arcs.sum()
-            share[j] = arcs / total
-            window[2:] = window[1:-1] / total
-            window[1] = 1
-        # the chance that a segmentation has a cut at an end, from the last one back
-        cut = np.zeros(n + 1)
-        cut[n] = 1
-        for j in range(n, 0, -1):
-            share[j - 1] *= cut[j]
-            m = min(most, j)
-            cut[j - 1] += share[j - 1, 0]
-            cut[j - m : j] += share[j - 1, 1 : m + 1][::-1]
-        for lo in range(0, n, 1 << 16):
-            yield pieces[lo : lo + (1 << 16)].ravel(), share[lo : lo + (1 << 16)].ravel()
+    def _logs(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, log: np.ndarray) -> np.ndarray:
+        first, last, a, b, piece, _, steps = self._laid(data, start, end)
+        sums = np.full((int((end - start).sum()) + len(start), log.shape[1]), -np.inf)
+        sums[first] = 0
+        for step in steps:
+            for lo, hi in zip(step, step[1:], strict=False):
+                sums[b[lo:hi]] = np.logaddexp(sums[b[lo:hi]], sums[a[lo:hi]] + log[piece[lo:hi]])
+        return sums[last]
 
     def expected(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words that occur *count* times, under one column of weights."""
-        sums = self.ranges.over(data)
-        uses = np.zeros(self.size + 1)
-        base, w = self.size - 256, weights[:, 0]
-        for part, s, n in self._groups(data, start, end - start):
-            if n == 0:
-                continue
-            if n > SHORT:
-                for i, a in zip(part.tolist(), s.tolist(), strict=True):
-                    for piece, use in self._long_uses(data, sums, a, n, w):
-                        uses += np.bincount(piece, count[i] * use, minlength=self.size + 1)
+        """Expected uses of each piece in words that occur *count* times, under one column of scaled weights."""
+        uses = np.zeros(self.size)
+        w = weights[:, 0]
+        with np.errstate(divide="ignore"):
+            log = np.log(w)
+        for some, long in self._batches(start, end):
+            if not (end - start)[some].any():
                 continue
-            arcs = {}
-            alpha, beta = np.zeros((n + 1, len(s))), np.zeros((n + 1, len(s)))
-            alpha[0] = beta[n] = 1
-            for j in range(1, n + 1):
-                arcs[j, 0] = base + data[s + j - 1].astype(np.int64)
-                total = alpha[j - 1] * w[arcs[j, 0]]
-                for m in range(1, min(self.longest, j) + 1):
-                    arcs[j, m] = self._numbers(sums, s + (j - m), s + j)
-                    total += alpha[j - m] * w[arcs[j, m]]
-                alpha[j] = total
-            for (j, m), piece in sorted(arcs.items(), reverse=True):
-                beta[j - max(m, 1)] += beta[j] * w[piece]
-            share = count[part] / alpha[n]
-            for (j, m), piece in arcs.items():
-                uses += np.bincount(piece, share * alpha[j - max(m, 1)] * w[piece] * beta[j], minlength=self.size + 1)
-        return uses[:-1]
+            first, last, a, b, piece, word, steps = self._laid(data, start[some], end[some])
+            nodes = int((end - start)[some].sum()) + len(some)
+            if long:
+                alpha, beta = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
+                alpha[first] = beta[last] = 0
+                for step in steps:
+                    for lo, hi in zip(step, step[1:], strict=False):
+                        alpha[b[lo:hi]] = np.logaddexp(alpha[b[lo:hi]], alpha[a[lo:hi]] + log[piece[lo:hi]])
+                for lo, _, hi in reversed(steps):
+                    np.logaddexp.at(beta, a[lo:hi], beta[b[lo:hi]] + log[piece[lo:hi]])
+                share = np.exp(alpha[a] + log[piece] + beta[b] - alpha[last][word])
+            else:
+                alpha, beta = np.zeros(nodes), np.zeros(nodes)
+                alpha[first] = beta[last] = 1
+                for step in steps:
+                    for lo, hi in zip(step, step[1:], strict=False):
+                        alpha[b[lo:hi]] += alpha[a[lo:hi]] * w[piece[lo:hi]]
+                for lo, _, hi in reversed(steps):
+                    np.add.at(beta, a[lo:hi], beta[b[lo:hi]] * w[piece[lo:hi]])
+                share = alpha[a] * w[piece] * beta[b] / alpha[last][word]
+            uses += np.bincount(piece, count[some][word] * share, minlength=self.size)
+        return uses
 
 
 def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that goes to a Python worker: a fixed number of rows could be any number of bytes, as texts may be long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
