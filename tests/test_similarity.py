@@ -33,8 +33,12 @@ def test_step_is_a_kilometre(graph):
     assert abs(d - 1000) < 1e-8
 
 
+@pytest.mark.parametrize("by_value", [1000, 1, 0])
 @pytest.mark.parametrize("km", range(5))
-def test_rankings(graph, km):
+def test_rankings(graph, km, by_value, monkeypatch):
+    # queries by value and side by side, by value, or by a join
+    monkeypatch.setattr(similarity, "BY_VALUE", 1000 if by_value else 1)
+    monkeypatch.setattr(similarity, "SIDE_BY_SIDE", by_value)
     eps = km * 1000 + 1 if km else 0
     left = matrix.compose(graph, "IP", by="initials")
     m = spatial.extend_exact(left, graph.coordinates["place"], eps).persist()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.geo import pair_score
 
+from .matrix import deltas as deltas_of
+
 
 def _long(matrix: DataFrame) -> DataFrame:
     """``i, c, m`` of a plain or an extended matrix."""
@@ -25,34 +27,34 @@ def _score(dot: Column, delta_q: Column, delta_x: Column) -> Column:
     return (F.lit(2.0) * dot / (delta_q + delta_x)).cast("double")
 
 
+#: Up to so many queries are asked for by value, which reaches the scans below the matrix, and up to so many have a column each.
+BY_VALUE, SIDE_BY_SIDE = 1000, 32
+
+
 def scores(matrix: DataFrame, queries: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
     """``query, node, score`` of every object that shares a column with a query (*queries*: ``query``).
 
-    Only the queries' rows meet the matrix; all pairs of objects are never formed.  Without *deltas* the
-    matrix is gone through once: each entry counts towards its row's delta and towards the dot products
-    with those queries that have its column.
+    Only the queries' rows meet the matrix; all pairs of objects are never formed.  Without *deltas*, and for
+    a few queries, the matrix is gone through once: each entry counts towards its row's delta and towards
+    the dot product with each query.
     """
     m = _long(matrix)
-    rows = m.join(queries.select(F.col("query").alias("i")).distinct(), "i", "left_semi").select(F.col("i").alias("query"), "c", F.col("m").alias("q"))
-    if deltas is not None:
+    asked = queries.select(F.col("query").alias("i")).distinct()
+    ids = sorted(r["i"] for r in asked.limit(BY_VALUE + 1).collect() if r["i"] is not None)
+    rows = m.where(F.col("i").isin(ids)) if len(ids) <= BY_VALUE else m.join(asked, "i", "left_semi")
+    rows = rows.select(F.col("i").alias("query"), "c", F.col("m").alias("q"))
+    if deltas is not None or not 0 < len(ids) <= SIDE_BY_SIDE:
         dots = rows.join(m.select(F.col("i").alias("node"), "c", "m"), "c").groupBy("query", "node").agg(F.sum(F.col("q") * F.col("m")).alias("dot"))
-        return _scored(dots, deltas)
-    of_column = rows.groupBy(F.col("c").alias("at")).agg(F.collect_list(F.struct("query", "q")).alias("asked"))
-    # a row's own values beside those of the queries: their sum of products is the delta
-    own = F.array(F.struct(F.lit(None).cast("bigint").alias("query"), F.col("m").alias("q")))
-    met = m.join(of_column, m["c"] == of_column["at"], "left").select("i", "m", F.explode(F.concat(own, F.coalesce("asked", F.array().cast(own_type(m))))).alias("x"))
-    sums = met.groupBy("i", "x.query").agg(F.sum(F.col("m") * F.col("x.q")).alias("dot"))
-    of_node = sums.groupBy(F.col("i").alias("node")).agg(F.max(F.when(F.col("query").isNull(), F.col("dot"))).alias("delta_x"), F.collect_list(F.when(F.col("query").isNotNull(), F.struct("query", "dot"))).alias("found"))
-    found = of_node.where(F.size("found") > 0).select("node", "delta_x", F.explode("found").alias("f")).select("node", "delta_x", "f.query", "f.dot")
+        return _scored(dots, deltas_of(m) if deltas is None else deltas)
+    of_column = rows.groupBy(F.col("c").alias("at")).agg(*(F.max(F.when(F.col("query") == q, F.col("q"))).alias(f"q{k}") for k, q in enumerate(ids)))
+    met = m.join(of_column, m["c"] == of_column["at"], "left")
+    of_node = met.groupBy(F.col("i").alias("node")).agg(F.sum(F.col("m") * F.col("m")).alias("delta_x"), *(F.sum(F.col("m") * F.col(f"q{k}")).alias(f"q{k}") for k in range(len(ids))))
+    each = F.explode(F.array(*(F.struct(F.lit(q).cast("bigint").alias("query"), F.col(f"q{k}").alias("dot")) for k, q in enumerate(ids))))
+    found = of_node.select("node", "delta_x", each.alias("f")).select("node", "delta_x", "f.query", "f.dot").where("dot IS NOT NULL")
     of_query = rows.groupBy("query").agg(F.sum(F.col("q") * F.col("q")).alias("delta_q"))
     return found.join(of_query, "query").select("query", "node", _score(F.col("dot"), F.col("delta_q"), F.col("delta_x")).alias("score"))
 
 
-def own_type(matrix: DataFrame) -> str:
-    """The type of a list of queries' values in a column."""
-    return f"array<struct<query:bigint,q:{dict(matrix.dtypes)['m']}>>"
-
-
 def _checked(k: int) -> None:
     if k < 1:
         raise ValueError("k is at least 1")
