@@ -16,6 +16,7 @@ ENTRIES = [
     ("decontaminate", "op8_decontamination", "SQL"),
     ("jaccard_join", "op9_jaccard_join", "SQL"),
     ("line_dedup", "op10_line_dedup", "SQL"),
+    ("source_divergence", "op11_source_divergence", "SQL"),
     ("byte_bpe", "op13_byte_bpe", None),
 ]
 
