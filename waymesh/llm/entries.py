@@ -17,6 +17,7 @@ ENTRIES = [
     ("jaccard_join", "op9_jaccard_join", "SQL"),
     ("line_dedup", "op10_line_dedup", "SQL"),
     ("source_divergence", "op11_source_divergence", "SQL"),
+    ("code_books", "op12_vector_codes", None),
     ("byte_bpe", "op13_byte_bpe", None),
 ]
 
