@@ -29,33 +29,46 @@ PART = 1024
 
 
 def matches(text: Column, kind: str) -> Column:
-    """Array of ``start, end, value`` (code points, end exclusive) of a kind's leftmost matches that are long enough.
-
-    Match *i* begins after the gaps up to it and the matches before it.
-    """
+    """Array of ``gap, size, h`` of all of a kind's leftmost matches: code points before it, its own, and the value's hash (null for one that doesn't count)."""
     pattern, group, least = KINDS[kind]
     # runs of one class: a run long enough is a match of the narrower pattern, with the same ends
     pattern = LONG.get(kind, pattern)
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    each = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(whole)), lambda x: F.length(x)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("size"), value.alias("value"))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    none = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")).alias("found"))
+
+    def counted(x: Column) -> Column:
+        keep = F.length(x) >= least
+        if kind == "owned":
+            keep = keep & x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")
+        return F.when(keep, F.sha2(x.cast("binary"), 256))
+
+    each = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(whole)), lambda x: F.length(x)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("size"), F.transform(value, counted).alias("h"))
+    return F.when(text.rlike(pattern), each)
+
+
+def placed(each: Column, k: int) -> Column:
+    """Array of ``start, kind, end, h`` (code points, end exclusive) of the matches that count; *each* is a stored column.
+
+    Match *i* begins after the gaps up to it and the matches before it.  Lists grow by copies, so no fold is
+    longer than a part; parts are placed by themselves and then shifted.  As *each* is looked at once for every
+    part, it mustn't be an expression that would be computed again.
+    """
+    empty = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,h:string>>)")
 
     def add(done: Column, x: Column) -> Column:
         start = done["at"] + x["gap"]
-        keep = F.length(x["value"]) >= least
-        if kind == "owned":
-            keep = keep & x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]")
-        new = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))
-        return F.struct((start + x["size"]).alias("at"), F.when(keep, F.concat(done["found"], F.array(new))).otherwise(done["found"]).alias("found"))
+        new = F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + x["size"]).alias("end"), x["h"].alias("h"))
+        return F.struct((start + x["size"]).alias("at"), F.when(x["h"].isNotNull(), F.concat(done["found"], F.array(new))).otherwise(done["found"]).alias("found"))
 
-    # lists grow by copies, so each fold is kept short
-    parts = F.transform(F.sequence(F.lit(0), ((F.size(each) - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice(each, k * PART + 1, PART), none, add))
-    begin = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all")), lambda done, x: F.struct((done["at"] + x["at"]).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")), lambda done: done["all"])
-    shifted = F.zip_with(parts, begin, lambda x, at: F.transform(x["found"], lambda y: F.struct((y["start"] + at).alias("start"), (y["end"] + at).alias("end"), y["value"].alias("value"))))
-    found = F.when(F.size(each) <= PART, F.aggregate(each, none, add, lambda done: done["found"])).otherwise(F.flatten(shifted))
-    return F.when(text.rlike(pattern), found).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)"))
+    none = F.struct(F.lit(0).alias("at"), F.coalesce(F.lit(None).cast("array<struct<start:int,kind:int,end:int,h:string>>"), empty).alias("found"))
+    part = F.transform(F.sequence(F.lit(0), ((F.size(each) - 1) / PART).cast("int")), lambda n: F.struct(n.alias("n"), F.aggregate(F.slice(each, n * PART + 1, PART), none, add).alias("of")))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<array<struct<start:int,kind:int,end:int,h:string>>>)").alias("all"))
+
+    def shift(done: Column, x: Column) -> Column:
+        moved = F.transform(x["of"]["found"], lambda y: F.struct((y["start"] + done["at"]).alias("start"), y["kind"].alias("kind"), (y["end"] + done["at"]).alias("end"), y["h"].alias("h")))
+        return F.struct((done["at"] + x["of"]["at"]).alias("at"), F.concat(done["all"], F.array(moved)).alias("all"))
+
+    return F.when(F.size(each) > 0, F.flatten(F.aggregate(part, begin, shift, lambda done: done["all"]))).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:
@@ -72,11 +85,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     """
     text = F.coalesce(docs[text_col], F.lit(""))
 
-    def spans_of(k: int, kind: str) -> Column:
-        return F.transform(matches(text, kind), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.sha2(x["value"].cast("binary"), 256).alias("h")))
-
-    every = [spans_of(k, kind) for k, kind in enumerate(KINDS)]
-    found = shared.stored(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[repo_col].cast("string").alias("repo"), docs[owner_col].cast("string").alias("owner"), F.concat(*every).alias("spans")))
+    listed = shared.stored(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("bigint").alias("doc_id"), docs[repo_col].cast("string").alias("repo"), docs[owner_col].cast("string").alias("owner"), *(matches(text, kind).alias(f"m{k}") for k, kind in enumerate(KINDS))))
+    found = shared.stored(listed.select("row", "doc_id", "repo", "owner", F.concat(*(placed(F.col(f"m{k}"), k) for k in range(len(KINDS)))).alias("spans")))
     each = found.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
     # distinct pairs, then counts: both combine before they shuffle
     repos = each.where("repo IS NOT NULL").groupBy("h", "repo").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("repos"))
