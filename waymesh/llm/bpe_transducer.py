@@ -123,22 +123,21 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.guesses: list[tuple[tuple[int, int], ...]] = []
-        self.steps: dict[int, tuple[int, int]] = {}
-        self.start = self._numbered(((0, -1),))
+        # a state is a dictionary: by byte the next state and the token, under -1 its guesses
+        self.states: dict[tuple, dict] = {}
+        self.made = 0
+        self.start = self._state(((0, -1),))
 
-    def _numbered(self, guesses: tuple) -> int:
-        s = self.number.get(guesses)
+    def _state(self, guesses: tuple) -> dict:
+        s = self.states.get(guesses)
         if s is None:
-            s = self.number[guesses] = len(self.guesses)
-            self.guesses.append(guesses)
+            s = self.states[guesses] = {-1: guesses}
         return s
 
-    def _step(self, s: int, b: int) -> tuple[int, int]:
+    def _step(self, s: dict, b: int) -> tuple[dict, int]:
         """The state after a byte, and the token that ends with it."""
         merges, arc, alive, out = self.merges, self.arc, [], -1
-        for node, before in self.guesses[s]:
+        for node, before in s[-1]:
             to = arc.get(node << 8 | b)
             if to is not None:
                 if to[1]:
@@ -147,7 +146,8 @@ class Transducer:
                 if out < 0 and to[2] >= 0 and (merges.ends_of(to[2]) is not None if before < 0 else merges.apart(before, to[2])):
                     out = to[2]
         alive.append((0, out))
-        found = self.steps[s << 8 | b] = self._numbered(tuple(alive)), out
+        self.made += 1
+        found = s[b] = self._state(tuple(alive)), out
         return found
 
     def _back(self, ending: list[int], at: int) -> list[int]:
@@ -158,9 +158,9 @@ class Transducer:
             at -= self.size[out[-1]]
         return out[::-1]
 
-    def _final(self, ending: list[int], s: int) -> int:
+    def _final(self, ending: list[int], s: dict) -> int:
         """The last boundary to which all guesses alive go back."""
-        begun = {len(ending) - self.depth[node] for node, _ in self.guesses[s]}
+        begun = {len(ending) - self.depth[node] for node, _ in s[-1]}
         while len(begun) > 1:
             last = max(begun)
             begun.remove(last)
@@ -171,7 +171,7 @@ class Transducer:
         """The tokens of one match of the pattern; a match that is a token itself is that token."""
         if raw in self.whole:
             return [self.whole[raw]]
-        if len(self.steps) > STEPS:
+        if self.made > STEPS:
             self._forget()
         s, out, ending = self.start, [], []
         for at in range(0, len(raw), BLOCK):
@@ -179,13 +179,12 @@ class Transducer:
                 final = self._final(ending, s)
                 out += self._back(ending, final)
                 del ending[:final]
-                if len(self.steps) > STEPS:
-                    alive = self.guesses[s]
+                if self.made > STEPS:
+                    alive = s[-1]
                     self._forget()
-                    s = self._numbered(alive)
-            steps = self.steps
+                    s = self._state(alive)
             for b in raw[at : at + BLOCK]:
-                s, token = steps.get(s << 8 | b) or self._step(s, b)
+                s, token = s.get(b) or self._step(s, b)
                 ending.append(token)
         return out + self._back(ending, len(ending))
 

@@ -6,6 +6,7 @@ worker remembers the ids of short matches.  Nothing is shuffled: a row is encode
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from base64 import b64decode
@@ -22,7 +23,7 @@ from .bpe_transducer import WHOLE, Decoder, Pieces, Transducer
 from .word_bpe import process_state
 
 #: Matches whose ids a Python worker remembers, and their most characters.
-REMEMBERED, SHORT = 200_000, 48
+REMEMBERED, SHORT = 400_000, 48
 #: Matches, and ids, that are held at once.
 BLOCK = 1 << 16
 
@@ -88,6 +89,14 @@ class _Known(dict):
         return ids
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Coder:
     """Texts to ids."""
 
@@ -99,10 +108,10 @@ class Coder:
             state["known"] = _Known(Transducer(ranks_of(spec)))
         self.known = state["known"]
         self.cut = regex.compile(cut)
-        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.newer = re.compile(f"[{newer}]") if newer else None
 
     def _matches(self, text: str) -> Iterator[str]:
-        if self.newer is not None and not text.isascii() and self.newer.search(text):
+        if self.newer is not None and not _latin(text) and self.newer.search(text):
             # cut as if these characters had no class; places stay the same
             return (text[m.start() : m.end()] for m in self.cut.finditer(self.newer.sub(_NO_CLASS, text)))
         return iter(self.cut.findall(text)) if len(text) < BLOCK else (m.group() for m in self.cut.finditer(text))
