@@ -124,10 +124,10 @@ def test_local_ids_of_outlying_nodes(spark):
     for t in range(3):
         assert [got[i] for i in sorted(i for i, k in rows if k == t)] == list(range(sum(k == t for _, k in rows)))
     assert model.local_ids(spark.createDataFrame([], model.NODES)).collect() == []
-    # places and counts come from one and the same split into ranges
+    # places and counts come from one and the same split into ranges: it is written, and no part of the plan any more
     found = model.local_ids(spark.createDataFrame(rows, model.NODES))
     found.collect()
-    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_layouts(spark, tmp_path):
@@ -309,3 +309,19 @@ def test_sample(spark):
     rows = spark.range(1000).withColumnRenamed("id", "i")
     a = [r["query"] for r in quality.query_sample(rows, 50).collect()]
     assert len(a) == 50 and a == sorted(a) and a == [r["query"] for r in quality.query_sample(rows, 50).collect()]
+
+def test_numbers_without_reused_exchanges(spark):
+    """Two million ids and names are numbered without gaps, however the plan is made."""
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        n = 1_000_000
+        nodes = spark.range(2 * n).select((F.xxhash64("id")).alias("node_id"), (F.col("id") % 2).cast("int").alias("type_id"))
+        found = model.local_ids(nodes).groupBy("type_id").agg(F.count("*").alias("n"), F.countDistinct("local_id").alias("d"), F.min("local_id").alias("low"), F.max("local_id").alias("high"))
+        assert sorted(map(tuple, found.collect())) == [(t, n, n, 0, n - 1) for t in (0, 1)]
+        names = etl._dictionary(spark.range(2 * n).select(F.sha2(F.col("id").cast("string"), 256).alias("name")), 5)
+        assert tuple(names.agg(F.count("*"), F.countDistinct("local"), F.min("local"), F.max("local"), F.max("global")).first()) == (2 * n, 2 * n, 0, 2 * n - 1, 2 * n + 4)
+        # in order, too
+        assert model.local_ids(nodes).where("type_id = 0").selectExpr("local_id - row_number() over (order by node_id) AS gap").distinct().collect() == [(-1,)]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymesh.functions.metapath import EdgeType
 
-from .model import Graph
+from .model import Graph, numbered
 
 CHECKIN_TYPES = ["user", "venue", "venue_category"]
 CHECKIN_EDGES = [EdgeType("checked_in_at", "user", "venue"), EdgeType("has_category", "venue", "venue_category")]
@@ -51,20 +51,15 @@ def first_coordinates(df: DataFrame, key: str, lon: str, lat: str, order: str =
 
 
 def _dictionary(names: DataFrame, start: int) -> DataFrame:
-    """``name, local, global``: names in sorted order, numbered; ranges are numbered apart and shifted."""
-    spark = names.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = names.distinct().repartitionByRange(parts, "name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("part").agg(F.count("*").alias("k"))
-    shift = counts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    return ranged.join(F.broadcast(shift), "part").select("name", (F.col("within") + F.col("shift")).alias("local"), (F.col("within") + F.col("shift") + start).alias("global"))
+    """``name, local, global``: names in sorted order, numbered from 0 and from *start*."""
+    return numbered(names.distinct(), ["name"], name="local").select("name", "local", (F.col("local") + start).alias("global"))
 
 
 def _build(node_names: list[DataFrame], types: list[str], edges: list[tuple[int, DataFrame, int, int]], edge_types: list[EdgeType], coordinates: tuple[int, str, DataFrame]) -> Graph:
     dictionaries, start = [], 0
     for names in node_names:
         d = _dictionary(names, start)
-        start += names.distinct().count()
+        start += d.count()
         dictionaries.append(d)
     nodes = None
     for n, d in enumerate(dictionaries):

@@ -9,23 +9,32 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.metapath import EdgeType
 
+from .shared import written
+
 NODES = "node_id bigint, type_id int"
 EDGES = "src bigint, etype_id int, dst bigint"
 COORDINATES = "id bigint, lon double, lat double"
 
 
-def local_ids(nodes: DataFrame) -> DataFrame:
-    """``node_id, type_id, local_id``: nodes of a type numbered from 0 in the order of their ids.
+def numbered(rows: DataFrame, order: list[str], group: list[str] | None = None, name: str = "number") -> DataFrame:
+    """*rows* and their places from 0 by *order*, within each *group*.
 
-    Ids are sorted in ranges of about equal counts, numbered within and shifted by the counts of the ranges
-    before, so no task gets a whole type, wherever the ids lie.
+    Rows are sorted in ranges of about equal counts, numbered within and shifted by the counts of the ranges
+    before, so no task gets a whole group.  The ranges' bounds come from a sample, so they are dealt once and
+    written: evaluated twice, a row could be counted in one range and numbered in another.
     """
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = nodes.select("node_id", "type_id").repartitionByRange(parts, "type_id", "node_id").sortWithinPartitions("type_id", "node_id").withColumns({"part": F.spark_partition_id(), "m": F.monotonically_increasing_id()})
-    counts = ranged.groupBy("type_id", "part").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("type_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    shift = counts.select("type_id", "part", "first", F.coalesce(before, F.lit(0)).alias("shift"))
-    return ranged.join(shift, ["type_id", "part"]).select("node_id", "type_id", (F.col("m") - F.col("first") + F.col("shift")).alias("local_id"))
+    group = group or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = counts.select(*group, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(shift, [*group, "_part"]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def local_ids(nodes: DataFrame) -> DataFrame:
+    """``node_id, type_id, local_id``: nodes of a type numbered from 0 in the order of their ids."""
+    return numbered(nodes.select("node_id", "type_id"), ["node_id"], ["type_id"], "local_id")
 
 
 @dataclass
@@ -39,6 +48,7 @@ class Graph:
     coordinates: dict[str, DataFrame] = field(default_factory=dict)
     #: ``name, local, global`` of each node type, where nodes were made from names.
     names: dict[str, DataFrame] = field(default_factory=dict)
+    _numbered: DataFrame | None = field(default=None, init=False, repr=False, compare=False)
 
     def type_id(self, name: str) -> int:
         return self.node_types.index(name)
@@ -50,7 +60,10 @@ class Graph:
         raise ValueError(f"unknown edge type {name!r}")
 
     def numbered(self) -> DataFrame:
-        return local_ids(self.nodes)
+        """:func:`local_ids` of the nodes, written once for all who ask."""
+        if self._numbered is None:
+            self._numbered = local_ids(self.nodes)
+        return self._numbered
 
     def count_of(self, name: str) -> int:
         return self.nodes.where(F.col("type_id") == self.type_id(name)).count()
