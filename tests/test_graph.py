@@ -174,28 +174,6 @@ def test_cells_in_hexadecimal(spark):
     assert spark.range(1).select(geo.cell_hex(F.lit(0x8A2A1072B59FFFF))).first()[0] == "8a2a1072b59ffff"
 
 
-def test_hex_cells_by_a_stub(spark, monkeypatch, tmp_path):
-    """The hexagonal grid's own code, with a package of its name that has square cells."""
-    (tmp_path / "h3.py").write_text(
-        "def average_hexagon_edge_length(r, unit): return 1000.0\n"
-        "def latlng_to_cell(lat, lng, r): return f'{round(lat * 100) + 9000:04x}{round(lng * 100) + 18000:04x}'\n"
-        "def grid_disk(c, k): return [f'{int(c[:4], 16) + a:04x}{int(c[4:], 16) + b:04x}' for a in range(-k, k + 1) for b in range(-k, k + 1)]\n"
-        "def cell_to_latlng(c): return (int(c[:4], 16) - 9000) / 100, (int(c[4:], 16) - 18000) / 100\n"
-        "def str_to_int(c): return int(c, 16)\n"
-        "def int_to_str(n): return f'{n:08x}'\n"
-    )
-    monkeypatch.syspath_prepend(str(tmp_path))
-    spark.sparkContext.addPyFile(str(tmp_path / "h3.py"))
-    cells = grid.HexCells(7)
-    found = cells.near(spark.createDataFrame([(1, 10.0, 50.0), (2, None, 1.0)], "id bigint, lon double, lat double"), 1500.0).collect()
-    # cells a hundredth of a degree apart: 1112 m to the north, 715 m to the east
-    assert {(r["cell"] >> 16, r["cell"] & 0xFFFF) for r in found} == {(14000 + a, 19000 + b) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2) if (a * 1112) ** 2 + (b * 715) ** 2 <= 1500**2}
-    assert all(r["dist"] <= 1500 and r["id"] == 1 for r in found) and cells.radius_m == 1549
-    home = spark.createDataFrame([(10.004, 50.003), (-170.0, -60.0)], "lon double, lat double").select(cells.cell_of(F.col("lon"), F.col("lat")).alias("cell"))
-    assert [(r["cell"] >> 16, r["cell"] & 0xFFFF) for r in home.collect()] == [(14000, 19000), (3000, 1000)]
-    assert [tuple(r) for r in home.select(*cells.centre(F.col("cell"))).collect()] == [(10.0, 50.0), (-170.0, -60.0)]
-
-
 def test_catalog(spark, tmp_path):
     c, calls = Catalog(spark, str(tmp_path)), []
 
@@ -281,16 +259,6 @@ def test_lattice_of_resolutions(spark):
     assert got == {0: len(each[0]), 1: len(each[1]), None: len(each[0] | each[1])}
 
 
-def test_hex_cells_need_their_package():
-    try:
-        import h3  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="LatticeCells"):
-            grid.HexCells(7)
-    with pytest.raises(ValueError):
-        grid.HexCells(16)
-
-
 def test_stream(spark, tmp_path):
     from waymesh.streaming.edges import adjacency_stream, merged
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymesh.functions import hexagons
 from waymesh.functions.geo import RADIUS_M
 
 from .grid import LatticeCells
@@ -66,5 +67,30 @@ def cell_radius(spark: SparkSession, cells: LatticeCells) -> DataFrame:
             arcs = [farthest_on_arc(centre, a, b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
             yield pd.DataFrame({"cell": x["cell"], "n": x["n"], "vertex": vertex * RADIUS_M, "boundary": np.max(arcs, 0) * RADIUS_M})
 
-    measured = bands.mapInPandas(measure, "cell long, n long, vertex double, boundary double")
+    return _farthest(bands.mapInPandas(measure, "cell long, n long, vertex double, boundary double"))
+
+
+def hex_radius(cells: DataFrame) -> DataFrame:
+    """The same of hexagons: of *cells* (``cell``), such as ``HexCells.all_cells``, or those that places lie in."""
+
+    def measure(batches):
+        for x in batches:
+            cell = x["cell"].to_numpy(np.int64)
+            corners = hexagons.boundaries(cell)
+            size = np.array([len(c) for c in corners], int)
+            if not len(size):
+                continue
+            start = np.concatenate(corners)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            after = np.arange(len(start)) + 1
+            after[first + size - 1] = first
+            centre = np.repeat(hexagons.centres(cell), size, axis=0)
+            vertex = np.maximum.reduceat(central_angle(centre, start), first)
+            boundary = np.maximum.reduceat(farthest_on_arc(centre, start, start[after]), first)
+            yield pd.DataFrame({"cell": cell, "n": 1, "vertex": vertex * RADIUS_M, "boundary": boundary * RADIUS_M})
+
+    return _farthest(cells.select("cell").dropna().distinct().mapInPandas(measure, "cell long, n long, vertex double, boundary double"))
+
+
+def _farthest(measured: DataFrame) -> DataFrame:
     return measured.agg(F.sum("n").alias("cells"), F.max("vertex").alias("vertex_m"), F.max("boundary").alias("boundary_m"), F.max_by("cell", F.struct("boundary", F.col("cell"))).alias("farthest_cell"), F.ceil(F.greatest(F.max("vertex"), F.max("boundary"))).cast("bigint").alias("rho_m"))

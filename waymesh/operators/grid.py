@@ -1,13 +1,16 @@
-"""Fixed anchor points that cover the Earth: a lattice in closed form, or hexagons if their package is there."""
+"""Fixed anchor points that cover the Earth: a lattice in closed form, or the hexagons of an icosahedron."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.functions import hexagons
 from waymesh.functions.geo import RADIUS_M, haversine_m
 
 #: Covering radius in metres by resolution of the hexagonal grid. Fixed values.
@@ -87,27 +90,24 @@ class LatticeCells:
 
 
 class HexCells:
-    """The hexagonal grid of the ``h3`` package, where it can be imported."""
+    """Hexagons (and twelve pentagons) of a resolution, whose ids are those of the public icosahedral index."""
 
     def __init__(self, resolution: int):
-        if not 0 <= resolution <= 15:
+        if not 0 <= resolution <= hexagons.MOST_RESOLUTION:
             raise ValueError("a resolution is from 0 to 15")
-        try:
-            import h3
-        except ImportError as e:
-            raise RuntimeError("hexagonal cells need the h3 package; LatticeCells doesn't") from e
         self.resolution = resolution
         self.radius_m = COVER_M.get(resolution)
-        self._edge_m = h3.average_hexagon_edge_length(resolution, unit="m")
+        self.count = 2 + 120 * 7**resolution
 
     def cell_of(self, lon: Column, lat: Column) -> Column:
-        """The id of the cell that a point lies in."""
+        """The id of the cell that a point lies in; null for a point without coordinates."""
         resolution = self.resolution
 
         def cells(lon: pd.Series, lat: pd.Series) -> pd.Series:
-            import h3
-
-            return pd.Series([h3.str_to_int(h3.latlng_to_cell(y, x, resolution)) for x, y in zip(lon, lat, strict=True)], dtype="int64")
+            out = pd.Series(pd.NA, index=lon.index, dtype="Int64")
+            there = lon.notna() & lat.notna()
+            out[there] = hexagons.cells_at(lon[there].to_numpy(float), lat[there].to_numpy(float), resolution)
+            return out
 
         return F.pandas_udf(cells, "long")(lon, lat)
 
@@ -115,27 +115,62 @@ class HexCells:
         """Longitude and latitude of a cell's anchor."""
 
         def points(cell: pd.Series) -> pd.DataFrame:
-            import h3
-
-            at = [h3.cell_to_latlng(h3.int_to_str(c)) for c in cell]
-            return pd.DataFrame({"lon": [x for _, x in at], "lat": [y for y, _ in at]}, dtype="float64")
+            lon, lat = hexagons.degrees(hexagons.centres(cell.to_numpy(np.int64)))
+            return pd.DataFrame({"lon": lon, "lat": lat})
 
         point = F.pandas_udf(points, "lon double, lat double")(cell)
         return point["lon"], point["lat"]
 
-    def near(self, places: DataFrame, eps_m: float) -> DataFrame:
-        ring, resolution = math.ceil(eps_m / self._edge_m) + 2, self.resolution
+    def all_cells(self, spark) -> DataFrame:
+        """``cell`` of the whole Earth: base cells and their digits, without what pentagons lack."""
+        n = self.resolution
+        digits = [F.expr(f"(id div {7 ** (n - r)}) % 7") for r in range(1, n + 1)]
+        base = F.expr(f"id div {7**n}")
+        leading = F.lit(0)
+        for d in reversed(digits):
+            leading = F.when(d > 0, d).otherwise(leading)
+        cell = F.lit(1 << 59 | n << 52 | ((1 << 3 * (15 - n)) - 1)) + F.shiftleft(base, 45)
+        for r, d in enumerate(digits, 1):
+            cell = cell + F.shiftleft(d, 45 - 3 * r)
+        return spark.range(122 * 7**n).where(~(base.isin(*hexagons.pentagons()) & (leading == 1))).select(cell.alias("cell"))
+
+    def disk(self, cells: DataFrame, k: int) -> DataFrame:
+        """``origin, cell``: the cells up to *k* steps from each of *cells* (``cell``), itself included."""
+        resolution = self.resolution
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                origin = batch["cell"].to_numpy(np.int64)
+                for lo in range(0, len(origin), 1024):
+                    who, found = hexagons.disks(origin[lo : lo + 1024], k, resolution)
+                    yield pd.DataFrame({"origin": origin[lo + who], "cell": found})
+
+        return cells.select("cell").dropna().mapInPandas(run, "origin long, cell long")
+
+    def boundary(self, cells: DataFrame) -> DataFrame:
+        """``cell, n, lon, lat``: the corners of each of *cells* (``cell``), counter-clockwise."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                cell = batch["cell"].to_numpy(np.int64)
+                corners = hexagons.boundaries(cell)
+                size = [len(c) for c in corners]
+                lon, lat = hexagons.degrees(np.concatenate(corners)) if size else (np.zeros(0), np.zeros(0))
+                yield pd.DataFrame({"cell": np.repeat(cell, size), "n": np.concatenate([np.arange(k) for k in size]) if size else np.zeros(0, int), "lon": lon, "lat": lat})
+
+        return cells.select("cell").dropna().mapInPandas(run, "cell long, n int, lon double, lat double")
 
-        def run(batches):
-            import h3
+    def near(self, places: DataFrame, eps_m: float) -> DataFrame:
+        """``id, cell, dist`` of every anchor up to *eps_m* metres from each place, without a join."""
+        resolution, angle = self.resolution, min(eps_m / RADIUS_M * (1 + 1e-9) + 1e-12, math.pi)
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = []
-                for place, lon, lat in zip(batch["id"], batch["lon"], batch["lat"], strict=True):
-                    for cell in h3.grid_disk(h3.latlng_to_cell(lat, lon, resolution), ring):
-                        c_lat, c_lon = h3.cell_to_latlng(cell)
-                        rows.append((place, lon, lat, h3.str_to_int(cell), c_lon, c_lat))
-                yield pd.DataFrame(rows, columns=["id", "lon", "lat", "cell", "c_lon", "c_lat"])
+                v = hexagons.vectors(batch["lon"].to_numpy(), batch["lat"].to_numpy())
+                for row, cell, centre in hexagons.around(v, angle, resolution):
+                    lon, lat = hexagons.degrees(centre)
+                    some = batch.iloc[row]
+                    yield pd.DataFrame({"id": some["id"].to_numpy(), "lon": some["lon"].to_numpy(), "lat": some["lat"].to_numpy(), "cell": cell, "c_lon": lon, "c_lat": lat})
 
         found = places.dropna().select("id", "lon", "lat").mapInPandas(run, "id long, lon double, lat double, cell long, c_lon double, c_lat double")
         dist = haversine_m(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))

@@ -6,9 +6,12 @@ have no coordinates, so these are made from keys by the same arithmetic in both
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymesh.functions import hexagons
 from waymesh.functions.geo import haversine_m
 from waymesh.functions.metapath import EdgeType, parse_path
 from waymesh.operators import cell_radius as radius
@@ -20,6 +23,7 @@ QUERIES = (7, 11, 42)
 ONE = 7
 K = 10
 CELLS = grid.LatticeCells(0.02)
+HEXAGONS = grid.HexCells(7)
 
 EDGE_TYPES = [EdgeType("placed", "customer", "order"), EdgeType("contains", "order", "part"), EdgeType("supplied_by", "order", "supplier"), EdgeType("in_nation", "customer", "nation"), EdgeType("in_region", "nation", "region")]
 
@@ -230,6 +234,35 @@ def grid_over_topk(spark, d):
     return similarity.top_k_batch(_grid(spark, d, mode="over"), _asked(spark), K)
 
 
+def hex_anchors(spark, d):
+    """Anchors of hexagons near each place."""
+    near = HEXAGONS.near(places(spark, d), grid.grid_epsilon(EPS_M, HEXAGONS.radius_m))
+    lon, lat = HEXAGONS.centre(F.col("cell"))
+    return _rounded(near.select("id", lon.alias("lon"), lat.alias("lat"), "dist"), "lon", "lat", "dist", digits=4)
+
+
+def _hex(spark: SparkSession, d: str, weighted: bool = False, mode: str = "under") -> DataFrame:
+    return spatial.extend_grid(_left(spark, d), places(spark, d), grid.grid_epsilon(EPS_M, HEXAGONS.radius_m, mode), HEXAGONS, weighted)
+
+
+def hex_unweighted_topk(spark, d):
+    return similarity.top_k_batch(_hex(spark, d), _asked(spark), K)
+
+
+def hex_weighted_topk(spark, d):
+    return _rounded(similarity.top_k_batch(_hex(spark, d, True), _asked(spark), K), "score")
+
+
+def hex_over_topk(spark, d):
+    return similarity.top_k_batch(_hex(spark, d, mode="over"), _asked(spark), K)
+
+
+def hex_home_radius(spark, d):
+    """How far the boundaries of the hexagons that places lie in are from their anchors."""
+    p = places(spark, d)
+    return _rounded(radius.hex_radius(p.select(HEXAGONS.cell_of(F.col("lon"), F.col("lat")).alias("cell"))), "vertex_m", "boundary_m", digits=4)
+
+
 def pair_report(spark, d):
     return _rounded(similarity.pair_report(_left(spark, d), _exact(spark, d), 7, 11, 100), "value", digits=9)
 
@@ -371,6 +404,32 @@ def _gm(weighted: bool, mode: str, distance: int = EPS_M) -> str:
     return f"{_PLACE}, {_L}, {_cells(eps)}, r AS (SELECT id AS j, cell AS c1, 0 AS c2, {w} AS w FROM near), m AS (SELECT i, c1, c2, sum(l.v * r.w)::{kind} AS m FROM l JOIN r USING (j) WHERE r.w > 0 GROUP BY ALL)"
 
 
+def _hexagons(eps: float) -> str:
+    """Anchors near places: places of each face's plane within six steps of a place's own, back on the sphere."""
+    centre, axes = hexagons._frames()
+    rows = ", ".join(f"({', '.join(repr(float(x)) + '::DOUBLE' for x in (*c, *a, *b))})" for c, (a, b) in zip(centre, axes, strict=True))
+    scale = hexagons._scale(HEXAGONS.resolution)[1]
+    mr, mi, size, u, h = (f"{float(x)!r}::DOUBLE" for x in (scale.real, scale.imag, abs(scale) ** 2, hexagons.UNIT, math.sqrt(0.75)))
+    sides = " AND ".join(f"x * {math.cos(t)!r}::DOUBLE + y * {math.sin(t)!r}::DOUBLE <= 1.000000001" for t in (math.pi / 3, math.pi, 5 * math.pi / 3))
+    return f"""face AS (SELECT * FROM (VALUES {rows}) AS t(cx, cy, cz, ax, ay, az, bx, b_y, bz)),
+    pt AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS px, cos(radians(lat)) * sin(radians(lon)) AS py, sin(radians(lat)) AS pz FROM place),
+    pf AS (SELECT *, (px * ax + py * ay + pz * az) / (px * cx + py * cy + pz * cz) / {u} AS qx, (px * bx + py * b_y + pz * bz) / (px * cx + py * cy + pz * cz) / {u} AS qy FROM pt, face WHERE px * cx + py * cy + pz * cz > 0.7),
+    own AS (SELECT *, round((qx * {mi} + qy * {mr}) / {h}) AS b0, round(qx * {mr} - qy * {mi} - (qx * {mi} + qy * {mr}) / {h} / 2) AS a0 FROM pf),
+    step AS (SELECT *, a0 + da.range AS a, b0 + db.range AS b FROM own, range(-6, 7) da, range(-6, 7) db),
+    flat AS (SELECT *, ((a + b / 2) * {mr} + b * {h} * {mi}) / {size} AS x, (b * {h} * {mr} - (a + b / 2) * {mi}) / {size} AS y FROM step),
+    ball AS (SELECT *, cx + {u} * (x * ax + y * bx) AS vx, cy + {u} * (x * ay + y * b_y) AS vy, cz + {u} * (x * az + y * bz) AS vz FROM flat WHERE {sides}),
+    anchor AS (SELECT id, lon AS plon, lat AS plat, degrees(atan2(vy, vx)) AS alon, degrees(atan2(vz, sqrt(vx * vx + vy * vy))) AS alat FROM ball),
+    dists AS (SELECT *, {_dist('x', 'y').replace('x.lat', 'plat').replace('x.lon', 'plon').replace('y.lat', 'alat').replace('y.lon', 'alon')} AS dist FROM anchor),
+    near AS (SELECT id, round(alon, 6) AS lon6, round(alat, 6) AS lat6, min(alon) AS lon, min(alat) AS lat, min(dist) AS dist FROM dists WHERE dist <= {eps!r} GROUP BY 1, 2, 3)"""
+
+
+def _hm(weighted: bool, mode: str) -> str:
+    eps = grid.grid_epsilon(EPS_M, HEXAGONS.radius_m, mode)
+    w = f"greatest(0.0::DOUBLE, 1 - dist / {eps!r})" if weighted else "1::BIGINT"
+    kind = "DOUBLE" if weighted else "BIGINT"
+    return f"{_PLACE}, {_L}, {_hexagons(eps)}, r AS (SELECT id AS j, lon6 AS c1, lat6 AS c2, {w} AS w FROM near), m AS (SELECT i, c1, c2, sum(l.v * r.w)::{kind} AS m FROM l JOIN r USING (j) WHERE r.w > 0 GROUP BY ALL)"
+
+
 _PLAIN = f"{_L}, m AS (SELECT i, j AS c1, 0 AS c2, v AS m FROM l)"
 
 
@@ -463,6 +522,10 @@ ORACLE: dict[str, str] = {
     "grid_unweighted_topk": _top(_gm(False, "under")),
     "grid_weighted_topk": _top(_gm(True, "under"), 6),
     "grid_over_topk": _top(_gm(False, "over")),
+    "hex_anchors": f"WITH {_PLACE}, {_hexagons(grid.grid_epsilon(EPS_M, HEXAGONS.radius_m))} SELECT id, round(lon, 4) AS lon, round(lat, 4) AS lat, round(dist, 4) AS dist FROM near",
+    "hex_unweighted_topk": _top(_hm(False, "under")),
+    "hex_weighted_topk": _top(_hm(True, "under"), 6),
+    "hex_over_topk": _top(_hm(False, "over")),
     "pair_report": f"WITH {_m().replace('m AS (SELECT', 'm_spatial AS (SELECT')}, m_plain AS (SELECT i, j AS c1, 0 AS c2, v AS m FROM l), {_report('plain')}, {_report('spatial')} SELECT measure, round(value, 9) AS value FROM (SELECT * FROM t_plain UNION ALL SELECT * FROM t_spatial)",
     "rank_position": f"WITH {_PLAIN}, {_scores(ids='7')}, k AS (SELECT node, {_RANKED} FROM s) SELECT 7::BIGINT AS query, 11::BIGINT AS node, coalesce((SELECT rank FROM k WHERE node = 11), -1)::BIGINT AS rank",
     "quality_precision_recall": f"{_quality()} SELECT count(*)::BIGINT AS queries, round(coalesce(avg(hits / n_cand) FILTER (n_cand > 0), 0), 6) AS precision, round(coalesce(avg(hits / n_ref) FILTER (n_ref > 0), 0), 6) AS recall FROM every",
@@ -482,7 +545,7 @@ ORACLE: dict[str, str] = {
 }
 
 #: Hashes and geometry that SQL can't say alike.
-_ROWS_ONLY = ["cell_radius"]
+_ROWS_ONLY = ["cell_radius", "hex_home_radius"]
 
 
 def queries() -> dict:
