@@ -247,3 +247,31 @@ def test_extract_reads_its_columns_only(spark):
     rows = [(1, "u", f"<p>{LONG}</p>", "t", 7, "p", [1])] * 2
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, path string, blocks array<int>")).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, LONG.strip(), len(LONG.strip()))] * 2
+
+
+KEPT = [
+    ('<p title="the hidden valley">Lost one, and more of it, as we said.</p>', "Lost one"),
+    ('<p><a title="A hidden cost" href=x>Lost link</a> stands here, in a sentence of words.</p>', "Lost link"),
+    ('<p data-kicker="our hidden style" data-b=\'class="ad"\'>Lost kick, with all of the words, here.</p>', "Lost kick"),
+    ('<pre>x = 1 <span class="hljs-comment"># lost code</span></pre>', "lost code"),
+    ('<pre>x = 1 <span class="comment"># lost code</span></pre>', "lost code"),
+    ('<section id="code-comment"><p>Lost section, which was long, and had words.</p></section>', "Lost section"),
+    ('<div class="adHoc"><p>Lost adhoc, which was long, and had words.</p></div>', "Lost adhoc"),
+    ('<p aria-hidden="true">Lost aria, which was long, and had words.</p>', "Lost aria"),
+    ("<p>So <math><mi>lostx</mi><mo>=</mo><mn>1</mn></math> holds, as was shown before.</p>", "lostx"),
+    ("<xmp>lost <b>xmp</b> &amp; text, which is long, and has words</xmp>", "lost <b>xmp</b> &amp; text"),
+]
+GONE = [
+    ('<div class="comments"><p>Reader one says that this is fine, as ever, and long enough.</p></div>', "Reader one"),
+    ('<div id="comment-list"><p>Reader two says that this is fine, as ever, and long enough.</p></div>', "Reader two"),
+    ('<div class="ad-slot"><p>Buy this now, it is very good, as ever.</p></div>', "Buy this"),
+    ('<p class="x" class="y" hidden>Not seen, as it is hidden, whatever else it says.</p>', "Not seen"),
+]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_attributes_are_read_in_order_and_names_as_wholes(tag):
+    text = "".join(f"<p>The river rose again in spring {i}, and the whole village, as ever, watched it from the bridge.</p>" for i in range(6))
+    for inner, words in KEPT + GONE:
+        found = html_extract.main_text(f"<html><body><nav><a href=x>Home</a></nav><{tag}><h1>Title of it</h1>{text}{inner}</{tag}><footer>foot</footer></body></html>")
+        assert (words in found) == ((inner, words) in KEPT) and "spring 5" in found and "Home" not in found

@@ -29,18 +29,19 @@ from . import shared
 _START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _END = re.compile(r">|=\s*[\"']")
-_HINTS = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。、，！？؟،]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SPLIT = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 #: Elements that begin and end a block of text.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup or isn't text of the page.
-RAW = frozenset("script style noscript template textarea title svg math iframe select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select noembed noframes annotation annotation-xml xmp".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag closes, and those beyond which it doesn't look.
@@ -58,9 +59,13 @@ CLOSES = {name: (closed.split(), until.split()) for name, (closed, until) in CLO
 _INSIDE_P = frozenset("body html head button caption label legend option summary dialog tbody td tfoot th thead tr li dt dd search frameset".split())
 #: Elements whose text isn't the article's.
 BOILERPLATE = frozenset("nav footer aside form button dialog menu search head label legend fieldset option".split())
-#: The same by words of class, id or role: anywhere, and outside of article and main elements.
-ANYWHERE = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments disqus".split())
+#: The same by names, the parts of class, id or role between blanks, hyphens and underscores: adverts and reader
+#: comments anywhere, layout outside of article and main elements.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored".split())
 LAYOUT = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar cookie cookies consent notice notices alert banner".split())
+#: Comments of readers are named so, or by one comment and such parts alone ("code-comment" isn't theirs).
+COMMENTS = frozenset("comments commentlist disqus".split())
+OF_COMMENT = frozenset("comment list section area thread form respond reply wrapper container box block body item reader user author meta content text post view".split())
 #: A path has at least this part of the ratio of its parent's own blocks; content reaches this part of the mean.
 LIFT, LEAST = 0.9, 0.5
 
@@ -133,6 +138,9 @@ class Page:
             yield "close" if closing else "open", lower, "" if closing else page[name.end() : end]
             if lower in RAW and not closing and page[end - 1] != "/":
                 e = _RAW_END[lower].search(page, at)
+                if lower == "xmp":  # text as it stands
+                    yield "text", html.escape(page[at : e.start() if e else len(page)], quote=False), ""
+                    yield "close", lower, ""
                 at = e.end() if e else len(page)
         if at < len(page):
             yield "text", page[at:], ""
@@ -191,7 +199,7 @@ class Page:
                 # inline elements aren't part of paths, but may be barred
                 if kind == "open" and attributes and name not in VOID and attributes[-1] != "/":
                     _, path, bar, article = top()
-                    if why := _named(attributes, article)[1]:
+                    if why := _named(attributes, article, not places.get("pre"), False)[1]:
                         flush()
                         push(name, path, self._bar(bar, why), article)
                 elif kind == "close" and places.get(name):
@@ -214,7 +222,7 @@ class Page:
             if name in VOID:
                 continue
             _, path, bar, article = top()
-            label, why = _named(attributes, article) if attributes else ("", "")
+            label, why = _named(attributes, article, not places.get("pre"), True) if attributes else ("", "")
             if name in ("html", "body", "article", "main"):
                 why = "" if why != "hidden" else why
             if name in BOILERPLATE or name == "header" and not article:
@@ -228,24 +236,39 @@ class Page:
         flush()
 
 
-def _named(attributes: str, article: bool) -> tuple[str, str]:
-    """What class and id add to a path, and why an element is barred by its attributes, if it is."""
-    label = why = ""
-    for key, value in _HINTS.findall(attributes):
+def _named(attributes: str, article: bool, named: bool = True, block: bool = True) -> tuple[str, str]:
+    """What class and id add to a path, and why an element is barred by its attributes, if it is.
+
+    Attributes are read one after the other, and of repeated ones the first counts.  Names don't count in
+    preformatted text (*named*), and only a *block* holds comments.
+    """
+    label, why, seen = "", "", set()
+    for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+        if not key or key in seen:
+            continue
+        seen.add(key)
+        if key == "hidden" or key == "style" and _UNSEEN.search(value):
             why = "hidden"
         elif key in ("class", "id", "role"):
             if key != "role":
                 label += "." + _DIGITS.sub("", value)
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if not why and words & ANYWHERE:
-                why = "name"
-            elif not why and not article and words & LAYOUT:
-                why = "layout"
+            if not why and named:
+                why = _barred_name(value, article, block)
     return label, why
 
 
+def _barred_name(value: str, article: bool, block: bool) -> str:
+    why = ""
+    for name in value.split():
+        words = {w for w in _SPLIT.split(name.lower()) if w}
+        if words & ADVERTS or block and (words & COMMENTS or "comment" in words and words <= OF_COMMENT):
+            return "name"
+        if not article and (words | {w.lower() for w in _WORDS.findall(name)}) & LAYOUT:
+            why = "layout"
+    return why
+
+
 def barred(page: Page) -> list[bool]:
     """Of each bar, whether it holds: by its element or because it is hidden always, by name unless it holds the page's main part."""
     weight = [0] * len(page.above)
