@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, shared
+from waymesh.llm import bloom, decontaminate, jaccard_join, language_id, line_dedup, packing, shared
 
 #: The least score of a prediction that language ID accepts; a guess among four languages has 0.25.
 LEAST_SCORE = 0.4
@@ -38,8 +38,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     found = jaccard_join.near_duplicates(docs.withColumn("near_tag", tag), carry=("near_tag",))
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id"), F.col("rest.near_tag").alias("gone_tag"))
-    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (tag == gone["gone_tag"]), "left_anti")
+    gone = shared.stored(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id"), F.col("rest.near_tag").alias("gone_tag")))
+    # texts whose ids a filter doesn't have stay where they are
+    some, others = bloom.parted(docs, gone.select("gone_id"))
+    return some.join(gone, (some["doc_id"] == gone["gone_id"]) & (tag == gone["gone_tag"]), "left_anti").unionByName(others)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waymesh.llm import decontaminate, jaccard_join, lattice, line_dedup, lm_scoring, packing, textbuf, word_bpe
+from waymesh.llm import bloom, decontaminate, jaccard_join, lattice, line_dedup, lm_scoring, packing, textbuf, word_bpe
 
 LENGTH = 1 << 11
 PARITY = [bin(i).count("1") & 1 for i in range(LENGTH)]
@@ -59,3 +59,15 @@ def test_words_of_all_operators(frame, spark):
     coder = word_bpe.Coder(spec)
     a, b = coder.encode([A, B])
     assert a.tolist() == coder.library(A).tolist() and b.tolist() == coder.library(B).tolist() and pa.array(a) != pa.array(b)
+
+
+def test_parted_by_a_filter(spark):
+    rows = spark.range(5000).selectExpr("cast(id as int) AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(None, "no id"), (7, "again")], "doc_id int, text string"))
+    some, others = bloom.parted(rows, spark.createDataFrame([(7,), (4000,), (-1,)], "of long"))
+    assert some.schema == others.schema == rows.schema
+    a, b = ([(r.doc_id, r.text) for r in x.collect()] for x in (some, others))
+    assert sorted(map(str, a + b)) == sorted(str((r.doc_id, r.text)) for r in rows.collect())
+    assert {(7, "text 7"), (7, "again"), (4000, "text 4000")} <= set(a) and len(a) < 50 and (None, "no id") in b
+    assert "Exchange" not in others._jdf.queryExecution().executedPlan().toString()
+    none, every = bloom.parted(rows, spark.createDataFrame([], "of long"))
+    assert none.count() == 0 and every.count() == 5002

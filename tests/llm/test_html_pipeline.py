@@ -224,6 +224,11 @@ def test_filters_shuffle_no_texts(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for stage in (corpus_pipeline.language, corpus_pipeline.leaks):
         assert "Exchange" not in stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    # line dedup and the n-gram join: one part of the union moves, the texts that lose a line or share an id with one that goes
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near):
+        plan = stage(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        below = [x for x in plan if "MapInArrow" in x or "Join" in x]
+        assert plan[0].startswith(("Union", "Project")) and sum("Join" in x for x in below) == 1 and any("Join" not in x for x in below[-1:])
 
 
 def test_near_rows_of_one_id(spark, folder):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, textbuf
 
 #: Bits of either filter: about eight for each expected hash, at least 128 kB and at most 64 MB.  A hash seen
 #: once passes as seen twice if others have all of its three bits: 3 in a hundred at eight bits, 15 at four, 47
@@ -128,3 +128,38 @@ def _seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
     for row in parts.select("shard", which).collect():  # SHARDS rows of a fixed size
         data[row["shard"] * cut : (row["shard"] + 1) * cut] = _unpack(bytes(row[which]))
     return data.tobytes()
+
+
+def parted(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Of *rows*, those that a Bloom filter of *ids* (one column of integers without nulls, stored) has, and all others.
+
+    All rows with one of the ids are among the first, and a few with another; the others stay where they are.
+    A null id is among the others.
+    """
+    (name,) = ids.columns
+
+    def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _hashed(batch, name)
+
+    sent = rows.sparkSession.sparkContext.broadcast(seen_once(ids, of, bits_for(ids.count())))
+
+    def chosen(wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow.compute as pc
+
+            found = Filter(data=sent.value)
+            for batch in batches:
+                there = pc.is_valid(batch.column(batch.schema.get_field_index(id_col))).to_numpy(zero_copy_only=False)
+                hit = found.has(_hashed(batch, id_col)) & there
+                yield batch.filter(pa.array(hit == wanted))
+
+        return run
+
+    return tuple(rows.mapInArrow(shared.frugal(chosen(wanted)), rows.schema) for wanted in (True, False))
+
+
+def _hashed(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
+    return textbuf.mixed(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).view(np.uint64))

@@ -1,4 +1,4 @@
-"""Line dedup: two Bloom filters find suspected repeats, and only those are shuffled and confirmed.
+"""Line dedup: Bloom filters find suspected repeats, and only those are shuffled and confirmed.
 
 A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z lower-cased.  A key of
 at least ``min_chars`` code points that at least ``min_docs`` documents hold is repeated: all lines of
@@ -8,7 +8,8 @@ that key go, except in the document with the largest id holding it.
    the number of lines.
 2. Keys in the merged twice-seen filter (64 MB at most, broadcast) are suspects; only their 128-bit
    digests (BLAKE2) and ids are shuffled, pre-aggregated, and counted exactly.
-3. Each document gets the digests that it loses, by a join on its id, and is rebuilt.
+3. A third Bloom filter has the ids that lose a line.  Texts of others stay where they are; each of these gets
+   the digests that it loses, by a join on its id, and is rebuilt.
 """
 
 from __future__ import annotations
@@ -120,8 +121,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = shared.keyed(docs, id_col, text_col)
     found, repeated = repeated_lines(base, min_chars, min_docs, bits)
     loses = found.join(repeated, ["k1", "k2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("loses"))
+    loses = shared.stored(loses)
     carried = shared.keyed(docs, id_col, text_col, carry)
-    both = carried.join(loses, "doc_id", "left")
+    some, others = bloom.parted(carried, loses.select("doc_id"))
+    both = some.join(loses, "doc_id", "left")
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    whole = others.select("doc_id", "text", lines.cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), *(["rest"] if carry else []))
     kind = T.StructType([*T.StructType.fromDDL(_OUT).fields, *carried.schema.fields[2:]])
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +159,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text = pc.replace_with_mask(text, pa.array(mask), pa.array([new[r] for r in rows], text.type))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), text, n_lines, pa.array(dropped), *([batch.column(batch.schema.get_field_index("rest"))] if carry else [])], names=["doc_id", "text", "n_lines", "n_dropped", *(["rest"] if carry else [])])
 
-    return both.mapInArrow(shared.frugal(rebuilt), kind)
+    return both.mapInArrow(shared.frugal(rebuilt), kind).unionByName(whole)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
