@@ -130,3 +130,34 @@ def test_high_dimension(spark):
     rows = [(i, *(rng.random() for _ in range(8)), *(1 + rng.random() for _ in range(8))) for i in range(200)]
     names = ["id", *(f"min{k}" for k in range(8)), *(f"max{k}" for k in range(8))]
     assert epsilon.box_search(spark.createDataFrame(rows, names), [0.0] * 8, [2.0] * 8).count() == 200
+
+
+@pytest.mark.parametrize("area", ["city", "north", "globe"])
+def test_dense_cells_equal_brute_force(spark, monkeypatch, area):
+    monkeypatch.setattr(epsilon, "DENSE", 6)
+    pts, eps = points(area)
+    pts += [(1000 + k, *pts[0][1:]) for k in range(60)]  # one place many times
+    probes = pts[::3]
+    found = [(r["u"], r["v"]) for r in epsilon.within_distance(spark.createDataFrame(probes, COORDINATES), spark.createDataFrame(pts, COORDINATES), eps).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(a[0], b[0]) for a in probes for b in pts if distance(a, b) <= eps}
+
+
+def test_a_dense_city_has_no_large_key(spark, monkeypatch):
+    """20,000 places in a cell among 20,000 elsewhere: no key's work is over ten times the median of the city's keys."""
+    monkeypatch.setattr(epsilon, "DENSE", 512)
+    city = spark.range(20_000).selectExpr("id", "13.4 + 0.00001 * (id % 141) AS lon", "52.5 + 0.00001 * (id div 141) AS lat")
+    wide = spark.range(20_000).selectExpr("id + 100000 AS id", "-170 + 0.017 * (id % 20000) AS lon", "-60 + 0.006 * (id * 7919 % 20000) AS lat")
+    sides = {}
+    dealt = epsilon._dealt
+
+    def seen(p, t):
+        sides["p"], sides["t"], sides["keys"] = out = dealt(p, t)
+        return out
+
+    monkeypatch.setattr(epsilon, "_dealt", seen)
+    epsilon.within_distance(city.unionByName(wide), city.unionByName(wide), 5000)
+    a, b = (sides[x].groupBy(*sides["keys"]).count().withColumnRenamed("count", x) for x in "pt")
+    work = sorted(r["p"] * r["t"] for r in a.join(b, sides["keys"]).collect())
+    tiles = [w for w in work if w > 512]
+    assert len(tiles) > 1000 and max(tiles) <= 10 * tiles[len(tiles) // 2] and max(tiles) <= 2 * 512 * 512

@@ -118,3 +118,38 @@ def test_pair_report(spark):
     assert (got["plain_dot"], got["plain_delta_a"], got["plain_delta_b"], got["plain_score"], got["plain_rank"]) == (2, 4, 2, 4 / 6, 2)
     none = {r["measure"]: r["value"] for r in similarity.pair_report(m, m, 77, 78, 5).collect()}
     assert none["plain_score"] == 0 and none["plain_rank"] == -1
+
+
+def test_best_of_all_rows(spark):
+    """Every row asked by bounds gives what asking each row gives; ties and rows of few results among them."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(40), rng.choice([1, 1, 2, 5, 40, 900])) for i in range(120) for _ in range(rng.choice([1, 3, 9]))]
+    rows += [(200, 1000, 3), (201, 1000, 3), (202, 1000, 3000), (203, 2000, 7)]
+    m = spark.createDataFrame(rows, "i bigint, j bigint, v bigint").groupBy("i", "j").sum("v").toDF("i", "j", "v")
+    asked = m.select(F.col("i").alias("query")).distinct()
+    for k in (1, 3, 50):
+        want = sorted(map(tuple, similarity.top_k_batch(m, asked, k).collect()))
+        assert sorted(map(tuple, similarity.top_k_all(m, k).collect())) == want
+    assert similarity.top_k_all(m.limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        similarity.top_k_all(m, 0)
+
+
+def test_chains_are_multiplied_in_the_cheapest_order(spark, monkeypatch):
+    """A hub makes the left product huge; from the right it has a few terms. The rows are the same."""
+    to_hub = spark.range(2000).selectExpr("id AS i", "0L AS j", "1L AS v")
+    from_hub = spark.range(2000).selectExpr("0L AS i", "id AS j", "1L AS v")
+    narrow = spark.range(2000).selectExpr("id AS i", "id % 7 AS j", "2L AS v")
+    last = spark.range(7).selectExpr("id AS i", "id % 2 AS j", "1L AS v")
+    four = [to_hub, from_hub, narrow, last]
+    order = matrix.chain_order(four)
+    assert order == (0, (1, (2, 3))) or order == (0, ((1, 2), 3))
+    left = matrix.product(matrix.product(matrix.product(to_hub, from_hub), narrow), last)
+    assert sorted(map(tuple, matrix.chain(four).collect())) == sorted(map(tuple, left.collect()))
+    # and the other way round
+    turned = [matrix.transpose(m) for m in reversed(four)]
+    order = matrix.chain_order(turned)
+    assert order == (((0, 1), 2), 3) or order == ((0, (1, 2)), 3)
+    assert matrix.chain([narrow]).count() == 2000 and matrix.chain([to_hub, from_hub.limit(0), narrow]).count() == 0

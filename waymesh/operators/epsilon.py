@@ -2,7 +2,8 @@
 
 The join within a distance runs on cells of latitude bands, each cut into columns as wide as the
 distance needs there; one side looks into three columns of three bands.  It finds every pair once,
-across the antimeridian and around the poles.
+across the antimeridian and around the poles.  Cells are counted first: those of many places are dealt to
+tiles, shares of one side by shares of the other, so that no key has a whole city.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geo import RADIUS_M, box_gap_squared, haversine_m
+from waymesh.sources.shared import written
 
 _WIDER = 1 + 1e-9
+#: Places of a cell, of either side, that are one key; more are dealt to several.
+DENSE = 4096
 
 
 def _columns_of_band(band: Column, step: float, eps_m: float) -> Column:
@@ -47,8 +51,25 @@ def within_distance(probes: DataFrame, targets: DataFrame, eps_m: float) -> Data
     p = p.withColumn("band", F.explode(F.array(here - 1, here, here + 1))).withColumn("columns", _columns_of_band(F.col("band"), step, eps_m))
     mid = _column(F.col("u_lon"), F.col("columns"))
     p = p.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(mid + k, F.col("columns")) for k in (-1, 0, 1))))))
-    joined = p.join(t, ["band", "cell"])
-    return joined.select("u", "v", near.alias("dist")).where(F.col("dist") <= F.lit(float(eps_m)))
+    p, t, keys = _dealt(p.drop("columns"), t)
+    return p.join(t, keys).select("u", "v", near.alias("dist")).where(F.col("dist") <= F.lit(float(eps_m)))
+
+
+def _dealt(p: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns that they meet on: cells, and in dense cells tiles."""
+    cell = ["band", "cell"]
+    counts = [x.groupBy(*cell).agg(F.count("*").alias(n)).where(F.col(n) > DENSE) for x, n in ((p, "n_p"), (t, "n_t"))]
+    share = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(1)) / DENSE).cast("int").alias(n)
+    dense = written(counts[0].join(counts[1], cell, "full_outer").select(*cell, share("n_p"), share("n_t")))
+    if dense.isEmpty():
+        return p, t, cell
+    # each side's rows have a share of their own side and are copied to all shares of the other
+    out = []
+    for x, own, other, ids in ((p, "n_p", "n_t", ("u", "u_lon", "u_lat")), (t, "n_t", "n_p", ("v", "v_lon", "v_lat"))):
+        mine = F.pmod(F.xxhash64(*ids), F.coalesce(F.col(own), F.lit(1)).cast("bigint")).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        out.append(x.join(dense, cell, "left").withColumns({f"of_{own}": mine}).withColumn(f"of_{other}", copies).drop("n_p", "n_t"))
+    return out[0], out[1], [*cell, "of_n_p", "of_n_t"]
 
 
 def epsilon_pairs(coordinates: DataFrame, eps_m: float) -> DataFrame:

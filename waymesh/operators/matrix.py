@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.metapath import Step, parse_path
 from waymesh.sources.model import Graph
+from waymesh.sources.shared import written
 
 
 def adjacency(graph: Graph, edge_type: str, inverse: bool = False) -> DataFrame:
@@ -31,14 +32,62 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.groupBy("i", F.col("to").alias("j")).agg(F.sum(F.col("v") * F.col("by")).alias("v"))
 
 
-def chain(matrices: list[DataFrame]) -> DataFrame:
-    """The product of several matrices, from the left."""
-    out = matrices[0]
-    for m in matrices[1:]:
-        out = product(out, m)
+#: Logarithm of the registers of a sketch: estimates are within about a tenth.
+SKETCH = 7
+
+
+def _reaches(matrices: list[DataFrame]) -> list[DataFrame]:
+    """For the first matrix, the first two and so on: ``at, n``, about how many ends each row of their product has."""
+    out = []
+    for last in range(len(matrices)):
+        sketch = matrices[last].groupBy(F.col("i").alias("at")).agg(F.hll_sketch_agg("j", SKETCH).alias("s"))
+        for m in reversed(matrices[:last]):
+            through = m.select("i", F.col("j").alias("by")).join(sketch, F.col("by") == F.col("at"))
+            sketch = through.groupBy(F.col("i").alias("of")).agg(F.hll_union_agg("s").alias("s")).withColumnRenamed("of", "at")
+        out.append(sketch.select("at", F.hll_sketch_estimate("s").alias("n")))
     return out
 
 
+def chain_order(matrices: list[DataFrame]) -> tuple:
+    """How to multiply a chain with the least terms: nested pairs of numbers of *matrices*.
+
+    A product has a term for each path of two entries through a node between them.  How many entries the
+    runs before and after a node have there is known from sketches of the ends that it reaches, so sizes are
+    estimates, and the cheapest nesting of estimated terms is found as for matrices of known dimensions.
+    """
+    n = len(matrices)
+    terms: dict[tuple[int, int, int], float] = {}
+    for m in range(n - 1):
+        # at the node between m and m + 1: entries of the runs a..m there, and of the runs m + 1..b
+        runs = [(f"a{m - k}", x) for k, x in enumerate(_reaches([transpose(x) for x in reversed(matrices[: m + 1])]))]
+        runs += [(f"b{m + 1 + k}", x) for k, x in enumerate(_reaches(matrices[m + 1 :]))]
+        joined, names = None, [name for name, _ in runs]
+        for name, found in runs:
+            part = found.select("at", F.col("n").cast("double").alias(name))
+            joined = part if joined is None else joined.join(part, "at", "full_outer")
+        pairs = [(x, y) for x in names if x[0] == "a" for y in names if y[0] == "b"]
+        sums = joined.agg(*(F.coalesce(F.sum(F.col(x) * F.col(y)), F.lit(0.0)).alias(f"{x}_{y}") for x, y in pairs)).first()
+        terms |= {(int(x[1:]), m, int(y[1:])): sums[f"{x}_{y}"] for x, y in pairs}
+    best: dict[tuple[int, int], tuple[float, object]] = {(k, k): (0.0, k) for k in range(n)}
+    for width in range(1, n):
+        for a in range(n - width):
+            b = a + width
+            best[a, b] = min(((best[a, m][0] + best[m + 1, b][0] + terms[a, m, b], (best[a, m][1], best[m + 1, b][1])) for m in range(a, b)), key=lambda x: x[0])
+    return best[0, n - 1][1]
+
+
+def chain(matrices: list[DataFrame]) -> DataFrame:
+    """The product of several matrices; of three and more, in the order of the least terms."""
+    if len(matrices) <= 2:
+        return matrices[0] if len(matrices) == 1 else product(*matrices)
+    matrices = [written(m) for m in matrices]
+
+    def multiplied(order) -> DataFrame:
+        return matrices[order] if isinstance(order, int) else product(multiplied(order[0]), multiplied(order[1]))
+
+    return multiplied(chain_order(matrices))
+
+
 def compose(graph: Graph, meta_path: str | list[Step], by: str = "edge_type") -> DataFrame:
     """Path counts between the ends of a meta path."""
     steps = parse_path(meta_path, graph.edge_types, by) if isinstance(meta_path, str) else meta_path

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.geo import pair_score
+from waymesh.sources.shared import written
 
 from .matrix import deltas as deltas_of
 
@@ -80,6 +81,43 @@ def top_k_batch(matrix: DataFrame, queries: DataFrame, k: int, deltas: DataFrame
     return ranked(scores(matrix, queries, deltas)).where(F.col("rank") <= k)
 
 
+#: Widths of a bucket of objects, in the logarithm of their deltas.
+BUCKET = 0.5
+
+
+def top_k_all(matrix: DataFrame, k: int) -> DataFrame:
+    """:func:`top_k_batch` with every row as a query, but not of all pairs.
+
+    By Cauchy and Schwarz a score is at most ``1 / cosh(x)``, half the difference of the deltas' logarithms
+    being *x*.  Objects are put into buckets by delta.  Each query first meets its own bucket and those beside it; its
+    k-th score there bounds what it needs, and of the other buckets it meets those that may reach it.  Scores are
+    of the same sums as elsewhere, and a bucket that could only tie is met, so the rows are the same.
+    """
+    _checked(k)
+    m = _long(matrix)
+    every = written(deltas_of(m).where("delta > 0").withColumn("bucket", F.floor(F.log("delta") / BUCKET).cast("int")))
+    entries = written(m.join(every.select("i", "bucket"), "i").select("i", "c", "m", "bucket"))
+    objects = entries.select(F.col("i").alias("node"), "c", F.col("m").alias("x"), F.col("bucket").alias("meets"))
+
+    def met(asked: DataFrame) -> DataFrame:
+        """``query, node, score, rank`` of entries of queries and the buckets that they meet."""
+        dots = asked.join(objects, ["c", "meets"]).groupBy("query", "node").agg(F.sum(F.col("q") * F.col("x")).alias("dot"))
+        return ranked(_scored(dots, every.select("i", "delta"))).where(F.col("rank") <= k)
+
+    rows = entries.select(F.col("i").alias("query"), "c", F.col("m").alias("q"), "bucket")
+    near = written(met(rows.withColumn("meets", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).drop("bucket")))
+    least = near.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(0.0)).alias("least"))
+    ends = every.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+    if ends["low"] is None:
+        return near
+    # so many buckets away a score may still reach the least one
+    reach = F.when(F.col("least") > 0, F.least(F.ceil(F.acosh(F.greatest(F.lit(1.0) / F.col("least"), F.lit(1.0))) * (2 / BUCKET) * (1 + 1e-9) + 1e-6) + 1, F.lit(1 << 20))).otherwise(F.lit(1 << 20)).cast("int")
+    meets = F.explode(F.sequence(F.greatest(F.col("bucket") - reach, F.lit(ends["low"])), F.least(F.col("bucket") + reach, F.lit(ends["high"]))))
+    far = every.select(F.col("i").alias("query"), "bucket").join(least, "query", "left").na.fill(0.0, ["least"]).withColumn("meets", meets).where(F.abs(F.col("bucket") - F.col("meets")) > 1).select("query", "meets")
+    others = met(rows.drop("bucket").join(far, "query"))
+    return ranked(near.unionByName(others).drop("rank")).where(F.col("rank") <= k)
+
+
 def without_query(found: DataFrame) -> DataFrame:
     """Results other than the query itself."""
     return found.where(F.col("node") != F.col("query"))

@@ -150,6 +150,16 @@ def plain_topk(spark, d):
     return similarity.top_k(_left(spark, d), ONE, K)
 
 
+def topk_of_all(spark, d):
+    """The ten objects most like each customer, by suppliers."""
+    return similarity.top_k_all(_left(spark, d), K)
+
+
+def metapath_chain(spark, d):
+    """Four steps, multiplied in the order of the least terms: parts to regions of those who order them."""
+    return _path(spark, d, "contains^-1#placed^-1#in_nation#in_region")
+
+
 def candidates(spark, d):
     return similarity.candidates(_left(spark, d), ONE)
 
@@ -503,6 +513,8 @@ ORACLE: dict[str, str] = {
     "deltas_plain": f"WITH {_L} SELECT i, sum(v * v)::BIGINT AS delta FROM l GROUP BY i",
     "dense_deltas": f"WITH {_L} SELECT c_custkey AS i, coalesce(sum(v * v), 0)::BIGINT AS delta FROM customer LEFT JOIN l ON i = c_custkey GROUP BY c_custkey",
     "plain_topk": _top_one(_PLAIN),
+    "topk_of_all": f"WITH {_PLAIN}, {_scores(ids='SELECT i FROM l')}, k AS (SELECT query, node, score, {_RANKED} FROM s) SELECT * FROM k WHERE rank <= {K}",
+    "metapath_chain": "SELECT l_partkey AS i, n_regionkey::BIGINT AS j, count(*)::BIGINT AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL",
     "candidates": f"WITH {_L} SELECT DISTINCT b.i FROM l a JOIN l b USING (j) WHERE a.i = {ONE}",
     "haversine_pairs": f"WITH {_PLACE}, home AS (SELECT s_nationkey, min(s_suppkey) AS u FROM supplier GROUP BY s_nationkey) SELECT a.id AS u, b.id AS v, round({_dist('a', 'b')}, 5) AS dist FROM home JOIN supplier USING (s_nationkey) JOIN place a ON a.id = u JOIN place b ON b.id = s_suppkey",
     "epsilon_pairs": f"WITH {_PLACE}, {_PAIRS} SELECT u, v, round(dist, 5) AS dist FROM pairs",
