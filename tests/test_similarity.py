@@ -153,3 +153,47 @@ def test_chains_are_multiplied_in_the_cheapest_order(spark, monkeypatch):
     order = matrix.chain_order(turned)
     assert order == (((0, 1), 2), 3) or order == ((0, (1, 2)), 3)
     assert matrix.chain([narrow]).count() == 2000 and matrix.chain([to_hub, from_hub.limit(0), narrow]).count() == 0
+
+
+def test_second_search_reads_no_input(spark, tmp_path):
+    """Files that are as they were aren't read again; new ones with the same rows are read, and what was built is found."""
+    import os
+    import shutil
+
+    d = str(tmp_path)
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], NODES).coalesce(1).write.parquet(f"{d}/nodes")
+    spark.createDataFrame([(0, 0, 2), (1, 0, 3), (1, 0, 2)], EDGES).coalesce(1).write.parquet(f"{d}/edges")
+    spark.createDataFrame([(0, 0.0, 0.0), (1, STEP, 0.0)], COORDINATES).coalesce(1).write.parquet(f"{d}/at")
+
+    def graph(folder):
+        return Graph(spark.read.schema(NODES).parquet(f"{folder}/nodes"), spark.read.schema(EDGES).parquet(f"{folder}/edges"), ["item", "place"], [EdgeType("located_at", "item", "place")], {"place": spark.read.schema(COORDINATES).parquet(f"{folder}/at")})
+
+    one = spark.createDataFrame([(0,)], "query bigint")
+    first = search.Search(graph(d), Catalog(spark, f"{d}/kept")).top_k(one, 5, "located_at", "place", 1001).collect()
+    assert {r["node"] for r in first} == {0, 1}
+    shutil.copytree(f"{d}/nodes", f"{d}/copy/nodes")
+    shutil.copytree(f"{d}/edges", f"{d}/copy/edges")
+    shutil.copytree(f"{d}/at", f"{d}/copy/at")
+    for folder in ("nodes", "edges", "at"):  # no longer readable, but as long and as old as before
+        for name in os.listdir(f"{d}/{folder}"):
+            path = f"{d}/{folder}/{name}"
+            t, n = os.stat(path), os.path.getsize(path)
+            with open(path, "wb") as f:
+                f.write(b"x" * n)
+            os.utime(path, ns=(t.st_atime_ns, t.st_mtime_ns))
+    assert search.Search(graph(d), Catalog(spark, f"{d}/kept")).top_k(one, 5, "located_at", "place", 1001).collect() == first
+    kept = set(os.listdir(f"{d}/kept"))
+    assert search.Search(graph(f"{d}/copy"), Catalog(spark, f"{d}/kept")).top_k(one, 5, "located_at", "place", 1001).collect() == first
+    assert set(os.listdir(f"{d}/kept")) == kept
+
+
+def test_search_over_hexagons(spark, graph, tmp_path):
+    queries = spark.createDataFrame([(0,), (1,), (2,)], "query bigint")
+    s = search.Search(graph, Catalog(spark, str(tmp_path)), "initials", grid="hexagons")
+    over = s.top_k(queries, 8, "IP", "place", 2001, mode="over", resolution=9).collect()
+    exact = s.top_k(queries, 8, "IP", "place", 2001).collect()
+    assert {(r["query"], r["node"]) for r in exact} <= {(r["query"], r["node"]) for r in over}
+    with pytest.raises(ValueError):
+        s.matrix("IP", "place", 2001, mode="over", resolution=3)
+    with pytest.raises(ValueError):
+        search.Search(graph, Catalog(spark, str(tmp_path)), grid="squares")

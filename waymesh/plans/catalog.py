@@ -1,12 +1,15 @@
 """Derived matrices kept as Parquet, found again by what they were made from.
 
-A key has the parameters and a fingerprint of the inputs' rows, so a changed input is a new key.
+A key has the parameters and a fingerprint of the inputs' rows, so a changed input is a new key.  Which rows a
+listing of files (paths, lengths, times) and a plan over them have given is kept too: while files are as
+they were, an input is known without being read; files written anew with the same rows are read once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,26 @@ def fingerprint(*tables: DataFrame) -> str:
     return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:20]
 
 
+def listing(*tables: DataFrame) -> str | None:
+    """Of tables' plans and the files that they read, without reading these; None if a table has rows from elsewhere."""
+    parts = []
+    for t in tables:
+        plan = t._jdf.queryExecution().analyzed()
+        leaves = plan.collectLeaves()
+        kinds = {leaves.apply(k).nodeName() for k in range(leaves.size())}
+        files = sorted(t.inputFiles())
+        if not files or any(not kind.startswith(("LogicalRelation", "Relation")) for kind in kinds):
+            return None
+        session = t.sparkSession
+        found = []
+        for file in files:
+            at = session.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            status = at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+            found.append([file, status.getLen(), status.getModificationTime()])
+        parts.append([t.dtypes, re.sub(r"#\d+L?", "", plan.toString()), found])
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:20]
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -35,9 +58,30 @@ class Catalog:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name, mark) + "/_SUCCESS")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
+    def mark(self, inputs: list[DataFrame]) -> str:
+        """The inputs' fingerprint: the one kept for their listing, or made of their rows and kept."""
+        known = listing(*inputs)
+        if known is None:
+            return fingerprint(*inputs)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/listings/{known}")
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(at) and files.getFileStatus(at).getLen() == 20:
+            stream = files.open(at)
+            try:
+                return "".join(chr(stream.read()) for _ in range(20))
+            finally:
+                stream.close()
+        mark = fingerprint(*inputs)
+        stream = files.create(at, True)
+        try:
+            stream.write(bytearray(mark.encode()))
+        finally:
+            stream.close()
+        return mark
+
     def get_or_build(self, name: str, inputs: list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
         """The kept table, or what *build* gives, written first."""
-        mark = fingerprint(*inputs)
+        mark = self.mark(inputs)
         if not self.exists(name, mark):
             build().write.mode("overwrite").parquet(self.path(name, mark))
         return self.spark.read.parquet(self.path(name, mark))

@@ -10,24 +10,26 @@ from pyspark.sql import DataFrame
 
 from waymesh.functions.metapath import artefact_name
 from waymesh.operators import matrix, similarity, spatial
-from waymesh.operators.grid import LatticeCells, grid_epsilon
+from waymesh.operators.grid import HexCells, LatticeCells, grid_epsilon
 from waymesh.sources.model import Graph
 
 from .catalog import Catalog
 
 
 class Search:
-    """Top-k over a graph; *by* says how meta paths are written."""
+    """Top-k over a graph; *by* says how meta paths are written, *grid* which cells a resolution has (``lattice`` or ``hexagons``)."""
 
-    def __init__(self, graph: Graph, catalog: Catalog, by: str = "edge_type"):
-        self.graph, self.catalog, self.by = graph, catalog, by
+    def __init__(self, graph: Graph, catalog: Catalog, by: str = "edge_type", grid: str = "lattice"):
+        if grid not in ("lattice", "hexagons"):
+            raise ValueError("a grid is a lattice or hexagons")
+        self.graph, self.catalog, self.by, self.grid = graph, catalog, by, grid
 
     def plain(self, path: str) -> DataFrame:
         """``i, j, v`` of a meta path."""
         return self.catalog.get_or_build(f"{self.by}|{path}", [self.graph.nodes, self.graph.edges], lambda: matrix.compose(self.graph, path, self.by))
 
     def matrix(self, path: str, place_type: str, eps_m: int, mode: str = "exact", weighted: bool = False, resolution: int | None = None) -> DataFrame:
-        """``i, c, m``: the path relaxed at its end; *mode* is ``exact``, or ``under`` or ``over`` for the lattice of a *resolution*."""
+        """``i, c, m``: the path relaxed at its end; *mode* is ``exact``, or ``under`` or ``over`` for the grid of a *resolution*."""
         return self.catalog.get_or_build(*self._named(path, place_type, eps_m, mode, weighted, resolution))
 
     def deltas(self, path: str, place_type: str, eps_m: int, mode: str = "exact", weighted: bool = False, resolution: int | None = None) -> DataFrame:
@@ -47,10 +49,14 @@ class Search:
             left = self.plain(path)
             if mode == "exact":
                 return spatial.extend_exact(left, at, eps_m, weighted)
-            cells = LatticeCells.of_resolution(resolution)
+            cells = HexCells(resolution) if self.grid == "hexagons" else LatticeCells.of_resolution(resolution)
             return spatial.extend_grid(left, at, grid_epsilon(eps_m, cells.radius_m, mode), cells, weighted)
 
         if mode != "exact" and resolution is None:
             raise ValueError("a grid has a resolution")
         name = artefact_name(f"{self.by}|{path}", place_type, "exact" if mode == "exact" else "grid", eps_m, weighted, resolution)
+        if mode != "exact" and self.grid == "hexagons":
+            name += "|hexagons"
+            if mode == "over" and HexCells(resolution).radius_m is None:
+                raise ValueError("the covering radius is known for resolutions 5 to 9")
         return f"{name}|{mode}", [self.graph.nodes, self.graph.edges, at], build
