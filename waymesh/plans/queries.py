@@ -7,6 +7,7 @@ have no coordinates, so these are made from keys by the same arithmetic in both
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from waymesh.functions import hexagons
 from waymesh.functions.geo import haversine_m
 from waymesh.functions.metapath import EdgeType, parse_path
 from waymesh.operators import cell_radius as radius
-from waymesh.operators import epsilon, grid, matrix, quality, similarity, spatial
+from waymesh.operators import boxes, epsilon, grid, matrix, quality, similarity, spatial
 from waymesh.sources import etl, model
+from waymesh.sources.shared import shared_folder
 
 EPS_M = 5000
 QUERIES = (7, 11, 42)
@@ -188,6 +190,18 @@ def knn(spark, d):
     return _rounded(epsilon.nearest(_rects(spark, d), [-100.0, -30.0], [-99.0, -29.0], 15), "gap", digits=9)
 
 
+def knn_of_many(spark, d):
+    """The three rectangles nearest to each rectangle, itself included."""
+    r = _rects(spark, d)
+    return _rounded(boxes.nearest_of_many(r, r.withColumnRenamed("id", "query"), 3), "gap", digits=9)
+
+
+def placed_box_search(spark, d):
+    """The same search among files along a curve, of which only those that the box touches are read."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/placed-{uuid.uuid4().hex}"
+    return boxes.Placed.build(_rects(spark, d), path, 16).box_search((-140.0, -52.0), (-90.0, -25.0)).select("id")
+
+
 def box_removal(spark, d):
     r = _rects(spark, d)
     return epsilon.removed(r, r.where("id % 2 = 0"), [-140.0, -52.0], [-90.0, -25.0]).select("id")
@@ -521,6 +535,8 @@ ORACLE: dict[str, str] = {
     "range_query": f"WITH {_PLACE}, q AS (SELECT CAST(-138.0 AS DOUBLE) AS lon, CAST(-50.0 AS DOUBLE) AS lat) SELECT id, round({_dist('q', 'place')}, 5) AS dist FROM place, q WHERE {_dist('q', 'place')} <= 20000",
     "box_search": f"WITH {_RECTS} SELECT id FROM rects WHERE {_BOX}",
     "knn": f"WITH {_RECTS} SELECT id, round(pow(greatest(0, -100 - max0, min0 + 99), 2) + pow(greatest(0, -30 - max1, min1 + 29), 2), 9) AS gap FROM rects ORDER BY pow(greatest(0, -100 - max0, min0 + 99), 2) + pow(greatest(0, -30 - max1, min1 + 29), 2), id LIMIT 15",
+    "knn_of_many": f"WITH {_RECTS}, g AS (SELECT a.id AS query, b.id, pow(greatest(0, a.min0 - b.max0, b.min0 - a.max0), 2) + pow(greatest(0, a.min1 - b.max1, b.min1 - a.max1), 2) AS gap FROM rects a, rects b), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gap, id) AS k FROM g) SELECT query, id, round(gap, 9) AS gap FROM k WHERE k <= 3",
+    "placed_box_search": f"WITH {_RECTS} SELECT id FROM rects WHERE {_BOX}",
     "box_removal": f"WITH {_RECTS} SELECT id FROM rects WHERE NOT (id % 2 = 0 AND {_BOX})",
     "exact_unweighted_matrix": f"WITH {_m()} SELECT i, c1 AS u, c2 AS v, m FROM m",
     "exact_unweighted_deltas": f"WITH {_m()} SELECT i, sum(m * m)::BIGINT AS delta FROM m GROUP BY i",
