@@ -6,11 +6,10 @@ of words in either direction, attention pools their states, and a linear layer g
 Windows overlap and cover the whole text; a text's score is a logistic function of its windows' largest
 and mean score and their number.
 
-Network and embeddings are fitted together to a bounded sample of labelled rows in one task.  One dimension
-of each embedding begins with log odds in the sample, the others at random.  Which windows of a toxic text
-are toxic isn't labelled: at first those with the largest log odds are taken, then, before each further
-pass, those that the network itself scores highest.  A part of the sample, unseen by the network, fits
-the last function.
+Network and embeddings are fitted together to a bounded sample of labelled rows in one task, from random
+values.  Which windows of a toxic text are toxic isn't labelled: the first pass takes many of each text, and
+each further pass half as many, those that the network itself scores highest, down to two.  A part of the
+sample, unseen by the network, fits the last function.
 """
 
 from __future__ import annotations
@@ -30,7 +29,9 @@ WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 16, 1 << 17, (3, 5, 7, 8)
 OWN, CHARS, HIDDEN, ATTENTION = 6, 8, 10, 10
 INPUT = OWN + CHARS
-EPOCHS, BATCH, RATE, EMBEDDING_RATE = 6, 96, 6e-3, 0.05
+EPOCHS, BATCH, RATE, EMBEDDING_RATE = 9, 96, 6e-3, 0.05
+#: Windows of a text in the first pass.
+FIRST_WINDOWS = 24
 #: The part of a training window's words whose own embedding is left out, so that characters are learnt too.
 DROPPED = 0.3
 THRESHOLD = 0.7
@@ -208,16 +209,6 @@ class Adam:
         value -= self.rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
 
 
-def _log_odds(present: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
-    """Of each bucket: how much likelier a toxic text has it than another."""
-    n = np.zeros((2, size))
-    for b, y in zip(present, toxic, strict=True):
-        n[y, b] += 1
-    rate = (n + 0.5) / (np.bincount(toxic, minlength=2)[:, None] + 1)
-    sure = n.sum(0) / (n.sum(0) + 5)  # buckets of few texts say little
-    return np.log(rate[1] / rate[0]) * sure
-
-
 class Model:
     def __init__(self, own: np.ndarray, chars: np.ndarray, network: Network, last: np.ndarray):
         self.own, self.chars, self.network, self.last = own.astype(np.float32), chars.astype(np.float32), network, last
@@ -342,30 +333,27 @@ def train(texts: pa.Array, toxic: np.ndarray, weight: float, seed: int = 7) -> M
     part = np.zeros(len(sample.docs), bool)
     part[rng.permutation(len(sample.docs))[: int(0.7 * len(sample.docs))]] = True
     seen, rest = np.flatnonzero(part).tolist(), np.flatnonzero(~part).tolist()
-    odds = _log_odds([np.unique(sample.buckets(i)) for i in seen], toxic[seen], WORD_BUCKETS + GRAM_BUCKETS)
     own, chars = rng.normal(0, 0.1, (WORD_BUCKETS, OWN)), rng.normal(0, 0.1, (GRAM_BUCKETS, CHARS))
-    own[:, 0], chars[:, 0] = odds[:WORD_BUCKETS], odds[WORD_BUCKETS:]
     network, optimiser = Network(rng), Adam(RATE)
     rows = _Rows(own, EMBEDDING_RATE), _Rows(chars, EMBEDDING_RATE)
 
     def strengths(i: int, model: Model | None) -> np.ndarray:
-        """Of each window of a text, how toxic it looks: by log odds at first, then by the network."""
+        """Of each window of a text, how toxic the network finds it; at first, anything."""
         back, a, b = sample.docs[i]
-        begin = sample.begin[a : b + 1] - sample.begin[a]
         if model is None:
-            x = _embedded(own, chars, sample.buckets(i), begin) if b > a else np.zeros((0, INPUT))
-            strength = np.maximum(np.maximum(x[:, 0], x[:, OWN]), 0) ** 2
-            return np.array([strength[back[k : k + WINDOW] - a].sum() for k in windows(np.array([len(back)]))[1]])
+            return rng.random(len(windows(np.array([len(back)]))[1]))
+        begin = sample.begin[a : b + 1] - sample.begin[a]
         return model.scores(model.words(sample.buckets(i), begin), back - a, np.array([0, len(back)]))[1]
 
     for epoch in range(EPOCHS):
         model = Model(own, chars, network, np.zeros(4)) if epoch else None
+        most = max(2, FIRST_WINDOWS >> epoch)
         chosen, y = [], []
         for i in seen:
             strength = strengths(i, model)
-            best = np.argsort(-strength, kind="stable")[: 2 if toxic[i] else 1].tolist()
+            best = np.argsort(-strength, kind="stable")[: most if toxic[i] else 1].tolist()
             if not toxic[i]:
-                best += rng.choice(len(strength), min(len(strength), 2), replace=False).tolist()
+                best += rng.choice(len(strength), min(len(strength), most), replace=False).tolist()
             for k in dict.fromkeys(best):
                 chosen.append(sample.window(i, k * STRIDE))
                 y.append(float(toxic[i]))
