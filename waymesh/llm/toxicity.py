@@ -29,9 +29,9 @@ WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 16, 1 << 17, (3, 5, 7, 8)
 OWN, CHARS, HIDDEN, ATTENTION = 6, 8, 10, 10
 INPUT = OWN + CHARS
-EPOCHS, BATCH, RATE, EMBEDDING_RATE = 9, 96, 6e-3, 0.05
+EPOCHS, BATCH, RATE, EMBEDDING_RATE = 6, 96, 6e-3, 0.05
 #: Windows of a text in the first pass.
-FIRST_WINDOWS = 24
+FIRST_WINDOWS = 6
 #: The part of a training window's words whose own embedding is left out, so that characters are learnt too.
 DROPPED = 0.3
 THRESHOLD = 0.7
