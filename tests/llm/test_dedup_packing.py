@@ -195,6 +195,50 @@ def test_near_query_equals_all_pairs(spark):
     assert edges and got == {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_hot_passage_copies_no_rows(frame, monkeypatch):
+    """Sets that share a passage and mostly differ in too much beside it don't meet; those that hang together meet pivots only."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 32)
+    rng, passage = random.Random(12), " ".join(f"p{k}" for k in range(40))
+    long = " ".join(f"l{k}" for k in range(180))
+    fresh = iter(range(10**6))
+    unlike = [(k, passage + "".join(f" q{next(fresh)}" for _ in range(rng.randrange(5, 10)))) for k in range(500)]
+    alike = [(2000 + k, long + "".join(f" q{next(fresh)}" for _ in range(rng.randrange(1, 9)))) for k in range(500)]
+    # links that only some of a group have: the nearer to the bare passage, the more partners
+    mixed = [(4000 + k, " ".join(f"m{i}" for i in range(40)) + "".join(f" q{next(fresh)}" for _ in range(2 + k % 8))) for k in range(200)]
+    rows = unlike + alike + mixed
+    copies = []
+    blocks = jaccard_join._in_blocks
+
+    def counted(members):
+        copies.append((members.count(), members.select("cid").distinct().count()))
+        return blocks(members)
+
+    monkeypatch.setattr(jaccard_join, "_in_blocks", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(rows, 4)).collect()}
+    assert got == brute_components(rows)
+    assert len({got[k][1] for k, _ in unlike}) == 500 and len({got[k][1] for k, _ in alike}) == 1
+    assert all(sets <= 200 for _, sets in copies), copies
+
+
+def test_places_bound_what_differs():
+    """Two sets that are similar have a key in common before which both together show no more than may differ."""
+    rng = np.random.Generator(np.random.PCG64(21))
+    hot = rng.integers(0, 3, 1 << 22).astype(np.int32)
+    for n in (3, 9, 10, 40, 90, 127):
+        for _ in range(30):
+            out = int(rng.integers(0, n // 9 + 1))
+            base = np.unique(rng.integers(0, 2**63, n + 2 * out, dtype=np.uint64))
+            a, b = base[: n + out], np.concatenate([base[:n], base[n + out :]])
+            b = np.sort(b)
+            if 100 * n < 80 * (n + 2 * out) or len(base) < n + 2 * out:
+                continue
+            both = np.concatenate([a, b])
+            at = np.array([0, len(a), len(a) + len(b)])
+            which, key, place = jaccard_join.placed_keys(both, at, hot)
+            x, y = ({k: p for w, k, p in zip(which.tolist(), key.tolist(), place.tolist(), strict=True) if w == side} for side in (0, 1))
+            assert any(9 * (x[k] + y[k]) <= len(a) + len(b) for k in x.keys() & y.keys())
+
+
 def test_unrelated_sets_share_no_key():
     rng = np.random.Generator(np.random.PCG64(8))
     hot = np.zeros(1 << 22, np.int32)

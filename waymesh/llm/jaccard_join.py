@@ -10,10 +10,18 @@ passages seldom meet.
 
 Sets with a key in common are candidates; the Hamming distance of their bit sketches, a lower bound of the
 symmetric difference, rules most of them out.  Keys of few sets give their pairs.  The sets of keys with
-many meet in blocks around the smallest set of each key; a block gives a spanning forest of the pairs
-that its sketches leave, closest first.  Pairs are verified on whole sets.  As only what hangs together
-matters, groups whose forest holds are done; in the others each set offers its closest candidates outside
-its own component, eight times as many in each round, until none is left.
+many gather around the smallest set of each key.  A group that fits into a block gives a spanning forest of
+the pairs that its sketches leave, closest first.  In a larger group each set meets only a few pivots and
+takes the closest.  Pairs are verified on whole sets.  As only what hangs together matters, groups in one
+component are done; in the others each set offers its closest candidates outside its own component, eight
+times as many in each round, until none is left.
+
+A small set shows single shingles, so what stands before the first key that two sets share is in neither's
+intersection: with 9 p of both places together beyond both sizes together they can't be similar.  A set's
+slack is nine times the least place of its keys in the group less its size; two sets whose slacks add up to
+more than 0 don't meet there.  Sets of large groups are dealt to strata by component, size and slack, and
+strata that have no pair to offer don't meet, so a passage that any number of sets share costs no copies
+of rows where these sets hang together or differ in too much beside it.
 """
 
 from __future__ import annotations
@@ -45,6 +53,8 @@ FEW = 8
 BLOCK_SETS, BLOCK_BYTES = 1024, 2 << 20
 #: Candidates that a set offers in the first round.
 CLOSEST = 8
+#: Sets of a large group that all its sets are held against first, about.
+PIVOTS = 16
 #: Smaller sets show single shingles; larger ones are cut into segments of one to two shingles on average.
 SMALL = 128
 _LEAST = 4  # the smallest bit sketch has 2^6 bits
@@ -122,28 +132,35 @@ def bit_sketches(sets: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(textbuf.as_signed(out)))
 
 
-def hamming(a: str, b: str) -> Column:
+def hamming(a: str | Column, b: str | Column) -> Column:
     """The Hamming distance of two sketches whose lengths are at most one doubling apart, at the shorter one's."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
 
-    def halved(x: str) -> Column:
+    def halved(x: Column) -> Column:
         half = (F.size(x) / 2).cast("int")
         return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
-    x = F.when(F.size(a) > F.size(b), halved(a)).otherwise(F.col(a))
-    y = F.when(F.size(b) > F.size(a), halved(b)).otherwise(F.col(b))
+    x = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a)
+    y = F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
 
 
 def sketch_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set numbers and the keys that each set shows.
+    """Set numbers and the keys that each set shows."""
+    return placed_keys(sets, at, hot)[:2]
+
+
+def placed_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set numbers, the keys that each set shows, and how many of its shingles stand before each.
 
     A set shows keys in its own band and, if a smaller set of the band below can be similar to it, there.
+    Of segments, which two sets may both have without agreeing in them, 0 are said to stand before.
     """
     n = np.diff(at)
     own = band(n)
     # whether the largest set of the band below reaches 80 % of this one
     low = (n > 0) & (own > 0) & ((np.int64(SMALL) << np.maximum(own - 1, 0)) - 1 >= -(-4 * n // 5))
-    which, keys = [], []
+    which, keys, places = [], [], []
     for role, picked in ((own, n > 0), (own - 1, low)):
         docs = np.flatnonzero(picked)
         if not len(docs):
@@ -167,13 +184,15 @@ def sketch_keys(sets: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.n
         shown = place <= most[owner]
         which.append(docs[owner[shown]])
         keys.append(key[shown])
+        places.append(np.where(j[owner] > 0, 0, place)[shown])
         # too few segments have shingles, which is next to impossible: two such sets may agree in empty ones only
         short = np.flatnonzero(np.bincount(owner, minlength=len(docs)) <= most)
         which.append(docs[short])
         keys.append(textbuf.mixed(j[short] * _STEP[2]))
+        places.append(np.zeros(len(short), np.int64))
     if not which:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(which), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(which), np.concatenate(keys), np.concatenate(places)
 
 
 def distances(n: np.ndarray, bits: list[np.ndarray], side: np.ndarray) -> np.ndarray:
@@ -233,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased (A-Z) and split at ``[\\x20\\x09-\\x0D]``; a text of fewer than five words is one
     shingle.  A null or blank text has the empty set and is its own component.  A row with a null id has a
     null component and links nothing.  Ids are expected to be distinct: rows that share one are compared as
-    separate documents.  Other columns aren't read.  No rows in, no rows out.
+    separate documents.  Other columns aren't read.  No rows in, no rows out.  Classes of equal sets are told
+    apart by 128 bits and the size, but joined by 64 bits: beyond 10^9 distinct sets a link may get lost.
     """
     base = shared.keyed(docs, id_col, text_col, carry)
     rest = [T.StructField("rest", base.schema["rest"].dataType, True)] if carry else []
@@ -270,8 +290,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = shared.stored(base.mapInArrow(shared.frugal(first_pass), kind))
     hot = np.zeros(HOT_BUCKETS, np.int32)
     frequent = first.where("kind = 1").groupBy("doc_id").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
-    for batch in frequent.toPandas().itertuples(index=False):  # at most HOT_BUCKETS rows
-        hot[batch.doc_id] = batch.n
+    found = frequent.toPandas()  # at most HOT_BUCKETS rows
+    hot[found["doc_id"].to_numpy()] = found["n"].to_numpy()
+    del found
     sent = spark.sparkContext.broadcast(hot)
 
     rows = first.where("kind = 0").drop("kind")
@@ -279,42 +300,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = shared.stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
 
     def shown(only: Broadcast | None = None) -> DataFrame:
-        """``key, cid`` of all sets, or of those keys that a Bloom filter has; made from the texts each time, as most keys are needed once."""
+        """``key, cid`` of all sets, or ``key, cid, place`` of those keys that a Bloom filter has; made from the texts each time, as most keys are needed once."""
 
         def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranges, table = textbuf.Ranges(606), sent.value
             found = bloom.Filter(data=only.value) if only else None
             keys: list[np.ndarray] = []
             owners: list[np.ndarray] = []
+            places: list[np.ndarray] = []
 
             def combined() -> pa.RecordBatch:
                 """The chunk's keys and sets, each pair once."""
-                k, c = np.concatenate(keys), np.concatenate(owners)
+                k, c, p = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
                 order = np.lexsort((k, c))
-                k, c = k[order], c[order]
+                k, c, p = k[order], c[order], p[order]
                 new = np.ones(len(k), bool)
                 new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-                return pa.RecordBatch.from_arrays([pa.array(textbuf.as_signed(x[new])) for x in (k, c)], names=["key", "cid"])
+                columns = [pa.array(textbuf.as_signed(x[new])) for x in (k, c)]
+                if not found:
+                    return pa.RecordBatch.from_arrays(columns, names=["key", "cid"])
+                return pa.RecordBatch.from_arrays([*columns, pa.array(p[new].astype(np.int32))], names=["key", "cid", "place"])
 
             held = 0
             for batch in batches:
                 for run in textbuf.runs(textbuf.string_column(batch, "text")):
                     sets, at = shingle_sets(run, ranges)
                     h1 = set_hashes(sets, at)[0]
-                    which, key = sketch_keys(sets, at, table)
+                    which, key, place = placed_keys(sets, at, table)
                     if found:
                         on = found.has(textbuf.mixed(key))
-                        which, key = which[on], key[on]
+                        which, key, place = which[on], key[on], place[on]
                     keys.append(key)
+                    places.append(place)
                     owners.append(h1[which])
                     held += len(key)
                     if held >= KEYS:
                         yield combined()
-                        keys, owners, held = [], [], 0
+                        keys, owners, places, held = [], [], [], 0
             if held:
                 yield combined()
 
-        return base.where("doc_id IS NOT NULL").select("text").mapInArrow(shared.frugal(second_pass), "key long, cid long")
+        return base.where("doc_id IS NOT NULL").select("text").mapInArrow(shared.frugal(second_pass), "key long, cid long" + (", place int" if only else ""))
 
     def hashes_of(name: str) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
         def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -332,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("cid")).alias("c"))
     each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = shared.stored(few.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct())
-    around = shared.stored(met.where(F.col("n") > FEW).select("hub", "cid").distinct())
+    around = shared.stored(met.where(F.col("n") > FEW).groupBy("hub", "cid").agg(F.min("place").alias("place")))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(around.select("cid")).distinct()
     info = classes.join(ids, classes["h1"] == ids["cid"]).select("cid", "rep")
@@ -347,13 +373,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fit = pairs.join(sizes[0], F.col("a") == F.col("of_a")).join(sizes[1], F.col("b") == F.col("of_b")).where("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)").select("a", "b")
     sized = fit.join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b"))
     alike = sized.where(hamming("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
-    blocks = _in_blocks(around.join(info.withColumn("comp", F.col("cid")), "cid"), "hub")
-    edges = shared.stored(alike.unionByName(blocks.applyInArrow(_forests, "a long, b long")).distinct())
-    groups = shared.stored(components.components(edges).withColumnsRenamed({"node": "cid", "component": "group"}))
-    member = shared.stored(info.join(groups, "cid"))
-    shared.dropped(met, pairs, around, groups)
-
-    # whole sets of the groups' members; other texts stay where they are
+    able = _able(around, info)
+    blocks = _in_blocks(able.where("not large").join(info.withColumn("comp", F.col("cid")), "cid"))
+    edges = shared.stored(alike.unionByName(blocks.applyInArrow(_forests, "a long, b long")).unionByName(_to_pivots(able.where("large"), info)).distinct())
+    asked = edges.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(able.where("large").select("cid")).distinct()
+    member = shared.stored(info.join(asked, "cid"))
+    shared.dropped(met, pairs, around)
+
+    # whole sets of those that may be similar to one; other texts stay where they are
     wanted = member.select(F.col("rep").alias("doc_id"), "cid")
 
     def third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,10 +426,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = links.unionByName(v)
         linked = shared.stored(components.components(links.where("ok").select("a", "b")))
         state = member.join(linked.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        offered = shared.stored(_in_blocks(state, "group", F.min("comp") < F.max("comp")).applyInArrow(_offers(most), "a long, b long, more boolean"))
+        # what is in question is known by ids alone; sketches follow only there
+        open_ = _open(able.join(state.select("cid", "n", "comp"), "cid"))
+        offered = shared.stored(_in_blocks(open_.join(state.select("cid", "bits"), "cid")).applyInArrow(_offers(most), "a long, b long, more boolean"))
         new = shared.stored(offered.select("a", "b").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"))
         more = bool(offered.where("more").limit(1).count())
-        shared.dropped(offered)
+        shared.dropped(offered, open_)
         if new.isEmpty() and not more:
             break
         done.append(verified(new))
@@ -411,7 +440,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = member.join(linked, member["cid"] == linked["node"]).groupBy("component").agg(F.min("rep").alias("least"))
     of_class = linked.join(least, "component").select("node", "least")
     named = shared.stored(classes.join(of_class, classes["h1"] == of_class["node"], "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("least")))
-    shared.dropped(classes, info, edges, member, sets, linked, new, *done)
+    shared.dropped(classes, info, able, edges, member, sets, linked, new, *done)
     joined = rows.drop("bits").join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *(f.name for f in rest))
@@ -422,22 +451,86 @@ def _hashed(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return textbuf.mixed(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
 
 
-def _in_blocks(members: DataFrame, group: str, wanted: Column | None = None):
-    """Sets (``cid, n, bits, comp``) of groups that are *wanted*, dealt to blocks and grouped by pairs of blocks; a group of one block is one pair."""
-    size = F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("bits")) * 8 / BLOCK_BYTES)
-    # stored, so that the join with a large group's many sets is split or broadcast by what is known of its sizes
-    blocks = shared.stored(members.groupBy(group).agg(F.ceil(size).cast("int").alias("blocks"), (F.lit(True) if wanted is None else wanted).alias("wanted")).where("wanted").drop("wanted"))
-    mine = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int")
-    dealt = members.join(blocks, group).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(F.col(group).alias("of"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "bits", "comp").groupBy("of", "i", "j")
+def _able(around: DataFrame, info: DataFrame) -> DataFrame:
+    """``hub, cid, slack, bytes, m, large`` of the sets (``hub, cid, place``) that can be similar to another one of their group."""
+    placed = shared.stored(around.join(info.select("cid", "n", (8 * F.size("bits")).cast("bigint").alias("bytes")), "cid").select("hub", "cid", (9 * F.col("place") - F.col("n")).alias("slack"), "bytes"))
+    least = shared.stored(placed.groupBy("hub").agg(F.min("slack").alias("least")))
+    kept = shared.stored(placed.join(least, "hub").where("slack + least <= 0"))
+    # stored, so that joins with a large group's many sets are split or broadcast by what is known of its sizes
+    size = shared.stored(kept.groupBy("hub").agg(F.count("*").alias("m"), F.sum("bytes").alias("all")).where("m > 1").select("hub", "m", (_parts("m", "all") > 1).alias("large")))
+    able = shared.stored(kept.join(size, "hub").select("hub", "cid", "slack", "least", "bytes", "m", "large"))
+    shared.dropped(placed, least, kept, size)
+    return able
+
+
+def _parts(sets: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(sets) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("bigint")
+
+
+def _to_pivots(able: DataFrame, info: DataFrame) -> DataFrame:
+    """Of each set of the large groups, the pair with the closest pivot that it may be similar to.
+
+    Pivots are about PIVOTS sets of a group, by hash, and about as many of those with the least slack, which most sets can be similar to.
+    """
+    lowest = able.where("slack = least").groupBy("hub").agg(F.count("*").alias("lows"))
+    marked = able.join(lowest, "hub")
+    dealt = F.xxhash64("hub", "cid")
+    chosen = marked.where((F.pmod(dealt, F.col("m")) < PIVOTS) | ((F.col("slack") == F.col("least")) & (F.pmod(dealt, F.col("lows")) < PIVOTS)))
+    found = chosen.join(info, "cid").groupBy("hub").agg(F.collect_list(F.struct("cid", "n", "slack", "bits")).alias("pivots"))
+    each = able.select("hub", "cid", "slack").join(info.select("cid", "n", "bits"), "cid").join(shared.stored(found), "hub")
+    fits = F.filter("pivots", lambda p: (p.cid != F.col("cid")) & (p.slack + F.col("slack") <= 0) & (5 * F.least(p.n, F.col("n")) >= 4 * F.greatest(p.n, F.col("n"))))
+    closest = F.array_min(F.transform(fits, lambda p: F.struct((9 * hamming(p.bits, "bits") / (p.n + F.col("n"))).alias("d"), p.cid.alias("to"))))
+    # exploded, so that the filter doesn't work it out again
+    near = each.select("cid", F.explode(F.array(closest)).alias("near")).where("near.d <= 1")
+    return near.select(F.least("cid", "near.to").alias("a"), F.greatest("cid", "near.to").alias("b"))
+
+
+#: Strata of a group: sizes a quarter apart, which only meet the next ones, and slack in eighths of the size.
+_STRATUM = 32
+#: Numbers of a stratum's tiles are below.
+_TILES = 1 << 32
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Sets (``hub, cid, n, comp, slack, bytes``) of the groups in several components, less those that no set of another component can be similar to, by size and slack of their strata.
+
+    Large groups come in strata, and in ``meets`` each has its partners with their numbers of tiles.
+    """
+    by = members.groupBy("hub", "comp").agg(F.count("*").alias("c"))
+    of = shared.stored(by.groupBy("hub").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("hub", "main"))
+    level = F.floor(8 * F.col("slack") / F.col("n")) + 8
+    stratum = (F.floor(F.log("n") / F.log(F.lit(1.25))) * _STRATUM + F.greatest(F.lit(0), F.least(level, F.lit(_STRATUM - 1)))) * 2 + (F.col("comp") == F.col("main")).cast("int")
+    rows = shared.stored(members.join(of, "hub").withColumn("stratum", F.when(F.col("large"), stratum).otherwise(0).cast("bigint")).select("hub", "cid", "n", "slack", "bytes", "comp", "stratum"))
+    cells = shared.stored(rows.groupBy("hub", "stratum").agg(F.count("*").alias("c"), F.sum("bytes").alias("size"), F.min("slack").alias("slack"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.min("comp").alias("min_comp"), F.max("comp").alias("max_comp")).withColumn("parts", _parts("c", "size")).drop("c", "size"))
+    to = cells.withColumnsRenamed({c: f"to_{c}" for c in cells.columns})
+    alike = F.greatest("min_comp", "max_comp", "to_min_comp", "to_max_comp") == F.least("min_comp", "max_comp", "to_min_comp", "to_max_comp")
+    can = (F.col("slack") + F.col("to_slack") <= 0) & (5 * F.col("max_n") >= 4 * F.col("to_min_n")) & (5 * F.col("to_max_n") >= 4 * F.col("min_n")) & ~alike
+    met = cells.join(to, F.col("hub") == F.col("to_hub")).where(can)  # strata of a group, of which there are a few hundred at most
+    meets = shared.stored(met.groupBy("hub", "stratum", "parts").agg(F.collect_list(F.struct("to_stratum", "to_parts")).alias("meets")))
+    out = shared.stored(rows.join(meets, ["hub", "stratum"]).drop("bytes"))
+    shared.dropped(of, rows, cells, meets)
+    return out
+
+
+def _in_blocks(members: DataFrame):
+    """Sets (``hub, cid, n, slack, bits, comp``) grouped by pairs of tiles; sets without ``stratum, parts, meets`` are in one tile for each group."""
+    if "meets" not in members.columns:
+        whole = members.withColumns({"mine": F.lit(0).cast("bigint"), "other": F.lit(0).cast("bigint")})
+    else:
+        mine = F.col("stratum") * _TILES + F.pmod(F.xxhash64("cid"), F.col("parts"))
+        tiles = F.flatten(F.transform("meets", lambda x: F.transform(F.sequence(F.lit(0).cast("bigint"), x.to_parts - 1), lambda k: x.to_stratum * _TILES + k)))
+        whole = members.withColumn("mine", mine).withColumn("other", F.explode(tiles))
+    return whole.select(F.col("hub").alias("of"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "slack", "bits", "comp").groupBy("of", "i", "j")
 
 
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set numbers, components and distances of a block or of a pair of blocks."""
-    cid, n, comp, mine = (table.column(c).to_numpy() for c in ("cid", "n", "comp", "mine"))
+    """Set numbers, components and distances of a tile or of a pair of tiles."""
+    cid, n, comp, mine, slack = (table.column(c).to_numpy() for c in ("cid", "n", "comp", "mine", "slack"))
     bits = [x.values.to_numpy().view(U64) for x in table.column("bits")]
     across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-    return cid, comp, distances(n, bits, mine if across else np.arange(len(cid)))
+    d = distances(n, bits, mine if across else np.arange(len(cid)))
+    d[slack[:, None] + slack > 0] = np.inf
+    return cid, comp, d
 
 
 def _pairs(cid: np.ndarray, i: np.ndarray, j: np.ndarray, **more: pa.Array) -> pa.Table:
