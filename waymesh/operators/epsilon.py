@@ -19,6 +19,8 @@ from waymesh.sources.shared import written
 _WIDER = 1 + 1e-9
 #: Places of a cell, of either side, that are one key; more are dealt to several.
 DENSE = 4096
+#: Probes of a task, about.
+PROBES = 1024
 
 
 def _columns_of_band(band: Column, step: float, eps_m: float) -> Column:
@@ -52,6 +54,10 @@ def within_distance(probes: DataFrame, targets: DataFrame, eps_m: float) -> Data
     mid = _column(F.col("u_lon"), F.col("columns"))
     p = p.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(mid + k, F.col("columns")) for k in (-1, 0, 1))))))
     p, t, keys = _dealt(p.drop("columns"), t)
+    # few places may have many pairs: a table that fits one task is dealt to several
+    parts = min(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), probes.count() // PROBES)
+    if parts > 1:
+        p = p.repartition(parts, *keys, "u")
     return p.join(t, keys).select("u", "v", near.alias("dist")).where(F.col("dist") <= F.lit(float(eps_m)))
 
 
@@ -72,12 +78,28 @@ def _dealt(p: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]
     return out[0], out[1], [*cell, "of_n_p", "of_n_t"]
 
 
+def nearest_pairs(probes: DataFrame, targets: DataFrame, eps_m: float) -> DataFrame:
+    """:func:`within_distance` with each pair of ids once, by its least distance.
+
+    Only pairs of an id with several coordinates are grouped; of all others there is one row anyway, so that no
+    task holds pairs.
+    """
+    several = [x.select("id", "lon", "lat").dropna().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id") for x in (probes, targets)]
+    many = written(several[0].unionByName(several[1]).distinct())
+    if many.isEmpty():
+        return within_distance(probes, targets, eps_m)
+    one = [x.join(many, "id", "left_anti") for x in (probes, targets)]
+    some = [x.join(many, "id", "left_semi") for x in (probes, targets)]
+    rest = within_distance(some[0], targets, eps_m).unionByName(within_distance(one[0], some[1], eps_m))
+    return within_distance(*one, eps_m).unionByName(rest.groupBy("u", "v").agg(F.min("dist").alias("dist")))
+
+
 def epsilon_pairs(coordinates: DataFrame, eps_m: float) -> DataFrame:
     """``u, v, dist`` with ``u <= v``: unordered pairs of places up to *eps_m* metres apart, each place with itself too.
 
     A place with several coordinates counts with its least distances.
     """
-    return within_distance(coordinates, coordinates, eps_m).where("u <= v").groupBy("u", "v").agg(F.min("dist").alias("dist"))
+    return nearest_pairs(coordinates, coordinates, eps_m).where("u <= v")
 
 
 def range_query(coordinates: DataFrame, lon: float, lat: float, eps_m: float) -> DataFrame:
