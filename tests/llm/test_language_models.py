@@ -218,6 +218,28 @@ def test_lm_query_equals_all_segmentations(spark, tmp_path):
         assert r.held_out == (i not in train) and r.n_tokens == len(words[i]) + 1
 
 
+def test_lm_learns_words(spark, tmp_path):
+    """From LEAST training words on, words' counts are mixed with their sums over all segmentations, and held-out texts score nearly as the base model does."""
+    rows = [(i, " ".join(f"Zq{(i * j * j + j) % 97}x{j % 7}" for j in range(40)) + (f" rare{i}" if i % 3 == 0 else "")) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lm_scoring.op3_lattice_lm(spark, str(tmp_path)).collect()}
+    words = {i: t.lower().encode().split() for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for i in train for w in words[i])
+    n, v = sum(count.values()), len(count)
+    assert n >= lm_scoring.LEAST
+    end = (len(train) + 0.5) / (n + len(train) + 1)
+    pieces, log_p = lm_scoring.piece_scores()
+    going_on = log_p + math.log1p(-end)
+    chance = {w: ((1 - end) * count[w] + v * math.exp(all_segmentations(b" " + w, pieces, going_on))) / (n + v) for w in {w for x in words.values() for w in x}}
+    assert sum(chance.values()) < 1 - end
+    for i, r in got.items():
+        assert r.score == pytest.approx((sum(math.log(chance[w]) for w in words[i]) + math.log(end)) / math.log(10)), i
+    held = [r for r in got.values() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert held and sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens - 0.5
+
+
 def test_lm_is_a_distribution():
     """Documents of any number of pieces add up to 1: those of up to twelve pieces nearly so."""
     end, p = 0.3, PROBABILITY / PROBABILITY.sum()
