@@ -1,5 +1,7 @@
 """Five places on the equator, a kilometre apart: rankings with exact scores."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,20 @@ def test_search_over_hexagons(spark, graph, tmp_path):
         s.matrix("IP", "place", 2001, mode="over", resolution=3)
     with pytest.raises(ValueError):
         search.Search(graph, Catalog(spark, str(tmp_path)), grid="squares")
+
+
+@pytest.mark.parametrize("low", [1, -2])
+def test_top_k_of_all_by_blocks(spark, monkeypatch, low):
+    """Several blocks, of which some share no column, values of both signs and columns that aren't numbers; no table has a row for a pair."""
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "TOGETHER", 3)
+    r = random.Random(low)
+    rows = {(i + 100 * half, r.randrange(12) + 50 * half): r.randrange(low, 4) for half in range(2) for i in range(30) for _ in range(5)}
+    m = spark.createDataFrame([(i, j, v) for (i, j), v in rows.items()], "i bigint, j bigint, v bigint")
+    every = m.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("d")).where("d > 0").select(F.col("i").alias("query"))
+    want = sorted(map(tuple, similarity.top_k_batch(m.join(every.withColumnRenamed("query", "i"), "i"), every, 4).collect()))
+    assert sorted(map(tuple, similarity.top_k_all(m, 4).collect())) == want
+    wide = m.select("i", F.struct(F.col("j").alias("u"), F.lit("x").alias("v")).alias("c"), F.col("v").alias("m"))
+    found = similarity.top_k_all(wide, 4)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
