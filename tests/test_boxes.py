@@ -1,7 +1,9 @@
 """Files along a curve, and nearest boxes of many queries, against plain arithmetic."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from waymesh.operators import boxes, epsilon
 from waymesh.sources.model import COORDINATES
@@ -74,3 +76,16 @@ def test_nearest_with_ties_and_few_boxes(spark):
     assert boxes.nearest_of_many(frame(spark, rects), frame(spark, queries, "query").limit(0), 2).count() == 0
     with pytest.raises(ValueError):
         boxes.nearest_of_many(bad, bad.withColumnRenamed("id", "query"), 0)
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 20])
+def test_many_boxes_of_a_cell(spark, monkeypatch, pairs):
+    """Boxes that all touch each other, with ties by id: what a cell hands on is the best of each query, not all pairs."""
+    monkeypatch.setattr(boxes, "PAIRS", pairs)
+    found = boxes._nearest_of_cell(3, 9.0)
+    asked = pa.table({"query": [1, 2], **{f"q_{s}": [0.0, 5.0 if s.startswith("min") else 6.0] for s in boxes.SIDES}})
+    near = pa.table({"id": [9, 4, 7, 5, 8], **{s: [0.0, 0.0, 0.0, 20.0, 2.0] for s in boxes.SIDES}})
+    assert sorted(map(tuple, (r.values() for r in found(asked, near).to_pylist()))) == [(1, 4, 0.0), (1, 7, 0.0), (1, 9, 0.0), (2, 4, 50.0), (2, 7, 50.0), (2, 8, 18.0)]
+    assert len(found(asked.slice(0, 0), near)) == len(found(asked, near.slice(0, 0))) == 0
+    r = spark.range(60).select("id", F.lit(0.0).alias("min0"), F.lit(0.0).alias("min1"), (F.col("id") % 2 + 1.0).alias("max0"), F.lit(1.0).alias("max1"))
+    assert sorted(map(tuple, boxes.nearest_of_many(r, r.withColumnRenamed("id", "query"), 2).collect())) == sorted((q, k, 0.0) for q in range(60) for k in (0, 1))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from waymesh.sources.shared import written
 
 from .epsilon import box_search, range_query
 
+#: The columns of a box.
+SIDES = ("min0", "min1", "max0", "max1")
+#: Pairs of a query and a box that are measured at once.
+PAIRS = 1 << 20
 #: Bits of either coordinate in a place on the curve.
 BITS = 16
 
@@ -92,12 +98,12 @@ def nearest_of_many(rects: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
     Boxes are kept in cells of powers of two that are as wide as they are, at least.  A round looks for
     boxes up to a distance, in cells no smaller than that, so a query looks into few cells of each size; it is done when
-    it has *n* boxes within the distance, else the distance doubles.  Boxes with a null or an upside-down side are left out.
+    it has *n* boxes within the distance, else the distance doubles.  A cell hands on the best *n* for each query.  Boxes with a null or an upside-down side are left out.
     """
     if n < 1:
         raise ValueError("n is at least 1")
     spark = rects.sparkSession
-    sides = ["min0", "min1", "max0", "max1"]
+    sides = SIDES
     whole = F.expr(" AND ".join(f"{s} IS NOT NULL AND NOT isnan({s})" for s in sides) + " AND min0 <= max0 AND min1 <= max1")
     boxes = rects.where(whole).select("id", *(F.col(s).cast("double").alias(s) for s in sides))
     asked = queries.where(whole).select("query", *(F.col(s).cast("double").alias(f"q_{s}") for s in sides))
@@ -125,9 +131,8 @@ def nearest_of_many(rects: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         for k in (0, 1):
             unit = F.pow(F.lit(2.0), "size")
             cells = cells.withColumn(f"c{k}", F.explode(F.sequence(F.floor((F.col(f"q_min{k}") - reach) / unit).cast("bigint") - 1, F.floor((F.col(f"q_max{k}") + reach) / unit).cast("bigint"))))
-        gaps = [F.greatest(F.lit(0.0), F.col(f"q_min{k}") - F.col(f"max{k}"), F.col(f"min{k}") - F.col(f"q_max{k}")) for k in (0, 1)]
-        met = cells.join(kept, ["size", "c0", "c1"]).select("query", "id", (F.lit(0.0) + gaps[0] * gaps[0] + gaps[1] * gaps[1]).alias("gap"))
-        met = met if level >= last else met.where(F.col("gap") <= reach * reach)
+        key = ["size", "c0", "c1"]
+        met = cells.groupBy(*key).cogroup(kept.groupBy(*key)).applyInArrow(_nearest_of_cell(n, reach if level < last else math.inf), out.schema)
         order = Window.partitionBy("query").orderBy("gap", "id")
         best = written(met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n))
         # who has as many as asked for has them all within the distance
@@ -138,3 +143,32 @@ def nearest_of_many(rects: DataFrame, queries: DataFrame, n: int) -> DataFrame:
             return out
         level += 1
 
+
+def _nearest_of_cell(n: int, reach: float):
+    """The best *n* boxes of a cell for each of the queries that look into it, so that pairs of a dense cell aren't rows of a table."""
+
+    def run(asked: pa.Table, boxes: pa.Table) -> pa.Table:
+        boxes = boxes.sort_by("id")
+        mine = {f"q_{s}": asked.column(f"q_{s}").to_numpy() for s in SIDES} if len(asked) else {}
+        theirs = {s: boxes.column(s).to_numpy() for s in SIDES} if len(boxes) else {}
+        rows, columns, gaps = [], [], []
+        step, most = max(1, PAIRS // max(1, len(boxes))), min(n, len(boxes))
+        for lo in range(0, len(asked) if theirs else 0, step):
+            gap = np.zeros((min(step, len(asked) - lo), len(boxes)))
+            for k in "01":
+                low, high = (mine[f"q_{m}{k}"][lo : lo + step, None] for m in ("min", "max"))
+                side = np.maximum(np.maximum(low - theirs[f"max{k}"], theirs[f"min{k}"] - high), 0.0)
+                gap += side * side
+            last = np.partition(gap, most - 1, axis=1)[:, most - 1, None]
+            less, tied = gap < last, gap == last
+            # of those that tie with the last, the smallest ids
+            keep = (less | (tied & (np.cumsum(tied, axis=1) <= most - less.sum(1)[:, None]))) & (gap <= reach * reach)
+            row, column = np.nonzero(keep)
+            rows.append(row + lo)
+            columns.append(column)
+            gaps.append(gap[row, column])
+        if not rows:
+            return pa.table({"query": pa.nulls(0, asked.schema.field("query").type), "id": pa.nulls(0, boxes.schema.field("id").type), "gap": pa.nulls(0, pa.float64())})
+        return pa.table({"query": asked.column("query").take(np.concatenate(rows)), "id": boxes.column("id").take(np.concatenate(columns)), "gap": np.concatenate(gaps)})
+
+    return run
