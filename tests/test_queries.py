@@ -5,7 +5,7 @@ import math
 import pytest
 
 from waymesh.operators import quality
-from waymesh.plans import queries
+from waymesh.plans import queries, session
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +62,16 @@ def test_radius_of_the_cells_in_use(spark, folder):
     bands = [math.cos(math.radians(-90 + (b + 0.5) * queries.CELLS.height)) for b in range(queries.CELLS.bands)]
     assert abs(r["cells"] - sum(max(1, math.ceil(360 * c / queries.CELLS.height)) for c in bands)) <= 2  # rounding at whole numbers
     assert queries.CELLS.radius_m / 2 < r["boundary_m"] <= r["rho_m"] <= queries.CELLS.radius_m
+
+
+def test_shuffles_are_cut_finely(spark, folder):
+    """A shuffle has more parts than the session's few, so that what a task gets doesn't grow with the tables; small ones are put together."""
+    found = queries._left(spark, folder)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"{session.PARTS})" in plan
+    assert found.rdd.getNumPartitions() < 8
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(name, 5)
+    session.bounded(spark)
+    assert spark.conf.get(name) == "5"
+    spark.conf.unset(name)

@@ -20,13 +20,13 @@ def session(name: str = "waymesh", master: str | None = None, **more: str) -> Sp
     return b.getOrCreate()
 
 
-#: What a task gets of a shuffle, about.
-PART_BYTES = "16m"
+#: What a task gets of a shuffle, about, and into how many parts a shuffle is cut before those that are smaller are put together.
+PART_BYTES, PARTS = "16m", 256
 
 
 def bounded(spark: SparkSession) -> SparkSession:
     """Bounds the memory of a task: rows of keys and counts take many times their shuffled bytes in hash tables. What the session has set stays."""
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, PART_BYTES)
+    for name, value in (("advisoryPartitionSizeInBytes", PART_BYTES), ("coalescePartitions.initialPartitionNum", PARTS)):
+        if spark.conf.get(f"spark.sql.adaptive.{name}", None) is None:
+            spark.conf.set(f"spark.sql.adaptive.{name}", value)
     return spark
