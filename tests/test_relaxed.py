@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymesh.operators import epsilon, grid, matrix, relaxed, similarity, spatial
+from waymesh.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +56,22 @@ def test_through_places(spark, tables):
     assert close(relaxed.exact_through(left, places, 2000, right).collect()) == close(want.collect())
 
 
+def test_lines_are_shuffled_once_a_key(spark, tables, tmp_path):
+    """Lines go to their orders, and then to their suppliers or ends: they aren't counted before, and a path is only added up at its end."""
+    d = str(tmp_path)
+    spark.createDataFrame([(i, i % 3) for i in range(1, 121)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(i, i % 40) for i in range(80)] + [(5, None), (None, 5)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(i, 1 + i * k % 120) for i in range(80) for k in (1, 7, 7)] + [(7, None), (None, 7)], "l_orderkey bigint, l_suppkey bigint").write.parquet(f"{d}/lineitem.parquet")
+    left = queries._left(spark, d)
+    assert sorted(left.collect()) == sorted(queries._path(spark, d, "placed#supplied_by").collect())
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    right = queries._t(spark, d, "supplier").selectExpr("s_suppkey i", "cast(s_nationkey as bigint) j", "cast(1 as bigint) v")
+    found = queries.exact_through(spark, d)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert close(found.collect()) == close(relaxed.exact_through(left, queries.places(spark, d), queries.EPS_M, right).collect())
+    assert close(relaxed.exact_through(left.unionByName(left), queries.places(spark, d), queries.EPS_M, right).collect()) == close((i, j, 2 * v) for i, j, v in found.collect())
+
+
 def test_pairs_are_not_grouped(tables):
     """Only ids of several coordinates are grouped: without these a plan has no aggregate above the join."""
     _, places = tables

@@ -25,11 +25,20 @@ def transpose(matrix: DataFrame) -> DataFrame:
     return matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
+def terms(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``i, j, v`` of each path of two entries: the matrix product before terms of the same ends are added."""
+    right = right.select(F.col("i").alias("k"), F.col("j").alias("to"), F.col("v").alias("by"))
+    return left.join(right, left["j"] == right["k"]).select("i", F.col("to").alias("j"), (F.col("v") * F.col("by")).alias("v"))
+
+
+def added(terms: DataFrame) -> DataFrame:
+    """Terms of the same ends as one entry; integer overflow is an error."""
+    return terms.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def product(left: DataFrame, right: DataFrame) -> DataFrame:
     """``i, j, v`` of the matrix product; integer overflow is an error."""
-    right = right.select(F.col("i").alias("k"), F.col("j").alias("to"), F.col("v").alias("by"))
-    joined = left.join(right, left["j"] == right["k"])
-    return joined.groupBy("i", F.col("to").alias("j")).agg(F.sum(F.col("v") * F.col("by")).alias("v"))
+    return added(terms(left, right))
 
 
 #: Logarithm of the registers of a sketch: estimates are within about a tenth.

@@ -133,7 +133,10 @@ def exact_top_k(left: DataFrame, coordinates: DataFrame, eps_m: float, queries:
 
 
 def exact_through(left: DataFrame, coordinates: DataFrame, eps_m: float, right: DataFrame, weighted: bool = False) -> DataFrame:
-    """:func:`spatial.through` with the relaxed place's own end multiplied first, which has a row for each place and end."""
+    """:func:`spatial.through` with the relaxed place's own end multiplied first, which has a row for each place and end.
+
+    *left* may have several entries of the same ends; they are added with the rest of the path, so it needs no shuffle of its own.
+    """
     kernel = spatial.place_kernel(coordinates, eps_m, weighted)
     ends = written(kernel.join(right.select(F.col("i").alias("b"), "j", F.col("v").alias("by")), "b").groupBy("a", "j").agg(F.sum(F.col("k") * F.col("by")).alias("v")))
     joined = left.select("i", F.col("j").alias("a"), F.col("v").alias("own")).join(ends, "a")

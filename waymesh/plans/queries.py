@@ -36,11 +36,15 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{d}/{name}.parquet")
 
 
-def _step(spark: SparkSession, d: str, edge: str) -> DataFrame:
-    """``i, j, v`` of an edge type by the tables' own keys."""
+def _edges(spark: SparkSession, d: str, edge: str) -> DataFrame:
+    """``i, j`` of each edge of a type by the tables' own keys."""
     table, i, j = {"placed": ("orders", "o_custkey", "o_orderkey"), "contains": ("lineitem", "l_orderkey", "l_partkey"), "supplied_by": ("lineitem", "l_orderkey", "l_suppkey"), "in_nation": ("customer", "c_custkey", "c_nationkey"), "in_region": ("nation", "n_nationkey", "n_regionkey")}[edge]
-    rows = _t(spark, d, table).select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j")).dropna()
-    return rows.groupBy("i", "j").agg(F.count("*").alias("v"))
+    return _t(spark, d, table).select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j")).dropna()
+
+
+def _step(spark: SparkSession, d: str, edge: str) -> DataFrame:
+    """``i, j, v`` of an edge type: repeated edges are counted."""
+    return _edges(spark, d, edge).groupBy("i", "j").agg(F.count("*").alias("v"))
 
 
 def _path(spark: SparkSession, d: str, path: str, by: str = "edge_type") -> DataFrame:
@@ -58,8 +62,15 @@ def places(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), lon.alias("lon"), lat.alias("lat"))
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each line of each customer's orders: edges are few to an order, so they meet there without being counted first."""
+    placed, supplied = (_edges(spark, d, e).withColumn("v", F.lit(1).cast("bigint")) for e in ("placed", "supplied_by"))
+    return matrix.terms(placed, supplied)
+
+
 def _left(spark: SparkSession, d: str) -> DataFrame:
-    return _path(spark, d, "placed#supplied_by")
+    """The meta path ``placed#supplied_by``."""
+    return matrix.added(_terms(spark, d))
 
 
 def _asked(spark: SparkSession, ids: tuple[int, ...] = QUERIES) -> DataFrame:
@@ -244,7 +255,7 @@ def exact_weighted_topk(spark, d):
 def exact_through(spark, d):
     """Customers to nations of suppliers near those that they buy from: a relaxed place inside a path."""
     right = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("bigint").alias("j"), F.lit(1).cast("bigint").alias("v"))
-    return relaxed.exact_through(_left(spark, d), places(spark, d), EPS_M, right)
+    return relaxed.exact_through(_terms(spark, d), places(spark, d), EPS_M, right)
 
 
 def grid_cells(spark, d):
