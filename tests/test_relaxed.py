@@ -88,3 +88,17 @@ def test_overflow_is_an_error(spark):
     with pytest.raises(Exception, match="beyond 64 bits"):
         relaxed.exact_rows(left, places, 10).collect()
     assert matrix.deltas(left.where("j < 0")).count() == 0
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_few_queries_take_one_pass(spark, tables, weighted, monkeypatch):
+    """Rows' deltas and dot products with a few queries come from one pass; many queries go through the kernel, with the same result."""
+    left, places = tables
+    queries = spark.createDataFrame([(1,), (2,), (17,), (999,), (None,)], "query bigint")
+    cells = grid.LatticeCells(0.01)
+    asked = lambda: [close(f.select("query", "node", "score", "rank").collect()) for f in (relaxed.exact_top_k(left, places, 2000, queries, 4, weighted), relaxed.grid_top_k(left, places, 2000, cells, queries, 4, weighted))]
+    with monkeypatch.context() as m:
+        m.setattr(similarity, "SIDE_BY_SIDE", 1)
+        many = asked()
+    monkeypatch.setattr(similarity, "kernel_top_k", None)
+    assert asked() == many and all(len(x) == 12 for x in many)

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,6 @@ ENTRIES = 1 << 18
 PAIRS = 1 << 20
 
 
-def _bucketed(entries: DataFrame, left: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    n = max(1, -(-left.count() // ENTRIES))
-    return entries.withColumn("bucket", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(run, schema)
-
-
 def _haversine_m(lon: np.ndarray, lat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     half_lat, half_lon = np.radians(lat[b] - lat[a]) / 2, np.radians(lon[b] - lon[a]) / 2
     h = np.sin(half_lat) ** 2 + np.cos(np.radians(lat[a])) * np.cos(np.radians(lat[b])) * np.sin(half_lon) ** 2
@@ -54,50 +51,115 @@ def pairs_in_rows(i: np.ndarray, j: np.ndarray, lon: np.ndarray, lat: np.ndarray
             yield a[near], a[near] + d, dist[near]
 
 
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy()
+def _column(table: pa.Table, name: str, kind: type | None = None) -> np.ndarray:
+    found = table.column(name)
+    return (found if kind is None else pc.fill_null(found, 0)).to_numpy().astype(kind or found.type.to_pandas_dtype(), copy=False)
 
 
-def _exact_sums(eps_m: float, weighted: bool) -> Callable[[pa.Table], pa.Table]:
-    kind = np.float64 if weighted else np.int64
+@dataclass
+class Bucket:
+    """Entries by row, and where there are coordinates by latitude; a place of several coordinates has several entries, of which one is *first*."""
+
+    table: pa.Table
+    i: np.ndarray
+    j: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    size: int
+
+    def sums(self, values: np.ndarray, some: np.ndarray, kind: type) -> np.ndarray:
+        out = np.zeros(self.size, kind)
+        np.add.at(out, self.row[some], values[some].astype(kind))
+        return out
+
+
+@dataclass
+class Part:
+    """A relaxed matrix: what each place brings along for it (``j`` and columns), and how a bucket's ``entries, total, delta`` follow from that.
+
+    With *coordinates* it needs each place's own, too.  Columns' names end with the part's number.
+    """
+
+    places: DataFrame
+    run: Callable[[Bucket, str], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    coordinates: DataFrame | None = None
+
+
+def _rows(left: DataFrame, parts: list[Part], weighted: bool, spread: DataFrame | None = None, direct: bool = False) -> DataFrame:
+    """``i, of, entries, total, delta`` of each non-empty row of each part (*of*: its number), by one pass over *left*.
+
+    *spread* (``j, q0, q1, ...``) adds columns: a row's dot product with each.  With *direct* (of one part) there is a row for each of *left*, with
+    how many entries it has there.
+    """
+    kind, name = (np.float64, "double") if weighted else (np.int64, "long")
+    at = next((p.coordinates for p in parts if p.coordinates is not None), None)
+    tables = [] if at is None else [at.dropna(subset=["lon", "lat"]).select(F.col("id").alias("j"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))]
+    tables += [p.places.select("j", *(F.col(c).alias(f"{c}_{k}") for c in p.places.columns if c != "j")) for k, p in enumerate(parts)]
+    places = tables[0]
+    for t in tables[1:]:
+        places = places.join(t, "j", "full_outer")
+    dots = [] if spread is None else [c for c in spread.columns if c != "j"]
+    places = written(places if spread is None else places.join(spread, "j", "left"))
+    runs = [p.run for p in parts]
 
     def run(t: pa.Table) -> pa.Table:
-        i, j, lon, lat = (_column(t, c) for c in ("i", "j", "lon", "lat"))
-        order = np.lexsort((j, lat, i))
-        i, j, lon, lat = i[order], j[order], lon[order], lat[order]
-        v, n, s, k = (_column(t, c)[order].astype(kind) for c in ("v", "n", "s", "k"))
-        row = np.cumsum(np.concatenate([[0], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        size = int(row[-1]) + 1 if len(row) else 0
-        # a place with several coordinates has several entries here, which count once
-        by_place = np.lexsort((j, row))
-        first = np.ones(len(i), bool)
+        i, j = _column(t, "i"), _column(t, "j")
+        order = np.lexsort((j, _column(t, "lat"), i) if at_places else (j, i))
+        t = t.take(order)
+        i, j = i[order], j[order]
+        new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+        row = np.cumsum(new) - 1
+        by_place, first = np.lexsort((j, row)), np.ones(len(i), bool)
         first[by_place[1:]] = (row[by_place[1:]] != row[by_place[:-1]]) | (j[by_place[1:]] != j[by_place[:-1]])
-        entries, total, delta = np.zeros(size, np.int64), np.zeros(size, kind), np.zeros(size, kind)
-        np.add.at(entries, row[first], n[first].astype(np.int64))
-        np.add.at(total, row[first], (v * s)[first])
-        np.add.at(delta, row[first], (v * v * k)[first])
-        found = pairs_in_rows(i, j, lon, lat, eps_m)
-        if not first.all():
-            runs = list(found)
-            a, b, dist = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            low, high = np.minimum(j[a], j[b]), np.maximum(j[a], j[b])
-            least = np.lexsort((dist, high, low, row[a]))
-            a, b, dist, low, high = a[least], b[least], dist[least], low[least], high[least]
-            new = np.ones(len(a), bool)
-            new[1:] = (row[a[1:]] != row[a[:-1]]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            found = [(a[new], b[new], dist[new])]
-        for a, b, dist in found:
-            w = np.ones(len(a), np.int64)
+        b = Bucket(t, i, j, row, first, int(new.sum()))
+        own, one, v = i[new], np.ones(len(i), np.int64), _column(t, "v", kind)
+        columns = {"direct": b.sums(one, first, np.int64)} if direct else {}
+        for c in dots:
+            there = first & t.column(c).is_valid().to_numpy()
+            columns[c] = pa.array(b.sums(v * _column(t, c, kind), there, kind), mask=b.sums(one, there, np.int64) == 0)
+        out = []
+        for k, sums in enumerate(runs):
+            entries, total, delta = sums(b, f"_{k}")
+            found = pa.table({"i": own, "of": np.full(len(own), k, np.int32), "entries": entries, "total": total, "delta": delta} | columns)
+            out.append(found if direct else found.filter(pa.array(entries > 0)))
+        return pa.concat_tables(out)
+
+    at_places = at is not None
+    n = max(1, -(-left.count() // ENTRIES))
+    entries = left.select("i", "j", "v").join(places, "j", "left" if direct else "inner")
+    schema = f"i long, of int, entries long, total {name}, delta {name}" + ", direct long" * direct + "".join(f", {c} {name}" for c in dots)
+    return entries.withColumn("bucket", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(run, schema)
+
+
+def _exact_sums(eps_m: float, weighted: bool) -> Callable[[Bucket, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    kind = np.float64 if weighted else np.int64
+
+    def run(b: Bucket, of: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, row = b.i, b.j, b.row
+        v, s, k = (_column(b.table, c, kind) for c in ("v", f"s{of}", f"k{of}"))
+        entries = b.sums(_column(b.table, f"n{of}", np.int64), b.first, np.int64)
+        total, delta = b.sums(v * s, b.first, kind), b.sums(v * v * k, b.first, kind)
+        found = pairs_in_rows(i, j, _column(b.table, "lon"), _column(b.table, "lat"), eps_m)
+        if not b.first.all():
+            pairs = list(found)
+            x, y, dist = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            low, high = np.minimum(j[x], j[y]), np.maximum(j[x], j[y])
+            least = np.lexsort((dist, high, low, row[x]))
+            x, y, dist, low, high = x[least], y[least], dist[least], low[least], high[least]
+            new = np.ones(len(x), bool)
+            new[1:] = (row[x[1:]] != row[x[:-1]]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            found = [(x[new], y[new], dist[new])]
+        for x, y, dist in found:
+            w = np.ones(len(x), np.int64)
             if weighted:
-                w = np.maximum(0.0, 1.0 - dist / eps_m) if eps_m > 0 else np.ones(len(a))
-                a, b, w = a[w > 0], b[w > 0], w[w > 0]
+                w = np.maximum(0.0, 1.0 - dist / eps_m) if eps_m > 0 else np.ones(len(x))
+                x, y, w = x[w > 0], y[w > 0], w[w > 0]
             # a column that both places are in is one entry
-            np.add.at(entries, row[a], -1)
-            np.add.at(delta, row[a], 2 * v[a] * v[b] * w)
+            np.add.at(entries, row[x], -1)
+            np.add.at(delta, row[x], 2 * v[x] * v[y] * w)
         if not weighted and len(v) and float(np.abs(v).max()) ** 2 * float(k.max()) * len(v) * 3 > 2.0**62:
             _overflow(i, v, k)
-        at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-        return pa.table({"i": i[at], "entries": entries, "total": total, "delta": delta})
+        return entries, total, delta
 
     return run
 
@@ -110,13 +172,17 @@ def _overflow(i: np.ndarray, v: np.ndarray, k: np.ndarray) -> None:
         raise OverflowError("a row's sum of squares is beyond 64 bits")
 
 
-def exact_rows(left: DataFrame, coordinates: DataFrame, eps_m: float, weighted: bool = False) -> DataFrame:
-    """``i, entries, total, delta`` of each non-empty row of :func:`spatial.extend_exact`; *left* is best stored."""
-    kind = "double" if weighted else "long"
-    places = coordinates.dropna(subset=["lon", "lat"]).select(F.col("id").alias("j"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    sums = written(spatial.place_sums(coordinates, eps_m, weighted))
-    entries = left.select("i", "j", "v").join(places.join(sums, "j"), "j")
-    return _bucketed(entries, left, _exact_sums(eps_m, weighted), f"i long, entries long, total {kind}, delta {kind}")
+def exact_part(coordinates: DataFrame, eps_m: float, weighted: bool = False) -> Part:
+    """:func:`spatial.extend_exact`."""
+    return Part(spatial.place_sums(coordinates, eps_m, weighted), _exact_sums(eps_m, weighted), coordinates)
+
+
+def exact_rows(left: DataFrame, coordinates: DataFrame, eps_m: float, weighted: bool = False, direct: bool = False) -> DataFrame:
+    """``i, entries, total, delta`` of each non-empty row of :func:`spatial.extend_exact`; *left* is best stored.
+
+    With *direct*, also ``direct``: how many entries the row has in *left*, and each row of *left* is there.
+    """
+    return _rows(left, [exact_part(coordinates, eps_m, weighted)], weighted, direct=direct).drop("of")
 
 
 def exact_deltas(left: DataFrame, coordinates: DataFrame, eps_m: float, weighted: bool = False) -> DataFrame:
@@ -124,12 +190,28 @@ def exact_deltas(left: DataFrame, coordinates: DataFrame, eps_m: float, weighted
     return exact_rows(left, coordinates, eps_m, weighted).select("i", "delta")
 
 
+def _top_k(left: DataFrame, part: Part, kernel_of: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int, weighted: bool) -> DataFrame:
+    """Best *k* by a kernel of some places (*kernel_of*: ``j`` to ``a, b, k``).
+
+    Of a few queries each place has what every query has there, so rows' deltas and dot products come from the same pass over *left*.
+    """
+    similarity.checked(k)
+    ids = similarity.few(queries)
+    if not ids:
+        asked = queries.select(F.col("query").alias("i")).distinct()
+        kernel = kernel_of(written(left.join(asked, "i", "left_semi").select("j").distinct()))
+        return similarity.kernel_top_k(left, kernel, queries, k, written(_rows(left, [part], weighted).select("i", "delta")))
+    own = written(left.where(F.col("i").isin(ids)))
+    kernel = kernel_of(own.select("j").distinct())
+    met = own.join(kernel, own["j"] == kernel["a"])
+    spread = met.groupBy(F.col("b").alias("j")).agg(*(F.sum(F.when(F.col("i") == q, F.col("v") * F.col("k"))).alias(f"q{n}") for n, q in enumerate(ids)))
+    return similarity.ranked(similarity.side_by_side(written(_rows(left, [part], weighted, spread)), ids)).where(F.col("rank") <= k)
+
+
 def exact_top_k(left: DataFrame, coordinates: DataFrame, eps_m: float, queries: DataFrame, k: int, weighted: bool = False) -> DataFrame:
     """:func:`similarity.top_k_batch` of :func:`spatial.extend_exact`: the kernel is made for the queries' own places only."""
-    left = written(left)
-    own = written(left.join(queries.select(F.col("query").alias("i")).distinct(), "i", "left_semi").select(F.col("j").alias("id")).distinct())
-    kernel = spatial.place_kernel(coordinates, eps_m, weighted, own)
-    return similarity.kernel_top_k(left, kernel, queries, k, written(exact_deltas(left, coordinates, eps_m, weighted)))
+    kernel_of = lambda own: spatial.place_kernel(coordinates, eps_m, weighted, own.withColumnRenamed("j", "id"))
+    return _top_k(written(left), exact_part(coordinates, eps_m, weighted), kernel_of, queries, k, weighted)
 
 
 def exact_through(left: DataFrame, coordinates: DataFrame, eps_m: float, right: DataFrame, weighted: bool = False) -> DataFrame:
@@ -143,16 +225,16 @@ def exact_through(left: DataFrame, coordinates: DataFrame, eps_m: float, right:
     return joined.groupBy("i", "j").agg(F.sum(F.col("own") * F.col("v")).alias("v"))
 
 
-def _grid_sums(weighted: bool) -> Callable[[pa.Table], pa.Table]:
+def _grid_sums(weighted: bool) -> Callable[[Bucket, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     kind = np.float64 if weighted else np.int64
 
-    def run(t: pa.Table) -> pa.Table:
-        i, v = _column(t, "i"), _column(t, "v").astype(kind)
-        raw = t.column("cells").combine_chunks()
-        length = np.array([len(x) for x in raw.to_pylist()], np.int64) // 8
-        cell = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
-        w = np.frombuffer(b"".join(t.column("w").to_pylist()), np.float64).astype(kind) if "w" in t.column_names else np.ones(len(cell), kind)
-        own, row = np.unique(i, return_inverse=True)
+    def run(b: Bucket, of: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, row = (b.table, b.row) if b.first.all() else (b.table.filter(pa.array(b.first)), b.row[b.first])
+        v = _column(t, "v", kind)
+        unpacked = lambda c, as_: np.frombuffer(b"".join(pc.fill_null(t.column(c), b"").to_pylist()), as_)
+        length = pc.fill_null(pc.binary_length(t.column(f"cells{of}")), 0).to_numpy().astype(np.int64) // 8
+        cell = unpacked(f"cells{of}", np.int64)
+        w = unpacked(f"w{of}", np.float64).astype(kind) if f"w{of}" in t.column_names else np.ones(len(cell), kind)
         at, m = np.repeat(row, length), np.repeat(v, length) * w
         order = np.lexsort((cell, at))
         at, cell, m = at[order], cell[order], m[order]
@@ -160,11 +242,11 @@ def _grid_sums(weighted: bool) -> Callable[[pa.Table], pa.Table]:
         sums, at = np.add.reduceat(m, first) if len(first) else m, at[first]
         if not weighted and len(sums) and float(np.abs(sums).max()) ** 2 * len(sums) > 2.0**62 and np.bincount(at, sums.astype(float) ** 2).max() > 2.0**62:
             raise OverflowError("a row's sum of squares is beyond 64 bits")
-        entries, total, delta = np.zeros(len(own), np.int64), np.zeros(len(own), kind), np.zeros(len(own), kind)
+        entries, total, delta = np.zeros(b.size, np.int64), np.zeros(b.size, kind), np.zeros(b.size, kind)
         np.add.at(entries, at, 1)
         np.add.at(total, at, sums)
         np.add.at(delta, at, sums * sums)
-        return pa.table({"i": own, "entries": entries, "total": total, "delta": delta})
+        return entries, total, delta
 
     return run
 
@@ -179,25 +261,35 @@ def _packed(table: pa.Table) -> pa.Table:
     return pa.table({"j": pa.array(j[first], pa.int64()), "cells": pa.array([cell[a:b].tobytes() for a, b in runs], pa.binary()), "w": pa.array([w[a:b].tobytes() for a, b in runs], pa.binary())})
 
 
-def _grid_rows(left: DataFrame, columns: DataFrame, weighted: bool) -> DataFrame:
+def _cells_part(columns: DataFrame, weighted: bool) -> Part:
     n = max(1, -(-columns.count() // ENTRIES))
     packed = written(columns.withColumn("bucket", F.pmod(F.xxhash64("j"), F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(_packed, "j long, cells binary, w binary"))
-    kind = "double" if weighted else "long"
     ones = not weighted and columns.where("w <> 1").isEmpty()
-    entries = left.select("i", "j", "v").join(packed.drop("w") if ones else packed, "j").drop("j")
-    return _bucketed(entries, left, _grid_sums(weighted), f"i long, entries long, total {kind}, delta {kind}")
+    return Part(packed.drop("w") if ones else packed, _grid_sums(weighted))
+
+
+def grid_part(coordinates: DataFrame, eps_m: float, cells, weighted: bool = False) -> Part:
+    """:func:`spatial.extend_grid`."""
+    return _cells_part(written(spatial.cell_columns(coordinates, eps_m, cells, weighted)), weighted)
 
 
 def grid_rows(left: DataFrame, coordinates: DataFrame, eps_m: float, cells, weighted: bool = False) -> DataFrame:
     """``i, entries, total, delta`` of each non-empty row of :func:`spatial.extend_grid`; *left* is best stored."""
-    return _grid_rows(left, written(spatial.cell_columns(coordinates, eps_m, cells, weighted)), weighted)
+    return _rows(left, [grid_part(coordinates, eps_m, cells, weighted)], weighted).drop("of")
 
 
 def grid_top_k(left: DataFrame, coordinates: DataFrame, eps_m: float, cells, queries: DataFrame, k: int, weighted: bool = False) -> DataFrame:
     """:func:`similarity.top_k_batch` of :func:`spatial.extend_grid`: the kernel is made for the queries' own places only."""
     left, columns = written(left), written(spatial.cell_columns(coordinates, eps_m, cells, weighted))
-    own = left.join(queries.select(F.col("query").alias("i")).distinct(), "i", "left_semi").select("j").distinct()
-    x = columns.join(own, "j", "left_semi").select(F.col("j").alias("a"), "cell", F.col("w").alias("w_a"))
-    y = columns.select(F.col("j").alias("b"), "cell", F.col("w").alias("w_b"))
-    kernel = x.join(y, "cell").groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("k"))
-    return similarity.kernel_top_k(left, kernel, queries, k, written(_grid_rows(left, columns, weighted).select("i", "delta")))
+
+    def kernel_of(own: DataFrame) -> DataFrame:
+        x = columns.join(own, "j", "left_semi").select(F.col("j").alias("a"), "cell", F.col("w").alias("w_a"))
+        y = columns.select(F.col("j").alias("b"), "cell", F.col("w").alias("w_b"))
+        return x.join(y, "cell").groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("k"))
+
+    return _top_k(left, _cells_part(columns, weighted), kernel_of, queries, k, weighted)
+
+
+def rows_of(left: DataFrame, parts: list[Part], weighted: bool = False) -> DataFrame:
+    """``i, of, entries, total, delta``: rows of several relaxed matrices by number (of the same *weighted* and coordinates), by one pass over *left*."""
+    return _rows(left, parts, weighted)

@@ -52,20 +52,37 @@ def scores(matrix: DataFrame, queries: DataFrame, deltas: DataFrame | None = Non
     of_column = rows.groupBy(F.col("c").alias("at")).agg(*(F.max(F.when(F.col("query") == q, F.col("q"))).alias(f"q{k}") for k, q in enumerate(ids)))
     met = m.join(of_column, m["c"] == of_column["at"], "left")
     of_node = met.groupBy(F.col("i").alias("node")).agg(F.sum(F.col("m") * F.col("m")).alias("delta_x"), *(F.sum(F.col("m") * F.col(f"q{k}")).alias(f"q{k}") for k in range(len(ids))))
+    of_query = rows.groupBy("query").agg(F.sum(F.col("q") * F.col("q")).alias("delta_q"))
+    return _of_columns(of_node, of_query, ids)
+
+
+def _of_columns(of_node: DataFrame, of_query: DataFrame, ids: list[int]) -> DataFrame:
+    """``query, node, score`` of ``node, delta_x, q0, q1, ...`` (a dot product with each query, or null) and ``query, delta_q``."""
     each = F.explode(F.array(*(F.struct(F.lit(q).cast("bigint").alias("query"), F.col(f"q{k}").alias("dot")) for k, q in enumerate(ids))))
     found = of_node.select("node", "delta_x", each.alias("f")).select("node", "delta_x", "f.query", "f.dot").where("dot IS NOT NULL")
-    of_query = rows.groupBy("query").agg(F.sum(F.col("q") * F.col("q")).alias("delta_q"))
     return found.join(of_query, "query").select("query", "node", _score(F.col("dot"), F.col("delta_q"), F.col("delta_x")).alias("score"))
 
 
-def _checked(k: int) -> None:
+def few(queries: DataFrame) -> list[int]:
+    """The ids of *queries* if they may have a column each, otherwise none."""
+    ids = sorted(r["query"] for r in queries.select("query").distinct().limit(SIDE_BY_SIDE + 2).collect() if r["query"] is not None)
+    return ids if len(ids) <= SIDE_BY_SIDE else []
+
+
+def side_by_side(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """``query, node, score`` from ``i, delta, q0, q1, ...``: each row's delta and its dot product with each query, null where they share nothing."""
+    of_node = rows.select(F.col("i").alias("node"), F.col("delta").alias("delta_x"), *(f"q{k}" for k in range(len(ids))))
+    return _of_columns(of_node, rows.where(F.col("i").isin(ids)).select(F.col("i").alias("query"), F.col("delta").alias("delta_q")), ids)
+
+
+def checked(k: int) -> None:
     if k < 1:
         raise ValueError("k is at least 1")
 
 
 def top_k(matrix: DataFrame, query: int, k: int, deltas: DataFrame | None = None) -> DataFrame:
     """``node, score, rank`` of the best *k*; the query is one of its own candidates. An empty row has no result."""
-    _checked(k)
+    checked(k)
     one = matrix.sparkSession.createDataFrame([(query,)], "query bigint")
     best = scores(matrix, one, deltas).select("node", "score").orderBy(F.desc("score"), F.desc("node")).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("node"))).cast("bigint"))
@@ -79,7 +96,7 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def top_k_batch(matrix: DataFrame, queries: DataFrame, k: int, deltas: DataFrame | None = None) -> DataFrame:
     """``query, node, score, rank`` of the best *k* for each query."""
-    _checked(k)
+    checked(k)
     return ranked(scores(matrix, queries, deltas)).where(F.col("rank") <= k)
 
 
@@ -95,7 +112,7 @@ def top_k_all(matrix: DataFrame, k: int) -> DataFrame:
     Rows are put into blocks by ranges of ids and packed.  A task has a block's queries, and goes through those
     blocks that share a column with it, one at a time; only each query's best *k* leave it.
     """
-    _checked(k)
+    checked(k)
     m = _long(matrix)
     every = written(deltas_of(m).where("delta > 0 AND i IS NOT NULL"))
     if m.schema["c"].dataType.simpleString() not in ("bigint", "int"):
@@ -213,7 +230,7 @@ def kernel_deltas(left: DataFrame, kernel: DataFrame) -> DataFrame:
 
 def kernel_top_k(left: DataFrame, kernel: DataFrame, queries: DataFrame, k: int, deltas: DataFrame | None = None) -> DataFrame:
     """:func:`top_k_batch` of the extended matrix, without building it."""
-    _checked(k)
+    checked(k)
     deltas = kernel_deltas(left, kernel) if deltas is None else deltas
     rows = left.join(queries.select(F.col("query").alias("i")).distinct(), "i")
     spread = rows.join(kernel, rows["j"] == kernel["a"]).groupBy(F.col("i").alias("query"), F.col("b").alias("j")).agg(F.sum(F.col("v") * F.col("k")).alias("s"))
