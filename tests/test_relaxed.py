@@ -102,3 +102,13 @@ def test_few_queries_take_one_pass(spark, tables, weighted, monkeypatch):
         many = asked()
     monkeypatch.setattr(similarity, "kernel_top_k", None)
     assert asked() == many and all(len(x) == 12 for x in many)
+
+
+def test_rows_count_their_own_entries(spark, tables, monkeypatch):
+    """The pass over rows counts what they have in *left* too, also where no place of a row has coordinates."""
+    left, places = tables
+    more = left.unionByName(spark.createDataFrame([(77, 900, 1), (77, 901, 2), (3, 900, 1)], "i bigint, j bigint, v bigint"))
+    got = relaxed.exact_rows(more, places, 2000, direct=True)
+    assert close(got.where("entries > 0").drop("direct").collect()) == close(relaxed.exact_rows(left, places, 2000).collect())
+    assert close(got.select("i", "direct").collect()) == close(more.groupBy("i").count().collect())
+    assert [tuple(r) for r in got.where("i = 77").select("i", "entries", "total", "delta", "direct").collect()] == [(77, 0, 0, 0, 2)]
