@@ -112,3 +112,17 @@ def test_rows_count_their_own_entries(spark, tables, monkeypatch):
     assert close(got.where("entries > 0").drop("direct").collect()) == close(relaxed.exact_rows(left, places, 2000).collect())
     assert close(got.select("i", "direct").collect()) == close(more.groupBy("i").count().collect())
     assert [tuple(r) for r in got.where("i = 77").select("i", "entries", "total", "delta", "direct").collect()] == [(77, 0, 0, 0, 2)]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_several_matrices_by_one_pass(tables, weighted):
+    """Rows of several relaxed matrices are those of each, though *left* is dealt out once."""
+    left, places = tables
+    cells = grid.LatticeCells(0.01)
+    parts = [relaxed.exact_part(places, 2000, weighted), relaxed.grid_part(places, 500, cells, weighted), relaxed.exact_part(places, 300, weighted), relaxed.grid_part(places, 2000, cells, weighted)]
+    got = relaxed.rows_of(left, parts, weighted)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    want = [relaxed.exact_rows(left, places, 2000, weighted), relaxed.grid_rows(left, places, 500, cells, weighted), relaxed.exact_rows(left, places, 300, weighted), relaxed.grid_rows(left, places, 2000, cells, weighted)]
+    rows = got.persist()
+    for k, w in enumerate(want):
+        assert close(rows.where(F.col("of") == k).drop("of").collect()) == close(w.collect())

@@ -233,7 +233,8 @@ def _grid_sums(weighted: bool) -> Callable[[Bucket, str], tuple[np.ndarray, np.n
         v = _column(t, "v", kind)
         unpacked = lambda c, as_: np.frombuffer(b"".join(pc.fill_null(t.column(c), b"").to_pylist()), as_)
         length = pc.fill_null(pc.binary_length(t.column(f"cells{of}")), 0).to_numpy().astype(np.int64) // 8
-        cell = unpacked(f"cells{of}", np.int64)
+        steps = np.cumsum(unpacked(f"cells{of}", np.int64))
+        cell = steps - np.repeat(np.concatenate([[0], steps])[np.cumsum(length) - length], length)
         w = unpacked(f"w{of}", np.float64).astype(kind) if f"w{of}" in t.column_names else np.ones(len(cell), kind)
         at, m = np.repeat(row, length), np.repeat(v, length) * w
         order = np.lexsort((cell, at))
@@ -252,13 +253,13 @@ def _grid_sums(weighted: bool) -> Callable[[Bucket, str], tuple[np.ndarray, np.n
 
 
 def _packed(table: pa.Table) -> pa.Table:
-    """``j, cells, w`` of a bucket of places: each place's cells and entries as the bytes of arrays."""
+    """``j, cells, w`` of a bucket of places: the bytes of arrays, of each place's entries and of its cells by their steps, which repeat and compress."""
     j, cell, w = (_column(table, c) for c in ("j", "cell", "w"))
     order = np.lexsort((cell, j))
     j, cell, w = j[order], cell[order].astype(np.int64), w[order].astype(np.float64)
     first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else np.zeros(0, np.int64)
     runs = list(zip(first, [*first[1:], len(j)], strict=True))
-    return pa.table({"j": pa.array(j[first], pa.int64()), "cells": pa.array([cell[a:b].tobytes() for a, b in runs], pa.binary()), "w": pa.array([w[a:b].tobytes() for a, b in runs], pa.binary())})
+    return pa.table({"j": pa.array(j[first], pa.int64()), "cells": pa.array([np.diff(cell[a:b], prepend=0).tobytes() for a, b in runs], pa.binary()), "w": pa.array([w[a:b].tobytes() for a, b in runs], pa.binary())})
 
 
 def _cells_part(columns: DataFrame, weighted: bool) -> Part:

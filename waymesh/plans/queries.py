@@ -378,17 +378,12 @@ def distinct_cells(spark, d):
 
 
 def experiment_neighbors(spark, d):
-    """Neighbours through shared columns for each customer, over distances and modes in one table."""
-    left, p = written(_left(spark, d)), places(spark, d)
-
-    def run(approach: str, epsilon: int) -> DataFrame:
-        if approach == "exact":
-            sums = relaxed.exact_rows(left, p, epsilon)
-        else:
-            sums = relaxed.grid_rows(left, p, grid.grid_epsilon(epsilon, CELLS.radius_m, approach), CELLS)
-        return sums.select("i", "entries", "total")
-
-    return quality.experiments([{"approach": a, "epsilon": e} for e in (2000, EPS_M) for a in ("exact", "under", "over")], run)
+    """Neighbours through shared columns for each customer, over distances and modes in one table, by one pass over the matrix."""
+    p = places(spark, d)
+    configurations = [{"approach": a, "epsilon": e} for e in (2000, EPS_M) for a in ("exact", "under", "over")]
+    parts = [relaxed.exact_part(p, c["epsilon"]) if c["approach"] == "exact" else relaxed.grid_part(p, grid.grid_epsilon(c["epsilon"], CELLS.radius_m, c["approach"]), CELLS) for c in configurations]
+    rows = written(relaxed.rows_of(written(_left(spark, d)), parts))
+    return quality.experiments(configurations, lambda **c: rows.where(F.col("of") == configurations.index(c)).select("i", "entries", "total"))
 
 
 def cell_radius(spark, d):
