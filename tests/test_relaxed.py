@@ -126,3 +126,15 @@ def test_several_matrices_by_one_pass(tables, weighted):
     rows = got.persist()
     for k, w in enumerate(want):
         assert close(rows.where(F.col("of") == k).drop("of").collect()) == close(w.collect())
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_matrix_without_grouping_its_entries(tables, weighted):
+    left, places = tables
+    for eps in (0, 2000):
+        got = relaxed.exact_matrix(left, places, eps, weighted)
+        want = spatial.extend_exact(left, places, eps, weighted)
+        flat = lambda m: close(m.select("i", "c.u", "c.v", "m").collect())
+        assert flat(got) == flat(want)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
