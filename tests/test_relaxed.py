@@ -138,3 +138,32 @@ def test_matrix_without_grouping_its_entries(tables, weighted):
         assert flat(got) == flat(want)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_entries_travel_without_their_places(spark, tables, weighted, monkeypatch):
+    """Entries are shuffled as ``i, j, v`` and meet packed places in their bucket; with more places than a bucket gets they are joined first, with the same rows."""
+    left, places = tables
+    left = left.unionByName(spark.createDataFrame([(77, 900, 1), (77, 901, 2), (3, 900, 1), (3, None, 1)], "i bigint, j bigint, v bigint"))
+    places = places.unionByName(spark.createDataFrame([(None, 0.01, 60.01), (5, None, 60.0)], "id bigint, lon double, lat double"))
+    cells = grid.LatticeCells(0.01)
+    parts = [relaxed.exact_part(places, 2000, weighted), relaxed.grid_part(places, 2000, cells, weighted)]
+    spread = places.select(F.col("id").alias("j")).distinct().where("j % 3 = 0").select("j", (F.col("j") % 5).alias("q0"))
+
+    def rows():
+        return [relaxed._rows(left, parts, weighted, spread), relaxed.exact_rows(left, places, 2000, weighted, direct=True), relaxed.exact_rows(left.where("i < 0"), places, 2000, weighted)]
+
+    monkeypatch.setattr(relaxed, "ENTRIES", 30)
+    monkeypatch.setattr(relaxed, "PIECE", 10)
+    with monkeypatch.context() as m:
+        m.setattr(relaxed, "WHOLE", 80)
+        joined = rows()
+    monkeypatch.setattr(relaxed, "WHOLE", 100)
+    copied = rows()
+    for a, b, size in zip(joined, copied, (50, 26, 0), strict=True):
+        plan = b._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+        assert "FlatMapCoGroupsInArrow" not in a._jdf.queryExecution().optimizedPlan().toString()
+        got = b.collect()
+        assert close(tuple(-1 if x is None else x for x in r) for r in got) == close(tuple(-1 if x is None else x for x in r) for r in a.collect())
+        assert len(got) == size

@@ -3,7 +3,8 @@
 An extended matrix has an entry for each place near each entry of *left*, so it grows with the square of how densely
 places lie.  Its rows' sizes, sums and deltas follow from sums of each place (how many columns it is in, and what
 it has there) and from those places of the same row that share a column.  Rows are dealt to buckets of about as many
-entries, and within a bucket pairs are found among places sorted by latitude.
+entries, and within a bucket pairs are found among places sorted by latitude.  Entries travel as ``i, j, v`` alone; what
+is known of places comes to each bucket in packed pieces, once and not with each of its entries.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from waymesh.sources.shared import written
 
 from . import similarity, spatial
 
-#: Entries of *left* in a bucket, about; a row is never split.
+#: Entries of *left* in a bucket, or of a larger bucket those that are added up at once, about; a row is never split.
 ENTRIES = 1 << 18
+#: Entries of a bucket that gets all places, about: of up to half as many places, so copies are fewer than entries. Places of a packed piece.
+WHOLE, PIECE = 1 << 20, 1 << 13
 #: Pairs that are measured at once.
 PAIRS = 1 << 20
 
@@ -85,6 +88,50 @@ class Part:
     coordinates: DataFrame | None = None
 
 
+def _piece(table: pa.Table) -> pa.Table:
+    """Some places as one value."""
+    table, body = table.drop_columns(["piece"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(body, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.take(pc.sort_indices(table, [("j", "ascending")])))
+    return pa.table({"body": pa.array([body.getvalue().to_pybytes()], pa.binary())})
+
+
+def _copied(places: DataFrame, many: int, n: int) -> DataFrame:
+    """``bucket, body``: all places packed, for each of *n* buckets. A task makes the copies of a few pieces."""
+    pieces = max(1, -(-many // PIECE))
+    dealt = places.withColumn("piece", F.pmod(F.xxhash64("j"), F.lit(pieces)).cast("int")).repartition(pieces, "piece")
+    return dealt.groupBy("piece").applyInArrow(_piece, "body binary").select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"), "body")
+
+
+def _with_places(run: Callable[[pa.Table], pa.Table], kept: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """*run* on a bucket's entries joined with its places, some rows at once; entries without a place stay if *kept*."""
+
+    def bucket(entries: pa.Table, pieces: pa.Table) -> pa.Table:
+        known = pa.concat_tables([pa.ipc.open_stream(body.as_buffer()).read_all() for body in pieces.column("body")]).combine_chunks()
+        entries = entries.select(["i", "j", "v"]).combine_chunks()
+        entries = entries.take(np.argsort(_column(entries, "i"), kind="stable"))
+        i, j = _column(entries, "i"), _column(entries, "j", np.int64)
+        known = known.take(np.argsort(_column(known, "j"), kind="stable"))
+        low, high = (np.searchsorted(_column(known, "j"), j, side) for side in ("left", "right"))
+        found = np.where(entries.column("j").is_valid().to_numpy(), high - low, 0)
+        starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(1, np.int64)
+        out, lo = [], 0
+        while lo < len(i) or not out:
+            later = np.searchsorted(starts, lo + ENTRIES)
+            hi = int(starts[later]) if later < len(starts) else len(i)
+            size = np.maximum(found[lo:hi], 1) if kept else found[lo:hi]
+            e = np.repeat(np.arange(lo, hi), size)
+            at = low[e] + np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+            t, at = entries.take(e), pa.array(at, mask=found[e] == 0)
+            for c in known.column_names:
+                t = t if c == "j" else t.append_column(c, known.column(c).take(at))
+            out.append(run(t))
+            lo = hi
+        return pa.concat_tables(out)
+
+    return bucket
+
+
 def _rows(left: DataFrame, parts: list[Part], weighted: bool, spread: DataFrame | None = None, direct: bool = False) -> DataFrame:
     """``i, of, entries, total, delta`` of each non-empty row of each part (*of*: its number), by one pass over *left*.
 
@@ -99,7 +146,7 @@ def _rows(left: DataFrame, parts: list[Part], weighted: bool, spread: DataFrame
     for t in tables[1:]:
         places = places.join(t, "j", "full_outer")
     dots = [] if spread is None else [c for c in spread.columns if c != "j"]
-    places = written(places if spread is None else places.join(spread, "j", "left"))
+    places = written((places if spread is None else places.join(spread, "j", "left")).dropna(subset=["j"]))
     runs = [p.run for p in parts]
 
     def run(t: pa.Table) -> pa.Table:
@@ -125,10 +172,17 @@ def _rows(left: DataFrame, parts: list[Part], weighted: bool, spread: DataFrame
         return pa.concat_tables(out)
 
     at_places = at is not None
-    n = max(1, -(-left.count() // ENTRIES))
-    entries = left.select("i", "j", "v").join(places, "j", "left" if direct else "inner")
     schema = f"i long, of int, entries long, total {name}, delta {name}" + ", direct long" * direct + "".join(f", {c} {name}" for c in dots)
-    return entries.withColumn("bucket", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(run, schema)
+    entries, many = left.select("i", "j", "v"), places.count()
+    n = max(1, -(-left.count() // ENTRIES))
+    if copied := 0 < 2 * many <= WHOLE:
+        n = max(-(-n * ENTRIES // WHOLE), min(n, left.sparkSession.sparkContext.defaultParallelism))
+    else:
+        entries = entries.join(places, "j", "left" if direct else "inner")
+    entries = entries.withColumn("bucket", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).groupBy("bucket")
+    if copied:
+        return entries.cogroup(_copied(places, many, n).groupBy("bucket")).applyInArrow(_with_places(run, direct), schema)
+    return entries.applyInArrow(run, schema)
 
 
 def _exact_sums(eps_m: float, weighted: bool) -> Callable[[Bucket, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
