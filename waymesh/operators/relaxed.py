@@ -26,7 +26,7 @@ from . import similarity, spatial
 
 #: Entries of *left* in a bucket, or of a larger bucket those that are added up at once, about; a row is never split.
 ENTRIES = 1 << 18
-#: Entries of a bucket that gets all places, about: of up to half as many places, so copies are fewer than entries. Places of a packed piece.
+#: Entries of a bucket that gets all places, about: if there are up to half as many, so that copies don't outnumber entries of large tables. Places of a packed piece.
 WHOLE, PIECE = 1 << 20, 1 << 13
 #: Pairs that are measured at once.
 PAIRS = 1 << 20
