@@ -42,6 +42,18 @@ def test_kernels_compare_as_matrices_do(spark, folder, monkeypatch, small):
     assert got.asDict() == pytest.approx(want.asDict(), abs=1e-12)
 
 
+def test_pieces_are_not_copied_for_each_task(spark, folder, monkeypatch):
+    """Several tasks read objects and kernels where they are stored, and the plan makes no copies of them; kernels by columns give the same."""
+    monkeypatch.setattr(quality, "QUERIES", 9)
+    monkeypatch.setattr(quality, "KEPT", 40)
+    got = queries._compared(spark, folder)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroupsInArrow" not in plan and plan.count("MapInArrow") == 1
+    every = queries._left(spark, folder).select("i").distinct().withColumnRenamed("i", "query")
+    want = quality.compare_quality(queries._exact(spark, folder), queries._grid(spark, folder), every).first()
+    assert got.first().asDict() == pytest.approx(want.asDict(), abs=1e-12)
+
+
 def test_quality_of_every_customer(spark, folder):
     assert queries.quality_precision_recall(spark, folder).first()["queries"] == 40
     overlap, ndcg = queries.quality_overlap(spark, folder).first(), queries.quality_ndcg(spark, folder).first()
