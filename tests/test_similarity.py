@@ -216,3 +216,23 @@ def test_top_k_of_all_by_blocks(spark, monkeypatch, low):
     found = similarity.top_k_all(wide, 4)
     assert sorted(map(tuple, found.collect())) == want
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("high", [2, 60, 500])
+def test_rows_side_by_side(spark, monkeypatch, high):
+    """Positive whole values, small and large ones, are added up for several queries at once, some rows at a time, with what asking each row gives."""
+    for name, n in (("BLOCK", 90), ("TOGETHER", 5), ("BESIDE", 4)):
+        monkeypatch.setattr(similarity, name, n)
+    r = random.Random(high)
+    rows = {(i, r.randrange(9)): r.randint(1, high) for i in range(50) for _ in range(6)}
+    m = spark.createDataFrame([(i, j, v) for (i, j), v in rows.items()], "i bigint, j bigint, v bigint")
+    used = []
+    table = similarity.pa.table({x: similarity.pa.array([k[n] if n < 2 else v for k, v in rows.items()], t) for n, (x, t) in enumerate((("i", similarity.pa.int64()), ("c", similarity.pa.int64()), ("m", similarity.pa.float64())))})
+    block = similarity._packed_rows(table, True).append_column("block", similarity.pa.array([0], similarity.pa.int32()))
+    take = similarity.np.take
+    monkeypatch.setattr(similarity.np, "take", lambda a, *more, **kw: used.append(a.dtype.name) or take(a, *more, **kw))
+    similarity._best_of_blocks(3)((similarity.pa.scalar(0),), block)
+    assert set(used) == {"uint16" if high < 500 else "float32"}
+    monkeypatch.setattr(similarity.np, "take", take)
+    want = sorted(map(tuple, similarity.top_k_batch(m, m.select(F.col("i").alias("query")).distinct(), 3).collect()))
+    assert sorted(map(tuple, similarity.top_k_all(m, 3).collect())) == want
